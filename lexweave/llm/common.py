@@ -6,6 +6,7 @@ that only one machine sees: scratch tables go below ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,7 +54,15 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.load(name, df.schema)
+        schema = df.schema
+        del df
+        self.release()
+        return self.load(name, schema)
+
+    def release(self) -> None:
+        """Let Spark's cleaner see which shuffles nothing refers to any more; their files go."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def load(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
