@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexweave.llm import bpe, chat_format, html_text, jaccard_join, quality_classifier, quality_rules, suffix_dedup, token_counts
+from lexweave.llm import bpe, chat_format, decontaminate, html_text, jaccard_join, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_quality_rules": quality_rules.op8_quality_rules,
