@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexweave.llm import bpe, chat_format, decontaminate, html_text, jaccard_join, quality_classifier, quality_rules, suffix_dedup, token_counts
+from lexweave.llm import bpe, chat_format, decontaminate, html_text, jaccard_join, line_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_html_text": html_text.op2_html_text,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
