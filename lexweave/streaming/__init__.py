@@ -1,0 +1 @@
+"""Streaming operators and their batch twins."""
