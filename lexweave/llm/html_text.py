@@ -162,10 +162,7 @@ def walk(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, in
                     close(k, here)
                 elif stack[k].tag in SCOPES:
                     break
-            if tag in ("td", "th"):
-                held.append(" ")
-            else:
-                flush()
+            flush()
         own, marked = _kind(tag, attrs)
         stack.append(Node(tag, here, max(own, state), marked, len(blocks)))
         state = stack[-1].state

@@ -21,30 +21,22 @@ from lexweave.llm.text_stats import COUNTS, with_statistics
 MAX_FIT_ROWS = 8000
 
 
-def _ratio(part: str, whole: str) -> Column:
-    return F.col(part).cast("double") / F.greatest(F.col(whole), F.lit(1)).cast("double")
+#: Statistics of the ensemble: name, count, and the count that it is divided by.
+RATIOS = (
+    ("mean_word", "word_chars", "n_words"), ("symbols", "n_symbols", "n_words"), ("dup_lines", "n_dup_lines", "n_lines"), ("repeats", "n_repeat_words", "n_words"),
+    ("upper", "n_upper", "word_chars"), ("digits", "n_digits", "word_chars"), ("marks", "n_marks", "n_words"), ("bangs", "n_bangs", "n_words"), ("stops", "n_stop_words", "n_words"),
+    ("distinct", "n_distinct_words", "n_words"), ("pipes", "n_pipes", "n_words"), ("line_words", "n_words", "n_lines"),
+)
+NAMES = ("log_words", *(r[0] for r in RATIOS))
 
 
 def features() -> dict[str, Column]:
-    """Statistics of the ensemble as expressions over the counts."""
-    return {
-        "log_words": F.log1p(F.col("n_words").cast("double")),
-        "mean_word": _ratio("word_chars", "n_words"),
-        "symbols": _ratio("n_symbols", "n_words"),
-        "dup_lines": _ratio("n_dup_lines", "n_lines"),
-        "repeats": _ratio("n_repeat_words", "n_words"),
-        "upper": _ratio("n_upper", "word_chars"),
-        "digits": _ratio("n_digits", "word_chars"),
-        "marks": _ratio("n_marks", "n_words"),
-        "bangs": _ratio("n_bangs", "n_words"),
-        "stops": _ratio("n_stop_words", "n_words"),
-        "distinct": _ratio("n_distinct_words", "n_words"),
-        "pipes": _ratio("n_pipes", "n_words"),
-        "line_words": _ratio("n_words", "n_lines"),
-    }
-
-
-NAMES = tuple(features())
+    """The statistics as expressions over the counts; a zero divisor counts as one."""
+    out = {"log_words": F.log1p(F.col("n_words").cast("double"))}
+    for name, part, whole in RATIOS:
+        out[name] = F.col(part).cast("double") / F.greatest(F.col(whole), F.lit(1)).cast("double")
+    return out
+
 
 #: A condition: (feature index, True for "<=" or False for ">", threshold). A rule: a frozenset of them.
 Condition = tuple[int, bool, float]
@@ -158,7 +150,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, pen
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> RuleEnsemble:
