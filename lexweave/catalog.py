@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave import config
 from lexweave.functions import text as T
-from lexweave.operators import entities, lifecycle, match, ontology, reconcile, search, triples, vectors
+from lexweave.operators import annotate, entities, lifecycle, match, models, ontology, reconcile, search, triples, vectors
 from lexweave.sinks import export
 from lexweave.sources import ingest, ontology_data
 from lexweave.streaming import events as streams
@@ -618,3 +618,63 @@ def k3(spark, sf_dir):
 def k5(spark, sf_dir):
     out = streams.windowed_counts(read(spark, sf_dir, "events"))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- model-backed stages with a deterministic stand-in, annotation, metadata --------------------------
+
+@query("u3_identify_concepts")
+def u3(spark, sf_dir):
+    return models.best_concepts(models.identify_concepts(T.chunks(normal(spark, sf_dir)), "echo"))
+
+
+@query("u7_branch_detail", onto("concepts") + """, l AS (SELECT branch, '- ' || branch || ': ' || string_agg(label, ', ' ORDER BY k) AS line FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY label, iri) AS k FROM concepts WHERE branch IS NOT NULL) WHERE k <= 8 GROUP BY branch)
+    SELECT branch, line FROM (SELECT *, sum(length(line)) OVER (ORDER BY branch) AS total FROM l) WHERE total <= 8000""")
+def u7(spark, sf_dir):
+    return models.branch_detail(tables(spark)["concepts"])
+
+
+RERANK = '```json\n{"scores": [{"text": "a", "iri": "x", "score": 0.9}, {"text": "b", "iri": "y", "score": 7}]}\n```'
+
+
+@query("q14_rerank", "SELECT * FROM (VALUES ('a', 'x', CAST(0.7 AS DOUBLE)), ('b', 'y', 0.8), ('c', 'z', 0.3)) AS t(text, iri, confidence)")
+def q14(spark, sf_dir):
+    concepts = spark.createDataFrame([("a", "x", 0.5), ("b", "y", 0.6), ("c", "z", 0.3)], "text string, iri string, confidence double")
+    return models.rerank(concepts, spark.createDataFrame([(RERANK,)], "answer string"))
+
+
+CITED = [(1, "See 410 U.S. 113 and 42 U.S.C. § 1983 in Roe v. Wade today."), (2, "Acme Widgets Inc. met John Smith.")]
+
+
+@query("e16_citations", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '410 U.S. 113', 'Caselaw'), (1, '42 U.S.C. § 1983', 'Statute'), (1, 'Roe v. Wade', 'Case Name')) AS t(doc_id, mention, label)")
+def e16(spark, sf_dir):
+    return annotate.citations(spark.createDataFrame(CITED, "doc_id bigint, text string")).select("doc_id", "mention", "label")
+
+
+@query("e12_names", "SELECT * FROM (VALUES (CAST(2 AS BIGINT), 'Acme Widgets Inc.', 'Organization'), (2, 'John Smith', 'Person')) AS t(doc_id, mention, label)")
+def e12(spark, sf_dir):
+    return annotate.names(spark.createDataFrame(CITED, "doc_id bigint, text string").where("doc_id = 2")).select("doc_id", "mention", "label")
+
+
+@query("m7_semantic_candidates")
+def m7(spark, sf_dir):
+    d = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return annotate.semantic_candidates(d, match.match(d, labels(spark)))
+
+
+@query("m10_attach")
+def m10(spark, sf_dir):
+    a, c = annotated(spark, sf_dir)
+    every = match.match_automaton(normal(spark, sf_dir), ["of the", "in the"]).select("doc_id", "start", "end", F.col("label_key").alias("text"), F.concat(F.lit("lex:"), F.regexp_replace("label_key", " ", "_")).alias("iri"), F.lit(0.9).alias("confidence"))
+    return annotate.attach(every, a.join(c.select("ann_id", "iri"), "ann_id"))
+
+
+@query("a9_metadata_context")
+def a9(spark, sf_dir):
+    e = entities.extract_all(with_planted(spark, sf_dir))
+    return annotate.split_by_confidence(e.select("doc_id", "kind", F.col("mention").alias("name"), "start", F.when(F.col("start") % 2 == 0, 0.9).otherwise(0.7).alias("confidence")))
+
+
+@query("a10_promotions")
+def a10(spark, sf_dir):
+    d = with_planted(spark, sf_dir).unionByName(spark.createDataFrame([(-9, "Filed on 2024-01-02 in court on 2024-03-04")], "doc_id bigint, text string"))
+    return annotate.promotions(d, entities.extract(d, entities.ENTITIES[1]))
