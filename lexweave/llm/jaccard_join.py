@@ -8,7 +8,9 @@
    longer prefix means more list entries to scan, but l shared tokens before a pair is verified.
 3. Verification in two rounds, so that a group of m copies costs m checks, not m squared: first every document against
    the smallest document of each of its token lists, then, across the components found, only pairs of different
-   components. No pair that could join two components is left out.
+   components. Those lists are cut into blocks, and a pair is put forward only if parity signatures of both sets (bits
+   that tokens toggle) allow the threshold: differing bits never exceed differing tokens. No pair that could join two
+   components is left out.
 
 Shingles are 64-bit hashes, so a list of one token holds at most one row per class and document; a document spreads over
 its whole prefix, so even a group with a third of all documents gives no token more than a small part of the rows.
@@ -30,6 +32,8 @@ from lexweave.llm.common import POLY, Scratch, arrow_bytes, ascii_lower, byte_sl
 WORDS, PERCENT = 4, 85
 #: Most shared prefix tokens that a document may ask for; counters of the sketch (2 MB); rows of counters sent at once.
 MOST_SHARED, SKETCH, BLOCK = 4, 1 << 18, 4096
+#: Bits of a set's parity signature, and rows of one list that are compared in one block.
+SIGNATURE, LIST_BLOCK = 1024, 2048
 #: Estimated cost of verifying a candidate, in list entries.
 VERIFY_COST = 50
 
@@ -58,6 +62,12 @@ def shingle_sets(column, words: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Each token toggles one bit; the bits in which two signatures differ are at most the tokens in which two sets differ."""
+    bits = (tokens >> np.uint64(20)) % np.uint64(SIGNATURE)
+    return np.packbits(np.bincount(bits.astype(np.int64), minlength=SIGNATURE) & 1).tobytes()
+
+
 def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
@@ -94,14 +104,14 @@ def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, key, prefix): set size, digest of the set (null if empty), and the longest prefix that may be asked for."""
+    """(doc_id, n, key, prefix, sign): set size, digest (null if empty), the longest prefix that may be asked for, parity signature."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = held.value
         for batch in batches:
             for a, b in byte_slices(batch.column("text")):
-                sizes, keys, tokens = [], [], []
+                sizes, keys, tokens, signs = [], [], [], []
                 for s in shingle_sets(batch.column("text").slice(a, b - a), words):
                     n = len(s)
                     take = min(n, n - least_overlap(n, percent) + MOST_SHARED)
@@ -109,12 +119,13 @@ def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> D
                     sizes.append(n)
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
                     tokens.append(s[rank].view(np.int64))
+                    signs.append(signature(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "key", "prefix"],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
+                    ["doc_id", "n", "key", "prefix", "sign"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, key binary, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, key binary, prefix array<bigint>, sign binary")
 
 
 def token_lists(classes: DataFrame, percent: int) -> DataFrame:
@@ -156,6 +167,52 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return both.select("x", "y", "x_text", "y_text").mapInArrow(run, "x bigint, y bigint")
 
 
+def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(x, y, shared) for pairs of different components in one list whose signatures allow the threshold.
+
+    ``lists``: token, node, n, shared, component, sign. Lists over LIST_BLOCK rows are cut into blocks and every pair of
+    blocks is a group of its own, so that no task holds more than two blocks of a list.
+    """
+
+    def pairs(rows: list[tuple], two: bool) -> pa.RecordBatch:
+        node, n, shared, comp, block = (np.array(c, np.int64) for c in zip(*[r[:5] for r in rows], strict=True))
+        sign = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
+        xs, ys = [], []
+        for a in range(0, len(rows), 256):
+            i = np.arange(a, min(a + 256, len(rows)))[:, None]
+            j = np.arange(len(rows))[None, :]
+            fits = (node[i] < node[j]) & (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            if two:
+                fits &= block[i] != block[j]
+            x, y = np.nonzero(fits)
+            for k in range(0, len(x), 100_000):
+                p, q = x[k : k + 100_000] + a, y[k : k + 100_000]
+                apart = np.bitwise_count(sign[p] ^ sign[q]).sum(1, dtype=np.int64)
+                some = apart * (100 + percent) <= (100 - percent) * (n[p] + n[q])
+                xs.append(p[some]), ys.append(q[some])
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(np.minimum(shared[x], shared[y]))], ["x", "y", "shared"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, group = [], None
+        for batch in batches:
+            cols = ("token", "b", "c", "node", "n", "shared", "component", "block", "sign")
+            for token, b, c, *row in zip(*[batch.column(k).to_pylist() for k in cols], strict=True):
+                if (token, b, c) != group:
+                    if len(held) > 1:
+                        yield pairs(held, group[1] != group[2])
+                    held, group = [], (token, b, c)
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield pairs(held, group[1] != group[2])
+
+    sizes = lists.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("top"))
+    mixed = lists.join(sizes.where("low <> top").select("token", "blocks"), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("block", "other").alias("b"), F.greatest("block", "other").alias("c"), "node", "n", "shared", "component", "block", "sign")
+    return dealt.repartition("token", "b", "c").sortWithinPartitions("token", "b", "c").mapInArrow(run, "x bigint, y bigint, shared bigint")
+
+
 def _sizes_fit(percent: int):
     return 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
 
@@ -171,8 +228,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = scratch.save(prefixes(docs, words, percent, frequency_sketch(docs, words)), "sets")
-    classes = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("c"))
-    lists = scratch.save(token_lists(classes.select(F.col("c.doc_id").alias("node"), "c.n", "c.prefix"), percent), "lists")
+    classes = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n", "prefix", "sign")).alias("c"))
+    classes = scratch.save(classes.select(F.col("c.doc_id").alias("node"), "c.n", "c.prefix", "c.sign"), "classes")
+    lists = scratch.save(token_lists(classes.select("node", "n", "prefix"), percent), "lists")
 
     texts = docs.join(lists.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = scratch.save(texts.groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"), "texts")
@@ -185,13 +243,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     found = scratch.save(components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch, "first"), "components-1")
 
     grouped = lists.join(found, "node", "left").select("token", "node", "n", "shared", F.coalesce("component", "node").alias("component"))
-    grouped = scratch.save(grouped, "grouped")
-    mixed = grouped.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    kinds = grouped.join(mixed, "token").select("token", "component").distinct()
-    across = kinds.select("token", F.col("component").alias("ca")).join(kinds.select("token", F.col("component").alias("cb")), "token").where("ca < cb")
-    side = lambda c, x: grouped.select("token", F.col("component").alias(c), F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("shared").alias(f"{x}_shared"))
-    met = across.join(side("ca", "x"), ["token", "ca"]).join(side("cb", "y"), ["token", "cb"]).where(_sizes_fit(percent))
-    pairs = met.groupBy("x", "y").agg(F.count("*").alias("seen"), F.min(F.least("x_shared", "y_shared")).alias("shared")).where("seen >= shared").select("x", "y")
+    met = cross_pairs(grouped.join(classes.select("node", "sign"), "node"), percent)
+    pairs = met.groupBy("x", "y").agg(F.count("*").alias("seen"), F.min("shared").alias("shared")).where("seen >= shared").select("x", "y")
     checked = star.unionByName(star.select(F.col("y").alias("x"), F.col("x").alias("y")))
     pairs = scratch.save(pairs.join(checked, ["x", "y"], "left_anti"), "pairs")
     links = links.unionByName(scratch.save(verify(pairs, texts, words, percent), "links-2"))
