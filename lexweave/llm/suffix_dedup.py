@@ -28,7 +28,7 @@ from lexweave.llm.common import POLY, Scratch, arrow_bytes, byte_slices, mix64,
 
 LENGTH, GRAM = 200, 64
 #: Bytes of contexts in one suffix array.
-SHARD = 2_000_000
+SHARD = 1_000_000
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -135,36 +135,39 @@ def suffix_array(body: np.ndarray) -> np.ndarray:
     order is complete, which carrying common prefixes from one suffix to the next needs.
     """
     n = len(body)
-    padded = np.append(body, np.zeros(16, np.uint8)).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : n + k]
+    key = packed(body)
     order = np.argsort(key)
-    new = np.append(True, key[order][1:] != key[order][:-1])
-    heads = np.flatnonzero(new)
+    head = np.ones(n + 1, bool)  # slots where a group starts
+    head[1:n] = key[order[1:]] != key[order[:-1]]
+    heads = np.flatnonzero(head[:n])
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))  # a group's rank is its first slot
+    slots = np.flatnonzero(~(head[:n] & head[1:]))  # slots of groups of two or more
     h = 8
-    while True:
-        size = np.diff(np.append(heads, n))
-        open_heads, open_size = heads[size > 1], size[size > 1]
-        if not len(open_heads):
-            break
-        slots = np.repeat(open_heads - np.append(0, np.cumsum(open_size)[:-1]), open_size) + np.arange(open_size.sum())
+    while len(slots):
         own = order[slots]
-        nxt = np.where(own + h < n, rank[np.minimum(own + h, n - 1)] + 1, 0)
-        mixed = (rank[own] << 32) | nxt
-        turn = np.argsort(mixed, kind="stable")
-        order[slots] = own[turn]
-        sorted_keys = mixed[turn]
-        start = np.append(True, sorted_keys[1:] != sorted_keys[:-1])
-        firsts = slots[start]
-        rank[own[turn]] = np.repeat(firsts, np.diff(np.append(np.flatnonzero(start), len(slots))))
-        heads = np.union1d(heads, firsts)
+        mixed = (rank[own] << 32) | np.where(own + h < n, rank[np.minimum(own + h, n - 1)] + 1, 0)
+        turn = np.argsort(mixed)
+        own, mixed = own[turn], mixed[turn]
+        order[slots] = own
+        start = np.append(True, mixed[1:] != mixed[:-1])
+        firsts = np.flatnonzero(start)
+        rank[own] = np.repeat(slots[firsts], np.diff(np.append(firsts, len(slots))))
+        head[slots[firsts]] = True
+        slots = slots[~(head[slots] & head[slots + 1])]
         h *= 2
     return order
 
 
+def packed(body: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as numbers in byte order; zeros follow the end."""
+    padded = np.append(body, np.zeros(8, np.uint8)).astype(np.uint64)
+    key = np.zeros(len(body), np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | padded[k : len(body) + k]
+    return key
+
+
 def common_prefixes(body: np.ndarray, order: np.ndarray, begins: np.ndarray, most: int) -> np.ndarray:
     """Length, up to ``most``, of the prefix that each suffix shares with the one before it in the array (Kasai).
 
@@ -173,7 +176,7 @@ def common_prefixes(body: np.ndarray, order: np.ndarray, begins: np.ndarray, mos
     n = len(body)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.append(body, np.zeros(most + 8, np.uint8))
+    key = np.append(packed(body), np.zeros(most + 8, np.uint64))
     out = np.zeros(n, np.int32)
     ends = np.append(begins[1:], n)
     carried = np.zeros(len(begins), np.int64)
@@ -185,10 +188,12 @@ def common_prefixes(body: np.ndarray, order: np.ndarray, begins: np.ndarray, mos
         go = np.flatnonzero((other >= 0) & (have < most))
         while len(go):
             x, y = at[go] + have[go], other[go] + have[go]
-            same = (padded[x] == padded[y]) & (np.maximum(x, y) < n)
-            go = go[same]
-            have[go] += 1
-            go = go[have[go] < most]
+            apart = key[x] ^ key[y]
+            # Equal bytes from the left among eight, and no further than the text.
+            same = sum((apart < np.uint64(1 << k)).astype(np.int64) for k in range(56, 0, -8)) + (apart == 0)
+            have[go] += np.minimum(same, n - np.maximum(x, y))
+            go = go[(same == 8) & (have[go] < most)]
+        have = np.minimum(have, most)
         carried[alive] = have
         out[at] = have
     return out
