@@ -15,9 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from lexweave.llm.chunks import distinct_chunks, piece_cuts, ragged_take, row_of, row_sums
-from lexweave.llm.common import arrow_bytes, byte_slices, small_batches, table
+from lexweave.llm.chunks import chunk_array, piece_cuts, ragged_take, row_of, row_sums
+from lexweave.llm.common import arrow_bytes, byte_slices, small_batches, span_hashes, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Unicode white space as the pattern's ``\s`` means it (fixed values).
@@ -25,22 +26,26 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Longer pieces would need one round of the query per merge; they are contracted with a heap instead, by the same rule.
 LONGEST = 96
 #: Distinct pieces in one query, and chunks that a worker remembers.
-BLOCK, MEMO = 40_000, 250_000
+BLOCK, MEMO = 40_000, 1_500_000
 
+#: Rows know their right neighbour (token and position), so that a round needs one join for ranks and one for the pair that goes.
 ENCODE = """
-WITH RECURSIVE step(word, pos, tok, n) AS (
-    SELECT word, pos, tok, 0 FROM seed
+WITH RECURSIVE step(word, pos, tok, nxt, npos, done) AS (
+    SELECT word, pos, tok, lead(tok) OVER w, lead(pos) OVER w, false FROM seed WINDOW w AS (PARTITION BY word ORDER BY pos)
   UNION ALL
-    SELECT word, pos, CASE WHEN pos = best % 1024 THEN CAST(best // 1024 AS INTEGER) ELSE tok END, n + 1
-    FROM (
-        SELECT s.word, s.pos, s.tok, s.n, s.prev, min(m.rank::BIGINT * 1024 + s.pos) OVER (PARTITION BY s.word) AS best
-        FROM (SELECT word, pos, tok, n, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prev FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-        LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt
-    )
-    WHERE best IS NOT NULL AND prev IS DISTINCT FROM best % 1024
+    SELECT r.word, r.pos, CASE WHEN r.pos = b.p THEN b.t ELSE r.tok END,
+           CASE WHEN r.pos = b.p THEN q.nxt WHEN r.npos = b.p THEN b.t ELSE r.nxt END,
+           CASE WHEN r.pos = b.p THEN q.npos ELSE r.npos END, b.t IS NULL
+    FROM (SELECT * FROM step WHERE NOT done) r
+    LEFT JOIN (
+        SELECT word, min(m.rank::BIGINT * 1024 + pos) % 1024 AS p, CAST(min(m.rank::BIGINT * 1024 + pos) // 1024 AS INTEGER) AS t,
+               arg_min(npos, m.rank::BIGINT * 1024 + pos) AS gone
+        FROM step JOIN merges m ON m.l = tok AND m.r = nxt WHERE NOT done GROUP BY word
+    ) b ON b.word = r.word
+    LEFT JOIN (SELECT word, pos, nxt, npos FROM step WHERE NOT done) q ON q.word = r.word AND q.pos = r.npos AND r.pos = b.p
+    WHERE b.gone IS NULL OR r.pos <> b.gone
 )
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM (SELECT * FROM step QUALIFY n = max(n) OVER (PARTITION BY word)) GROUP BY word ORDER BY word
+SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
 """
 DECODE = """
 SELECT word, unhex(string_agg(hex, '' ORDER BY pos)) AS text
@@ -54,6 +59,41 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Memo:
+    """Ids and decoded bytes of chunks by 64-bit hash, in flat arrays: some 50 bytes a chunk."""
+
+    def __init__(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat = [np.zeros(0, "<u4"), np.zeros(0, np.uint8)]
+        self.start = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.size = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.slots[at], -1)
+
+    def add(self, hashes: np.ndarray, *parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Slots of new chunks; ``parts``: (flat values, sizes) of ids and of bytes."""
+        fresh = np.arange(len(self.keys), len(self.keys) + len(hashes))
+        for k, (flat, size) in enumerate(parts):
+            self.start[k] = np.append(self.start[k], len(self.flat[k]) + np.cumsum(size) - size)
+            self.size[k] = np.append(self.size[k], size)
+            self.flat[k] = np.append(self.flat[k], flat)
+        keys, slots = np.append(self.keys, hashes), np.append(self.slots, fresh)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slots = keys[order], slots[order]
+        return fresh
+
+    def take(self, k: int, slots: np.ndarray) -> np.ndarray:
+        return ragged_take(self.flat[k], self.start[k][slots], self.size[k][slots])
+
+
 class Codec:
     """Encoder and decoder of one worker. Tables come from the rank file; nothing grows with the corpus but the bounded memo."""
 
@@ -66,7 +106,7 @@ class Codec:
         # Outside brackets a bare run of the class needs brackets of its own.
         plain = plain.replace(f"|{WHITE}+", f"|[{WHITE}]+")
         self.pattern = regex.compile(plain)
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.memo = Memo()
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
@@ -137,24 +177,30 @@ class Codec:
         self.db.unregister("coded")
         return out
 
-    def chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit numbers, decoded bytes) of each distinct chunk."""
-        new = [c for c in chunks if c not in self.memo]
+    def slots(self, chunks: pa.Array) -> np.ndarray:
+        """Slots in the memo of distinct chunks; a hit counts only if its decoded bytes are the chunk's."""
+        raw, off = arrow_bytes(chunks)
+        hashes, size = span_hashes(raw, off[:-1], off[1:]), np.diff(off)
+        slots = self.memo.find(hashes)
+        same = slots >= 0
+        same[same] = self.memo.size[1][slots[same]] == size[same]
+        hit = np.flatnonzero(same)
+        apart = self.memo.take(1, slots[hit]) != ragged_take(raw, off[hit], size[hit])
+        same[hit[np.unique(np.repeat(np.arange(len(hit)), size[hit])[apart])]] = False
+        new = np.flatnonzero(~same)
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = chunks
-        fresh = {}
+            self.memo, new = Memo(), np.arange(len(chunks))
+        body = raw.tobytes()
         for k in range(0, len(new), BLOCK):
             part = new[k : k + BLOCK]
-            split = [self.pieces(c) for c in part]
+            split = [self.pieces(body[off[i] : off[i + 1]]) for i in part]
             ids = self.encode_pieces(list(dict.fromkeys(p for s in split for p in s)))
             joined = [[i for p in s for i in ids[p]] for s in split]
-            for c, i, t in zip(part, joined, self.decode(joined), strict=True):
-                fresh[c] = (np.array(i, "<u4").tobytes(), c if t == c else t)
-        out = [fresh[c] if c in fresh else self.memo[c] for c in chunks]
-        if len(fresh) <= MEMO:
-            self.memo.update(fresh)
-        return out
+            texts = self.decode(joined)
+            many, chars = np.array([len(j) for j in joined]), np.array([len(t) for t in texts])
+            flat = np.fromiter((i for j in joined for i in j), "<u4", int(many.sum()))
+            slots[part] = self.memo.add(hashes[part], (flat, many), (np.frombuffer(b"".join(texts), np.uint8), chars))
+        return slots
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -171,16 +217,14 @@ def encode_column(column, own: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarra
     raw, off = arrow_bytes(column)
     n = len(off) - 1
     starts = piece_cuts(raw, off)
-    chunks, index = distinct_chunks(raw, starts)
-    coded, rows = own.chunks(chunks), row_of(starts, off)
-    result = []
-    for k, kind in ((0, np.dtype("<u4")), (1, np.dtype(np.uint8))):
-        flat = np.frombuffer(b"".join(c[k] for c in coded), kind)
-        length = np.array([len(c[k]) // kind.itemsize for c in coded], np.int64)
-        first = np.cumsum(length) - length
-        values = ragged_take(flat, first[index], length[index]) if len(index) else flat
-        result += [values, np.append(0, np.cumsum(row_sums(length[index], rows, n) if len(index) else np.zeros(n, np.int64)))]
-    return tuple(result)
+    if not len(starts):
+        return np.zeros(0, "<u4"), np.zeros(n + 1, np.int64), np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
+    coded = chunk_array(raw, starts).dictionary_encode()
+    slots = own.slots(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    rows, out = row_of(starts, off), []
+    for k in (0, 1):
+        out += [own.memo.take(k, slots), np.append(0, np.cumsum(row_sums(own.memo.size[k][slots], rows, n)))]
+    return tuple(out)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -190,7 +234,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    schema = docs.select(*kept).schema.add("ids", "array<int>").add("decoded", "binary")
+    schema = docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)

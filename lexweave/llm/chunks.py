@@ -41,13 +41,17 @@ def piece_cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def chunk_array(raw: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The chunks raw[starts[k]:starts[k + 1]] as a binary array over the same bytes."""
+    offsets = np.append(starts, len(raw)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
 def distinct_chunks(raw: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """(distinct chunks, index of each chunk's distinct one); chunk k is raw[starts[k]:starts[k + 1]]."""
+    """(distinct chunks, index of each chunk's distinct one)."""
     if not len(starts):
         return [], np.zeros(0, np.int64)
-    offsets = np.append(starts, len(raw)).astype(np.int32)
-    flat = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
-    coded = flat.dictionary_encode()
+    coded = chunk_array(raw, starts).dictionary_encode()
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
