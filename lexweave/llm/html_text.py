@@ -113,7 +113,7 @@ def walk(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, in
             node = stack.pop()
             if node.tag in BLOCKS:
                 flush()
-                if node.state != DROP and node.tag not in ("html", "body", "article", "main"):
+                if node.tag not in ("html", "body", "article", "main"):
                     inside = scope > 0
                     if not inside or (node.marked and node.tag in ("div", "section", "table", "ul", "ol", "dl", "figure", "details")):
                         subtrees.append((node.start, end, node.first, len(blocks), inside))
