@@ -26,7 +26,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Longer pieces would need one round of the query per merge; they are contracted with a heap instead, by the same rule.
 LONGEST = 96
 #: Distinct pieces in one query, and chunks that a worker remembers.
-BLOCK, MEMO = 40_000, 1_500_000
+BLOCK, MEMO = 40_000, 2_500_000
 
 #: Rows know their right neighbour (token and position), so that a round needs one join for ranks and one for the pair that goes.
 ENCODE = """
