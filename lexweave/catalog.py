@@ -159,7 +159,7 @@ def o3(spark, sf_dir):
     return ontology.label_all(ontology.label_rows(t["concepts"], t["labels_in"]))
 
 
-PROPS = """props AS (SELECT iri, lower(regexp_replace(regexp_replace(label, '^(folio|utbms|oasis|lex):', ''), '([a-z])([A-Z])', '\\1 \\2', 'g')) AS label_key, 0 AS r
+PROPS = """props AS (SELECT iri, lower(regexp_replace(regexp_replace(label, '^[a-z]+:', ''), '([a-z])([A-Z])', '\\1 \\2', 'g')) AS label_key, 0 AS r
   FROM properties_in WHERE label NOT LIKE 'DEPRECATED%' AND label NOT LIKE 'ZZZ:%' UNION ALL
   SELECT iri, lower(alt_label), 1 FROM properties_in WHERE label NOT LIKE 'DEPRECATED%' AND label NOT LIKE 'ZZZ:%' AND alt_label IS NOT NULL)"""
 

@@ -38,7 +38,7 @@ def label_all(rows: DataFrame) -> DataFrame:
 
 def property_labels(properties: DataFrame) -> DataFrame:
     """Labels of properties: prefix cut, camel case spaced, lower case; preferred before alternative; withdrawn ones left out."""
-    clean = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, "^(folio|utbms|oasis|lex):", ""), "([a-z])([A-Z])", "$1 $2"))
+    clean = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, "^[a-z]+:", ""), "([a-z])([A-Z])", "$1 $2"))
     live = properties.where(~F.col("label").startswith("DEPRECATED") & ~F.col("label").startswith("ZZZ:"))
     rows = live.select("iri", clean(F.col("label")).alias("label_key"), F.lit(0).alias("r")).unionByName(
         live.where("alt_label IS NOT NULL").select("iri", clean(F.col("alt_label")).alias("label_key"), F.lit(1).alias("r"))
