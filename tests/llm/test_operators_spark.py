@@ -159,6 +159,16 @@ def test_decontamination(spark):
     assert len(want & got) >= 0.9 * len(want) and (903, 0) in got and len(got - want - {(903, 0)}) == 0
 
 
+def test_decontamination_without_cosine(spark):
+    r = random.Random(4)
+    items = [(k, sentence(n, r)) for k, n in enumerate([6, 9, 18, 18, 40])]
+    data = [(k, " ".join([sentence(r.randint(0, 30), r), items[k % 5][1], sentence(r.randint(0, 30), r)]).strip()) for k in range(25)]
+    df, bench = spark.createDataFrame(data, DOC), spark.createDataFrame(items, "item_id bigint, text string")
+    # No cosine reaches 2, every one reaches -2: what the checks pass may not depend on it.
+    none, every = ({(x.doc_id, x.item_id, x.common) for x in decontaminate.contaminated(df, bench, Scratch(spark, "t"), cosine=c).collect()} for c in (2.0, -2.0))
+    assert none == every and {(k, k % 5) for k in range(25)} <= {x[:2] for x in none}
+
+
 def test_quality_rules_and_sql(spark, data, tmp_path):
     rows_ = [*fixture(), (910, "The same eight words are in this line now. " * 9), (911, "### $$$ %%%\n### $$$ %%%\n" * 9), (900, None)]
     spark.createDataFrame(rows_, DOC).withColumn("source", F.lit("s")).write.parquet(str(tmp_path / "documents.parquet"))
