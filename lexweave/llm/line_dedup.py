@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from lexweave.llm.common import POLY, Scratch, arrow_bytes, byte_slices, components, is_space, mix64, small_batches, span_hashes, table, text_or_empty
 
-#: Most edits between linked lines; shorter lines (without outer white space) are left alone.
-EDITS, MIN_CHARS = 2, 20
+#: Most edits between linked lines; shorter lines (without outer white space) are linked by equality only, from EXACT_CHARS on.
+EDITS, MIN_CHARS, EXACT_CHARS = 2, 20, 1
 #: Bits of the table of lines to fetch (8 MB), and lines of one segment in a block.
 TABLE_BITS, BLOCK = 1 << 26, 512
 
@@ -265,16 +265,16 @@ def near_lines(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return dealt.repartition("segment", "b", "c").sortWithinPartitions("segment", "b", "c").mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS, exact: int | None = None) -> DataFrame:
     """``docs`` with n_lines, n_removed and ``kept`` (text without removed lines); clashing columns are replaced.
 
     Of equal lines, and of lines linked by ``edits`` edits or fewer, the one first by (doc_id, line) stays; lines shorter than
-    ``least`` characters stay. A whole line goes with its line feed. Null texts are empty; rows that share a doc_id are one
+    ``least`` characters are linked only if they are equal and have ``exact`` characters or more; without ``exact`` they stay. A whole line goes with its line feed. Null texts are empty; rows that share a doc_id are one
     document and lose nothing to each other at the same line; rows without a doc_id lose nothing. An empty table gives none.
     """
     small_batches(docs.sparkSession)
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = scratch.save(occurrences(own, least), "lines")
+    found = scratch.save(occurrences(own, least if exact is None else min(exact, least)), "lines")
     met = scratch.save(met_lines(segment_rows(own, edits, least)), "met")
     texts = scratch.save(line_texts(own, met, least), "texts")
     links = scratch.save(near_lines(met, texts, edits), "links")
@@ -296,13 +296,13 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: in
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lines"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lines"), exact=EXACT_CHARS)
     return out.select("doc_id", "n_lines", "n_removed", F.char_length("kept").cast("long").alias("n_kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those left without any text go, if they had some."""
-    out = dedup_lines(docs, Scratch(spark, "lines-stage"))
+    out = dedup_lines(docs, Scratch(spark, "lines-stage"), exact=EXACT_CHARS)
     out = out.where("n_removed = 0 OR length(trim(kept)) > 0")
     changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

@@ -131,6 +131,14 @@ def test_line_dedup(spark):
         assert got[i] == (len(lines), len(gone[i]), "\n".join(v for k, v in enumerate(lines) if k not in gone[i]), 3)
 
 
+def test_short_lines(spark, tmp_path):
+    data = [(1, " Les.\n\nAnd ornd.\nLes. "), (2, "Les.\nLesx.\n\n"), (3, "And ornd."), (4, "a line of twenty or more characters\nLes."), (5, "a line of twenty or more charakters\n \nw")]
+    spark.createDataFrame(data, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {1: " Les.\n\nAnd ornd.", 2: "Lesx.\n\n", 3: "", 4: "a line of twenty or more characters", 5: " \nw"}
+    got = {x.doc_id: (x.n_removed, x.kept_sha256) for x in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {k: (n, hashlib.sha256(kept[k].encode()).hexdigest()) for k, n in ((1, 1), (2, 1), (3, 1), (4, 1), (5, 1))}
+
+
 def test_line_blocks(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 4)
     texts = spark.createDataFrame([(k, "common start of a line " + "ab"[k % 2] * 3) for k in range(12)], "line bigint, content string")
