@@ -78,25 +78,39 @@ def match_automaton(docs: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, i, start, token, gap): word tokens of the lower-cased text with what follows each; sentinels mark the tokens."""
+    """(doc_id, i, start, token, gap, ahead): word tokens of the lower-cased text with what follows and precedes each; sentinels mark the tokens."""
     marked = F.regexp_replace(F.lower(F.col(text)), r"([\p{L}\p{N}_]+)", "\u0001$1\u0002")
     pieces = docs.select("doc_id", F.posexplode(F.split(marked, "\u0001")).alias("i", "piece"))
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("piece") - F.when(F.col("i") > 0, 1).otherwise(0)
-    placed = pieces.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int")).where("i > 0")
-    return placed.select("doc_id", "i", "start", F.substring_index("piece", "\u0002", 1).alias("token"), F.substring_index("piece", "\u0002", -1).alias("gap"))
-
-
-def match_anchor(docs: DataFrame, labels: DataFrame, most_words: int = 4) -> DataFrame:
-    """The same for labels (label_key) of up to ``most_words`` words and single blanks, by an equi-join on the first word."""
+    ahead = F.lag(F.substring_index("piece", "\u0002", -1)).over(Window.partitionBy("doc_id").orderBy("i"))
+    placed = pieces.withColumn("ahead", ahead).withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int")).where("i > 0")
+    return placed.select("doc_id", "i", "start", F.substring_index("piece", "\u0002", 1).alias("token"), F.substring_index("piece", "\u0002", -1).alias("gap"), "ahead")
+
+
+def match_anchor(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same for labels (label_key) of any length, by an equi-join on the first token; labels without a token go to the automaton."""
+    known = labels.select("label_key").where("label_key <> ''").distinct()
+    words = F.regexp_extract_all("label_key", F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    keyed = known.select("label_key", words.alias("words"), F.regexp_extract("label_key", r"^[^\p{L}\p{N}_]*", 0).alias("head"), F.length("label_key").alias("size"))
+    bare = keyed.where(F.size("words") == 0)
+    keyed = keyed.where(F.size("words") > 0).withColumn("token", F.col("words")[0])
+    most_words = keyed.agg(F.coalesce(F.max(F.size("words")), F.lit(1))).first()[0]
     t = tokens(docs)
     order = Window.partitionBy("doc_id").orderBy("i")
-    follow = F.concat(F.col("token"), *[F.coalesce(F.concat(F.lag("gap", -k + 1).over(order) if k > 1 else F.col("gap"), F.lead("token", k).over(order)), F.lit("")) for k in range(1, most_words)])
-    t = t.select("doc_id", "start", "token", F.concat(follow, F.lit("\u0003")).alias("context"), "gap")
-    keyed = labels.select("label_key", F.substring_index("label_key", " ", 1).alias("token"), F.length("label_key").alias("size")).distinct()
-    met = t.join(keyed, "token").where(F.col("context").startswith(F.col("label_key")))
-    after = F.substring(F.col("context"), F.col("size") + 1, F.lit(1))
-    return met.where(~after.rlike(r"[\p{L}\p{N}_]")).select("doc_id", "start", (F.col("start") + F.col("size")).cast("int").alias("end"), "label_key")
+    # A token more than the longest label has, so that what follows its last one is seen.
+    gap, token = (lambda k: F.coalesce(F.lead("gap", k).over(order), F.lit(""))), (lambda k: F.coalesce(F.lead("token", k).over(order), F.lit("")))
+    follow = F.concat(F.col("token"), *[F.concat(gap(k - 1), token(k)) for k in range(1, most_words + 1)])
+    t = t.select("doc_id", "i", "start", "token", "ahead", F.concat(follow, F.lit("\u0003")).alias("context"))
+    met = t.join(keyed, "token").where(F.concat("head", "context").startswith(F.col("label_key")) & F.col("ahead").endswith(F.col("head")))
+    # No token may end right before the label, none go on right after it.
+    met = met.where((F.col("head") == "") | (F.col("i") == 1) | (F.length("ahead") > F.length("head")))
+    lead = F.length("head")
+    after = F.substring(F.col("context"), F.col("size") - lead + 1, F.lit(1))
+    first = (F.col("start") - lead).cast("int")
+    found = met.where(~after.rlike(r"[\p{L}\p{N}_]")).select("doc_id", first.alias("start"), (first + F.col("size")).cast("int").alias("end"), "label_key")
+    rest = [r[0] for r in bare.select("label_key").collect()]
+    return found.unionByName(match_automaton(docs, rest)) if rest else found
 
 
 def match(docs: DataFrame, labels: DataFrame) -> DataFrame:

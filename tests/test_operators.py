@@ -24,6 +24,14 @@ def test_normalize_whitespace_keeps_rule_order(spark):
     assert column(spark, [" hello \t world \n\n\n next ", "a\n \n \n b", None], T.normalize_whitespace) == ["hello world\n\nnext", "a\n\n\nb", None]
 
 
+def test_match_forms_agree(spark):
+    keys = ["act", "duty of care owed to minors", "non-compete clause", "u.s. code", "d'oeuvre", ".net", "inc.", "§"]
+    texts = ["The duty of care owed to minors, a Non-Compete clause", "U.S. Code and inc. of hors d'oeuvre § act", "asp.net, x .NET inc.x act's .net", "(duty of care owed to minors) inc.", ".net act", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got, want = (sorted(map(tuple, x.collect())) for x in (match.match_anchor(docs, spark.createDataFrame([(k,) for k in keys], "label_key string")), match.match_automaton(docs, keys)))
+    assert got == want and {x[3] for x in got} == set(keys)
+
+
 def test_sentences(spark):
     assert column(spark, ["One. Two! Three? four", "no split. here"], T.sentences_of) == [["One.", "Two!", "Three? four"], ["no split. here"]]
 
