@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows that Arrow hands to Python at once; texts can be long."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 64 << 20) -> None:
+    """Bound the rows and bytes that Arrow hands to Python at once; texts can be long.
+
+    The settings hold for the session from here on: a lazy result reads them only when it runs.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where unset."""
+    """The folder that driver and executors share, as the session names it; where unset the warehouse, or a local one in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lexweave-checkpoint-")
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="lexweave-checkpoint-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexweave-checkpoint"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -144,12 +150,46 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+class SpanHasher:
+    """64-bit hashes of spans [start, end) by one pass of prefix sums; equal spans get equal hashes.
+
+    For candidates that are compared afterwards only: texts can be made whose polynomials modulo 2**64 meet.
+    """
+
+    def __init__(self, raw: np.ndarray):
+        up, self.down = _power_tables(len(raw))
+        self.total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every byte span [start, end): one pass of prefix sums, equal spans get equal hashes."""
-    up, down = _power_tables(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return SpanHasher(raw)(start, end)
+
+
+#: Longer words are hashed by the library, one by one; equal words have equal lengths, so they take the same way.
+LONG_WORD = 64
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of every byte span [start, end), eight bytes at a time with a mixer after each, so that no structure of the text makes two meet."""
+    size = end - start
+    buffer = np.append(raw, np.zeros(8, np.uint8)).tobytes()
+    eight = np.ndarray((len(raw) + 1,), "<u8", buffer, strides=(1,))  # the eight bytes from each position on
+    out = size.astype(np.uint64) * MIX_A
+    some = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at = 0
+    while len(some):
+        rest = size[some] - at
+        part = eight[start[some] + at]
+        part &= np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(rest, 8)) * 8).astype(np.uint64)
+        out[some] = mix64(out[some] * POLY + part)
+        some, at = some[rest > 8], at + 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(buffer[start[k] : end[k]])
+    return out
 
 
 def is_space(raw: np.ndarray) -> np.ndarray:

@@ -12,7 +12,8 @@
    that tokens toggle) allow the threshold: differing bits never exceed differing tokens. No pair that could join two
    components is left out.
 
-Shingles are 64-bit hashes, so a list of one token holds at most one row per class and document; a document spreads over
+Shingles are 64-bit hashes of hashed words, mixed after each step, so that no structure of a text makes two meet; sets are
+compared token by token on them. A list of one token holds at most one row per class and document; a document spreads over
 its whole prefix, so even a group with a third of all documents gives no token more than a small part of the rows.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import POLY, Scratch, arrow_bytes, ascii_lower, byte_slices, components, mix64, small_batches, span_hashes, table, word_spans
+from lexweave.llm.common import POLY, Scratch, arrow_bytes, ascii_lower, byte_slices, components, mix64, small_batches, table, word_hashes, word_spans
 
 WORDS, PERCENT = 4, 85
 #: Most shared prefix tokens that a document may ask for; counters of the sketch (2 MB); rows of counters sent at once.
@@ -42,7 +43,7 @@ def shingle_sets(column, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row: all runs of ``words`` words, or the whole text if it has fewer."""
     raw, off = arrow_bytes(column)
     start, end, row = word_spans(raw, off)
-    hashes = span_hashes(ascii_lower(raw), start, end)
+    hashes = word_hashes(ascii_lower(raw), start, end)
     first = np.searchsorted(row, np.arange(len(off)))
     many = len(hashes) - words + 1
     if many > 0:
@@ -249,6 +250,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     pairs = scratch.save(pairs.join(checked, ["x", "y"], "left_anti"), "pairs")
     links = links.unionByName(scratch.save(verify(pairs, texts, words, percent), "links-2"))
     found = scratch.save(components(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), scratch, "last"), "components-2")
+    scratch.drop("classes", "lists", "texts", "star", "links-1", "components-1", "pairs", "links-2")
 
     named = sets.groupBy("key").agg(F.min("doc_id").alias("node")).where("key IS NOT NULL").join(found, "node", "left")
     named = named.select("key", F.coalesce("component", "node").alias("component"))
@@ -261,6 +263,9 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8), the one with the smallest doc_id; rows without a set stay."""
+    """One document of each group of near-duplicates (five words, 0.8), the one with the smallest doc_id.
+
+    Rows without a set and rows without a doc_id stay; rows that share a doc_id stay or go together; an empty table gives none.
+    """
     keep = near_duplicates(docs, Scratch(spark, "jaccard-stage"), 5, 80).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import table
-from lexweave.llm.text_stats import COUNTS, with_statistics
+from lexweave.llm.text_stats import with_statistics
 
 #: Bound of the labelled sample that the model is fitted on; the rows with the smallest hashes of doc_id are taken.
 MAX_FIT_ROWS = 8000
@@ -51,7 +51,7 @@ class RuleEnsemble:
         return rule_matrix([r for r, _ in self.rules], x)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        z = self.intercept + self.matrix(x) @ np.array([w for _, w in self.rules]) if self.rules else np.full(len(x), self.intercept)
+        z = self.intercept + self.matrix(x).astype(float) @ np.array([w for _, w in self.rules]) if self.rules else np.full(len(x), self.intercept)
         return 1 / (1 + np.exp(-z))
 
     def column(self) -> Column:
@@ -70,10 +70,11 @@ class RuleEnsemble:
 
 
 def rule_matrix(rules: list[frozenset], x: np.ndarray) -> np.ndarray:
-    out = np.ones((len(x), len(rules)))
+    """(rows, rules) of booleans: which rules hold of which rows."""
+    out = np.ones((len(x), len(rules)), bool, order="F")
     for j, rule in enumerate(rules):
         for f, below, cut in rule:
-            out[:, j] *= (x[:, f] <= cut) if below else (x[:, f] > cut)
+            out[:, j] &= (x[:, f] <= cut) if below else (x[:, f] > cut)
     return out
 
 
@@ -101,19 +102,31 @@ def _grow(x: np.ndarray, target: np.ndarray, depth: int, rng: np.random.Generato
         _grow(x[~low], target[~low], depth - 1, rng, least, tighter(False), found)
 
 
-def _lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
-    """Accelerated proximal gradient on standardised rules; the intercept is free."""
-    mean, std = a.mean(0), np.maximum(a.std(0), 0.05)
-    s = np.c_[np.ones(len(a)), (a - mean) / std]
-    v = np.random.default_rng(0).normal(size=s.shape[1])
+def _lasso_logistic(rules: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
+    """Accelerated proximal gradient on standardised rules; the intercept is free.
+
+    The standardised matrix is never made: centring and scaling go into the vectors on both sides of it.
+    """
+    a = rules.astype(np.float32)
+    mean = rules.mean(0)
+    std = np.maximum(np.sqrt(mean * (1 - mean)), 0.05)
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        w = v[1:] / std
+        return v[0] - mean @ w + (a @ w.astype(np.float32)).astype(float)
+
+    def backward(r: np.ndarray) -> np.ndarray:
+        return np.append(r.sum(), ((r.astype(np.float32) @ a).astype(float) - mean * r.sum()) / std)
+
+    v = np.random.default_rng(0).normal(size=a.shape[1] + 1)
     for _ in range(20):
-        v = s.T @ (s @ v)
+        v = backward(forward(v))
         v /= np.linalg.norm(v)
-    step = 4 * len(a) / max(float(np.linalg.norm(s.T @ (s @ v))), 1e-9)
-    w = z = np.zeros(s.shape[1])
+    step = 4 * len(a) / max(float(np.linalg.norm(backward(forward(v)))), 1e-9)
+    w = z = np.zeros(a.shape[1] + 1)
     t = 1.0
     for _ in range(rounds):
-        g = s.T @ (1 / (1 + np.exp(-(s @ z))) - y) / len(a)
+        g = backward(1 / (1 + np.exp(-forward(z))) - y) / len(a)
         n = z - step * g
         n[1:] = np.sign(n[1:]) * np.maximum(np.abs(n[1:]) - step * penalty, 0)
         u = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -138,11 +151,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, pen
         _grow(x[pick], y[pick] - y.mean(), depth, rng, max(3, len(y) // 400), frozenset(), found)
     rules = sorted(found, key=lambda r: sorted(r))
     m = rule_matrix(rules, x)
-    _, unique = np.unique(m.round(), axis=1, return_index=True)  # rules true of the same rows are one rule
-    unique = np.sort(unique)
+    first: dict[bytes, int] = {}  # rules true of the same rows are one rule; those true of all or none are none
+    for j in np.flatnonzero(m.any(0) & ~m.all(0)):
+        first.setdefault(np.packbits(m[:, j]).tobytes(), int(j))
+    unique = sorted(first.values())
     rules, m = [rules[i] for i in unique], m[:, unique]
-    some = (m.mean(0) > 0) & (m.mean(0) < 1)
-    rules, m = [r for r, k in zip(rules, some, strict=True) if k], m[:, some]
     if not rules:
         return RuleEnsemble(math.log(prior / (1 - prior)))
     b, w = _lasso_logistic(m, y, penalty)
@@ -154,9 +167,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> RuleEnsemble:
-    """Fit on at most ``max_rows`` labelled rows that are not held out; only their statistics reach the driver.
+    """Fit on at most ``max_rows`` labelled documents that are not held out; only their statistics reach the driver.
 
-    Labels without a quality are left out; of repeated labels of a document the smallest counts.
+    Labels without a quality are left out; of repeated labels of a document the smallest counts, and of repeated rows of a
+    document the smallest text. Without documents, or without labels of any, the model scores 0.5.
     """
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -166,9 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Rul
         .limit(max_rows)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows rows of two numbers
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_qc_y").alias("_qc_y"))
     sample = with_statistics(rows).select("doc_id", F.col("_qc_y").cast("double").alias("y"), *[v.alias(k) for k, v in features().items()])
-    got = sample.toPandas().sort_values(["doc_id", *NAMES, "y"], kind="stable")
-    return fit_rules(got[list(NAMES)].to_numpy(float), got["y"].to_numpy(float))
+    got = np.array(sorted(map(tuple, sample.collect())), float).reshape(-1, len(NAMES) + 2)  # at most max_rows rows of numbers
+    return fit_rules(got[:, 2:], got[:, 1])
 
 
 def with_scores(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
@@ -190,11 +205,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at least 0.5, with their own columns."""
+    """Documents whose score is at least 0.5, with their own columns; repeated rows stay or go together, an empty table gives none."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     # The row number keeps the filter above the score; pushed below, it would hold a copy of every statistic for every rule.
     scored = with_scores(docs, model).withColumn("_qc_row", F.monotonically_increasing_id())
     return scored.where("predicted = 1 AND _qc_row >= 0").select(*docs.columns)
-
-
-assert len(COUNTS) == len(set(COUNTS))
