@@ -3,11 +3,13 @@
 Two lines within EDITS edits: if one is cut into EDITS + 1 segments, at least one segment occurs unchanged in the other, at
 a place that the edits left and right of it allow. Every distinct line therefore indexes its segments by length, and
 probes the indexes of its own and smaller lengths with those substrings only. Lines that meet are verified by a banded
-bit-parallel edit distance; linked lines form classes, of which the first occurrence in the corpus stays.
+bit-parallel edit distance; linked lines form classes, of which the first occurrence in the corpus stays. Links chain: a
+removed line is within EDITS edits of another line of its class, not always of the one that stays.
 
 1. Index and probe rows (hashes only) are shuffled by segment; segments that one line alone has are dropped.
 2. Texts of the lines that are left are fetched, by a bit table of fixed size before the shuffle.
-3. Segments' lines are compared in blocks, so that a frequent segment neither meets in one task nor emits its pairs.
+3. Segments of up to BLOCK lines are compared as they are. Lines of a more frequent segment are compared with its smallest
+   line first, and then, block by block, only where they still lie in different classes.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import POLY, Scratch, arrow_bytes, byte_slices, components, is_space, mix64, small_batches, span_hashes, table, text_or_empty
+from lexweave.llm.common import POLY, Scratch, SpanHasher, arrow_bytes, byte_slices, components, is_space, mix64, small_batches, table, text_or_empty
 
 #: Most edits between linked lines; shorter lines (without outer white space) are linked by equality only, from EXACT_CHARS on.
 EDITS, MIN_CHARS, EXACT_CHARS = 2, 20, 1
@@ -58,16 +61,25 @@ def line_spans(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return points, start, stop, row, number
 
 
+def line_keys(column, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit xxh3 of the lines' bytes, by their spans in code points."""
+    raw, _ = arrow_bytes(column)
+    at, body = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw)), raw.tobytes()
+    keys = (xxhash.xxh3_64_intdigest(body[a:b]) for a, b in zip(at[start].tolist(), at[end].tolist(), strict=True))
+    return np.fromiter(keys, np.uint64, len(start))
+
+
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, number, line) of every line of ``least`` characters or more; ``line`` is the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in byte_slices(batch.column("text"), 4_000_000):
-                points, start, end, row, number = line_spans(batch.column("text").slice(a, b - a))
+                part = batch.column("text").slice(a, b - a)
+                _, start, end, row, number = line_spans(part)
                 long = np.flatnonzero(end - start >= least)
                 ids = batch.column("doc_id").slice(a, b - a).take(pa.array(row[long]))
-                line = span_hashes(points, start[long], end[long]).view(np.int64)
+                line = line_keys(part, start[long], end[long]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(number[long].astype(np.int32)), pa.array(line)], ["doc_id", "number", "line"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, number int, line bigint")
@@ -84,17 +96,19 @@ def segment_rows(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """(segment, line, indexed): index rows, and probe rows of the substrings that length and position allow, of a task's distinct lines."""
     parts = edits + 1
 
-    def keys(points, start, size, length, k):
-        return mix64(span_hashes(points, start, start + size) * POLY + (length * parts + k).astype(np.uint64)).view(np.int64)
+    def keys(spans, start, size, length, k):
+        return mix64(spans(start, start + size) * POLY + (length * parts + k).astype(np.uint64)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for a, b in byte_slices(batch.column("text"), 2_000_000):
-                points, start, end, _, _ = line_spans(batch.column("text").slice(a, b - a))
+                part = batch.column("text").slice(a, b - a)
+                points, start, end, _, _ = line_spans(part)
+                spans = SpanHasher(points)
                 long = np.flatnonzero(end - start >= least)
                 start, end = start[long], end[long]
-                line = span_hashes(points, start, end)
+                line = line_keys(part, start, end)
                 fresh = np.array([not (v in seen or seen.add(v)) for v in line.tolist()], bool)
                 start, line = start[fresh], line[fresh].view(np.int64)
                 n = end[fresh] - start
@@ -110,7 +124,7 @@ def segment_rows(docs: DataFrame, edits: int, least: int) -> DataFrame:
                             ok = (at <= high) & (length >= least)
                             own = (at == p) & (less == 0)
                             if ok.any():
-                                out.append((keys(points, start[ok] + at[ok], size[ok], length[ok], k), line[ok], own[ok]))
+                                out.append((keys(spans, start[ok] + at[ok], size[ok], length[ok], k), line[ok], own[ok]))
                 if out:
                     s, v, o = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(v), pa.array(o)], ["segment", "line", "indexed"])
@@ -160,9 +174,10 @@ def line_texts(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
         bits, seen = held.value, set()
         for batch in batches:
             for a, b in byte_slices(batch.column("text"), 4_000_000):
-                points, start, end, _, _ = line_spans(batch.column("text").slice(a, b - a))
+                part = batch.column("text").slice(a, b - a)
+                points, start, end, _, _ = line_spans(part)
                 long = np.flatnonzero(end - start >= least)
-                line = span_hashes(points, start[long], end[long])
+                line = line_keys(part, start[long], end[long])
                 at = line % np.uint64(TABLE_BITS)
                 maybe = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
                 pick = [k for k in np.flatnonzero(maybe) if not (line[k] in seen or seen.add(line[k]))]
@@ -219,17 +234,20 @@ def _signs(texts: list[str]) -> np.ndarray:
     return out
 
 
-def near_lines(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """(src, dst) of lines within ``edits`` edits that share a segment; a segment's lines are compared block by block."""
+def _compared(lists: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(src, dst) of lines of one group (segment, b, c) within ``edits`` edits that lie in different classes.
+
+    ``lists``: segment, b, c, line, block, class, indexed; with b <> c only lines of different blocks meet.
+    """
 
     def links(rows: list[tuple], two: bool, done: set) -> pa.RecordBatch:
-        lines, blocks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
-        index = np.array([r[2] for r in rows], bool)
-        texts = [r[3] for r in rows]
+        lines, blocks, classes = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        index = np.array([r[3] for r in rows], bool)
+        texts = [r[4] for r in rows]
         sizes, signs = np.array([len(t) for t in texts]), _signs(texts)
         src, dst = [], []
         for i in range(len(rows)):
-            ok = (lines > lines[i]) & (np.abs(sizes - sizes[i]) <= edits) & (index | index[i])
+            ok = (lines > lines[i]) & (classes != classes[i]) & (np.abs(sizes - sizes[i]) <= edits) & (index | index[i])
             if two:
                 ok &= blocks != blocks[i]
             j = np.flatnonzero(ok)
@@ -248,7 +266,7 @@ def near_lines(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group, done = [], None, set()
         for batch in batches:
-            cols = ("segment", "b", "c", "line", "block", "indexed", "content")
+            cols = ("segment", "b", "c", "line", "block", "class", "indexed", "content")
             for s, b, c, *row in zip(*[batch.column(k).to_pylist() for k in cols], strict=True):
                 if (s, b, c) != group:
                     if len(held) > 1:
@@ -258,30 +276,65 @@ def near_lines(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         if len(held) > 1:
             yield links(held, group[1] != group[2], done)
 
-    many = met.groupBy("segment").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = met.join(many, "segment").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts, "line")
-    dealt = dealt.select("segment", F.least("block", "other").alias("b"), F.greatest("block", "other").alias("c"), "line", "block", "indexed", "content")
+    dealt = lists.join(texts, "line").select("segment", "b", "c", "line", "block", "class", "indexed", "content")
     return dealt.repartition("segment", "b", "c").sortWithinPartitions("segment", "b", "c").mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
+def _star(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """The (src, dst) pairs within ``edits`` edits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [edit_distance(a, b, edits) <= edits for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    ends = pairs.join(texts.select(F.col("line").alias("dst"), F.col("content").alias("b")), "dst")
+    both = ends.join(texts.select(F.col("line").alias("src"), F.col("content").alias("a")), "src")
+    return both.where(F.abs(F.length("a") - F.length("b")) <= edits).select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint")
+
+
+def near_lines(met: DataFrame, texts: DataFrame, edits: int, scratch: Scratch) -> DataFrame:
+    """(src, dst) links of lines that share a segment: enough of them to join all lines that a chain of ``edits`` edits joins."""
+    sizes = met.groupBy("segment").agg(F.count("*").alias("n"), F.min(F.when(F.col("indexed"), F.col("line"))).alias("low"))
+    large = scratch.save(sizes.where(F.col("n") > BLOCK), "large")
+    zero = F.lit(0)
+    small = met.join(large, "segment", "left_anti").select("segment", zero.alias("b"), zero.alias("c"), "line", zero.alias("block"), F.col("line").alias("class"), "indexed")
+    links = scratch.save(_compared(small, texts, edits), "links-small")
+    if large.isEmpty():
+        return links
+    listed = met.join(large, "segment")
+    star = listed.where("line <> low").select(F.col("low").alias("src"), F.col("line").alias("dst")).distinct()
+    links = links.unionByName(scratch.save(_star(star, texts, edits), "links-star"))
+    found = scratch.save(components(links, scratch, "star"), "classes-star")
+    placed = listed.join(found.withColumnRenamed("node", "line"), "line", "left").select("segment", "n", "line", "indexed", F.coalesce("component", "line").alias("class"))
+    mixed = placed.groupBy("segment").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low <> top").select("segment")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = placed.join(mixed, "segment", "left_semi").withColumn("block", F.pmod(F.xxhash64("line"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
+    dealt = dealt.select("segment", F.least("block", "other").alias("b"), F.greatest("block", "other").alias("c"), "line", "block", "class", "indexed")
+    return links.unionByName(scratch.save(_compared(dealt, texts, edits), "links-large"))
+
+
 def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS, exact: int | None = None) -> DataFrame:
     """``docs`` with n_lines, n_removed and ``kept`` (text without removed lines); clashing columns are replaced.
 
     Of equal lines, and of lines linked by ``edits`` edits or fewer, the one first by (doc_id, line) stays; lines shorter than
-    ``least`` characters are linked only if they are equal and have ``exact`` characters or more; without ``exact`` they stay. A whole line goes with its line feed. Null texts are empty; rows that share a doc_id are one
-    document and lose nothing to each other at the same line; rows without a doc_id lose nothing. An empty table gives none.
+    ``least`` characters are linked only if they are equal and have ``exact`` characters or more; without ``exact`` they stay.
+    ``least`` may be as low as edits + 1, where each segment has a character. A whole line goes with its line feed. Null texts
+    are empty; rows that share a doc_id are one document and lose nothing to each other at the same line; rows without a
+    doc_id lose nothing. Lines of any length are compared whole. An empty table gives none.
     """
     small_batches(docs.sparkSession)
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     found = scratch.save(occurrences(own, least if exact is None else min(exact, least)), "lines")
     met = scratch.save(met_lines(segment_rows(own, edits, least)), "met")
     texts = scratch.save(line_texts(own, met, least), "texts")
-    links = scratch.save(near_lines(met, texts, edits), "links")
-    classes = scratch.save(components(links, scratch, "class"), "classes")
+    classes = scratch.save(components(near_lines(met, texts, edits, scratch), scratch, "class"), "classes")
+    scratch.drop("met", "texts", "large", "links-small", "links-star", "classes-star", "links-large")
     named = found.join(classes.withColumnRenamed("node", "line"), "line", "left").select("doc_id", "number", F.coalesce("component", "line").alias("class"))
     place = F.struct("doc_id", "number")
     first = named.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("class", "first")
+    first = scratch.save(first, "first")  # a table, so that the join below can split a class that holds a large part of all lines
     gone = named.join(first, "class").where(place != F.col("first")).groupBy("doc_id").agg(F.collect_set("number").alias("_ld_gone"))  # a text's own lines
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept")]
     renamed = docs.select(*[F.col(c).alias(f"_in_{i}") for i, c in enumerate(kept)], F.col("doc_id").cast("long").alias("_ld_id"), text_or_empty().alias("_ld_text"))
@@ -301,7 +354,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those left without any text go, if they had some."""
+    """Documents without repeated lines; those left without any text go, if they had some. An empty table gives none."""
     out = dedup_lines(docs, Scratch(spark, "lines-stage"), exact=EXACT_CHARS)
     out = out.where("n_removed = 0 OR length(trim(kept)) > 0")
     changed = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))}
