@@ -5,10 +5,12 @@ alone. So equal strings share an anchor at the same offset, and only occurrences
 
 1. Anchors of all texts are shuffled by hash with a hash of the bytes that strings around them can cover (context).
    Anchors found once are dropped. Contexts found twice are repeats over their whole width: no text is moved for them.
+   Of an anchor that a slice of texts has often, only what other slices need goes to the anchor's task (``spread``).
 2. For anchors with different contexts one occurrence of each context is fetched. Their bytes, dealt by anchor, form
    shards; each gets a suffix array (Larsson-Sadakane refinement in numpy) and common prefixes (Kasai, all contexts in
    step), and strings of LENGTH bytes that neighbours in the array share are repeats.
-3. An anchor with more contexts than a shard holds spans shards; their strings are merged by binary search.
+3. An anchor with more contexts than a shard holds is dealt to several shards; their strings, in ranges of the string's
+   hash, are merged by binary search.
 
 Texts that have an exact copy are repeats as a whole and count once in steps 1 and 2. Matches never cross documents.
 """
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import POLY, Scratch, arrow_bytes, byte_slices, mix64, small_batches, span_hashes, table, text_or_empty
+from lexweave.llm.common import POLY, Scratch, arrow_bytes, byte_slices, mix64, small_batches, table, text_or_empty
 
 LENGTH, GRAM = 200, 64
-#: Bytes of contexts in one suffix array.
-SHARD = 1_000_000
+#: Bytes of contexts in one suffix array, and strings in one range of the merge.
+SHARD, RANGE = 1_000_000, 2_000_000
+#: Occurrences of an anchor, by the way that they are dealt.
+BY_ANCHOR, BY_CONTEXT, WITNESS, SETTLED = 0, 1, 2, 3
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
@@ -44,8 +48,8 @@ def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return mix64(g)
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position in raw, gram hash) of all anchors: minima of every string of ``length`` bytes that lies in one row."""
+def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position in raw, gram hash, hashes of all grams) of all anchors: minima of every string of ``length`` bytes that lies in one row."""
     n, span = len(raw), length - gram + 1
     starts = np.zeros(n + 1, np.int64)
     sizes = np.diff(off)
@@ -54,7 +58,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     np.add.at(starts, off[1:][fits] - length + 1, -1)
     valid = np.flatnonzero(np.cumsum(starts[:-1]) > 0)
     if not len(valid):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.uint64)
     g = gram_hashes(raw, gram)
     bits = np.uint64(max(1, int(n).bit_length()))
     low = (g >> bits << bits) | np.arange(n, dtype=np.uint64)
@@ -65,11 +69,43 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     low[: n - (span - width)] = np.minimum(low[: n - (span - width)], low[span - width :])
     at = (low[valid] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     at = np.unique(at)
-    return np.searchsorted(off, at, "right") - 1, at, g[at]
+    return np.searchsorted(off, at, "right") - 1, at, g[at], g
+
+
+def context_hashes(g: np.ndarray, lo: np.ndarray, hi: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of each span of ``gram`` bytes or more: of the grams side by side in it, the last one ending where it ends."""
+    out = (hi - lo).astype(np.uint64)
+    for k in range(int(-(-(hi - lo).max(initial=0) // gram))):
+        out = np.where(lo + k * gram < hi, mix64(out * POLY + g[np.minimum(lo + k * gram, hi - gram)]), out)
+    return out
+
+
+def spread(h: np.ndarray, ctx: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, dealt, kind): which occurrences of a slice go on, and to which task, so that no anchor's task gets all of its own.
+
+    Of one context's places only the first and the last are compared with other slices; the rest have their copy here
+    (SETTLED). If a slice has several contexts of an anchor, they are dealt by context (BY_CONTEXT), and two of its places go
+    to the anchor's task besides, to tell that there are others (WITNESS). Rows may repeat; all others are BY_ANCHOR.
+    """
+    order = np.lexsort((pos, key, ctx, h))
+    h, ctx = h[order], ctx[order]
+    if not len(h):
+        return order, h, np.zeros(0, np.int8)
+    new_h = np.append(True, h[1:] != h[:-1])
+    new = new_h | np.append(True, ctx[1:] != ctx[:-1])
+    last = np.append(new[1:], True)
+    kind = np.where(new | last, BY_ANCHOR, SETTLED).astype(np.int8)
+    anchor = np.cumsum(new_h) - 1
+    several = (np.bincount(anchor[new]) > 1)[anchor]
+    kind[several & (kind == BY_ANCHOR)] = BY_CONTEXT
+    mixed = mix64(h * POLY + ctx)
+    dealt = np.where(kind == BY_CONTEXT, mixed, np.where(kind == SETTLED, mix64(mixed + np.arange(len(h), dtype=np.uint64)), h))
+    witness = np.flatnonzero(several & (new_h | np.append(new_h[1:], True)))
+    return np.append(order, order[witness]), np.append(dealt, h[witness]), np.append(kind, np.full(len(witness), WITNESS, np.int8))
 
 
 def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, key, pos, ctx) of the anchors of distinct texts; a task skips texts that it has seen."""
+    """(dealt, h, key, pos, ctx, kind) of the anchors of distinct texts; a task skips texts that it has seen."""
     before = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,32 +115,33 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
             batch = batch.take(pa.array(fresh, pa.int64()))
             for a, b in byte_slices(batch.column("text"), 4_000_000):
                 raw, off = arrow_bytes(batch.column("text").slice(a, b - a))
-                row, at, h = anchors(raw, off, length, gram)
+                row, at, h, g = anchors(raw, off, length, gram)
                 lo, hi = np.maximum(at - before, off[row]), np.minimum(at + length, off[row + 1])
-                ctx = mix64(span_hashes(raw, lo, hi) + (at - lo).astype(np.uint64)) if len(at) else h
-                keys = batch.column("key").slice(a, b - a).to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(keys, pa.int64()), pa.array((at - off[row]).astype(np.int32)), pa.array(ctx.view(np.int64))], ["h", "key", "pos", "ctx"]
-                )
+                ctx = mix64(context_hashes(g, lo, hi, gram) + (at - lo).astype(np.uint64))
+                key, pos = batch.column("key").slice(a, b - a).to_numpy(zero_copy_only=False)[row].astype(np.int64), (at - off[row]).astype(np.int32)
+                rows, dealt, kind = spread(h, ctx, key, pos)
+                cols = [dealt.view(np.int64), h[rows].view(np.int64), key[rows], pos[rows], ctx[rows].view(np.int64), kind]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["dealt", "h", "key", "pos", "ctx", "kind"])
 
-    return docs.select("key", "text").mapInArrow(run, "h bigint, key bigint, pos int, ctx bigint")
+    return docs.select("key", "text").mapInArrow(run, "dealt bigint, h bigint, key bigint, pos int, ctx bigint, kind tinyint")
 
 
 def marks(found: DataFrame) -> DataFrame:
     """(h, key, pos, decided, fetch) of anchors with two occurrences or more.
 
-    decided: another occurrence has the same context; fetch: the one occurrence of its context whose bytes are needed.
-    A text holds thousands of anchors, so even a text found everywhere makes each anchor a small part of all rows; the window spills.
+    decided: another occurrence has the same context; fetch: the one occurrence of its context, where it is dealt, whose bytes are needed.
     """
-    own, by_anchor, by_context = F.struct("key", "pos"), Window.partitionBy("h"), Window.partitionBy("h", "ctx")
-    seen = found.withColumns({"low": F.min(own).over(by_anchor), "top": F.max(own).over(by_anchor), "ctx_low": F.min("ctx").over(by_anchor), "ctx_top": F.max("ctx").over(by_anchor)})
-    seen = seen.where("low <> top").withColumns({"same_low": F.min(own).over(by_context), "same_top": F.max(own).over(by_context)})
-    flagged = seen.select("h", "key", "pos", (F.col("same_low") != F.col("same_top")).alias("decided"), ((F.col("ctx_low") != F.col("ctx_top")) & (F.col("same_low") == own)).alias("fetch"))
-    return flagged.where("decided OR fetch")
+    own, dealt, by_context = F.struct("key", "pos"), Window.partitionBy("dealt"), Window.partitionBy("dealt", "ctx")
+    seen = found.withColumns({"low": F.min(own).over(dealt), "top": F.max(own).over(dealt), "ctx_low": F.min("ctx").over(dealt), "ctx_top": F.max("ctx").over(dealt)})
+    seen = seen.where((F.col("kind") != WITNESS) & ((F.col("low") != F.col("top")) | (F.col("kind") != BY_ANCHOR)))
+    seen = seen.withColumns({"same_low": F.min(own).over(by_context), "same_top": F.max(own).over(by_context)})
+    decided = (F.col("same_low") != F.col("same_top")) | (F.col("kind") == SETTLED)
+    fetch = (F.col("same_low") == own) & (F.col("kind") != SETTLED) & ((F.col("ctx_low") != F.col("ctx_top")) | (F.col("kind") == BY_CONTEXT))
+    return seen.select("h", "key", "pos", decided.alias("decided"), fetch.alias("fetch")).where("decided OR fetch")
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, key, start, bytes) of the wanted (h, key, pos) occurrences: the bytes that strings around the anchor can cover."""
+    """(h, key, start, size, bytes) of the wanted (h, key, pos) occurrences: the bytes that strings around the anchor can cover."""
     before = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +159,11 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
                     for spot in spots:
                         lo, hi = max(0, spot["pos"] - before), min(int(off[k + 1] - off[k]), spot["pos"] + length)
                         hs.append(spot["h"]), keys.append(key), starts.append(lo), pieces.append(body[off[k] + lo : off[k] + hi])
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(pieces, pa.binary())], ["h", "key", "start", "bytes"])
+                sizes = pa.array([len(x) for x in pieces], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), sizes, pa.array(pieces, pa.binary())], ["h", "key", "start", "size", "bytes"])
 
     spots = wanted.groupBy("key").agg(F.collect_set(F.struct("h", "pos")).alias("spots"))  # at most a text's own anchors
-    return docs.join(spots, "key").select("key", "text", "spots").mapInArrow(run, "h bigint, key bigint, start int, bytes binary")
+    return docs.join(spots, "key").select("key", "text", "spots").mapInArrow(run, "h bigint, key bigint, start int, size int, bytes binary")
 
 
 def suffix_array(body: np.ndarray) -> np.ndarray:
@@ -220,25 +258,21 @@ def repeated_starts(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, l
     return piece[twice], offset[twice]
 
 
-class Merger:
-    """Strings of the shards of one anchor: hashes in order, with the first place of each; shards are merged by binary search."""
+#: Strings of some shards of one anchor: hashes in order, and the first place (owner, start) of each.
+Strings = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    def __init__(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.owner, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, hashes: np.ndarray, owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, start) of places that share a string with another shard's place."""
-        hashes, first = np.unique(hashes, return_index=True) if len(hashes) else (hashes, np.zeros(0, np.int64))
-        owner, start = owner[first], start[first]
-        at = np.searchsorted(self.hashes, hashes)
-        inside = np.minimum(at, max(len(self.hashes) - 1, 0))
-        known = (self.hashes[inside] == hashes) if len(self.hashes) else np.zeros(len(hashes), bool)
-        other = known & ((self.owner[inside] != owner) | (self.start[inside] != start)) if len(self.hashes) else known
-        out = np.append(owner[other], self.owner[inside[other]]), np.append(start[other], self.start[inside[other]])
-        new = ~known
-        self.hashes, self.owner, self.start = (np.insert(mine, at[new], theirs[new]) for mine, theirs in ((self.hashes, hashes), (self.owner, owner), (self.start, start)))
-        return out
+def merged(a: Strings, b: Strings) -> tuple[Strings, np.ndarray, np.ndarray]:
+    """(strings of both, owner, start): one table is searched in the other; the places are those whose string the other has elsewhere."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(a[0], b[0])
+    inside = np.minimum(at, len(a[0]) - 1)
+    known = a[0][inside] == b[0]
+    other = known & ((a[1][inside] != b[1]) | (a[2][inside] != b[2]))
+    new = ~known
+    both = tuple(np.insert(x, at[new], y[new]) for x, y in zip(a, b, strict=True))
+    return both, np.append(b[1][other], a[1][inside[other]]), np.append(b[2][other], a[2][inside[other]])
 
 
 def string_hashes(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,76 +283,144 @@ def string_hashes(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, len
     piece = np.repeat(np.arange(len(pieces)), many)
     offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     at = (np.cumsum(sizes) - sizes)[piece] + offset
-    return span_hashes(body, at, at + length), owner[piece], start[piece] + offset
+    gram = 1 << (length.bit_length() - 1)
+    g = gram_hashes(body, gram)  # two grams cover a string
+    return mix64(g[at] * POLY + g[at + length - gram]), owner[piece], start[piece] + offset
+
+
+def _ranges(owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, lo, hi) of maximal runs of starts."""
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    head = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + 1)) if len(owner) else np.zeros(0, bool)
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(owner)) - 1 if len(first) else first
+    return owner[first], start[first], start[last] + length
 
 
 def shard_repeats(dealt: DataFrame, length: int, shard: int) -> DataFrame:
-    """(key, lo, hi) byte runs of repeats among contexts that are sorted by anchor within partitions."""
-
-    def ranges(owner: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((start, owner))
-        owner, start = owner[order], start[order]
-        head = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + 1)) if len(owner) else np.zeros(0, bool)
-        first = np.flatnonzero(head)
-        last = np.append(first[1:], len(owner)) - 1 if len(first) else first
-        return pa.RecordBatch.from_arrays([pa.array(owner[first], pa.int64()), pa.array(start[first], pa.int64()), pa.array(start[last] + length, pa.int64())], ["key", "lo", "hi"])
-
-    def solve(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
-        pieces = [r[3] for r in held]
-        owner, start = np.array([r[1] for r in held], np.int64), np.array([r[2] for r in held], np.int64)
-        piece, offset = repeated_starts(pieces, owner, start, length)
-        return owner[piece], start[piece] + offset, pieces, owner, start
+    """(key, lo, hi, h, part, s) of contexts that are sorted by (h, part) within partitions.
+
+    Without ``s``: byte runs of repeats inside a shard, which holds whole parts. With it: of anchors in several parts, the
+    first place of each distinct string of a part, by its hash.
+    """
+    schema = pa.schema([("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("s", pa.int64())])
+
+    def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        owner, start = np.array([r[2] for r in held], np.int64), np.array([r[3] for r in held], np.int64)
+        piece, offset = repeated_starts([r[4] for r in held], owner, start, length)
+        key, lo, hi = _ranges(owner[piece], start[piece] + offset, length)
+        none = pa.nulls(len(key), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lo), pa.array(hi), none, pa.nulls(len(key), pa.int32()), none], schema=schema)
+        split = [r for r in held if r[5] > 1]
+        for group in sorted({r[:2] for r in split}):
+            mine = [r for r in split if r[:2] == group]
+            s, key, at = string_hashes([r[4] for r in mine], np.array([r[2] for r in mine], np.int64), np.array([r[3] for r in mine], np.int64), length)
+            order = np.lexsort((at, key, s))
+            first = order[np.append(True, s[order][1:] != s[order][:-1])] if len(s) else order
+            h, part = pa.array([group[0]] * len(first), pa.int64()), pa.array([group[1]] * len(first), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(at[first]), pa.array(at[first] + length), h, part, pa.array(s[first].view(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, merger, anchor = 0, None, None
+        size, group = 0, None
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("h", "part", "key", "start", "bytes", "parts")], strict=True):
+                if row[:2] != group and size >= shard // 2:
+                    yield from solve(held)
+                    held, size = [], 0
+                group = row[:2]
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield from solve(held)
+
+    return dealt.mapInArrow(run, "key bigint, lo bigint, hi bigint, h bigint, part int, s bigint")
+
+
+def merge_parts(strings: DataFrame, length: int, ranges: int) -> DataFrame:
+    """(key, lo, hi) of places whose string another part of the same anchor has elsewhere; ``strings``: rows with ``s`` of shard_repeats.
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
+    Ranges of (anchor, hash) are dealt to tasks; in a range the parts, each in order, are merged two by two as they come, so
+    that tables of like size meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[tuple[int, Strings]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
+        group = None
+
+        def fold(whole: bool) -> None:
+            while len(stack) > 1 and (whole or stack[-2][0] <= stack[-1][0]):
+                (n, a), (m, b) = stack.pop(), stack.pop()
+                both, owner, start = merged(a, b)
+                stack.append((n + m, both))
+                found.append((owner, start))
+
+        def end_part() -> None:
             if held:
-                found_owner, found_start, pieces, owner, start = solve(held)
-                yield ranges(found_owner, found_start)
-                if merger is not None:
-                    yield ranges(*merger.add(*string_hashes(pieces, owner, start, length)))
-            held, size = [], 0
+                part = pa.Table.from_batches(held)
+                s, key, lo = (part.column(c).to_numpy() for c in ("s", "key", "lo"))
+                order = np.argsort(s.view(np.uint64), kind="stable")
+                stack.append((1, (s.view(np.uint64)[order], key[order], lo[order])))
+                held.clear()
+                fold(False)
 
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("h", "key", "start", "bytes")], strict=True):
-                if row[0] != anchor:
-                    if merger is not None:
-                        yield from flush()
-                        merger = None
-                    elif size >= shard // 2:
-                        yield from flush()
-                    anchor = row[0]
-                if size >= shard:
-                    if merger is None and held[0][0] != anchor:  # the full shard ends with this anchor's first contexts
-                        mine = [r for r in held if r[0] == anchor]
-                        held = [r for r in held if r[0] != anchor]
-                        yield from flush()
-                        held, size = mine, sum(len(r[3]) for r in mine)
-                    if size >= shard:
-                        merger = merger or Merger()
-                        yield from flush()
-                held.append(row)
-                size += len(row[3])
-        yield from flush()
-
+            h, part = batch.column("h").to_numpy(), batch.column("part").to_numpy()
+            heads = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))) if len(h) else []
+            for a, b in zip(heads, np.append(heads[1:], len(h)) if len(h) else [], strict=True):
+                if (h[a], part[a]) != group:
+                    end_part()
+                    if group is not None and group[0] != h[a]:
+                        fold(True)
+                        stack.clear()
+                    group = (h[a], part[a])
+                held.append(batch.slice(a, b - a))
+        end_part()
+        fold(True)
+        for owner, start in found:
+            key, lo, hi = _ranges(owner, start, length)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["key", "lo", "hi"])
+
+    dealt = strings.select("h", "part", "s", "key", "lo").repartitionByRange(ranges, "h", "s").sortWithinPartitions("h", "part", "s")
     return dealt.mapInArrow(run, "key bigint, lo bigint, hi bigint")
 
 
+def text_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` (doc_id, text) with ``key``: equal only for equal texts, as far as two 64-bit hashes tell.
+
+    The key is the first hash; of texts that share it but not the second, it is the second.
+    """
+    two = docs.withColumns({"key": F.xxhash64("text"), "_second": F.xxhash64(F.lit(1), F.col("text"))})
+    met = two.groupBy("key").agg(F.min("_second").alias("low"), F.max("_second").alias("top")).where("low <> top").select("key", F.lit(True).alias("_met"))
+    met = scratch.save(met, "met-keys")
+    return two.join(met, "key", "left").select("doc_id", "text", F.when(F.col("_met"), F.col("_second")).otherwise(F.col("key")).alias("key"))
+
+
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """``docs`` (doc_id, text) with n_bytes, n_removed, n_spans and ``kept`` (binary).
 
     A byte goes if a string of ``length`` bytes over it also starts elsewhere, in this row or another; every row counts as a
-    document, repeated rows too. Null texts are empty; texts shorter than ``length`` lose nothing. Only doc_id is carried on.
+    document, repeated rows too. Null texts are empty; texts shorter than ``length`` lose nothing. Only doc_id is carried on,
+    and may be null. Texts are read whole, however long; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("key", F.xxhash64("text"))
+    keyed = text_keys(docs.select("doc_id", text_or_empty().alias("text")), scratch)
     marked = scratch.save(marks(occurrences(keyed, length, gram)), "marks")
     wanted = marked.where("fetch").select("h", "key", "pos")
     fetched = scratch.save(contexts(keyed, wanted, length, gram), "contexts")
-    shards = scratch.save(shard_repeats(fetched.repartition("h").sortWithinPartitions("h"), length, shard), "shards")
+    sizes = fetched.groupBy("h").agg(F.sum("size").alias("n"))
+    large = scratch.save(sizes.where(F.col("n") > shard).select("h", "n", F.ceil(2 * F.col("n") / shard).cast("int").alias("parts")), "large")
+    parts = fetched.join(large.select("h", "parts"), "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = parts.withColumn("part", F.pmod(F.xxhash64("key", "start"), F.col("parts")).cast("int")).repartition("h", "part").sortWithinPartitions("h", "part")
+    solved = scratch.save(shard_repeats(dealt, length, shard), "shards")
+    shards = solved.where("s IS NULL").select("key", "lo", "hi")
+    many = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if many:
+        shards = shards.unionByName(scratch.save(merge_parts(solved.where("s IS NOT NULL"), length, -(-many // RANGE)), "merged"))
+    scratch.drop("contexts")
     decided = marked.where("decided").select("key", F.greatest(F.col("pos") - (length - gram), F.lit(0)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
     copies = keyed.groupBy("key").agg(F.count("*").alias("copies"))
     runs = decided.unionByName(shards).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))  # at most a few for each anchor of the text

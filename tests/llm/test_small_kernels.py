@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 
 from lexweave.llm import bpe, chat_format, decontaminate, html_text, jaccard_join, line_dedup, quality_classifier, suffix_dedup, token_counts
-from lexweave.llm.common import arrow_bytes, byte_slices, span_hashes, word_spans
+from lexweave.llm.common import arrow_bytes, byte_slices, span_hashes, word_hashes, word_spans
 
 TEXTS = [
     "", "a b c", "  lead", "trail  ", "x\n\n y\n", "I'm don't <|endoftext|> ok", "A" * 300 + " " + "ab" * 400, "\x1c a \x1c!\x1c b", "é́ ́x", "a  b　c", "voilà monde à", "\r\n\r\na\r\n",
@@ -28,6 +28,46 @@ def test_word_spans_and_hashes():
     assert [b for _, b in byte_slices(pa.array(TEXTS), 10)][-1] == len(TEXTS)
 
 
+def test_words_that_meet_as_polynomials():
+    """A word of the doubling sequence and its complement have equal polynomials modulo 2**64 under any odd multiplier."""
+    for n in (256, 1024, 4096):
+        word = np.array([97 + bin(i).count("1") % 2 for i in range(n)], np.uint8)
+        raw, start, end = np.append(word, 195 - word), np.array([0, n]), np.array([n, 2 * n])
+        assert len(set(word_hashes(raw, start, end).tolist())) == 2
+        pair = pa.array([word.tobytes().decode(), (195 - word).tobytes().decode()])
+        assert len(set(line_dedup.line_keys(pair, start, end).tolist())) == 2
+    raw, off = arrow_bytes(pa.array(TEXTS))
+    start, end, _ = word_spans(raw, off)
+    words = [raw[a:b].tobytes() for a, b in zip(start, end, strict=True)]
+    by_hash = {}
+    for w, h in zip(words, word_hashes(raw, start, end).tolist(), strict=True):
+        assert by_hash.setdefault(w, h) == h
+    assert len(set(by_hash.values())) == len(by_hash)
+
+
+def test_spread_of_anchors():
+    """Whatever is dealt, a task that sees a part of an anchor's contexts knows that there are others, and each settled place has a copy."""
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(r.integers(1, 60))
+        h, ctx = r.integers(0, 6, n).astype(np.uint64), r.integers(0, 4, n).astype(np.uint64)
+        key, pos = np.arange(n), np.zeros(n, np.int64)
+        rows, dealt, kind = suffix_dedup.spread(h, ctx, key, pos)
+        assert sorted(rows[kind != suffix_dedup.WITNESS].tolist()) == list(range(n))
+        for k, d, w in zip(rows, dealt, kind, strict=True):
+            same = (h == h[k]) & (ctx == ctx[k])
+            several = len(set(ctx[h == h[k]].tolist())) > 1
+            if w == suffix_dedup.SETTLED:
+                assert same.sum() > 2
+            elif w == suffix_dedup.BY_ANCHOR:
+                assert d == h[k] and not several
+            elif w == suffix_dedup.WITNESS:
+                assert d == h[k] and several
+            else:
+                assert several and len(set(dealt[(kind == w) & (h[rows] == h[k]) & (ctx[rows] == ctx[k])].tolist())) == 1
+        assert all((kind[h[rows] == v] == suffix_dedup.WITNESS).sum() in (0, 2) for v in set(h.tolist()))
+
+
 def test_bpe_equals_library():
     tiktoken = pytest.importorskip("tiktoken")
     own = bpe.codec(P.path(bpe.RANKS), P.PATTERN)
@@ -86,7 +126,7 @@ def test_anchors_depend_on_strings_only():
     common = bytes(r.choice(b"abcdef ") for _ in range(90))
     texts = [bytes(r.choice(b"abcdef ") for _ in range(n)) + common for n in (0, 13, 200)]
     raw, off = arrow_bytes(pa.array(texts))
-    row, at, h = suffix_dedup.anchors(raw, off, 60, 16)
+    row, at, h, _ = suffix_dedup.anchors(raw, off, 60, 16)
     inside = [{(int(p - off[k + 1]), int(x)) for p, x in zip(at[row == k], h[row == k], strict=True) if p - off[k + 1] >= -60} for k in range(3)]
     for k in range(3):  # the last string of 60 bytes is shared, so its anchor is
         assert inside[0] & inside[k]
