@@ -1,8 +1,14 @@
 """Operator 2, HTML extraction by removal of site templates.
 
-Pages are parsed by a small tolerant tree walker. Hashes of element subtrees are counted per host in Spark; subtrees that
-recur on many pages of a host are its template and are deleted, besides elements that never hold the article (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).
+Pages are parsed by a small tolerant tree walker in one pass: each element's hash is folded from its texts and its
+children's hashes, so that all subtrees are hashed in time linear in the page. Spark counts the hashes per host, over
+distinct pages; subtrees that recur on many pages of a host are its template and are deleted wherever they stand, inside
+the article too. Elements that never hold the article (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments) go besides, since they can be new on each page; of the rest, what an <article> or
+<main> holds is the article, if there is one.
+
+Not deleted are: an article's own paragraphs, headings and lists, even if they recur (a sentence that many articles share
+is text of each); and a subtree with more than half of a page's text, so that copies of a page do not delete each other.
 """
 
 from __future__ import annotations
@@ -13,13 +19,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import Scratch, small_batches, table
 
-#: A subtree is template if at least this many pages of its host, and this share of them, have it.
-MIN_PAGES, MIN_SHARE = 10, 0.2
+#: A subtree is template if it is on at least LEAST distinct pages of its host, and on ROOT times the root of their number:
+#: 3 of 3, 7 of 10, 20 of 100, 2,000 of 1,000,000. A page's template subtrees so bound a host's by ROOT-th of the root of its pages.
+LEAST, ROOT = 3, 2.0
 #: Template tables up to so many bytes on disk are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 16_000_000
 
@@ -43,6 +50,10 @@ MARKS = frozenset(
     " recommended footer toolbar widget widgets pagination pager copyright disclaimer login search skip contentinfo complementary".split()
 )
 HEADER_MARKS = frozenset("header masthead topbar".split())
+#: Words in a class name that speak of such an element without being one: no-sidebar, page-with-comments.
+SPEAKING = frozenset("no not non with without has have is hide page layout".split())
+#: Containers that recurrence may delete inside an article.
+BOXES = frozenset("div section table ul ol dl figure details".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -53,178 +64,220 @@ _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _RAW_ENDS = {t: re.compile(rf"</{t}\s*[^>]*>|\Z", re.I) for t in RAW}
 
 
+#: What becomes of text: it stays; it stays in headings of an article; it goes unless nothing else is left; it goes.
+KEEP, HEADER, SPARE, DROP = 0, 1, 2, 3
+_MASK, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def _fold(a: int, b: int) -> int:
+    a = ((a ^ b) * _MIX) & _MASK
+    return a ^ (a >> 29)
+
+
 class Node:
-    """An open element: where it starts, whether its text is dropped, and where its text blocks begin."""
+    """An open element: its hash so far, the characters in it, what becomes of its text, and where its blocks begin."""
 
-    __slots__ = ("tag", "start", "state", "marked", "first")
+    __slots__ = ("tag", "hash", "chars", "state", "first")
 
-    def __init__(self, tag: str, start: int, state: int, marked: bool, first: int):
-        self.tag, self.start, self.state, self.marked, self.first = tag, start, state, marked, first
+    def __init__(self, tag: str, state: int, first: int):
+        self.tag, self.hash, self.chars, self.state, self.first = tag, xxhash.xxh3_64_intdigest(tag), 0, state, first
 
 
-KEEP, HEADER, DROP = 0, 1, 2
+def _marked(value: str) -> tuple[bool, bool]:
+    """(whether a class, id or role names an element that never holds the article, whether it names a header)."""
+    mark = header = False
+    for name in value.split():
+        words = {w.lower() for w in _PARTS.split(name)}
+        if not words & SPEAKING:
+            mark, header = mark or bool(words & MARKS), header or bool(words & HEADER_MARKS)
+    return mark, header
 
 
-def _kind(tag: str, attrs: str) -> tuple[int, bool]:
-    """(what becomes of the element's text, whether it has class, id or role)."""
+def _kind(tag: str, attrs: str, inside: bool) -> int:
+    """What becomes of the element's text. Names only mark outside articles, so that a wrong one cannot take the whole page."""
     if tag in DROPPED:
-        return DROP, True
-    state, marked = HEADER if tag in HEADERS else KEEP, False
+        return DROP
+    state = HEADER if tag in HEADERS else KEEP
     if attrs and tag not in ("html", "body"):
         for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                return DROP, True
+            name, value = name.lower(), a or b or c
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.lower().replace(" ", "")):
+                return DROP
             if name in ("class", "id", "role"):
-                marked = True
-                words = set(_WORDS.findall(value))
-                if tag not in ("article", "main") and words & MARKS:
-                    return DROP, True
-                if tag not in ("article", "main") and words & HEADER_MARKS:
-                    state = HEADER
-                if tag in ("article", "main") and words & {"comment", "comments", "related", "ad", "advert", "sponsored", "promo"}:
-                    return DROP, True
-    return state, marked
-
-
-def walk(page: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int, int, bool]]]:
-    """(blocks, subtrees) of a page: blocks are (scope, position, text), scope 2 in <main>, 1 in <article>, else 0;
-    subtrees are (start, end, first block, block after the last, whether recurrence may delete it)."""
-    blocks: list[tuple[int, int, str]] = []
-    subtrees: list[tuple[int, int, int, int, bool]] = []
-    stack: list[Node] = []
-    held: list[str] = []
-    state, scope, at, n = KEEP, 0, 0, len(page)
-
-    def flush() -> None:
-        if held:
-            text = " ".join("".join(held).split())
-            held.clear()
+                if tag in ("article", "main"):
+                    if set(value.lower().split()) & {"comment", "comments", "related", "ad", "advert", "sponsored", "promo"}:
+                        return DROP
+                    continue
+                mark, header = _marked(value)
+                if mark:
+                    state = max(state, DROP if inside or tag not in BLOCKS else SPARE)
+                elif header:
+                    state = max(state, HEADER)
+    return state
+
+
+class Page:
+    """A parsed page. ``blocks``: (scope, state, text) in order, scope 2 in <main>, 1 in <article>, else 0;
+    ``subtrees``: (hash, characters, first block, block after the last) of elements that recurrence may delete; ``hash`` and ``chars`` of all."""
+
+    def __init__(self, page: str):
+        self.blocks: list[tuple[int, int, str]] = []
+        self.subtrees: list[tuple[int, int, int, int]] = []
+        self._stack = [Node("", KEEP, 0)]
+        #: Open tags by scope: a closing tag that is not counted in its scope closes nothing, so nothing is searched in vain.
+        self._frames: list[dict[str, int]] = [{}]
+        self._open: dict[str, int] = {}
+        self._scopes: list[int] = []
+        self._held: list[str] = []
+        self._read(page)
+        self.hash, self.chars = self._stack[0].hash, self._stack[0].chars
+
+    def _flush(self) -> None:
+        if self._held:
+            text = " ".join("".join(self._held).split())
+            self._held.clear()
             if text:
-                blocks.append((scope, at, text))
-
-    def close(to: int, end: int) -> None:
-        nonlocal state, scope
-        while len(stack) > to:
-            node = stack.pop()
-            if node.tag in BLOCKS:
-                flush()
-                if node.tag not in ("html", "body", "article", "main"):
-                    inside = scope > 0
-                    if not inside or (node.marked and node.tag in ("div", "section", "table", "ul", "ol", "dl", "figure", "details")):
-                        subtrees.append((node.start, end, node.first, len(blocks), inside))
-            if node.tag in ("article", "main"):
-                scope = max([2 if x.tag == "main" else 1 for x in stack if x.tag in ("article", "main")], default=0)
-            state = stack[-1].state if stack else KEEP
-
-    while at < n:
-        found = _TAG.search(page, at)
-        end = found.start() if found else n
-        if end > at and (state == KEEP or (state == HEADER and any(x.tag in HEADINGS for x in stack) and scope)):
-            held.append(html.unescape(page[at:end]))
-        if not found:
-            break
-        slash, tag, attrs = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
-        here, at = found.start(), found.end()
-        if not tag:
-            if found[0].startswith("<![CDATA[") and state == KEEP:
-                held.append(found[0][9:-3])
-            continue
-        tag = tag.lower()
-        if slash:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    close(k, at)
-                    break
-                if tag not in SCOPES and stack[k].tag in SCOPES:
-                    break
-            continue
-        if tag in RAW:
-            at = _RAW_ENDS[tag].search(page, at).end()
-            if tag not in ("textarea", "title"):
-                held.append(" " if held else "")
-            continue
-        if tag == "br":
-            held.append(" ")
-            continue
-        if tag == "hr":
-            flush()
-        if tag in VOID:
-            continue
-        if tag in BLOCKS:
-            shut = CLOSES.get(tag, frozenset())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p" or stack[k].tag in shut:
-                    close(k, here)
-                elif stack[k].tag in SCOPES:
-                    break
-            flush()
-        own, marked = _kind(tag, attrs)
-        stack.append(Node(tag, here, max(own, state), marked, len(blocks)))
-        state = stack[-1].state
-        if tag in ("article", "main") and state == KEEP:
-            scope = max(scope, 2 if tag == "main" else 1)
-    close(0, n)
-    flush()
-    return blocks, subtrees
-
-
-def subtree_hash(page: str, start: int, end: int) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(page[start:end].split()).encode()) - (1 << 63)
-
-
-def subtree_hashes(page: str) -> set[int]:
-    """Hashes of the page's element subtrees that recurrence may delete."""
-    return {subtree_hash(page, s, e) for s, e, *_ in walk(page)[1]}
+                node = self._stack[-1]
+                self.blocks.append((max(self._scopes, default=0), node.state, text))
+                node.hash = _fold(node.hash, xxhash.xxh3_64_intdigest(text))
+                node.chars += len(text)
+
+    def _push(self, tag: str, state: int) -> None:
+        if tag in SCOPES:
+            self._frames.append({})
+        self._frames[-1][tag] = self._frames[-1].get(tag, 0) + 1
+        self._open[tag] = self._open.get(tag, 0) + 1
+        self._stack.append(Node(tag, state, len(self.blocks)))
+        if tag in ("article", "main"):
+            self._scopes.append((2 if tag == "main" else 1) if state < DROP else 0)
+
+    def _pop(self) -> None:
+        node = self._stack[-1]
+        if node.tag in BLOCKS:
+            self._flush()
+        self._stack.pop()
+        self._open[node.tag] -= 1
+        self._frames[-1][node.tag] -= 1
+        if node.tag in SCOPES:
+            self._frames.pop()
+        if node.tag in ("article", "main"):
+            self._scopes.pop()
+        if node.chars:
+            inside = max(self._scopes, default=0) > 0
+            if node.tag in BOXES or (node.tag in BLOCKS and not inside and node.tag not in ("html", "body", "article", "main")):
+                self.subtrees.append((node.hash, node.chars, node.first, len(self.blocks)))
+            above = self._stack[-1]
+            above.hash, above.chars = _fold(above.hash, node.hash), above.chars + node.chars
+
+    def _read(self, page: str) -> None:
+        at, n, stack, held = 0, len(page), self._stack, self._held
+        while at < n:
+            found = _TAG.search(page, at)
+            end = found.start() if found else n
+            if end > at:
+                state = stack[-1].state
+                if state in (KEEP, SPARE) or (state == HEADER and self._scopes and any(self._open.get(t) for t in HEADINGS)):
+                    held.append(html.unescape(page[at:end]))
+            if not found:
+                break
+            slash, tag, attrs = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+            at = found.end()
+            if not tag:
+                if found[0].startswith("<![CDATA[") and stack[-1].state in (KEEP, SPARE):
+                    held.append(found[0][9:-3])
+                continue
+            tag = tag.lower()
+            if slash:
+                if self._open.get(tag) if tag in SCOPES else self._frames[-1].get(tag):
+                    while stack[-1].tag != tag:
+                        self._pop()
+                    self._pop()
+                continue
+            if tag in RAW:
+                at = _RAW_ENDS[tag].search(page, at).end()
+                if tag not in ("textarea", "title"):
+                    held.append(" " if held else "")
+                continue
+            if tag == "br":
+                held.append(" ")
+                continue
+            if tag == "hr":
+                self._flush()
+            if tag in VOID:
+                continue
+            if tag in BLOCKS:
+                shut = CLOSES.get(tag, ())
+                while self._frames[-1].get("p") or any(self._frames[-1].get(t) for t in shut):
+                    self._pop()
+                self._flush()
+            state = max(_kind(tag, attrs, bool(self._scopes)), stack[-1].state)
+            if tag in BLOCKS or state > stack[-1].state:  # other elements change nothing
+                self._push(tag, state)
+        while len(stack) > 1:
+            self._pop()
+        self._flush()
+
+    def boxes(self) -> set[int]:
+        """Hashes of the subtrees that recurrence may delete: those with at most half of the text."""
+        return {h - (1 << 63) for h, chars, _, _ in self.subtrees if 2 * chars <= self.chars}
+
+    def text(self, template: frozenset | set = frozenset()) -> str:
+        gone: set[int] = set()
+        at = -1
+        for h, chars, first, after in sorted(self.subtrees, key=lambda s: (s[2], -s[3])) if template else ():
+            if after > at and 2 * chars <= self.chars and h - (1 << 63) in template:
+                gone.update(range(max(first, at), after))
+                at = after
+        left = [b for k, b in enumerate(self.blocks) if k not in gone]
+        for inside, most in ((True, HEADER), (True, SPARE), (False, HEADER), (False, SPARE)):  # the article; an article below a marked element; the page
+            some = [(scope, text) for scope, state, text in left if state <= most and (scope > 0 or not inside)]
+            if some:
+                best = max(scope for scope, _ in some)
+                return "\n".join(text for scope, text in some if scope == best)
+        return ""
 
 
 def main_text(page: str | None, template: frozenset | set = frozenset()) -> str:
-    """Text of the article: blocks of <main>, else of <article>, else of the page, without template subtrees."""
-    if not page:
-        return ""
-    blocks, subtrees = walk(page)
-    gone = set()
-    if template:
-        for s, e, first, after, _ in subtrees:
-            if after > first and subtree_hash(page, s, e) in template:
-                gone.update(range(first, after))
-    best = max((b[0] for k, b in enumerate(blocks) if k not in gone), default=0)
-    return "\n".join(text for k, (scope, _, text) in enumerate(blocks) if k not in gone and scope >= min(best, 1))
+    """Text of the article: blocks of <main>, else of <article>, else of the page, without template subtrees; null: empty."""
+    return Page(page).text(template) if page else ""
 
 
-def host_of(url: str = "url"):
+def host_of(url: str = "url") -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): hashes of subtrees on many pages of the host. A share bounds their number by the mean page's subtrees over it."""
+def templates(pages: DataFrame, least: int = LEAST, root: float = ROOT) -> DataFrame:
+    """(host, template): hashes of subtrees on many distinct pages of the host; copies of a page count once, ties at the threshold are template."""
     small_batches(pages.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, whole, found = [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own = subtree_hashes(page) if page else ()
+                read = Page(page) if page else None
+                own = [*read.boxes(), None] if read is not None else []  # a row without a subtree stands for the page
                 found.extend(own)
                 hosts.extend([host] * len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "subtree"])
+                whole.extend([read.hash - (1 << 63)] * len(own) if own else [])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(whole, pa.int64()), pa.array(found, pa.int64())], ["host", "page", "subtree"])
 
-    own = pages.select(host_of().alias("host"), "html")
-    counted = own.mapInArrow(run, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    sizes = own.groupBy("host").agg(F.count("*").alias("pages"))
-    many = counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share)
+    rows = pages.select(host_of().alias("host"), "html").mapInArrow(run, "host string, page bigint, subtree bigint").distinct()
+    counted = rows.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    sizes = counted.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
+    many = counted.where(F.col("subtree").isNotNull() & (F.col("n") >= least)).join(sizes, "host").where(F.col("n") >= root * F.sqrt("pages"))
     return many.groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("template"))
 
 
 def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """``pages`` (page_id, url, html) with ``text`` and ``n_chars``; null html gives an empty text.
 
-    One row out per row in, repeated rows included; null urls count as one host. White space inside a block becomes one
-    blank, blocks are joined by line feeds.
+    One row out per row in, repeated rows included; null urls count as one host; other columns are ignored; an empty table
+    gives no rows. White space inside a block becomes one blank, blocks are joined by line feeds. Pages of any length and
+    nesting are read whole, in linear time.
     """
     found = scratch.save(templates(pages), "templates")
     if scratch.size("templates") <= BROADCAST_BYTES:
