@@ -3,13 +3,17 @@
 Each worker keeps a merge table in an in-process DuckDB. Distinct pieces of a batch become (word, position, token)
 rows; a recursive query joins neighbouring tokens to the merge table and contracts each word's leftmost pair of
 minimum rank until none is left; ordered aggregation gives the ids, and, joined to the token table, the bytes.
+
+A round contracts all pairs of the minimum rank, from left to right, where that comes to the same as one by one: unless one
+of them makes a neighbour pair of lower rank, which would have come before the rest; then only the leftmost goes. Pieces are
+first cut between bytes that no token has side by side, since no merge can cross such a place. Pieces of any length take
+this way; a piece of n letters without any cut needs as many rounds as it has merges of different ranks.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,32 +22,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lexweave.llm.chunks import chunk_array, piece_cuts, ragged_take, row_of, row_sums
-from lexweave.llm.common import arrow_bytes, byte_slices, small_batches, span_hashes, table
+from lexweave.llm.common import arrow_bytes, byte_slices, small_batches, table, word_hashes
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Unicode white space as the pattern's ``\s`` means it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Longer pieces would need one round of the query per merge; they are contracted with a heap instead, by the same rule.
-LONGEST = 96
 #: Distinct pieces in one query, and chunks that a worker remembers.
-BLOCK, MEMO = 40_000, 2_500_000
+BLOCK, MEMO = 40_000, 1_500_000
 
-#: Rows know their right neighbour (token and position), so that a round needs one join for ranks and one for the pair that goes.
+#: Rows know their right neighbour (token and position). ``merges.safe``: no pair with the merged token has a lower rank; ``lower``: pairs that have.
 ENCODE = """
 WITH RECURSIVE step(word, pos, tok, nxt, npos, done) AS (
     SELECT word, pos, tok, lead(tok) OVER w, lead(pos) OVER w, false FROM seed WINDOW w AS (PARTITION BY word ORDER BY pos)
-  UNION ALL
-    SELECT r.word, r.pos, CASE WHEN r.pos = b.p THEN b.t ELSE r.tok END,
-           CASE WHEN r.pos = b.p THEN q.nxt WHEN r.npos = b.p THEN b.t ELSE r.nxt END,
-           CASE WHEN r.pos = b.p THEN q.npos ELSE r.npos END, b.t IS NULL
-    FROM (SELECT * FROM step WHERE NOT done) r
-    LEFT JOIN (
-        SELECT word, min(m.rank::BIGINT * 1024 + pos) % 1024 AS p, CAST(min(m.rank::BIGINT * 1024 + pos) // 1024 AS INTEGER) AS t,
-               arg_min(npos, m.rank::BIGINT * 1024 + pos) AS gone
-        FROM step JOIN merges m ON m.l = tok AND m.r = nxt WHERE NOT done GROUP BY word
-    ) b ON b.word = r.word
-    LEFT JOIN (SELECT word, pos, nxt, npos FROM step WHERE NOT done) q ON q.word = r.word AND q.pos = r.npos AND r.pos = b.p
-    WHERE b.gone IS NULL OR r.pos <> b.gone
+  UNION ALL (
+    WITH live AS MATERIALIZED (SELECT word, pos, tok, nxt, npos FROM step WHERE NOT done),
+    hits AS (SELECT word, pos, npos, rank, safe, min(rank) OVER (PARTITION BY word) AS low FROM live JOIN merges ON l = tok AND r = nxt),
+    least AS (
+        SELECT *, row_number() OVER w AS k, coalesce(lag(npos) OVER w = pos, false) AS meets
+        FROM hits WHERE rank = low WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ),
+    runs AS (SELECT *, max(CASE WHEN meets THEN 0 ELSE k END) OVER (PARTITION BY word ORDER BY pos) AS head FROM least),
+    apart AS MATERIALIZED (SELECT word, pos, npos, rank, safe, k FROM runs WHERE (k - head) % 2 = 0),
+    wary AS MATERIALIZED (SELECT * FROM apart WHERE NOT safe AND word IN (SELECT word FROM apart WHERE k > 1)),
+    single AS (
+        SELECT w.word FROM wary w JOIN live p ON p.word = w.word AND p.npos = w.pos LEFT JOIN apart x ON x.word = p.word AND x.npos = p.pos
+        JOIN lower m ON m.l = coalesce(x.rank, p.tok) AND m.r = w.rank AND m.rank < w.rank
+        UNION SELECT w.word FROM wary w JOIN live q ON q.word = w.word AND q.pos = w.npos JOIN lower m ON m.l = w.rank AND m.r = q.nxt AND m.rank < w.rank
+    ),
+    chosen AS MATERIALIZED (SELECT word, pos, npos, rank FROM apart WHERE k = 1 OR word NOT IN (SELECT word FROM single)),
+    going AS (SELECT DISTINCT word FROM chosen)
+    SELECT r.word, r.pos, coalesce(c.rank, r.tok), coalesce(d.rank, CASE WHEN c.rank IS NULL THEN r.nxt ELSE q.nxt END),
+           CASE WHEN c.rank IS NULL THEN r.npos ELSE q.npos END, g.word IS NULL
+    FROM live r
+    LEFT JOIN going g ON g.word = r.word
+    LEFT JOIN chosen c ON c.word = r.word AND c.pos = r.pos
+    LEFT JOIN live q ON q.word = c.word AND q.pos = c.npos
+    LEFT JOIN chosen d ON d.word = r.word AND d.pos = CASE WHEN c.rank IS NULL THEN r.npos ELSE q.npos END
+    WHERE NOT EXISTS (SELECT 1 FROM chosen x WHERE x.word = r.word AND x.npos = r.pos)
+  )
 )
 SELECT word, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
 """
@@ -59,14 +75,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Growing:
+    """An array that is appended to in place."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.empty(1 << 12, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.data):
+            wider = np.empty(max(need, len(self.data) * 3 // 2), self.data.dtype)
+            wider[: self.n] = self.data[: self.n]
+            self.data = wider
+        self.data[self.n : need] = values
+        self.n = need
+
+
 class Memo:
     """Ids and decoded bytes of chunks by 64-bit hash, in flat arrays: some 50 bytes a chunk."""
 
     def __init__(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat = [np.zeros(0, "<u4"), np.zeros(0, np.uint8)]
-        self.start = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.size = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat = [Growing("<u4"), Growing(np.uint8)]
+        self.ends = [Growing(np.int64), Growing(np.int64)]
+        for e in self.ends:
+            e.extend(np.zeros(1, np.int64))
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -76,22 +109,24 @@ class Memo:
         if not len(self.keys):
             return np.full(len(hashes), -1, np.int64)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.slots[at], -1)
+        return np.where(self.keys[at] == hashes, self.slots[at], -1).astype(np.int64)
 
     def add(self, hashes: np.ndarray, *parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Slots of new chunks; ``parts``: (flat values, sizes) of ids and of bytes."""
         fresh = np.arange(len(self.keys), len(self.keys) + len(hashes))
         for k, (flat, size) in enumerate(parts):
-            self.start[k] = np.append(self.start[k], len(self.flat[k]) + np.cumsum(size) - size)
-            self.size[k] = np.append(self.size[k], size)
-            self.flat[k] = np.append(self.flat[k], flat)
-        keys, slots = np.append(self.keys, hashes), np.append(self.slots, fresh)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.slots = keys[order], slots[order]
+            self.ends[k].extend(self.flat[k].n + np.cumsum(size))
+            self.flat[k].extend(flat)
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.slots = np.insert(self.keys, at, hashes[order]), np.insert(self.slots, at, fresh[order])
         return fresh
 
+    def sizes(self, k: int, slots: np.ndarray) -> np.ndarray:
+        return self.ends[k].data[slots + 1] - self.ends[k].data[slots]
+
     def take(self, k: int, slots: np.ndarray) -> np.ndarray:
-        return ragged_take(self.flat[k], self.start[k][slots], self.size[k][slots])
+        return ragged_take(self.flat[k].data, self.ends[k].data[slots], self.sizes(k, slots))
 
 
 class Codec:
@@ -107,17 +142,21 @@ class Codec:
         plain = plain.replace(f"|{WHITE}+", f"|[{WHITE}]+")
         self.pattern = regex.compile(plain)
         self.memo = Memo()
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # nothing is written beside the worker
         left, right, rank = [], [], []
+        self.beside = np.zeros((256, 256), bool)  # bytes that some token has side by side
         for token, r in self.ranks.items():
             for k in range(1, len(token)):
+                self.beside[token[k - 1], token[k]] = True
                 a, b = self.ranks.get(token[:k]), self.ranks.get(token[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
-        i32 = lambda v: pa.array(v, pa.int32())
-        merges = pa.table({"l": i32(left), "r": i32(right), "rank": i32(rank)})
-        tokens = pa.table({"tok": i32(list(self.ranks.values())), "hex": pa.array([t.hex() for t in self.ranks])})
-        for name, data in (("merges", merges), ("tokens", tokens)):
+        l, r, m = (np.array(v, np.int32) for v in (left, right, rank))
+        unsafe = np.unique(np.append(l[l > m], r[r > m]))
+        lower = (l > m) | (r > m)
+        merges = pa.table({"l": l, "r": r, "rank": m, "safe": ~np.isin(m, unsafe)})
+        tokens = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
+        for name, data in (("merges", merges), ("lower", pa.table({"l": l[lower], "r": r[lower], "rank": m[lower]})), ("tokens", tokens)):
             self.db.register("incoming", data)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
             self.db.unregister("incoming")
@@ -130,10 +169,24 @@ class Codec:
         """Ids of distinct pieces: a whole token at once, else by merges."""
         out = {p: [self.ranks[p]] for p in pieces if p in self.ranks}
         rest = [p for p in pieces if p not in out]
-        out.update((p, self._by_heap(p)) for p in rest if len(p) > LONGEST)
-        rest = sorted((p for p in rest if len(p) <= LONGEST), key=len)
-        for k in range(0, len(rest), BLOCK):
-            part = rest[k : k + BLOCK]
+        if rest:
+            raw, off = arrow_bytes(pa.array(rest, pa.binary()))
+            cut = np.append(True, ~self.beside[raw[:-1], raw[1:]])
+            cut[off[:-1]] = True
+            starts = np.flatnonzero(cut)
+            coded = chunk_array(raw, starts).dictionary_encode()
+            own = self._merged(coded.dictionary.to_pylist())
+            parts = coded.indices.to_pylist()
+            first = np.searchsorted(starts, off).tolist()
+            out.update((p, [t for k in parts[a:b] for t in own[k]]) for p, a, b in zip(rest, first[:-1], first[1:], strict=True))
+        return out
+
+    def _merged(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each non-empty word, by the recursive query."""
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        out: list[list[int]] = [[]] * len(words)
+        for k in range(0, len(order), BLOCK):
+            part = [words[i] for i in order[k : k + BLOCK]]
             lengths = np.array([len(p) for p in part])
             ends = np.cumsum(lengths)
             seed = pa.table(
@@ -146,29 +199,10 @@ class Codec:
             self.db.register("seed", seed)
             ids = self.db.sql(ENCODE).to_arrow_table().column("ids").to_pylist()
             self.db.unregister("seed")
-            out.update(zip(part, ids, strict=True))
+            for i, own in zip(order[k : k + BLOCK], ids, strict=True):
+                out[i] = own
         return out
 
-    def _by_heap(self, piece: bytes) -> list[int]:
-        """Leftmost pair of minimum rank first, over a linked list."""
-        n, ranks = len(piece), self.ranks
-        end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = end[i] if alive[i] else n
-            if j >= n or end[j] != stop:
-                continue
-            alive[j], end[i] = False, stop
-            if stop < n:
-                before[stop] = i
-                if (r := ranks.get(piece[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (h := before[i]) >= 0 and (r := ranks.get(piece[h:stop])) is not None:
-                heapq.heappush(heap, (r, h, stop))
-        return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
-
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each non-empty list of ids, by ordered aggregation over the token table."""
         coded = pa.table({"word": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": pa.array(ids, pa.list_(pa.int32()))})
@@ -180,10 +214,10 @@ class Codec:
     def slots(self, chunks: pa.Array) -> np.ndarray:
         """Slots in the memo of distinct chunks; a hit counts only if its decoded bytes are the chunk's."""
         raw, off = arrow_bytes(chunks)
-        hashes, size = span_hashes(raw, off[:-1], off[1:]), np.diff(off)
+        hashes, size = word_hashes(raw, off[:-1], off[1:]), np.diff(off)
         slots = self.memo.find(hashes)
         same = slots >= 0
-        same[same] = self.memo.size[1][slots[same]] == size[same]
+        same[same] = self.memo.sizes(1, slots[same]) == size[same]
         hit = np.flatnonzero(same)
         apart = self.memo.take(1, slots[hit]) != ragged_take(raw, off[hit], size[hit])
         same[hit[np.unique(np.repeat(np.arange(len(hit)), size[hit])[apart])]] = False
@@ -223,7 +257,7 @@ def encode_column(column, own: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarra
     slots = own.slots(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
     rows, out = row_of(starts, off), []
     for k in (0, 1):
-        out += [own.memo.take(k, slots), np.append(0, np.cumsum(row_sums(own.memo.size[k][slots], rows, n)))]
+        out += [own.memo.take(k, slots), np.append(0, np.cumsum(row_sums(own.memo.sizes(k, slots), rows, n)))]
     return tuple(out)
 
 
@@ -250,7 +284,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digests of ``encode``'s output, made where it is made."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digests of ``encode``'s output, made where it is made.
+
+    One row out per row in, repeated rows and null ids included; null texts as empty ones; other columns are ignored, and an
+    empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,6 +318,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: digests of the ids and of the decoded bytes of each row (``encode_digests``), without the other columns."""
     import public_tokenizers
 
     return encode_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)

@@ -224,11 +224,31 @@ def test_chat_format(spark):
 
 
 def test_html_templates(spark):
-    page = lambda k: f"<html><body><div><p>Our site since 1999</p></div><p>Story {k}</p><div class='x'><p>More {k}</p></div></body></html>"
-    data = [(k, "http://a.example/x", page(k)) for k in range(30)] + [(99, "http://b.example/", page(99)), (100, None, None), (101, "", "")]
-    df = spark.createDataFrame(data, "page_id bigint, url string, html string").withColumn("host", F.lit("clash"))
-    got = {r.page_id: r.text for r in html_text.extract(df, Scratch(spark, "t")).collect()}
-    assert got[3] == "Story 3\nMore 3" and got[99] == "Our site since 1999\nStory 99\nMore 99" and got[100] == got[101] == ""
+    """Brute force over plain strings: boxes on enough distinct pages of a host go, in articles and outside, others stay."""
+    r = random.Random(6)
+    boxes = [f"Box {k} since 19{k:02d}" for k in range(8)]
+    data, parts = [], {}
+    for k in range(60):
+        host = r.choice("aab")
+        own = [f"Story {k} " + sentence(12, r) for _ in range(3)]
+        shown = [x for x in boxes if r.random() < 0.5]
+        parts[k] = (host, own, shown)
+        body = "".join(f"<p>{x}</p>" for x in own[:2]) + "".join(f"<div><span>{x}</span></div>" for x in shown) + f"<div>{own[2]}</div>"
+        data.append((k, f"http://{host}.example/{k}", f"<html><body>{f'<article>{body}</article>' if k % 2 else body}</body></html>"))
+    copies = [(200 + k, "http://c.example/x", data[0][2]) for k in range(12)]  # one page often is one page
+    odd = [(99, "http://d.example/", data[1][2]), (100, None, None), (101, "", ""), (102, "http://a.example/", "<p>" + "long " * 40_000 + "</p>")]
+    df = spark.createDataFrame([*data, *copies, *odd, odd[0]], "page_id bigint, url string, html string").withColumn("host", F.lit("clash"))
+    got = defaultdict(list)
+    for x in html_text.extract(df, Scratch(spark, "t")).collect():
+        got[x.page_id].append(x.text)
+    n_pages = Counter(h for h, _, _ in parts.values())
+    n_pages["a"] += 1
+    for k, (host, own, shown) in parts.items():
+        gone = {x for x in boxes if (n := sum(h == host and x in s for h, _, s in parts.values())) >= max(html_text.LEAST, html_text.ROOT * n_pages[host] ** 0.5)}
+        assert gone and got[k] == ["\n".join([*own[:2], *(x for x in shown if x not in gone), own[2]])]
+    whole = lambda k: "\n".join([*parts[k][1][:2], *parts[k][2], parts[k][1][2]])
+    assert all(got[200 + k] == [whole(0)] for k in range(12)) and got[99] == [whole(1)] * 2
+    assert got[100] == got[101] == [""] and got[102] == [("long " * 40_000).strip()]
 
 
 def test_token_count_cache(spark, tmp_path):

@@ -78,8 +78,37 @@ def test_bpe_equals_library():
     for k, t in enumerate(texts):
         assert ids[id_off[k] : id_off[k + 1]].tolist() == library.encode_ordinary(t or "")
         assert bytes(decoded[off[k] : off[k + 1]]) == (t or "").encode()
-    for p in (b"hello world" * 20, b"zzzzqqqq" * 9):
-        assert own._by_heap(p) == own.encode_pieces([p[:90]])[p[:90]] if len(p) <= 90 else own._by_heap(p[:90]) == own.encode_pieces([p[:90]])[p[:90]]
+
+
+def test_bpe_of_long_pieces():
+    """Pieces of any length take the recursive query, also where many pairs of one rank meet or make pairs of lower rank."""
+    tiktoken = pytest.importorskip("tiktoken")
+    own = bpe.codec(P.path(bpe.RANKS), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    r = random.Random(8)
+    texts = ["a" * 5000, "ab" * 700, "the" * 300, "mississippi" * 60, "aaaab" * 200, "=" * 2000, "漢字かな" * 300, "".join(r.choice("abcdeEX") for _ in range(600)), "q" * 97 + "z" * 300]
+    ids, id_off, decoded, off = bpe.encode_column(pa.array(texts), own)
+    for k, t in enumerate(texts):
+        assert ids[id_off[k] : id_off[k + 1]].tolist() == library.encode_ordinary(t)
+        assert bytes(decoded[off[k] : off[k + 1]]).decode() == t
+
+
+def test_bpe_order_of_merges():
+    """A vocabulary in which a merge makes a pair of lower rank: one by one and all at once differ, and one by one is right."""
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+    import tempfile
+
+    words = [*(bytes([b]) for b in range(256)), b"xy", b"ya", b"yab", b"xyab", b"xyaba", b"ab", b"aba"]
+    with tempfile.NamedTemporaryFile("wb", suffix=".tiktoken") as f:
+        f.write(b"".join(base64.b64encode(w) + b" %d\n" % k for k, w in enumerate(words)))
+        f.flush()
+        own = bpe.Codec(f.name, P.PATTERN)
+    library = tiktoken.Encoding("odd", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    r = random.Random(9)
+    texts = ["xyabab", "xyabxyab", "abababxyabababxyab", *("".join(r.choice("xyab") for _ in range(r.randint(2, 40))) for _ in range(400))]
+    got = own.encode_pieces([t.encode() for t in dict.fromkeys(texts)])
+    assert all(got[t.encode()] == library.encode_ordinary(t) for t in texts)
 
 
 def test_token_counts_equal_library():
@@ -187,8 +216,29 @@ def test_html_main_text():
     assert html_text.main_text(None) == html_text.main_text("") == ""
     assert html_text.main_text("<p>a<p>b < c") == "a\nb < c"
     assert html_text.main_text('<body><div class="x"><p>one</p></div><p title="a>b">two</p>') == "one\ntwo"
-    boxes = html_text.subtree_hashes("<body><div><p>tpl</p></div><p>own</p></body>")
-    assert html_text.main_text("<body><div><p>tpl</p></div><p>mine</p></body>", boxes) == "mine"
+    boxes = html_text.Page("<body><div><p>tpl</p></div><p>own is longer</p></body>").boxes()
+    assert html_text.main_text("<body><div><p>tpl</p></div><p>mine is long</p></body>", boxes) == "mine is long"
+
+
+def test_html_marks():
+    text = html_text.main_text
+    assert text('<div class="layout no-sidebar"><p>Real text.</p></div><div class="sidebar-left"><p>side</p></div>') == "Real text."
+    assert text('<div id="page-with-sidebar"><article><p>Real text.</p></article></div>') == "Real text."
+    assert text('<div class="menu"><article><p>Real text.</p></article></div><p>other</p>') == "Real text."  # a wrong name above the article
+    assert text('<div class="banner"><p>All there is.</p></div>') == "All there is."
+    assert text('<article><p>Text.</p><div class="related-posts"><p>no</p></div></article><div class="comments"><article><p>reader</p></article></div>') == "Text."
+    assert text("<p>a<b>b<p>c</b>d</i></td>e") == "ab\ncde"
+    assert text('<p>one <span class="ad">buy</span>two</p><p hidden>no</p><p style="display: none">no</p>') == "one two"
+    assert text("<ul><li>x<ul><li>y</ul><li>z</ul><table><tr><td>1<td><p>2<tr><td>3</table>") == "x\ny\nz\n1\n2\n3"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "<b>" * 60_000 + "x</i></b>" * 9, "<p><b>" * 20_000 + "x", "<table><tr><td>" * 9_000 + "x", '<span class="ad">' * 20_000 + "</b>" * 50_000, "<ul><li>" * 9_000 + "x" + "</li></ul>" * 9_000, "a < b " * 90_000])
+def test_html_in_linear_time(page):
+    import time
+
+    began = time.time()
+    html_text.Page(page).text({1})
+    assert time.time() - began < 3
 
 
 def test_rules_separate():
