@@ -3,10 +3,15 @@
 An event log (conv_id, seq, turn, kind, role, text) is partitioned by conversation and sorted; a streaming fold turns
 it into final messages and renders them one by one, so that a conversation of any length passes through bounded memory.
 
+Replayed by sequence, a log needs the whole conversation at hand. It is sorted by turn and then by sequence instead: events of
+different turns touch each other only where a regeneration voids what later turns had before it, and the latest regeneration
+of earlier turns is known when a turn is read. Both give the same messages (a test replays random logs by sequence).
+A conversation is one sequential digest and so one task's work, whatever its length.
+
 Kinds: ``message`` starts a message at its turn (two of them at one turn are two messages, in order of seq, role, text);
 ``delta`` appends to the turn's last message; ``edit`` replaces its text; ``regenerate`` empties it and voids all earlier
 events of later turns. A delta, edit or regeneration without a message starts one. Null text is empty, null role is
-empty, null kind is ``message``; null conversation ids form a conversation, null turns and sequences sort first.
+empty, null kind is ``message``; events of other kinds (typing, read, votes) change nothing; null conversation ids form a conversation, null turns and sequences sort first.
 Repeated ``message`` rows are repeated messages. Empty logs give no rows.
 """
 
@@ -26,6 +31,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: Rendered messages: offsets are code points within the conversation's formatted text; loss offsets are null but for assistants.
 MESSAGES = "conv_id bigint, message long, rendered string, start long, loss_start long, loss_end long"
 
+KINDS = frozenset(["message", "delta", "edit", "regenerate"])
+
 _OPEN = re.compile(r"<(\\*)\|")
 _SHUT = re.compile(r"<(\\*)\\\|")
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + r"\n", re.S)
@@ -67,7 +74,7 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple[object, str, str]]:
                 yield conv, role, "".join(parts)
             turn, parts = t, None
             void = latest if void is None or (latest is not None and latest > void) else void
-        if void is not None and (seq is None or seq < void):
+        if (void is not None and (seq is None or seq < void)) or (kind or "message") not in KINDS:
             continue
         kind, who, text = kind or "message", who or "", text or ""
         if kind == "message":
@@ -79,13 +86,10 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple[object, str, str]]:
             role, parts = who, []
         if kind == "delta":
             parts.append(text)
-        elif kind == "edit":
-            parts = [text]
-        elif kind == "regenerate":
+        else:
             parts = [text]
+        if kind == "regenerate":
             latest = seq if latest is None or (seq is not None and seq > latest) else latest
-        else:
-            raise ValueError(f"unknown kind of event: {kind}")
     if parts is not None:
         yield conv, role, "".join(parts)
 
