@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_token_counts": token_counts.op10_token_counts,
+    "token_counts_warm": token_counts.token_counts_warm,
 }
 SQL = {"op8_quality_rules": quality_rules.OP8_SQL}
