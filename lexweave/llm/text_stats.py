@@ -45,8 +45,8 @@ def _paired(col: str, step: int) -> Column:
     return F.zip_with(F.slice(col, F.lit(1), many), F.slice(col, F.lit(step + 1), many), lambda a, b: F.xxhash64(a, b))
 
 
-def _repeat_words(hashes: Column, order: Column) -> Column:
-    """Words that lie in an 8-word window found twice or more; ``order``: window hashes with their starts, sorted."""
+def _repeat_starts(order: Column) -> Column:
+    """Starts of the 8-word windows found twice or more; ``order``: window hashes with their starts, sorted."""
     twice = F.filter(
         order,
         lambda x, i: (x["h"] == F.get(order, i - 1)["h"]) | (x["h"] == F.get(order, i + 1)["h"]),
@@ -85,7 +85,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             F.sort_array(F.transform("_ts_windows", lambda h, i: F.struct(h.alias("h"), i.alias("at")))),
         ),
     )
-    starts = repeated.withColumn("_ts_starts", F.when(F.col("_ts_twice"), _repeat_words(F.col("_ts_windows"), F.col("_ts_order"))))
+    starts = repeated.withColumn("_ts_starts", F.when(F.col("_ts_twice"), _repeat_starts(F.col("_ts_order"))))
     many = F.size("_ts_starts")
     covered = F.when(
         F.col("_ts_twice"),

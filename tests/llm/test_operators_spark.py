@@ -292,13 +292,103 @@ def test_empty_tables(spark, tmp_path):
     assert decontaminate.contaminated(none, spark.createDataFrame([], "item_id bigint, text string"), Scratch(spark, "t")).count() == 0
 
 
-def test_pipeline(spark, data):
+def test_compiled_score_is_the_model(spark, data):
+    """The native expression gives the ensemble's own prediction, also for empty and long texts; repeated rows change no fit."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{data}/labels.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 200_000), (-4, "the cat " * 30_000), (-4, "the cat " * 30_000), (None, "a b")], DOC)
+    model = quality_classifier.fit(docs, labels)
+    assert model.rules and quality_classifier.fit(docs.unionByName(docs), labels.unionByName(labels)) == model
+    every = docs.unionByName(odd)
+    stats = quality_classifier.with_statistics(every).select("doc_id", *[v.alias(k) for k, v in quality_classifier.features().items()])
+    rows_ = stats.collect()
+    scores = model.predict(__import__("numpy").array([tuple(r)[1:] for r in rows_], float))
+    want = sorted((r[0] is None, r[0] or 0, round(float(p), 9)) for r, p in zip(rows_, scores, strict=True))
+    got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 9)) for r in quality_classifier.with_scores(every, model).collect())
+    assert got == want
+    none = quality_classifier.fit(docs.limit(0), labels)
+    assert [r.score for r in quality_classifier.with_scores(odd, none).collect()] == [0.5] * 6 and quality_classifier.with_scores(docs.limit(0), model).count() == 0
+
+
+def test_decontamination_against_all_pairs(spark):
+    """Every window of every document against every item, in plain Python, as the module states it; odd rows and clashing columns besides."""
+    import numpy as np
+
+    r = random.Random(14)
+    items = [(k, sentence(r.choice([8, 15, 30, 60]), r)) for k in range(10)]
+    data = []
+    for k in range(40):
+        words = sentence(r.randint(0, 200), r).split()
+        if k % 2:
+            own = [w if r.random() > r.choice([0, 0.1, 0.4]) else r.choice(WORDS) for w in items[k % 10][1].split()]
+            at = r.randint(0, len(words))
+            words[at:at] = own
+        data.append((k, " ".join(words)))
+    data += [(3, data[3][1]), (None, items[0][1]), (900, None), (901, ""), (902, "w " * 60_000 + items[1][1])]
+    df = spark.createDataFrame(data, DOC).withColumn("item_id", F.lit(1)).withColumn("cosine", F.lit("clash"))
+    got = Counter((x.doc_id, x.item_id) for x in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id bigint, text string"), Scratch(spark, "t")).collect())
+    step, share, most = decontaminate.STEP, decontaminate.COMMON, decontaminate.ANSWER
+    column = __import__("pyarrow").array([t for _, t in data], "string")
+    idf = decontaminate.idf_of(*decontaminate.passage_counts(df))
+    want = Counter()
+    for row, (i, _) in enumerate(data):
+        h, _ = decontaminate.terms_of(column.slice(row, 1))
+        for item, text in items:
+            asked, _ = decontaminate.terms_of(__import__("pyarrow").array([text]))
+            distinct = np.unique(asked)
+            rare = distinct[np.argsort(-idf[decontaminate.slot(distinct)], kind="stable")[: decontaminate.RARE]]
+            size = step * (-(-len(asked) // step) + 1)
+            ends = [at for at in range(0, len(h), step) if at == 0 or at + size - step < len(h)]
+            if any(np.isin(rare, w := h[at : at + size]).sum() >= most * len(rare) and decontaminate.common_words(asked, w) >= share * len(asked) for at in ends):
+                want[i, item] += 1
+    assert got == want and sum(want.values()) > 15
+
+
+def test_bounded_batches(spark):
+    from lexweave.llm.common import small_batches
+
+    small_batches(spark, 2000, 1 << 20)
+
+    def sizes(batches):
+        for b in batches:
+            yield type(b).from_pydict({"n": [b.num_rows]})
+
+    rows_ = spark.range(64).select(F.repeat(F.lit("x"), 200_000).alias("text")).coalesce(1).mapInArrow(sizes, "n bigint").collect()
+    small_batches(spark)
+    assert sum(r.n for r in rows_) == 64 and max(r.n for r in rows_) <= 8
+
+
+ODD = [(None, "no id " * 30), (9001, None), (9002, ""), (9003, " \n\t "), (9004, "word"), (9005, "the long text has some words in it " * 6000)]
+
+
+def test_pipeline(spark, data, tmp_path):
+    """``run`` over the documents with nulls, empty and long texts and repeated rows added, and over an empty table."""
+    import public_tokenizers as P
+    import tiktoken
+
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = spark.createDataFrame(ODD, DOC).withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text")})
+    whole = docs.unionByName(odd.select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])).unionByName(docs.limit(3))
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    whole.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, data)
-        assert out.columns == docs.columns, name
-        docs = Scratch(spark, "t").save(out, name)
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, data)
-    assert sorted(r.doc_id for r in last.collect()) == sorted(r.doc_id for r in docs.collect()) and last.count() > 50
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == now.columns, name
+        now = Scratch(spark, "t").save(out, name)
+        kept.append(now.count())
+    assert whole.count() >= kept[0] >= kept[1] >= kept[2] >= kept[3] > 50
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(bpe.RANKS)), special_tokens={})
+    want = Counter((r.doc_id, len(library.encode_ordinary(r.text or "")), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in now.collect())
+    assert Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+    # Each stage is what its operator says of its own input: no line, near copy or benchmark text is left among what stays.
+    texts = {(r.doc_id, r.text or "") for r in now.where("doc_id IS NOT NULL").collect()}  # rows that share a doc_id are one document
+    lines = Counter(v.strip() for _, text in texts for v in text.split("\n") if v.strip())
+    assert max(lines.values()) == 1
+    assert not set(now.select("doc_id").join(decontaminate.contaminated(now, spark.read.parquet(f"{data}/benchmark.parquet"), Scratch(spark, "t")), "doc_id").collect())
+    whole.where("false").withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "none/documents.parquet"))
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -206,6 +206,29 @@ def test_chat_fold():
     assert list(chat_format.fold(iter([]))) == []
 
 
+def test_chat_fold_is_a_replay():
+    """Random logs replayed event by event in order of sequence, with the whole conversation at hand."""
+    r = random.Random(12)
+    for _ in range(400):
+        log = [(1, r.randint(0, 3), seq, r.choice(["message", "message", "delta", "delta", "edit", "regenerate", "typing", None]), r.choice(["user", "assistant"]), r.choice("abcd")) for seq in range(r.randint(0, 14))]
+        turns = {}
+        for _, turn, _, kind, role, text in log:
+            own = turns.setdefault(turn, [])
+            if kind == "typing":
+                continue
+            if (kind or "message") == "message":
+                own.append([role, text])
+                continue
+            if not own:
+                own.append([role, ""])
+            own[-1][1] = own[-1][1] + text if kind == "delta" else text
+            if kind == "regenerate":
+                for later in [t for t in turns if t > turn]:
+                    del turns[later]
+        want = [(1, role, text) for turn in sorted(turns) for role, text in turns[turn]]
+        assert list(chat_format.fold(iter(sorted(log, key=lambda e: (e[1], e[2]))))) == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body><nav><ul><li><a href=x>menu</a></li></ul></nav>
 <header><h1>Site</h1></header><!-- c <p>no</p> --><div class="ad">buy</div><aside>side</aside><div id="cookie-notice">cookies</div><article><header><h1>Title &amp;amp; more</h1><p>by line</p></header>
 <p><b>First.<br><p>Second  one&nbsp;here &lt;ok&gt; &#233;<div class="share">share</div><ul><li>x<li>y</ul><form><p>mail</p></form><table><tr><td>1<td>2</table>loose</article><section class="comments"><p>reader</p></section><footer>f</footer>"""
@@ -252,5 +275,11 @@ def test_rules_separate():
     assert quality_classifier.fit_rules(x[:9], np.ones(9)).predict(x[:2]).min() > 0.5
 
 
+def test_statistics_have_names_of_their_own():
+    from lexweave.llm.text_stats import COUNTS
+
+    assert len(COUNTS) == len(set(COUNTS))
+
+
 def test_digest_helper():
     assert token_counts.version_of(P.path(token_counts.TOKENIZER)) == hashlib.sha256(open(P.path(token_counts.TOKENIZER), "rb").read()).hexdigest()
