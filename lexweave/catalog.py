@@ -214,12 +214,6 @@ def g6(spark, sf_dir):
     return ontology.concept_detail(t["concepts"], t["edges"], t["see_also"])
 
 
-@query("g7_graph")
-def g7(spark, sf_dir):
-    t = tables(spark)
-    return ontology.entity_graph(spark, t["edges"], t["see_also"], "lex:the", 2, 50)
-
-
 @query("g2_region_tree", """WITH RECURSIVE edges AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
     up AS (SELECT child AS iri, parent AS node, 1 AS depth FROM edges UNION ALL SELECT u.iri, e.parent, u.depth + 1 FROM up u JOIN edges e ON e.child = u.node)
     SELECT node, count(*) AS n_below, max(depth) AS deepest FROM up GROUP BY node""")
@@ -273,13 +267,6 @@ def m5(spark, sf_dir):
     return hit.groupBy("doc_id", "iri").agg(F.count("*").alias("n"), F.max(match.confidence(F.col("label_type"), F.col("label_key"))).alias("confidence"))
 
 
-@query("m11_same_concept_spans")
-def m11(spark, sf_dir):
-    rows = labels(spark)
-    hit = match.match(read(spark, sf_dir, "documents"), rows).join(ontology.label_all(rows), "label_key")
-    return match.same_iri_spans(hit.select("doc_id", "iri", "start", "end", match.confidence(F.col("label_type"), F.col("label_key")).alias("confidence")))
-
-
 @query("m12_properties", onto("properties_in") + f", {PROPS}, rows AS (SELECT label_key FROM props WHERE length(label_key) > 2), {TOKENS} SELECT doc_id, label_key, count(*) AS n FROM hits GROUP BY doc_id, label_key")
 def m12(spark, sf_dir):
     rows = ontology.property_labels(tables(spark)["properties_in"]).where(F.length("label_key") > 2)
@@ -424,18 +411,6 @@ def q4(spark, sf_dir):
     return q.select("query", F.posexplode(search.search_terms(F.col("query"), {"actor": ["service"]})).alias("k", "term"))
 
 
-@query("q8_search")
-def q8(spark, sf_dir):
-    t = tables(spark)
-    return search.search(spark.createDataFrame(ASKED, "query string"), t["concepts"], t["labels_in"])
-
-
-@query("q9_resolve")
-def q9(spark, sf_dir):
-    mentions = spark.createDataFrame([(q[0], 0.5 + k / 20) for k, q in enumerate(ASKED)], "text string, confidence double")
-    return search.resolve(mentions, q8(spark, sf_dir))
-
-
 # --- vectors ------------------------------------------------------------------------------------------
 
 
@@ -655,12 +630,6 @@ def e12(spark, sf_dir):
     return annotate.names(spark.createDataFrame(CITED, "doc_id bigint, text string").where("doc_id = 2")).select("doc_id", "mention", "label")
 
 
-@query("m7_semantic_candidates")
-def m7(spark, sf_dir):
-    d = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return annotate.semantic_candidates(d, match.match(d, labels(spark)))
-
-
 @query("m10_attach")
 def m10(spark, sf_dir):
     a, c = annotated(spark, sf_dir)
@@ -678,3 +647,6 @@ def a9(spark, sf_dir):
 def a10(spark, sf_dir):
     d = with_planted(spark, sf_dir).unionByName(spark.createDataFrame([(-9, "Filed on 2024-01-02 in court on 2024-03-04")], "doc_id bigint, text string"))
     return annotate.promotions(d, entities.extract(d, entities.ENTITIES[1]))
+
+
+from lexweave import catalog_stages  # noqa: E402, F401  registers its queries

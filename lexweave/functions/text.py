@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: White space but for the line feed, as a regular-expression class body that Java and RE2 share (fixed values).
+#: White space but for the line feed, as a regular-expression class body that Java and RE2 share.
 WS = r"\t\x0B\x0C\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 STRIP = rf"^[{WS}\n]+|[{WS}\n]+$"
 
@@ -32,9 +32,12 @@ def sentences_of(c: Column) -> Column:
 
 
 def sentence_index(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, sent_idx, start, end, sentence) with code-point offsets into ``text``; one window per document."""
+    """(doc_id, sent_idx, start, end, sentence) with code-point offsets into ``text``; one window per document.
+
+    Texts are dealt by document before they are cut, so that the windows find their rows in place and only whole texts are shuffled.
+    """
     marked = F.regexp_replace(F.col(text), r"(?<=[.!?])(\s+)(?=[A-Z])", "$1\u0001")
-    pieces = docs.select("doc_id", F.posexplode(F.split(marked, "\u0001")).alias("i", "piece"))
+    pieces = docs.repartition("doc_id").select("doc_id", F.posexplode(F.split(marked, "\u0001")).alias("i", "piece"))
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.select("doc_id", "i", "piece", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int").alias("start"))
     whole = placed.where(F.length(strip(F.col("piece"))) > 0).withColumn("sentence", F.regexp_replace("piece", r"\s+$", ""))
@@ -115,10 +118,22 @@ def strip_markdown(c: Column) -> Column:
 
 
 def repair_pdf_text(c: Column) -> Column:
-    """Join words hyphenated at line ends, join soft-wrapped lines, drop lines that hold a page number only."""
-    c = F.regexp_replace(c, r"(\w)-\n(\w)", "$1$2")
-    c = F.regexp_replace(c, r"(?m)^[ \t]*\d+[ \t]*$", "")
-    return F.regexp_replace(c, r"([^\n.!?:])\n(?=[a-z])", "$1 ")
+    """Join words hyphenated at line ends, then soft-wrapped lines, then drop lines between others that hold a page number only."""
+    c = F.regexp_replace(c, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
+    c = F.regexp_replace(c, r"(?<![.!?:;\n])\n(?=[a-z])", " ")
+    return F.regexp_replace(c, r"\n\s*\d+\s*\n", "\n")
+
+
+def normalize_and_chunk(docs: DataFrame, size: int = 3000, overlap: int = 200) -> DataFrame:
+    """Chunks of the normalised texts."""
+    return chunks(docs.select("doc_id", normalize_whitespace(F.col("text")).alias("text")), size, overlap)
+
+
+def text_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, n_sentences, n_chunks) of normalised texts."""
+    d = docs.select("doc_id", normalize_whitespace(F.col("text")).alias("text"))
+    n = chunks(d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return d.select("doc_id", F.length("text").alias("n_chars"), F.size(sentences_of(F.col("text"))).alias("n_sentences")).join(n, "doc_id", "left")
 
 
 #: File extensions by format.

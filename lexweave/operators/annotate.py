@@ -47,15 +47,37 @@ def semantic_candidates(docs: DataFrame, known: DataFrame, low: int = 2, high: i
     from lexweave.operators.match import tokens
 
     order = Window.partitionBy("doc_id").orderBy("i")
-    out = None
-    for n in range(low, high + 1):
-        t = tokens(docs).withColumns({"last": F.lead("start", n - 1).over(order), "tail": F.lead("token", n - 1).over(order)})
-        words = F.concat_ws(" ", "token", *[F.lead("token", k).over(order) for k in range(1, n)])
-        one = t.withColumn("gram", words).where("last IS NOT NULL").select("doc_id", "start", (F.col("last") + F.length("tail")).cast("int").alias("end"), "gram")
-        out = one if out is None else out.unionByName(one)
-    k = known.select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = (out["doc_id"] == k["doc_id"]) & (((F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e"))) | ((F.col("end") > F.col("_s")) & (F.col("end") <= F.col("_e"))))
-    return out.join(k, inside, "left_anti")
+    ahead = [F.struct(F.lead("start", k).over(order).alias("start"), F.lead("token", k).over(order).alias("token")) for k in range(1, high)]
+    t = tokens(docs).select("doc_id", "start", "token", F.array(*ahead).alias("next"))
+    runs = [
+        F.struct((F.col("next")[n - 2]["start"] + F.length(F.col("next")[n - 2]["token"])).cast("int").alias("end"), F.concat_ws(" ", "token", *[F.col("next")[k]["token"] for k in range(n - 1)]).alias("gram"))
+        for n in range(low, high + 1)
+    ]
+    out = t.select("doc_id", "start", F.explode(F.array(*runs)).alias("r")).select("doc_id", "start", "r.end", "r.gram").where("end IS NOT NULL")
+    inside = known.where("start < end").select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct()  # labels are short
+    out = out.join(inside.withColumnRenamed("at", "start"), ["doc_id", "start"], "left_anti").withColumn("at", F.col("end") - 1)
+    return out.join(inside, ["doc_id", "at"], "left_anti").select("doc_id", "start", "end", "gram")
+
+
+def semantic_matches(candidates: DataFrame, labels: DataFrame, least: float = 0.80, stop: tuple[str, ...] = ()) -> DataFrame:
+    """Candidate runs (doc_id, start, end, gram) with the most similar label (label_key, iri) of at least ``least``, by hashed trigram vectors.
+
+    Runs of stop words alone are skipped. Distinct runs are compared once; the labels are carried to executors in blocks.
+    """
+    from lexweave.operators import vectors
+
+    some = candidates.where(F.size(F.filter(F.split("gram", " "), lambda w: ~w.isin(*stop))) > 0) if stop else candidates
+    best = vectors.nearest(some.select(F.col("gram").alias("key")).distinct(), labels.select(F.col("label_key").alias("label")).distinct(), least)
+    return some.join(best.withColumnRenamed("key", "gram"), "gram").join(labels.withColumnRenamed("label_key", "label"), "label").select("doc_id", "start", "end", "gram", "label", "iri", "similarity")
+
+
+def fill_class_iris(links: DataFrame, winners: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Class links (..., label, iri, branch) without a concept get the one that has their label, and its branch if they have none."""
+    known = winners.select("label_key", F.col("iri").alias("_iri")).join(concepts.select(F.col("iri").alias("_iri"), F.col("branch").alias("_branch")), "_iri", "left")
+    missing = F.coalesce(F.col("iri"), F.lit("")) == ""
+    out = links.withColumn("label_key", F.lower("label")).join(known, "label_key", "left")
+    filled = missing & F.col("_iri").isNotNull()
+    return out.withColumns({"iri": F.when(filled, F.col("_iri")).otherwise(F.col("iri")), "branch": F.when(filled & (F.coalesce(F.col("branch"), F.lit("")) == ""), F.col("_branch")).otherwise(F.col("branch"))}).drop("label_key", "_iri", "_branch")
 
 
 def attach(matches: DataFrame, existing: DataFrame) -> DataFrame:

@@ -65,3 +65,46 @@ def llm_prices(models: DataFrame) -> DataFrame:
     priced = models.select("model_id", F.round(F.col("input_price") * 800 + F.col("output_price") * 200, 10).alias("price"))
     bare = priced.where(F.col("model_id").contains("/")).select(F.regexp_replace("model_id", "^[^/]*/", "").alias("model_id"), "price").groupBy("model_id").agg(F.min("price").alias("price"))
     return priced.unionByName(bare.join(priced.select("model_id"), "model_id", "left_anti"))
+
+
+def lineage(before: DataFrame, after: DataFrame, action: str) -> DataFrame:
+    """(ann_id, iri, action, detail) for each concept of an annotation (ann_id, rank, iri, state) that a change has moved or re-stated."""
+    old = before.select("ann_id", "iri", F.col("rank").alias("r0"), F.col("state").alias("s0")).distinct()
+    new = after.select("ann_id", "iri", F.col("rank").alias("r1"), F.col("state").alias("s1")).distinct()
+    kept = old.join(new, (old["ann_id"] == new["ann_id"]) & (old["iri"] == new["iri"]) & (old["r0"] == new["r1"]) & (old["s0"] == new["s1"]), "left_semi").select("ann_id", "iri", F.col("r0").alias("r1"), F.col("s0").alias("s1"))
+    moved = new.join(kept, ["ann_id", "iri", "r1", "s1"], "left_anti")
+    return moved.select("ann_id", "iri", F.lit(action).alias("action"), F.concat(F.lit("rank "), "r1", F.lit(", "), "s1").alias("detail"))
+
+
+def lineage_of(events: DataFrame, ann_id: str) -> DataFrame:
+    """Events (ann_id, seq, ...) of one annotation in order."""
+    return events.where(F.col("ann_id") == ann_id).orderBy("seq")
+
+
+def feedback_lines(feedback: DataFrame) -> DataFrame:
+    """(id, value): a JSON line for each entry; null fields are left out."""
+    return feedback.select("id", F.to_json(F.struct("id", "job_id", "rating", "stage", "iri", "label", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))).alias("value"))
+
+
+def area_summary(concepts: DataFrame, most: int = 30) -> DataFrame:
+    """(doc_id, summary) of (doc_id, ord, label, branch, definition): ``label [branch]`` by count, first seen on ties, up to ``most``, each with
+    the first 60 characters of its first definition and its count if it has several."""
+    key = F.concat("label", F.lit(" ["), F.coalesce("branch", F.lit("")), F.lit("]"))
+    given = F.when(F.length("definition") > 0, F.struct("ord", "definition"))
+    c = concepts.withColumn("key", key).groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.min(given)["definition"].alias("d"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "ord", "key")
+    top = c.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    short = F.concat(F.regexp_replace(F.substring("d", 1, 60), r"\s+$", ""), F.when(F.length("d") > 60, "...").otherwise(""))
+    shown = F.concat("key", F.coalesce(F.concat(F.lit(" \u2014 "), short), F.lit("")), F.when(F.col("n") > 1, F.concat(F.lit(" (x"), "n", F.lit(")"))).otherwise(""))
+    return top.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", shown.alias("s")))), lambda x: x["s"]), ", ").alias("summary"))
+
+
+def areas(found: DataFrame, least: float = 0.5) -> DataFrame:
+    """(doc_id, area, confidence, rank) of the areas that are sure enough, the surest first."""
+    w = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "area")
+    return found.where(F.col("confidence") >= least).withColumn("rank", F.row_number().over(w))
+
+
+def document_fields(elements: DataFrame) -> DataFrame:
+    """(doc_id, page_count) of elements (doc_id, page): one more than the last page, as pages are counted there."""
+    return elements.where("page IS NOT NULL").groupBy("doc_id").agg((F.max("page") + 1).cast("int").alias("page_count"))

@@ -80,7 +80,7 @@ def match_automaton(docs: DataFrame, labels: list[str]) -> DataFrame:
 def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, i, start, token, gap, ahead): word tokens of the lower-cased text with what follows and precedes each; sentinels mark the tokens."""
     marked = F.regexp_replace(F.lower(F.col(text)), r"([\p{L}\p{N}_]+)", "\u0001$1\u0002")
-    pieces = docs.select("doc_id", F.posexplode(F.split(marked, "\u0001")).alias("i", "piece"))
+    pieces = docs.repartition("doc_id").select("doc_id", F.posexplode(F.split(marked, "\u0001")).alias("i", "piece"))  # whole texts are shuffled, not tokens
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("piece") - F.when(F.col("i") > 0, 1).otherwise(0)
     ahead = F.lag(F.substring_index("piece", "\u0002", -1)).over(Window.partitionBy("doc_id").orderBy("i"))
@@ -180,8 +180,34 @@ def resolve_overlaps(matches: DataFrame) -> DataFrame:
     return single.select("doc_id", F.col("spans")[0]["start"].alias("start"), F.col("spans")[0]["end"].alias("end"), F.col("spans")[0]["label_key"].alias("label_key")).unionByName(kept)
 
 
+def longest_first(spans: DataFrame, keys: list[str], order: list[Column], carry: list[str]) -> DataFrame:
+    """(keys, start, end, carry, n_absorbed): by ``order``, then start, end and carry, a span stays if it overlaps none that stays already.
+
+    One that does not is absorbed by the first that it overlaps. Spans are folded island by island, natively.
+    """
+    own = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], "start", "end", *carry)
+    rows = islands(spans, keys).groupBy(*keys, "island").agg(F.sort_array(F.collect_list(own)).alias("rows"))
+    names = ["start", "end", *carry]
+    kind = "array<struct<" + ", ".join(f"`{n}`: {spans.schema[n].dataType.simpleString()}" for n in names) + ", n_absorbed: int>>"
+
+    def step(kept: Column, x: Column) -> Column:
+        met = F.array_position(F.transform(kept, lambda k: (x["start"] < k["end"]) & (k["start"] < x["end"])), True)
+        more = F.concat(kept, F.array(F.struct(*[x[n].alias(n) for n in names], F.lit(0).alias("n_absorbed"))))
+        absorbed = F.transform(kept, lambda k, i: F.struct(*[k[n].alias(n) for n in names], (k["n_absorbed"] + (i == met - 1).cast("int")).alias("n_absorbed")))
+        return F.when(met == 0, more).otherwise(absorbed).cast(kind)
+
+    kept = rows.select(*keys, F.explode(F.aggregate("rows", F.array().cast(kind), step)).alias("s"))
+    return kept.select(*keys, *[f"s.{n}" for n in names], "s.n_absorbed")
+
+
 def same_iri_spans(spans: DataFrame) -> DataFrame:
-    """Of overlapping spans of one concept (doc_id, iri, start, end, confidence) the longest, then surest, then first stays."""
-    isles = islands(spans, ["doc_id", "iri"])
-    rank = F.struct((F.col("start") - F.col("end")).alias("a"), (-F.col("confidence")).alias("b"), F.col("start").alias("c"))
-    return isles.groupBy("doc_id", "iri", "island").agg(F.min_by(F.struct("start", "end", "confidence"), rank).alias("s"), F.count("*").alias("n_absorbed")).select("doc_id", "iri", "s.start", "s.end", "s.confidence", "n_absorbed")
+    """Of overlapping spans of one concept (doc_id, iri, start, end, confidence) the longest, then surest, then first stays.
+
+    A span stays beside it if it overlaps none that stays. Rows without a concept, and rejected ones if there is a ``state``, stay as they are.
+    """
+    aside = F.coalesce(F.col("iri"), F.lit("")) == ""
+    if "state" in spans.columns:
+        aside = aside | (F.coalesce(F.col("state"), F.lit("")) == "rejected")
+    names = ["doc_id", "iri", "start", "end", "confidence"]
+    kept = longest_first(spans.where(~aside).select(*names), ["doc_id", "iri"], [F.col("start") - F.col("end"), -F.col("confidence")], ["confidence"])
+    return kept.unionByName(spans.where(aside).select(*names, F.lit(0).alias("n_absorbed")))

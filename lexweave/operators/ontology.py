@@ -91,30 +91,60 @@ def concept_detail(concepts: DataFrame, edges: DataFrame, see_also: DataFrame) -
     return out.na.fill("", ["children", "parents", "siblings", "related"])
 
 
-def entity_graph(spark: SparkSession, edges: DataFrame, see_also: DataFrame, root: str, depth: int = 2, max_nodes: int = 200) -> DataFrame:
-    """(iri, depth, truncated) around a concept: ancestors (negative), descendants up to ``depth``, related; first discovery, capped in order."""
-    both = see_also.select("src", "dst").unionByName(see_also.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    found = spark.createDataFrame([(root, 0, 0)], "iri string, depth int, phase int")
-
-    def grow(start: DataFrame, step: DataFrame, sign: int, rounds: int, phase: int) -> DataFrame:
-        seen, edge = start, start
-        for k in range(rounds):
-            nxt = edge.join(step, F.col("iri") == F.col("src")).select(F.col("dst").alias("iri"), (F.col("depth") + sign).alias("depth"), F.lit(phase).alias("phase"))
-            nxt = nxt.groupBy("iri").agg(F.max("depth").alias("depth") if sign < 0 else F.min("depth").alias("depth"), F.min("phase").alias("phase")).join(seen.select("iri"), "iri", "left_anti")
-            if k % 8 == 7:
-                nxt = nxt.checkpoint()
-            if nxt.isEmpty():
+def by_label(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, iri) of the concepts that have the query as a label, whatever its case; ``rows`` as of ``label_rows``."""
+    asked = queries.select("query", F.lower(F.trim("query")).alias("label_key")).distinct()
+    return asked.join(rows.select("label_key", "iri").distinct(), "label_key").select("query", "iri").distinct()
+
+
+def by_prefix(queries: DataFrame, rows: DataFrame, longest: int = 64) -> DataFrame:
+    """(query, label_key, iri) of the labels that begin with the query (of up to ``longest`` characters), by an equi-join on prefixes."""
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("label_key"), F.lit(longest))), lambda n: F.substring("label_key", F.lit(1), n))
+    known = rows.where("label_key <> ''").select("label_key", "iri").distinct().select("label_key", "iri", F.explode(starts).alias("start"))
+    asked = queries.select("query", F.lower(F.trim("query")).alias("start")).distinct()
+    return asked.join(known, "start").select("query", "label_key", "iri")
+
+
+def batch_detail(detail: DataFrame, iris: DataFrame, most: int = 100) -> DataFrame:
+    """Rows of ``detail`` for up to ``most`` distinct concepts (iri), the first by name; unknown ones are left out."""
+    return detail.join(iris.select("iri").distinct().orderBy("iri").limit(most), "iri", "left_semi")
+
+
+def entity_graph(spark: SparkSession, edges: DataFrame, see_also: DataFrame, root: str, ancestors: int = 50, depth: int = 2, max_nodes: int = 200, related: int = 5) -> DataFrame:
+    """(iri, depth, phase, truncated) around a concept, breadth first: ancestors up to the root (negative depth), descendants up to
+    ``depth``, up to ``related`` related concepts of each node found (depth 0), and their ancestors.
+
+    A node keeps the depth of its first discovery. No more than ``max_nodes`` are kept; ``truncated`` says that there were more.
+    Levels are joined and cut in Spark; the driver holds the nodes kept, at most ``max_nodes``.
+    """
+    found: dict[str, tuple[int, str]] = {root: (0, "focus")}
+    truncated = False
+    up = edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"), "ord")
+    down = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(0).alias("ord"))
+    first = Window.partitionBy("src").orderBy("ord", "dst")
+    beside = see_also.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= related).select("src", "dst", "ord")
+
+    def level(at: list[str], step: DataFrame) -> list[str]:
+        """New neighbours, in order of the node that finds them, of the edge and of the name."""
+        nonlocal truncated
+        where = spark.createDataFrame(list(enumerate(at)), "pos int, src string")
+        new = where.join(step, "src").where(~F.col("dst").isin(*found)).groupBy("dst").agg(F.min(F.struct("pos", "ord")).alias("o")).orderBy("o", "dst")
+        got = [r.dst for r in new.limit(max_nodes - len(found) + 1).collect()]
+        truncated = truncated or len(got) > max_nodes - len(found)
+        return got[: max_nodes - len(found)]
+
+    def walk(start: list[str], step: DataFrame, levels: int, sign: int, phase: str) -> None:
+        at = start
+        for k in range(1, levels + 1):
+            at = level(at, step)
+            if not at:
                 break
-            seen, edge = seen.unionByName(nxt.select("iri", "depth", "phase")), nxt
-        return seen
-
-    up = edges.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    down = edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
-    found = found.unionByName(grow(found, up, -1, max(depth, 50), 1).where("depth < 0"))
-    start = found.where("phase = 0")
-    found = found.unionByName(grow(start, down, 1, depth, 2).where("depth > 0"))
-    near = start.join(both, F.col("iri") == F.col("src")).select(F.col("dst").alias("iri"), F.lit(1).alias("depth"), F.lit(3).alias("phase")).orderBy("iri").limit(5)
-    all_nodes = found.unionByName(near).groupBy("iri").agg(F.min(F.struct("phase", F.abs("depth").alias("far"), "depth")).alias("m"))
-    order = Window.orderBy("phase", "far", "iri")
-    ranked = all_nodes.select("iri", "m.phase", "m.far", "m.depth").withColumn("k", F.row_number().over(order))  # a neighbourhood, not the ontology
-    return ranked.where(F.col("k") <= max_nodes).select("iri", "depth", "phase")
+            found.update({iri: (sign * k, phase) for iri in at})
+
+    walk([root], up, max(ancestors, 50), -1, "ancestor")
+    walk([root], down, depth, 1, "descendant")
+    near = level(list(found), beside)
+    found.update({iri: (0, "related") for iri in near})
+    if near:
+        walk(near, up, 50, -1, "related_ancestor")
+    return spark.createDataFrame([(iri, d, phase, truncated) for iri, (d, phase) in found.items()], "iri string, depth int, phase string, truncated boolean")

@@ -63,11 +63,51 @@ def pos_penalty(confidence: Column, text: Column, match_type: Column, majority:
     return out, hit & (out < REJECT_BELOW)
 
 
-def definition_overlap(a: Column, b: Column, stop: list[str]) -> Column:
-    """Shared words over the larger word count of two texts, stop words left out."""
-    words = lambda c: F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+)"), 1)), F.array(*[F.lit(s) for s in stop]))
+#: Words that do not count when definitions are compared, and the similarity from which it decides alone.
+COMMON = "the a an of to in for and or is on at by with".split()
+SURE = 0.85
+
+
+def definition_overlap(a: Column, b: Column, stop: list[str] = COMMON) -> Column:
+    """Shared words, cut at white space, over the larger word count of two texts, stop words left out; none if one has none."""
+    words = lambda c: F.filter(F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")), lambda w: (w != "") & ~w.isin(*stop))
     x, y = words(a), words(b)
-    return F.when(F.greatest(F.size(x), F.size(y)) > 0, F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(0.0)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(0.0)
+
+
+def resolve_conflicts(pairs: DataFrame, similarity) -> DataFrame:
+    """(doc_id, text, iri, confidence, category) of pairs (doc_id, text, r_iri, r_label, r_definition, r_confidence, m_iri, ...) of one text and two concepts.
+
+    The more similar label wins if one is over SURE, the dictionary's on a tie, and lifts the confidence; else the definition
+    that shares more words with the text; else both stay. ``similarity``: a function of two columns.
+    """
+    p = pairs.withColumns({"rs": similarity(F.col("text"), F.coalesce("r_label", "text")), "ms": similarity(F.col("text"), F.coalesce("m_label", "text"))})
+    p = p.withColumns({"ro": definition_overlap(F.col("text"), F.col("r_definition")), "mo": definition_overlap(F.col("text"), F.col("m_definition"))})
+    sure = F.greatest("rs", "ms") > SURE
+    own = lambda k, c: F.struct(F.col(f"{k}_iri").alias("iri"), c.cast("double").alias("confidence"))
+    by_label = F.when(F.col("rs") >= F.col("ms"), F.array(own("r", F.greatest("r_confidence", "rs")))).otherwise(F.array(own("m", F.greatest("m_confidence", "ms"))))
+    r, m = own("r", F.col("r_confidence")), own("m", F.col("m_confidence"))
+    by_text = F.when(F.col("ro") > F.col("mo"), F.array(r)).when(F.col("mo") > F.col("ro"), F.array(m)).otherwise(F.array(r, m))
+    kept = p.select("doc_id", "text", F.explode(F.when(sure, by_label).otherwise(by_text)).alias("w"))
+    return kept.select("doc_id", "text", "w.iri", "w.confidence", F.lit("conflict_resolved").alias("category"))
+
+
+def reconcile_with_triage(ruler: DataFrame, llm: DataFrame, concepts: DataFrame, similarity) -> DataFrame:
+    """As ``reconcile``, but rows of one text with two different concepts are a conflict, paired in order and settled by ``resolve_conflicts``."""
+    r, m = last_by_key(ruler), last_by_key(llm)
+    keys = ["doc_id", "text", "iri"]
+    exact = r.select(*keys).join(m.select(*keys), keys)
+    r1, m1 = r.join(exact, keys, "left_anti"), m.join(exact, keys, "left_anti")
+    plain = lambda df: df.select("doc_id", F.col("text").alias("concept_text"), "iri", "confidence", "ord")
+    told = lambda df, k: df.where("iri <> ''").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("ord", "iri")))
+    bare = r1.where("iri = ''").select("doc_id", "text").unionByName(m1.where("iri = ''").select("doc_id", "text")).distinct()
+    a, b = (told(x.join(bare, ["doc_id", "text"], "left_anti"), "k") for x in (r1, m1))
+    met = a.select("doc_id", "text", "k", F.col("iri").alias("r_iri"), F.col("confidence").alias("r_confidence")).join(b.select("doc_id", "text", "k", F.col("iri").alias("m_iri"), F.col("confidence").alias("m_confidence")), ["doc_id", "text", "k"])
+    for side in ("r", "m"):
+        met = met.join(concepts.select(F.col("iri").alias(f"{side}_iri"), F.col("label").alias(f"{side}_label"), F.col("definition").alias(f"{side}_definition")), f"{side}_iri", "left")
+    settled = resolve_conflicts(met, similarity)
+    rest = lambda df, side: plain(df.join(met.select("doc_id", "text", F.col(f"{side}_iri").alias("iri")), keys, "left_anti"))
+    return reconcile(rest(r, "r"), rest(m, "m")).unionByName(settled)
 
 
 def merge_preliminary(old: DataFrame, new: DataFrame) -> DataFrame:

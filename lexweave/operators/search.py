@@ -1,4 +1,4 @@
-"""Ontology search: content words, bidirectional overlap, graduated relevance, resolution once per distinct text."""
+"""Ontology search: content words, bidirectional overlap, graduated relevance, ancestors, resolution once per distinct text."""
 
 from __future__ import annotations
 
@@ -88,26 +88,131 @@ def search_terms(c: Column, expansions: dict[str, list[str]] | None = None) -> C
     return F.array_distinct(F.concat(F.array(F.lower(F.trim(c))), runs, F.transform(single, lambda s: s["w"]), more))
 
 
-def search(queries: DataFrame, concepts: DataFrame, labels: DataFrame, threshold: float = 30.0, top: int = 5) -> DataFrame:
-    """(query, iri, score, rank): best ``top`` concepts of each query from label, prefix and definition candidates.
+def _grams(c: Column, sizes: tuple[int, ...]) -> Column:
+    """All runs of so many characters."""
 
-    Candidates come by an equi-join of content words cut to their first four letters, so the ontology is not scanned per query.
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in sizes]))
+
+
+def candidates(terms: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(term, iri) pairs that can score: all of them, by an equi-join, so that the ontology is not scanned for each term.
+
+    Words have credit only if they are equal or begin with the same three letters (w); a label, preferred label or
+    definition that holds the whole term holds its first three characters (g); a label that the term holds begins with
+    three characters of it (l). ``concepts``: iri, label, pref_label, definition, synonyms.
     """
+    key = lambda kind, c: F.transform(c, lambda v: F.concat(F.lit(kind), v))
+    stem = lambda c: F.transform(content_words(c), lambda w: F.substring(w, 1, 3))
+    none = F.array().cast("array<string>")
+    q, label = F.lower(F.trim("term")), F.lower(F.coalesce("label", F.lit("")))
+    asked = F.concat(key("w", stem(q)), key("g", F.array(F.substring(q, 1, 3))), key("l", _grams(q, (3,))))
+    held = [F.lower(F.coalesce(c, F.lit(""))) for c in ("label", "pref_label", "definition")]
+    words = F.concat_ws(" ", *held, F.array_join(F.coalesce("synonyms", none), " "))
+    known = F.concat(key("w", stem(words)), *[key("g", _grams(c, (1, 2, 3))) for c in held], key("l", F.array(F.substring(label, 1, 3))))
+    left = terms.select("term").distinct().select("term", F.explode(F.array_distinct(asked)).alias("key"))
+    return left.join(concepts.select("iri", F.explode(F.array_distinct(known)).alias("key")), "key").select("term", "iri").distinct()
+
+
+def with_synonyms(concepts: DataFrame, labels: DataFrame) -> DataFrame:
     syn = labels.groupBy("iri").agg(F.sort_array(F.collect_set("label")).alias("synonyms"))
-    known = concepts.where("NOT deprecated").join(syn, "iri", "left")
-    text = F.concat_ws(" ", "label", "pref_label", "definition", F.array_join(F.coalesce("synonyms", F.array().cast("array<string>")), " "))
-    stem = lambda c: F.array_distinct(F.transform(c, lambda w: F.substring(w, 1, 4)))
-    asked = queries.select("query").distinct()
-    left = asked.select("query", F.explode(stem(content_words(F.col("query")))).alias("stem"))
-    right = known.select("iri", F.explode(stem(content_words(text))).alias("stem"))
-    met = left.join(right, "stem").select("query", "iri").distinct().join(known.select("iri", "label", "pref_label", "definition", "synonyms"), "iri")
-    scored = relevance(met).where(F.col("score") >= threshold).select("query", "iri", "score")
+    return concepts.where("NOT deprecated").join(syn, "iri", "left").select("iri", "label", "pref_label", "definition", "synonyms", "branch")
+
+
+def scores(queries: DataFrame, concepts: DataFrame, labels: DataFrame, threshold: float = 30.0, expansions: dict[str, list[str]] | None = None) -> DataFrame:
+    """(query, iri, score) from ``threshold`` on; a query also scores by its expansions (a word of it and what is said of it), and the best counts."""
+    known = with_synonyms(concepts, labels)
+    more = F.array().cast("array<string>")
+    for word, extra in (expansions or {}).items():
+        more = F.when(F.array_contains(content_words(F.col("query")), word), F.concat(more, F.array(*[F.lit(f"{word} {e}") for e in extra]))).otherwise(more)
+    terms = queries.select("query").distinct().select("query", F.explode(F.array_distinct(F.concat(F.array("query"), more))).alias("term"))
+    met = candidates(terms, known).join(known, "iri").withColumnRenamed("term", "query")
+    scored = relevance(met).where(F.col("score") >= threshold).select(F.col("query").alias("term"), "iri", "score")
+    return terms.join(scored, "term").groupBy("query", "iri").agg(F.max("score").alias("score"))
+
+
+def with_ancestors(hits: DataFrame, edges: DataFrame, threshold: float = 30.0, least: float = 50.0, depth: int = 3, keep: float = 0.85) -> DataFrame:
+    """``hits`` (query, iri, score) and the first-parent ancestors of good ones that are no hits themselves, for ``keep`` of the score a level."""
+    first = edges.where("ord = 0").select("child", "parent")
+    chain = first.select(F.col("child").alias("iri"), F.col("parent").alias("up"), F.lit(1).alias("d"))
+    ups = chain
+    for d in range(2, depth + 1):
+        chain = chain.join(first, chain["up"] == first["child"]).select("iri", F.col("parent").alias("up"), F.lit(d).alias("d"))
+        ups = ups.unionByName(chain)
+    ups = ups.groupBy("iri").agg(F.collect_list(F.struct("up", "d")).alias("ups"))  # at most ``depth``
+    shares = F.array(*[F.lit(keep**d) for d in range(1, depth + 1)])
+    kind = "array<struct<iri: string, score: double, own: int>>"
+    above = F.transform("ups", lambda u: F.struct(u["up"].alias("iri"), (F.col("score") * F.element_at(shares, u["d"])).alias("score"), F.lit(0).alias("own")))
+    above = F.when(F.col("score") >= least, F.filter(above, lambda u: u["score"] >= threshold)).cast(kind)
+    rows = F.concat(F.array(F.struct("iri", F.col("score").cast("double").alias("score"), F.lit(1).alias("own"))).cast(kind), F.coalesce(above, F.array().cast(kind)))
+    every = hits.select("query", "iri", "score").join(ups, "iri", "left").select("query", F.explode(rows).alias("r"))
+    best = every.groupBy("query", "r.iri").agg(F.max(F.when(F.col("r.own") == 1, F.col("r.score"))).alias("a"), F.max(F.when(F.col("r.own") == 0, F.col("r.score"))).alias("b"))
+    return best.select("query", "iri", F.coalesce("a", F.round("b", 1)).alias("score"))
+
+
+def search(queries: DataFrame, concepts: DataFrame, labels: DataFrame, edges: DataFrame | None = None, threshold: float = 30.0, top: int = 5, expansions: dict[str, list[str]] | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """(query, iri, score, rank): best ``top`` concepts of each query; concepts of excluded branches are left out."""
+    found = scores(queries, concepts, labels, threshold, expansions)
+    if edges is not None:
+        found = with_ancestors(found, edges, threshold)
+    barred = concepts.where(F.col("deprecated") | F.coalesce(F.col("branch").isin(*excluded), F.lit(False)) if excluded else F.col("deprecated")).select("iri")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "iri")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return found.join(barred, "iri", "left_anti").select("query", "iri", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def ranked_by_branch(asked: DataFrame, hits: DataFrame, concepts: DataFrame, most: int = 5) -> DataFrame:
+    """(text, branch, iri, score, rank) of (text, branch): hits whose branch has the hinted one in its name come first, then by score."""
+    named = hits.select(F.col("query").alias("text"), "iri", "score").join(concepts.select("iri", F.coalesce("branch", F.lit("")).alias("own")), "iri")
+    hint = F.lower(F.coalesce("branch", F.lit("")))
+    away = F.when((hint != "") & ~F.lower("own").contains(hint), 1).otherwise(0)
+    w = Window.partitionBy("text", "branch").orderBy(away, F.desc("score"), "iri")
+    return asked.distinct().join(named, "text").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("text", "branch", "iri", "score", "rank")
 
 
-def resolve(mentions: DataFrame, hits: DataFrame) -> DataFrame:
-    """Mentions (text, confidence) with their best concept; each distinct text is resolved once. Confidence blends .6 score and .4 own."""
-    best = hits.where("rank = 1").select(F.col("query").alias("text"), "iri", "score")
-    out = mentions.join(best, "text", "left")
-    return out.withColumn("blended", F.when((F.col("score") > 0) & (F.col("confidence") > 0), F.round(0.6 * F.col("score") / 100 + 0.4 * F.col("confidence"), 4)).otherwise(F.col("confidence")))
+def resolve(mentions: DataFrame, hits: DataFrame, concepts: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """``mentions`` (ord, text, branch, confidence, iri) with ``resolved`` (iri or null) and ``final`` (its confidence).
+
+    Each (lower text, lower branch) is resolved once, by its first mention: to that mention's own concept if it is known, with its
+    confidence; else to the best hit (of lower text), with .6 of the score and .4 of its confidence. Later mentions get the same.
+    """
+    keyed = mentions.withColumns({"_t": F.lower("text"), "_b": F.lower(F.coalesce("branch", F.lit("")))})
+    first = keyed.groupBy("_t", "_b").agg(F.min_by(F.struct("iri", "confidence"), "ord").alias("m")).select("_t", "_b", "m.iri", "m.confidence")
+    live = concepts.select(F.col("iri").alias("_known"), F.coalesce("branch", F.lit("")).alias("_own"))
+    best = ranked_by_branch(first.select(F.col("_t").alias("text"), F.col("_b").alias("branch")), hits, concepts, 1)
+    best = best.select(F.col("text").alias("_t"), F.col("branch").alias("_b"), F.col("iri").alias("_hit"), (F.col("score") / 100).alias("_score"))
+    out = first.join(live.select(F.col("_known").alias("iri"), F.lit(True).alias("_direct")), "iri", "left").join(best, ["_t", "_b"], "left")
+    chosen = F.when(F.col("_direct"), F.col("iri")).otherwise(F.col("_hit"))
+    blended = F.when(F.col("_direct"), F.col("confidence")).when((F.col("_score") > 0) & (F.col("confidence") > 0), 0.6 * F.col("_score") + 0.4 * F.col("confidence")).otherwise(F.col("_score"))
+    out = out.select("_t", "_b", chosen.alias("resolved"), F.round(blended, 4).alias("final")).join(live, F.col("resolved") == F.col("_known"), "left")
+    barred = F.col("_own").isin(*excluded) if excluded else F.lit(False)
+    out = out.where(F.col("resolved").isNotNull() & ~F.coalesce(barred, F.lit(False))).select("_t", "_b", "resolved", "final")
+    return keyed.join(out, ["_t", "_b"], "left").drop("_t", "_b")
+
+
+def resolution(reconciled: DataFrame, ruler: DataFrame, llm: DataFrame, hits: DataFrame, concepts: DataFrame, excluded: tuple[str, ...] = (), virtual: dict[str, str] | None = None, most: int = 5) -> DataFrame:
+    """(doc_id, text, iri, confidence, branch, source, backups) of three mention tables (doc_id, ord, text, branch, confidence, iri).
+
+    A document's reconciled mentions are taken, or if it has none, the ruler's and those of the model's whose text is new.
+    Branches that stand for others are replaced; up to ``most`` - 1 further hits that are not the concept itself are backups.
+    """
+    own = lambda df, name: df.withColumn("source", F.lit(name))
+    rest = own(ruler, "entity_ruler").join(reconciled.select("doc_id").distinct(), "doc_id", "left_anti")
+    seen = rest.select("doc_id", F.lower("text").alias("_t")).distinct()
+    new = own(llm, "llm").join(reconciled.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("_t", F.lower("text"))
+    new = new.join(seen, ["doc_id", "_t"], "left_anti")
+    new = new.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("ord"))).where("_k = 1").drop("_k", "_t")
+    every = own(reconciled, "reconciled").unionByName(rest).unionByName(new)
+    done = resolve(every.withColumn("ord", F.struct("doc_id", "ord")), hits, concepts, excluded).where("resolved IS NOT NULL")
+    shown = F.coalesce(F.col("_branch"), F.col("branch"))
+    named = done.join(concepts.select(F.col("iri").alias("resolved"), F.col("branch").alias("_branch")), "resolved", "left").withColumn("shown", shown)
+    for name, target in (virtual or {}).items():
+        named = named.withColumn("shown", F.when(F.col("shown") == name, target).otherwise(F.col("shown")))
+    more = ranked_by_branch(done.select(F.lower("text").alias("text"), F.lower(F.coalesce("branch", F.lit(""))).alias("branch")), hits, concepts, most)
+    barred = concepts.where(F.col("branch").isin(*excluded)).select("iri") if excluded else concepts.where("false").select("iri")
+    more = more.join(barred, "iri", "left_anti").groupBy("text", "branch").agg(F.sort_array(F.collect_list(F.struct("rank", "iri"))).alias("others"))
+    key = [F.lower("text").alias("_t"), F.lower(F.coalesce("branch", F.lit(""))).alias("_b")]
+    out = named.select("*", *key).join(more.select(F.col("text").alias("_t"), F.col("branch").alias("_b"), "others"), ["_t", "_b"], "left")
+    backups = F.filter(F.transform(F.coalesce("others", F.array().cast("array<struct<rank: int, iri: string>>")), lambda o: o["iri"]), lambda i: i != F.col("resolved"))
+    return out.select("doc_id", "text", F.col("resolved").alias("iri"), F.col("final").alias("confidence"), F.col("shown").alias("branch"), "source", F.array_join(backups, ",").alias("backups"))

@@ -5,6 +5,9 @@ token_pos: (doc_id, sent_idx, tok_idx, start, end, token, lemma, pos, tag, dep,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +46,57 @@ def link_triples(triples: DataFrame, annotations: DataFrame) -> DataFrame:
         met = t.join(annotations.where("state <> 'rejected'"), "doc_id").where("start <= _e AND end >= _s").select("triple_id", F.lit("subject" if role == "s" else "object").alias("role"), "iri")
         out = met if out is None else out.unionByName(met)
     return out.distinct()
+
+
+def subtrees(token_pos: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, tok_idx, start, end, text): the span and the words of each token's subtree.
+
+    A sentence is one row of tokens, and a token is added to each of its ancestors; a head that is itself, missing or in a circle ends the climb.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, sent, toks in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "sent_idx", "toks")], strict=True):
+                by = {t["tok_idx"]: t for t in toks}
+                held: dict[int, list[dict]] = {k: [] for k in by}
+                for k, t in by.items():
+                    at, seen = k, set()
+                    while at in by and at not in seen:
+                        seen.add(at)
+                        held[at].append(t)
+                        at = by[at]["head"]
+                rows.extend((doc, sent, k, own[0]["start"], own[-1]["end"], " ".join(t["token"] for t in own)) for k, own in held.items())
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "sent_idx", "tok_idx", "start", "end", "text"])
+
+    own = F.sort_array(F.collect_list(F.struct("tok_idx", "start", "end", "token", "head")))  # the tokens of one sentence
+    return token_pos.groupBy("doc_id", "sent_idx").agg(own.alias("toks")).mapInArrow(run, "doc_id bigint, sent_idx int, tok_idx int, start int, end int, text string")
+
+
+def link_texts(triples: DataFrame, individuals: DataFrame, properties: DataFrame) -> DataFrame:
+    """(triple_id, role, kind, entity_id, confidence): individuals (doc_id, id, mention) whose mention is in the subject or object, for
+    .8, and properties (doc_id, id, text, confidence) whose text is in the predicate, whatever the case."""
+    t = triples.select("doc_id", "triple_id", *[F.lower(c).alias(c) for c in ("subject", "predicate", "object")])
+    i = individuals.where(F.length("mention") > 0).select("doc_id", F.col("id").alias("entity_id"), F.lower("mention").alias("m"), F.lit(0.8).alias("confidence"))
+    p = properties.where(F.length("text") > 0).select("doc_id", F.col("id").alias("entity_id"), F.lower("text").alias("m"), "confidence")
+    out = None
+    for role, kind, known in (("subject", "individual", i), ("object", "individual", i), ("predicate", "property", p)):
+        met = t.join(known, "doc_id").where(F.contains(F.col(role), F.col("m"))).select("triple_id", F.lit(role).alias("role"), F.lit(kind).alias("kind"), "entity_id", "confidence")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def flat_triples(triples: DataFrame, links: DataFrame) -> DataFrame:
+    """``triples`` (triple_id, ...) with the first linked concept, individual and property (links: triple_id, role, kind, entity_id, ord), empty where none."""
+    first = links.groupBy("triple_id").agg(
+        *[
+            F.coalesce(F.min_by("entity_id", F.when((F.col("role") == role) & (F.col("kind") == kind), F.struct("ord", "entity_id"))), F.lit("")).alias(name)
+            for name, role, kind in (
+                ("subject_iri", "subject", "concept"), ("object_iri", "object", "concept"), ("subject_individual", "subject", "individual"),
+                ("object_individual", "object", "individual"), ("predicate_property", "predicate", "property"),
+            )
+        ]
+    )
+    return triples.join(first, "triple_id", "left").na.fill("")

@@ -79,8 +79,10 @@ def to_rag(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def literal(c: Column) -> Column:
-    c = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
-    return F.concat(F.lit('"'), F.regexp_replace(c, "\n", r"\\\\n"), F.lit('"'))
+    """A quoted literal: backslashes first, then quotes, line feeds, carriage returns and tabs."""
+    for char, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(char), F.lit(shown))
+    return F.concat(F.lit('"'), c, F.lit('"'))
 
 
 def to_ntriples(annotations: DataFrame, concepts: DataFrame) -> DataFrame:

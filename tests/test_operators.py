@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
-from lexweave.operators import entities, lifecycle, match, reconcile, search, vectors
+from lexweave.operators import entities, lifecycle, match, ontology, reconcile, ruler, search, triples, vectors
 from lexweave.sinks import export
 from lexweave.sources import ingest
 from lexweave.streaming import events as streams
@@ -159,3 +159,50 @@ def test_stream_equals_batch(spark, data, tmp_path):
     w = streams.windowed_counts(s, "1 hour", "1 day").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     w.awaitTermination()
     assert spark.table("counted").count() == streams.windowed_counts(e).count()
+
+
+def test_match_forms_agree_on_many_labels(spark):
+    """Labels of one to eight words, with hyphens, points and apostrophes, cut out of the texts or made up."""
+    r = random.Random(21)
+    words = ["rule", "the", "pre-trial", "d'oeuvre", "u.s.", "é", "x_1", "§", "act", "of", "Straße", "(b)"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) + r.choice(["", ".", "-"]) for _ in range(40)]
+    keys = set()
+    for _ in range(300):
+        w = r.choice(texts).lower().split(" ")
+        n, at = r.randint(1, 8), r.randrange(max(1, len(w)))
+        keys.add(" ".join(w[at : at + n] if r.random() < 0.8 else r.choices(words, k=n)).lower())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    keys = sorted(k for k in keys if k)
+    got, want = (sorted(map(tuple, x.collect())) for x in (match.match_anchor(docs, spark.createDataFrame([(k,) for k in keys], "label_key string")), match.match_automaton(docs, keys)))
+    assert got == want and max(len(x[3].split()) for x in got) > 4
+
+
+def test_same_concept_spans(spark):
+    rows = [(1, "a", 0, 10, 0.5, "confirmed"), (1, "a", 8, 14, 0.5, "confirmed"), (1, "a", 13, 18, 0.5, "confirmed"), (1, "a", 0, 9, 0.9, "rejected"), (1, None, 0, 9, 0.9, "confirmed"), (1, "b", 0, 5, 0.1, "confirmed"), (1, "b", 0, 5, 0.2, "confirmed")]
+    got = match.same_iri_spans(spark.createDataFrame(rows, "doc_id bigint, iri string, start int, end int, confidence double, state string")).collect()
+    assert sorted((r.iri or "", r.start, r.end, r.confidence, r.n_absorbed) for r in got) == [("", 0, 9, 0.9, 0), ("a", 0, 9, 0.9, 0), ("a", 0, 10, 0.5, 1), ("a", 13, 18, 0.5, 0), ("b", 0, 5, 0.2, 1)]
+
+
+def test_keep_properties():
+    assert ruler.keep_properties([(0, 5, 0.5, 0), (0, 5, 0.9, 1)]) == [1] and ruler.keep_properties([(0, 8, 0.5, 0), (4, 15, 0.4, 1)]) == [1]
+    assert ruler.keep_properties([(0, 18, 0.5, 0), (10, 18, 0.9, 1)]) == [0, 1] and ruler.keep_properties([(0, 8, 0.5, 0), (4, 12, 0.9, 1)]) == [0]
+
+
+def test_repair_pdf(spark):
+    assert column(spark, ["exam-\nple goes\non here;\nnot this\n\n 12 \nNext"], T.repair_pdf_text) == ["example goes on here;\nnot this\nNext"]
+
+
+def test_entity_graph_is_cut(spark):
+    edges = spark.createDataFrame([(f"n{k}", "top", k) for k in range(30)] + [("top", "root", 0), ("n1", "n2", 1)], "child string, parent string, ord int")
+    see = spark.createDataFrame([("top", "far", 0)], "src string, dst string, ord int")
+    whole = {r.iri: (r.depth, r.phase) for r in ontology.entity_graph(spark, edges, see, "top").collect()}
+    assert len(whole) == 33 and whole["root"] == (-1, "ancestor") and whole["n7"] == (1, "descendant") and whole["far"] == (0, "related")
+    cut = ontology.entity_graph(spark, edges, see, "top", max_nodes=6).collect()
+    assert len(cut) == 6 and all(r.truncated for r in cut) and {r.iri for r in cut} == {"top", "root", "n0", "n1", "n10", "n11"}
+
+
+def test_flat_triples(spark):
+    t = spark.createDataFrame([("t1", "s"), ("t2", "s")], "triple_id string, subject string")
+    links = spark.createDataFrame([("t1", "subject", "concept", "c2", 2), ("t1", "subject", "concept", "c1", 1), ("t1", "predicate", "property", "p", 1)], "triple_id string, role string, kind string, entity_id string, ord int")
+    got = {r.triple_id: (r.subject_iri, r.object_iri, r.predicate_property) for r in triples.flat_triples(t, links).collect()}
+    assert got == {"t1": ("c1", "", "p"), "t2": ("", "", "")}
