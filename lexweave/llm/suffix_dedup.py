@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from lexweave.llm.common import POLY, Scratch, arrow_bytes, byte_slices, mix64, small_batches, table, text_or_empty
 
 LENGTH, GRAM = 200, 64
-#: Bytes of contexts in one suffix array, and strings in one range of the merge.
+#: Bytes of contexts in one suffix array, and about so many strings in one bucket of the merge.
 SHARD, RANGE = 1_000_000, 2_000_000
 #: Occurrences of an anchor, by the way that they are dealt.
 BY_ANCHOR, BY_CONTEXT, WITNESS, SETTLED = 0, 1, 2, 3
@@ -298,28 +298,43 @@ def _ranges(owner: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarr
     return owner[first], start[first], start[last] + length
 
 
+def pack(strings: Strings) -> bytes:
+    return b"".join(x.tobytes() for x in strings)
+
+
+def unpack(packed: bytes) -> Strings:
+    own = np.frombuffer(packed, np.int64).reshape(3, -1)
+    return own[0].view(np.uint64), own[1], own[2]
+
+
 def shard_repeats(dealt: DataFrame, length: int, shard: int) -> DataFrame:
-    """(key, lo, hi, h, part, s) of contexts that are sorted by (h, part) within partitions.
+    """(key, lo, hi, h, part, bucket, strings) of contexts that are sorted by (h, part) within partitions.
 
-    Without ``s``: byte runs of repeats inside a shard, which holds whole parts. With it: of anchors in several parts, the
-    first place of each distinct string of a part, by its hash.
+    Without ``strings``: byte runs of repeats inside a shard, which holds whole parts. With it: of anchors in several parts,
+    the first place of each distinct string of a part, packed by ranges of the string's hash (buckets).
     """
-    schema = pa.schema([("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("s", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("h", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("strings", pa.binary())])
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         owner, start = np.array([r[2] for r in held], np.int64), np.array([r[3] for r in held], np.int64)
         piece, offset = repeated_starts([r[4] for r in held], owner, start, length)
         key, lo, hi = _ranges(owner[piece], start[piece] + offset, length)
-        none = pa.nulls(len(key), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lo), pa.array(hi), none, pa.nulls(len(key), pa.int32()), none], schema=schema)
+        none = [pa.nulls(len(key), f.type) for f in list(schema)[3:]]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lo), pa.array(hi), *none], schema=schema)
         split = [r for r in held if r[5] > 1]
         for group in sorted({r[:2] for r in split}):
             mine = [r for r in split if r[:2] == group]
             s, key, at = string_hashes([r[4] for r in mine], np.array([r[2] for r in mine], np.int64), np.array([r[3] for r in mine], np.int64), length)
             order = np.lexsort((at, key, s))
             first = order[np.append(True, s[order][1:] != s[order][:-1])] if len(s) else order
-            h, part = pa.array([group[0]] * len(first), pa.int64()), pa.array([group[1]] * len(first), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(at[first]), pa.array(at[first] + length), h, part, pa.array(s[first].view(np.int64))], schema=schema)
+            s, key, at = s[first], key[first], at[first]
+            buckets = -(-mine[0][5] * shard // (2 * RANGE))
+            cuts = np.searchsorted(s, np.array([k * (1 << 64) // buckets for k in range(1, buckets)], np.uint64))
+            ends = [0, *cuts.tolist(), len(s)]
+            packed = [pack((s[a:b], key[a:b], at[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            empty = pa.nulls(buckets, pa.int64())
+            cols = [empty, empty, empty, pa.array([group[0]] * buckets, pa.int64()), pa.array([group[1]] * buckets, pa.int32()), pa.array(range(buckets), pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -335,56 +350,46 @@ def shard_repeats(dealt: DataFrame, length: int, shard: int) -> DataFrame:
         if held:
             yield from solve(held)
 
-    return dealt.mapInArrow(run, "key bigint, lo bigint, hi bigint, h bigint, part int, s bigint")
+    return dealt.mapInArrow(run, "key bigint, lo bigint, hi bigint, h bigint, part int, bucket int, strings binary")
 
 
-def merge_parts(strings: DataFrame, length: int, ranges: int) -> DataFrame:
-    """(key, lo, hi) of places whose string another part of the same anchor has elsewhere; ``strings``: rows with ``s`` of shard_repeats.
+def merge_parts(strings: DataFrame, length: int) -> DataFrame:
+    """(key, lo, hi) of places whose string another part of the same anchor has elsewhere; ``strings``: rows with ``strings`` of shard_repeats.
 
-    Ranges of (anchor, hash) are dealt to tasks; in a range the parts, each in order, are merged two by two as they come, so
-    that tables of like size meet.
+    Each bucket of an anchor is a group of its own; its parts, each in order, are merged two by two as they come, so that
+    tables of like size meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[tuple[int, Strings]] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        held: list[pa.RecordBatch] = []
         group = None
 
         def fold(whole: bool) -> None:
             while len(stack) > 1 and (whole or stack[-2][0] <= stack[-1][0]):
                 (n, a), (m, b) = stack.pop(), stack.pop()
-                both, owner, start = merged(a, b)
+                both, owner, start = merged(a, b) if len(a[0]) and len(b[0]) else (a if len(a[0]) else b, a[1][:0], a[2][:0])
                 stack.append((n + m, both))
                 found.append((owner, start))
 
-        def end_part() -> None:
-            if held:
-                part = pa.Table.from_batches(held)
-                s, key, lo = (part.column(c).to_numpy() for c in ("s", "key", "lo"))
-                order = np.argsort(s.view(np.uint64), kind="stable")
-                stack.append((1, (s.view(np.uint64)[order], key[order], lo[order])))
-                held.clear()
-                fold(False)
+        def end_group() -> Iterator[pa.RecordBatch]:
+            fold(True)
+            stack.clear()
+            for owner, start in found:
+                key, lo, hi = _ranges(owner, start, length)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["key", "lo", "hi"])
+            found.clear()
 
         for batch in batches:
-            h, part = batch.column("h").to_numpy(), batch.column("part").to_numpy()
-            heads = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))) if len(h) else []
-            for a, b in zip(heads, np.append(heads[1:], len(h)) if len(h) else [], strict=True):
-                if (h[a], part[a]) != group:
-                    end_part()
-                    if group is not None and group[0] != h[a]:
-                        fold(True)
-                        stack.clear()
-                    group = (h[a], part[a])
-                held.append(batch.slice(a, b - a))
-        end_part()
-        fold(True)
-        for owner, start in found:
-            key, lo, hi = _ranges(owner, start, length)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["key", "lo", "hi"])
-
-    dealt = strings.select("h", "part", "s", "key", "lo").repartitionByRange(ranges, "h", "s").sortWithinPartitions("h", "part", "s")
+            for h, bucket, packed in zip(*[batch.column(c).to_pylist() for c in ("h", "bucket", "strings")], strict=True):
+                if (h, bucket) != group:
+                    yield from end_group()
+                    group = (h, bucket)
+                stack.append((1, unpack(packed)))
+                fold(False)
+        yield from end_group()
+
+    dealt = strings.select("h", "bucket", "part", "strings").repartition("h", "bucket").sortWithinPartitions("h", "bucket", "part")
     return dealt.mapInArrow(run, "key bigint, lo bigint, hi bigint")
 
 
@@ -416,10 +421,9 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     parts = fetched.join(large.select("h", "parts"), "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = parts.withColumn("part", F.pmod(F.xxhash64("key", "start"), F.col("parts")).cast("int")).repartition("h", "part").sortWithinPartitions("h", "part")
     solved = scratch.save(shard_repeats(dealt, length, shard), "shards")
-    shards = solved.where("s IS NULL").select("key", "lo", "hi")
-    many = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if many:
-        shards = shards.unionByName(scratch.save(merge_parts(solved.where("s IS NOT NULL"), length, -(-many // RANGE)), "merged"))
+    shards = solved.where("strings IS NULL").select("key", "lo", "hi")
+    if not large.isEmpty():
+        shards = shards.unionByName(scratch.save(merge_parts(solved.where("strings IS NOT NULL"), length), "merged"))
     scratch.drop("contexts")
     decided = marked.where("decided").select("key", F.greatest(F.col("pos") - (length - gram), F.lit(0)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
     copies = keyed.groupBy("key").agg(F.count("*").alias("copies"))
