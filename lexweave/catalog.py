@@ -304,26 +304,28 @@ def with_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(PLANTED, "doc_id bigint, text string"))
 
 
-def entity_sql(pattern: str, ignore_case: bool, least: int, kind: str) -> str:
-    """Matches by sentinels, with ``\\s``, ``\\w`` and ``\\b`` as RE2 has them."""
+def spans_sql(pattern: str, source: str = "documents", least: int = 1) -> str:
+    """r: (doc_id, start, w) of a pattern's matches in ``source`` by sentinels, with ``\\s``, ``\\w`` and ``\\b`` as RE2 has them."""
     p = pattern.replace(r"\x{201C}", "“").replace(r"\x{201D}", "”").replace("'", "''")
-    planted = ontology_data.sql_table("planted", "doc_id bigint, text string", PLANTED)
-    return f"""WITH {planted}, d AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM planted),
-      m AS (SELECT doc_id, regexp_replace(text, '({"(?i)" if ignore_case else ""}{p})', chr(1) || '\\1' || chr(2), 'g') AS t FROM d),
+    return f"""m AS (SELECT doc_id, regexp_replace(text, '{p}', chr(1) || '\\1' || chr(2), 'g') AS t FROM {source}),
       p AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS piece, generate_subscripts(string_split(t, chr(1)), 1) AS i FROM m),
       q AS (SELECT doc_id, i, piece, coalesce(sum(length(piece) - (i > 1)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM p),
-      r AS (SELECT doc_id, CAST(s AS INTEGER) AS start, split_part(piece, chr(2), 1) AS w FROM q WHERE i > 1)
-      SELECT doc_id, start, CAST(start + length(w) AS INTEGER) AS "end", regexp_replace(w, '^\\s+|\\s+$', '', 'g') AS mention, '{kind}' AS kind FROM r WHERE length(regexp_replace(w, '^\\s+|\\s+$', '', 'g')) >= {least}"""
+      r AS (SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(s + length(split_part(piece, chr(2), 1)) AS INTEGER) AS "end", split_part(piece, chr(2), 1) AS w FROM q WHERE i > 1)"""
 
 
-for _n, _e in enumerate(entities.ENTITIES, 1):
-    QUERIES[f"e{_n}_{_e.kind}"] = lambda spark, sf_dir, e=_e: entities.extract(with_planted(spark, sf_dir), e).select("doc_id", "start", "end", "mention", "kind")
-    SQL[f"e{_n}_{_e.kind}"] = entity_sql(_e.pattern, _e.ignore_case, _e.least, _e.kind)
+def entity_sql(e: entities.Entity) -> str:
+    planted = ontology_data.sql_table("planted", "doc_id bigint, text string", PLANTED)
+    pattern = e.pattern.replace(r"\w", r"\p{L}\p{N}_") if e.kind == "trademark" else e.pattern
+    term = e.pattern.replace(r"\x{201C}", "“").replace(r"\x{201D}", "”")
+    name = f"regexp_extract(w, '(?i){term}', 1)" if e.kind == "definition" else "mention"
+    return f"""WITH {planted}, d AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM planted), {spans_sql(f"{'(?i)' if e.ignore_case else ''}({pattern})", "d")}
+      SELECT doc_id, start, "end", regexp_replace(w, '^\\s+|\\s+$', '', 'g') AS mention, {name} AS name, '{e.kind}' AS kind, '{e.label}' AS label, CAST({e.confidence} AS DOUBLE) AS confidence FROM r WHERE length(mention) >= {e.least}"""
 
 
-@query("e11_trademark")
-def e11(spark, sf_dir):
-    return entities.extract_trademarks(with_planted(spark, sf_dir))
+for _n, _e in enumerate(entities.ENTITIES, 1):
+    QUERIES[f"e{_n}_{_e.kind}"] = lambda spark, sf_dir, e=_e: (entities.extract_trademarks if e.kind == "trademark" else lambda d: entities.extract(d, e))(with_planted(spark, sf_dir))
+    SQL[f"e{_n}_{_e.kind}"] = entity_sql(_e)
+SQL["e15_all_entities"] = " UNION ALL ".join(f"SELECT * FROM ({entity_sql(e)})" for e in entities.ENTITIES)
 
 
 @query("e15_all_entities")
@@ -334,7 +336,7 @@ def e15(spark, sf_dir):
 @query("e18_individuals")
 def e18(spark, sf_dir):
     e = entities.extract_all(with_planted(spark, sf_dir))
-    rows = e.select("doc_id", F.col("mention").alias("name"), "mention", "start", "end", F.when(F.col("kind") == "court", "eyecite").otherwise("regex").alias("source"), F.lit(None).cast("string").alias("url"))
+    rows = e.select("doc_id", "name", "mention", "start", "end", F.when(F.col("kind") == "court", "eyecite").otherwise("regex").alias("source"), F.lit(None).cast("string").alias("url"))
     return entities.dedup_individuals(rows)
 
 
@@ -640,7 +642,7 @@ def m10(spark, sf_dir):
 @query("a9_metadata_context")
 def a9(spark, sf_dir):
     e = entities.extract_all(with_planted(spark, sf_dir))
-    return annotate.split_by_confidence(e.select("doc_id", "kind", F.col("mention").alias("name"), "start", F.when(F.col("start") % 2 == 0, 0.9).otherwise(0.7).alias("confidence")))
+    return annotate.split_by_confidence(e.select("doc_id", "kind", "name", "start", F.when(F.col("start") % 2 == 0, 0.9).otherwise(0.7).alias("confidence")))
 
 
 @query("a10_promotions")

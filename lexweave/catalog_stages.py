@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave import catalog as C
 from lexweave.functions import text as T
-from lexweave.operators import annotate, entities, lifecycle, match, ontology, reconcile, ruler, search, triples
+from lexweave.operators import annotate, lifecycle, match, ontology, reconcile, ruler, search, triples
 from lexweave.sources import ontology_data
 
 query, read, onto, tables, labels = C.query, C.read, C.onto, C.tables, C.labels
@@ -345,12 +345,6 @@ def e19(spark, sf_dir):
     return annotate.fill_class_iris(links, ontology.label_winner(labels(spark)), tables(spark)["concepts"])
 
 
-C.SQL["e11_trademark"] = C.entity_sql(r"[\p{L}\p{N}_]+(?:\s+[\p{L}\p{N}_]+)*\s*[®™]", False, 1, "trademark").replace("'trademark' AS kind", "'trademark' AS kind, 'Trademark' AS label, CAST(0.93 AS DOUBLE) AS confidence")
-C.SQL["e15_all_entities"] = " UNION ALL ".join(
-    [f"SELECT * FROM ({C.SQL['e11_trademark']})"]
-    + [f"SELECT * FROM ({C.entity_sql(e.pattern, e.ignore_case, e.least, e.kind)})".replace(f"'{e.kind}' AS kind", f"'{e.kind}' AS kind, '{e.label}' AS label, CAST({e.confidence} AS DOUBLE) AS confidence") for e in entities.ENTITIES]
-)
-
 # --- folds over chunks and requests ---------------------------------------------------------------------
 
 PACKED = f"""{C.SENTENCES}, dd AS (SELECT doc_id, {C.NORMAL} AS text FROM documents), long AS (SELECT doc_id FROM dd WHERE length(text) > 3000),
