@@ -651,4 +651,4 @@ def a10(spark, sf_dir):
     return annotate.promotions(d, entities.extract(d, entities.ENTITIES[1]))
 
 
-from lexweave import catalog_stages  # noqa: E402, F401  registers its queries
+from lexweave import catalog_models, catalog_stages  # noqa: E402, F401  register their queries

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexweave.functions.spans import overlapping
+
 #: White space but for the line feed, as a regular-expression class body that Java and RE2 share.
 WS = r"\t\x0B\x0C\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 STRIP = rf"^[{WS}\n]+|[{WS}\n]+$"
@@ -51,7 +53,8 @@ def sentence_for_span(spans: DataFrame, sentences: DataFrame) -> DataFrame:
     """Spans (doc_id, start, end, ...) with the first sentence that contains them, else the one that overlaps most, else null."""
     s = sentences.select("doc_id", "sent_idx", F.col("start").alias("_s"), F.col("end").alias("_e"))
     keyed = spans.withColumn("_id", F.struct("doc_id", "start", "end"))
-    met = keyed.select("_id", "doc_id", "start", "end").distinct().join(s, "doc_id").where("_s < end AND start < _e")
+    ranges = s.withColumnsRenamed({"_s": "lo", "_e": "hi"})
+    met = overlapping(ranges, keyed.select("_id", "doc_id", "start", "end").distinct()).withColumnsRenamed({"lo": "_s", "hi": "_e"})
     rank = F.struct(
         (~((F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")))).cast("int").alias("outside"),
         F.when((F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")), F.lit(0)).otherwise(-(F.least("_e", "end") - F.greatest("_s", "start"))).alias("less"),

@@ -22,10 +22,15 @@ def register_provider(name: str, make: Callable[[], Provider]) -> None:
     _PROVIDERS[name] = make
 
 
-def get_provider(name: str) -> Provider:
+def provider_maker(name: str) -> Callable[[], Provider]:
+    """What makes the provider; it goes to executors, where the registry may lack a caller's own entries."""
     if name not in _PROVIDERS:
         raise ValueError(f"unknown provider: {name}")
-    return _PROVIDERS[name]()
+    return _PROVIDERS[name]
+
+
+def get_provider(name: str) -> Provider:
+    return provider_maker(name)()
 
 
 def echo_provider() -> Provider:
@@ -67,9 +72,7 @@ def complete(prompts: DataFrame, provider: str, tries: int = 2) -> DataFrame:
                 answers.append(answer), errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(answers, pa.string()), pa.array(errors, pa.string())], ["key", "answer", "error"])
 
-    if provider not in _PROVIDERS:
-        raise ValueError(f"unknown provider: {provider}")
-    make = _PROVIDERS[provider]
+    make = provider_maker(provider)
     return prompts.select(F.col("key").cast("string").alias("key"), "prompt").mapInArrow(run, "key string, answer string, error string")
 
 

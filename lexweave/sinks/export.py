@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexweave.functions.spans import inside
+
 BASE = "urn:lexweave:"
 
 
@@ -72,10 +74,12 @@ def to_property_graph(annotations: DataFrame, concepts: DataFrame) -> tuple[Data
 
 
 def to_rag(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index, n_items, items): annotations that lie inside each chunk."""
+    """(doc_id, chunk_index, n_items, items): annotations that lie inside each chunk; chunks without any have 0."""
     a = annotations.select("doc_id", "ann_id", "start", "end", F.col("text").alias("mention"))
-    met = chunks.join(a, "doc_id", "left").withColumn("inside", F.coalesce((F.col("start") >= F.col("start_offset")) & (F.col("end") <= F.col("end_offset")), F.lit(False)))
-    return met.groupBy("doc_id", "chunk_index").agg(F.count_if("inside").alias("n_items"), F.sort_array(F.collect_list(F.when(F.col("inside"), F.struct("start", "end", "mention")))).alias("items"))
+    met = inside(chunks.select("doc_id", "chunk_index", F.col("start_offset").alias("lo"), F.col("end_offset").alias("hi")), a)
+    found = met.groupBy("doc_id", "chunk_index").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct("start", "end", "mention"))).alias("items"))
+    out = chunks.select("doc_id", "chunk_index").join(found, ["doc_id", "chunk_index"], "left")
+    return out.fillna(0, ["n_items"]).withColumn("items", F.coalesce("items", F.expr("CAST(array() AS array<struct<start: int, end: int, mention: string>>)")))
 
 
 def literal(c: Column) -> Column:
