@@ -619,17 +619,40 @@ def q14(spark, sf_dir):
     return models.rerank(concepts, spark.createDataFrame([(RERANK,)], "answer string"))
 
 
-CITED = [(1, "See 410 U.S. 113 and 42 U.S.C. § 1983 in Roe v. Wade today."), (2, "Acme Widgets Inc. met John Smith.")]
+CITED = [(-1, "See 410 U.S. 113 and 42 U.S.C. § 1983 in Roe v. Wade today."), (-2, "Acme Widgets Inc. met John Smith in Orange County."), (-3, "1  F. Supp. 2d 7 and 12 F.3d 99")]
+CITED_SQL = f"WITH {ontology_data.sql_table('planted', 'doc_id bigint, text string', CITED)}, d AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM planted)"
+NO_NAMES = ", ".join(f"'{w}'" for w in annotate.NO_NAMES)
 
 
-@query("e16_citations", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), '410 U.S. 113', 'Caselaw'), (1, '42 U.S.C. § 1983', 'Statute'), (1, 'Roe v. Wade', 'Case Name')) AS t(doc_id, mention, label)")
+def with_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(CITED, "doc_id bigint, text string"))
+
+
+CITATIONS = f"""{CITED_SQL}, {spans_sql(f"({annotate.CITATION})", "d")}, c AS (SELECT doc_id, start, "end", w AS mention, regexp_replace(w, '\\s+', ' ', 'g') AS normalized,
+    CASE WHEN contains(w, 'U.S.C.') THEN 'Statute' WHEN contains(w, ' v. ') THEN 'Case Name' ELSE 'Caselaw' END AS label FROM r)"""
+
+
+@query("e16_citations", f"{CITATIONS} SELECT * FROM c")
 def e16(spark, sf_dir):
-    return annotate.citations(spark.createDataFrame(CITED, "doc_id bigint, text string")).select("doc_id", "mention", "label")
+    return annotate.citations(with_cited(spark, sf_dir))
+
+
+REPORTED = f"regexp_extract(normalized, '^(\\d+) ({annotate.REPORTER}) ?(?:§ ?)?(\\d+[a-z]?)$', ['v', 'r', 'p'])"
+
+
+@query("e17_citation_urls", f"""{CITATIONS}, u AS (SELECT *, {REPORTED} AS x FROM c), a AS (SELECT *, CASE WHEN x.r = 'U.S.C.' THEN 'https://www.law.cornell.edu/uscode/text/' || x.v || '/' || x.p WHEN x.r <> '' THEN 'https://www.courtlistener.com/c/' || replace(x.r, ' ', '%20') || '/' || x.v || '/' || x.p || '/' END AS url FROM u)
+    SELECT doc_id, start, "end", mention, CASE WHEN normalized <> mention AND (url IS NOT NULL OR label <> 'Caselaw') THEN normalized END AS normalized, url, CASE WHEN label = 'Caselaw' THEN label ELSE 'Legal Citation' END AS label, CASE WHEN label = 'Caselaw' THEN 0.92 ELSE 0.90 END::DOUBLE AS confidence, CASE WHEN label = 'Caselaw' THEN 'eyecite' ELSE 'citeurl' END AS source FROM a""")
+def e17(spark, sf_dir):
+    found = annotate.citations(with_cited(spark, sf_dir))
+    text = F.lit(None).cast("string")
+    known = found.where("label = 'Caselaw'").select("doc_id", "start", "end", "mention", text.alias("normalized"), text.alias("url"), "label", F.lit(0.92).alias("confidence"), F.lit("eyecite").alias("source"))
+    return annotate.add_citations(known, found)
 
 
-@query("e12_names", "SELECT * FROM (VALUES (CAST(2 AS BIGINT), 'Acme Widgets Inc.', 'Organization'), (2, 'John Smith', 'Person')) AS t(doc_id, mention, label)")
+@query("e12_names", f"""{CITED_SQL}, {spans_sql(f"({annotate.NAME})", "d")}, l AS (SELECT doc_id, start, "end", w AS mention, CASE WHEN regexp_matches(w, '{annotate.ORGANISATION}') THEN 'Organization' WHEN regexp_matches(w, '{annotate.PLACE}') THEN 'Location' ELSE 'Person' END AS label
+    FROM r WHERE lower(w) NOT IN ({NO_NAMES})) SELECT *, CASE WHEN label = 'Person' THEN 0.80 ELSE 0.78 END::DOUBLE AS confidence FROM l""")
 def e12(spark, sf_dir):
-    return annotate.names(spark.createDataFrame(CITED, "doc_id bigint, text string").where("doc_id = 2")).select("doc_id", "mention", "label")
+    return annotate.names(with_cited(spark, sf_dir))
 
 
 @query("m10_attach")

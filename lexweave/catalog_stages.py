@@ -9,6 +9,7 @@ from lexweave import catalog as C
 from lexweave.functions import text as T
 from lexweave.operators import annotate, lifecycle, match, ontology, reconcile, ruler, search, triples
 from lexweave.sources import ontology_data
+from lexweave.streaming import events as streams
 
 query, read, onto, tables, labels = C.query, C.read, C.onto, C.tables, C.labels
 
@@ -371,6 +372,30 @@ C.SQL["k3_rate_limit"] = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch
       FROM (SELECT n.*, list_filter(f.held, lambda t: t > n.ms - 86400) AS live FROM fold f JOIN e n ON n.user_id = f.user_id AND n.k = f.k + 1) x)
     SELECT event_id, user_id, allowed FROM fold"""
 
+SNAPSHOTS = """sn AS (SELECT 'j' || (user_id % 50) AS job_id, CAST(event_id % 4 AS BIGINT) AS seq, CASE event_type WHEN 'click' THEN 'annotation' WHEN 'view' THEN 'individual' ELSE 'triple' END AS entity, 'x' || (user_id % 7) AS entity_id,
+      CASE WHEN event_id % 3 = 0 THEN 'preliminary' ELSE 'confirmed' END AS state FROM events
+    UNION ALL SELECT 'j' || j, s, 'status', '', CASE WHEN j % 2 = 0 AND s = 2 THEN 'completed' WHEN s = 0 THEN 'pending' ELSE 'running' END FROM range(50) a(j), range(4) b(s))"""
+
+
+def snapshots(spark, sf_dir):
+    u, e = F.col("user_id"), F.col("event_id")
+    kind = F.when(F.col("event_type") == "click", "annotation").when(F.col("event_type") == "view", "individual").otherwise("triple")
+    rows = read(spark, sf_dir, "events").select(F.concat(F.lit("j"), u % 50).alias("job_id"), (e % 4).cast("long").alias("seq"), kind.alias("entity"), F.concat(F.lit("x"), u % 7).alias("entity_id"), F.when(e % 3 == 0, "preliminary").otherwise("confirmed").alias("state"))
+    j, s = F.floor(F.col("id") / 4), F.col("id") % 4
+    status = F.when((j % 2 == 0) & (s == 2), "completed").when(s == 0, "pending").otherwise("running")
+    return rows.unionByName(spark.range(200).select(F.concat(F.lit("j"), j).alias("job_id"), s.alias("seq"), F.lit("status").alias("entity"), F.lit("").alias("entity_id"), status.alias("state")))
+
+
+@query("k1_job_events", f"""WITH {SNAPSHOTS}, live AS (SELECT * FROM sn WHERE seq <= 2 OR CAST(job_id[2:] AS INTEGER) % 2 = 1), st AS (SELECT job_id, seq, state, lag(state) OVER (PARTITION BY job_id ORDER BY seq) AS was FROM live WHERE entity = 'status'),
+    n AS (SELECT job_id, seq, entity_id, min(state) AS state FROM live WHERE entity = 'annotation' GROUP BY ALL), top AS (SELECT job_id, max(seq) AS m FROM st GROUP BY job_id)
+    SELECT job_id, seq, 'status' AS event, state AS entity_id FROM st WHERE state IS DISTINCT FROM was UNION ALL SELECT job_id, seq, 'complete', state FROM st WHERE state = 'completed'
+    UNION ALL SELECT n.job_id, n.seq, CASE WHEN o.state IS NULL THEN CASE WHEN n.state = 'preliminary' THEN 'preliminary_annotation' ELSE 'annotation' END ELSE 'annotation_update' END, n.entity_id FROM n LEFT JOIN n o ON o.job_id = n.job_id AND o.seq = n.seq - 1 AND o.entity_id = n.entity_id WHERE n.state IS DISTINCT FROM o.state
+    UNION ALL SELECT o.job_id, o.seq + 1, 'annotation_removed', o.entity_id FROM n o JOIN top ON top.job_id = o.job_id AND o.seq + 1 <= m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.job_id = o.job_id AND n.seq = o.seq + 1 AND n.entity_id = o.entity_id)
+    UNION ALL SELECT job_id, min(seq), entity || '_added', entity_id FROM live WHERE entity IN ('individual', 'triple') GROUP BY job_id, entity, entity_id""")
+def k1_events(spark, sf_dir):
+    return streams.job_events(snapshots(spark, sf_dir))
+
+
 # --- exports --------------------------------------------------------------------------------------------
 
 ANNOTATED = f"""rows AS (SELECT unnest(['of the', 'de la', 'in the']) AS label_key), d AS (SELECT doc_id, {C.NORMAL} AS text FROM documents), {C.TOKENS.replace("FROM documents", "FROM d")},

@@ -2,44 +2,68 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.config import LOW_CONFIDENCE
+from lexweave.operators.entities import spans
+
+#: Suffixes of names of organisations.
+ORGANISATION = (
+    r"(?i)\b(?:LLP|LLC|L\.L\.P\.|L\.L\.C\.|Inc|Corp|Corporation|Ltd|Limited|P\.?C\.?|P\.?A\.?|P\.?L\.?L\.?C\.?|L\.?P\.?|LTD|PLC|GmbH|AG|S\.?A\.?"
+    r"|Co\.|& Co|Associates|Partners|Group|Holdings|Foundation|International|Bancorp|Bank|Trust)\b"
+)
+#: Phrases that are never names.
+NO_NAMES = (
+    "de novo", "de facto", "de jure", "de minimis", "ex parte", "ex rel", "habeas corpus", "in camera", "in forma pauperis", "in limine", "in personam", "in re", "in rem", "inter alia",
+    "mens rea", "nolo contendere", "nunc pro tunc", "per curiam", "per se", "prima facie", "pro bono", "pro hac vice", "pro se", "pro tem", "pro tempore", "quantum meruit", "quasi",
+    "res judicata", "stare decisis", "sua sponte", "sub judice", "sui generis", "voir dire", "appellant", "appellee", "petitioner", "respondent", "plaintiff", "defendant", "amicus curiae",
+    "amici curiae",
+)
+PLACE = r"\b(?:County|City|State|States|Province|District|Republic|Kingdom|Island|Islands|Valley|River|Lake)$"
+REPORTER = r"U\.S\.C\.|U\.S\.|F\.\d?d|F\. Supp\.(?: \dd)?|S\. Ct\."
+CITATION = rf"\b\d{{1,4}}\s+(?:{REPORTER})\s*(?:§\s*)?\d+[a-z]?\b|\b[A-Z][\w.]+(?: [A-Z][\w.]+){{0,8}} v\. [A-Z][\w.]+(?: [A-Z][\w.]+){{0,8}}"
+NAME = r"\b[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|[A-Z]\.|of|&)){0,8}\s+(?:Inc\.?|LLC|Ltd\.?|Corp\.?|[A-Z][a-z]+)"
 
-#: Endings of names of organisations.
-ORGANISATION = r"\b(?:Inc|LLC|Ltd|Corp|Corporation|Company|Co|LLP|LP|GmbH|AG|Bank|Group|Holdings|Partners|Association)\b\.?$"
-CITATION = re.compile(r"\b\d{1,4}\s+(?:U\.S\.C\.|U\.S\.|F\.\d?d|F\. Supp\.(?: \dd)?|S\. Ct\.)\s*(?:§\s*)?\d+[a-z]?\b|\b[A-Z][\w.]+(?: [A-Z][\w.]+)* v\. [A-Z][\w.]+(?: [A-Z][\w.]+)*")
-NAME = re.compile(r"\b[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|[A-Z]\.|of|&))*\s+(?:Inc\.?|LLC|Ltd\.?|Corp\.?|[A-Z][a-z]+)")
 
+def citations(docs: DataFrame) -> DataFrame:
+    """Reporter, code and case citations by an own grammar: (doc_id, start, end, mention, normalized, label)."""
+    found = spans(docs, {"citation": f"({CITATION})"})
+    label = F.when(F.col("whole").contains("U.S.C."), "Statute").when(F.col("whole").contains(" v. "), "Case Name").otherwise("Caselaw")
+    return found.select("doc_id", "start", "end", F.col("whole").alias("mention"), F.regexp_replace("whole", r"\s+", " ").alias("normalized"), label.alias("label"))
 
-def _spans(docs: DataFrame, pattern: re.Pattern) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, m.start(), m.end(), m.group()) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in pattern.finditer(t or "")]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["doc_id", "start", "end", "mention"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, start int, end int, mention string")
+def citation_url(normalized: Column) -> Column:
+    """Where a citation can be read: sections of the code and pages of reporters have an address, case names have none."""
+    part = lambda k: F.regexp_extract(normalized, rf"^(\d+) ({REPORTER}) ?(?:§ ?)?(\d+[a-z]?)$", k)
+    code = F.concat(F.lit("https://www.law.cornell.edu/uscode/text/"), part(1), F.lit("/"), part(3))
+    page = F.concat(F.lit("https://www.courtlistener.com/c/"), F.replace(part(2), F.lit(" "), F.lit("%20")), F.lit("/"), part(1), F.lit("/"), part(3), F.lit("/"))
+    return F.when(part(2) == "U.S.C.", code).when(part(2) != "", page)
 
 
-def citations(docs: DataFrame) -> DataFrame:
-    """Reporter, code and case citations by an own grammar: (doc_id, start, end, mention, normalized, label)."""
-    found = _spans(docs.where(F.col("text").rlike(r"\d\s+(U\.S|F\.|S\. Ct)| v\. ")), CITATION)
-    label = F.when(F.col("mention").contains("U.S.C."), "Statute").when(F.col("mention").contains(" v. "), "Case Name").otherwise("Caselaw")
-    return found.select("*", F.regexp_replace("mention", r"\s+", " ").alias("normalized"), label.alias("label"))
+def add_citations(individuals: DataFrame, found: DataFrame) -> DataFrame:
+    """Individuals (doc_id, start, end, mention, normalized, url, label, confidence, source) with addresses, and the citations found elsewhere.
+
+    An individual whose mention reads as a citation gets its address and, where it differs, its normal form. Citations of
+    ``found`` at spans that no individual has are added with confidence 0.90.
+    """
+    plain = F.regexp_replace("mention", r"\s+", " ")
+    url = citation_url(plain)
+    known = individuals.withColumns({"url": F.coalesce(url, F.col("url")), "normalized": F.when(url.isNotNull() & (plain != F.col("mention")), plain).otherwise(F.col("normalized"))})
+    extra = found.join(individuals.select("doc_id", "start", "end").distinct(), ["doc_id", "start", "end"], "left_anti").dropDuplicates(["doc_id", "start", "end"])
+    new = extra.select(
+        "doc_id", "start", "end", "mention", F.when(F.col("normalized") != F.col("mention"), F.col("normalized")).alias("normalized"), citation_url(F.col("normalized")).alias("url"),
+        F.lit("Legal Citation").alias("label"), F.lit(0.90).alias("confidence"), F.lit("citeurl").alias("source"),
+    )
+    return known.select(*new.columns).unionByName(new)
 
 
 def names(docs: DataFrame) -> DataFrame:
-    """Capitalised sequences as persons or organisations: a heuristic stand-in for a trained tagger."""
-    found = _spans(docs, NAME)
-    kind = F.when(F.col("mention").rlike(ORGANISATION), "Organization").otherwise("Person")
-    return found.select("*", kind.alias("label"), F.when(F.col("mention").rlike(ORGANISATION), 0.78).otherwise(0.80).alias("confidence"))
+    """Capitalised sequences as persons, organisations or locations: a heuristic stand-in for a trained tagger, without phrases that are never names."""
+    found = spans(docs, {"name": f"({NAME})"}).withColumnRenamed("whole", "mention").where(~F.lower(F.trim("mention")).isin(*NO_NAMES))
+    label = F.when(F.col("mention").rlike(ORGANISATION), "Organization").when(F.col("mention").rlike(PLACE), "Location").otherwise("Person")
+    return found.select("doc_id", "start", "end", "mention", label.alias("label"), F.when(label == "Person", 0.80).otherwise(0.78).alias("confidence"))
 
 
 def semantic_candidates(docs: DataFrame, known: DataFrame, low: int = 2, high: int = 4) -> DataFrame:

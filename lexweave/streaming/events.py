@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 def admit(accepted: deque, at: float, most: int, window: float) -> bool:
@@ -71,3 +72,65 @@ def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.withColumnRenamed("state", "was").join(new.withColumnRenamed("state", "now"), keys, "full_outer")
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
     return both.select(*keys, change.alias("change")).where("change IS NOT NULL")
+
+
+#: The event of a new entity, by kind; an annotation's depends on its state.
+ADDED = {"individual": "individual_added", "property": "property_added", "triple": "triple_added", "document_type": "document_type", "pos": "pos_ready", "activity": "activity"}
+ENDED = ("completed", "failed")
+
+
+def job_events(snapshots: DataFrame) -> DataFrame:
+    """(job_id, seq, event, entity_id): what changes from one snapshot of a job to the next, up to its first ended one.
+
+    snapshots (job_id, seq, entity, entity_id, state) hold all rows of a job at each seq, among them one of entity ``status``.
+    An annotation is new when the snapshot before lacks it, so one that comes back is new again; other entities are added once.
+    """
+    status = snapshots.where("entity = 'status'").groupBy("job_id", "seq").agg(F.min("state").alias("status"))
+    order = Window.partitionBy("job_id").orderBy("seq")
+    ended = F.max(F.col("status").isin(*ENDED).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    turns = status.withColumns({"prev": F.lag("seq").over(order), "was": F.lag("status").over(order), "ended": F.coalesce(ended, F.lit(0))}).where("ended = 0")  # a row a snapshot
+    of_status = F.array_compact(F.array(F.when(~F.col("status").eqNullSafe(F.col("was")), F.lit("status")), F.when(F.col("status").isin(*ENDED), F.lit("complete"))))
+    out = turns.select("job_id", "seq", F.explode(of_status).alias("event"), F.col("status").alias("entity_id"))
+    rows = snapshots.join(turns.select("job_id", "seq", "prev"), ["job_id", "seq"])
+    notes = rows.where("entity = 'annotation'").groupBy("job_id", "seq", "prev", "entity_id").agg(F.min("state").alias("state"))
+    after = notes.join(turns.select("job_id", F.col("seq").alias("next"), F.col("prev").alias("seq")), ["job_id", "seq"], "left")
+    old = after.where("next IS NOT NULL").select("job_id", F.col("next").alias("seq"), "entity_id", F.col("state").alias("old"))
+    both = notes.select("job_id", "seq", "entity_id", "state").join(old, ["job_id", "seq", "entity_id"], "full_outer")
+    change = (
+        F.when(F.col("state").isNull(), "annotation_removed").when(F.col("old").isNull(), F.when(F.col("state") == "preliminary", "preliminary_annotation").otherwise("annotation"))
+        .when(F.col("state") != F.col("old"), "annotation_update")
+    )
+    out = out.unionByName(both.select("job_id", "seq", change.alias("event"), "entity_id").where("event IS NOT NULL"))
+    name = F.coalesce(*[F.when(F.col("entity") == kind, F.lit(event)) for kind, event in ADDED.items()])
+    first = rows.where(F.col("entity").isin(*ADDED)).groupBy("job_id", "entity", "entity_id").agg(F.min("seq").alias("seq"))
+    return out.unionByName(first.select("job_id", "seq", name.alias("event"), "entity_id"))
+
+
+def job_events_stream(snapshots: DataFrame) -> DataFrame:
+    """The same on a stream of snapshots that arrive whole and in order: state by job holds the last states and the ids seen."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, notes, seen = state.get if state.exists else (None, [], [])
+        notes, seen, out = dict(notes), set(seen), []
+        for seq, now in pd.concat(list(frames)).sort_values("seq").groupby("seq"):
+            if status in ENDED:
+                break
+            current = dict(now[now["entity"] == "annotation"].groupby("entity_id")["state"].min())
+            new_status = now[now["entity"] == "status"]["state"].min()
+            if new_status != status:
+                out.append((seq, "status", new_status))
+            out += [(seq, "annotation_removed", i) for i in notes if i not in current]
+            out += [(seq, "preliminary_annotation" if s == "preliminary" else "annotation", i) for i, s in current.items() if i not in notes]
+            out += [(seq, "annotation_update", i) for i, s in current.items() if i in notes and notes[i] != s]
+            for entity, i in now[now["entity"].isin(ADDED)][["entity", "entity_id"]].drop_duplicates().itertuples(index=False):
+                if f"{entity}:{i}" not in seen:
+                    seen.add(f"{entity}:{i}")
+                    out.append((seq, ADDED[entity], i))
+            if new_status in ENDED:
+                out.append((seq, "complete", new_status))
+            status, notes = new_status, current
+        state.update((status, list(notes.items()), sorted(seen)))
+        yield pd.DataFrame([(key[0], *o) for o in out], columns=["job_id", "seq", "event", "entity_id"])
+
+    kept = "status string, notes array<struct<id: string, state: string>>, seen array<string>"
+    return snapshots.groupBy("job_id").applyInPandasWithState(step, "job_id string, seq bigint, event string, entity_id string", kept, "append", GroupStateTimeout.NoTimeout)
