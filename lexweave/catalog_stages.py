@@ -409,7 +409,8 @@ for _name, _sql in {
       UNION ALL SELECT to_json({'record_type': 'concept', 'ann_id': ann_id, 'rank': rank, 'iri': iri, 'label': label, 'confidence': confidence}) FROM c""",
     "json": """SELECT doc_id, to_json({'doc_id': doc_id, 'annotations': list({'start': start, 'end': "end", 'ann_id': ann_id, 'text': text, 'concepts': [{'rank': rank, 'iri': iri, 'label': label, 'branch': branch, 'confidence': confidence}]} ORDER BY start, "end", ann_id),
       'statistics': {'annotations': count(*), 'distinct_concepts': count(DISTINCT iri)}}) AS value FROM ex GROUP BY doc_id""",
-    "elasticsearch": """SELECT ann_id, 0 AS k, to_json({'index': {'_index': 'annotations', '_id': ann_id}}) AS value FROM a UNION ALL SELECT ann_id, 1, to_json({'doc_id': doc_id, 'start': start, 'end': "end", 'text': text, 'state': state}) FROM a""",
+    "elasticsearch": """SELECT ann_id || '-' || rank AS id, 0 AS k, '{"index":{"_index":"annotations"}}' AS value FROM ex
+      UNION ALL SELECT ann_id || '-' || rank, 1, to_json({'doc_id': doc_id, 'start': start, 'end': "end", 'text': text, 'iri': iri, 'label': label, 'branch': branch, 'confidence': confidence}) FROM ex""",
     "rdf": """SELECT DISTINCT doc_id, unnest(['<urn:lexweave:ann/' || ann_id || '> <http://www.w3.org/ns/oa#hasBody> <' || iri || '> .', '<urn:lexweave:ann/' || ann_id || '> <http://www.w3.org/ns/oa#exact> "' || text || '" .']) AS value FROM ex""",
     "brat": """SELECT doc_id, CAST(n AS INTEGER) AS n, 'T' || n || chr(9) || branch || ' ' || start || ' ' || "end" || chr(9) || text AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, ann_id) AS n FROM ex)""",
     "xml": """SELECT doc_id, '<annotation ann_id="' || ann_id || '" start="' || start || '" end="' || "end" || '" iri="' || iri || '" confidence="' || confidence || '">' || text || '</annotation>' AS value FROM ex""",
@@ -430,3 +431,31 @@ def x10(spark, sf_dir):
 
     given = spark.createDataFrame(LITERALS, "id bigint, text string").unionByName(read(spark, sf_dir, "documents").select((F.col("doc_id") + 10).alias("id"), "text"))
     return given.select("id", export.literal(F.col("text")).alias("value"))
+
+
+C.SQL["x_parquet_rows"] = f"WITH {ANNOTATED} SELECT doc_id, ann_id, start, \"end\", text, rank, iri, label, branch, confidence FROM ex"
+C.SQL["x_excel_sheets"] = f"WITH {ANNOTATED} SELECT doc_id, count(*) AS n FROM ex GROUP BY doc_id"
+
+
+@query("x_parquet_rows")
+def x6(spark, sf_dir):
+    from lexweave.sinks import export
+
+    return export.to_tables(*C.annotated(spark, sf_dir))["annotations"]
+
+
+@query("x_excel_sheets")
+def x13(spark, sf_dir):
+    """Rows of each document's sheet, counted in its workbook's XML."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    from lexweave.sinks import export
+
+    @F.pandas_udf("bigint")
+    def n_rows(books: pd.Series) -> pd.Series:
+        return pd.Series([zipfile.ZipFile(io.BytesIO(b)).read("xl/worksheets/sheet1.xml").count(b"<row>") - 1 for b in books])
+
+    return export.to_excel(*C.annotated(spark, sf_dir)).select("doc_id", n_rows("value").alias("n"))

@@ -113,3 +113,30 @@ def hashed_vector(c: Column, size: int = 64) -> Column:
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substring(c, i, F.lit(3))), F.lit(size)).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(grams, lambda g: g == k)).cast("double"))
     return normalize(counts)
+
+
+def score_candidates(queries: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """(query_id, iri, similarity) of given pairs (query_id, iri): queries (query_id, embedding), known (iri, embedding); pairs without a vector go."""
+    q, k = queries.select("query_id", F.col("embedding").alias("_q")), known.select("iri", F.col("embedding").alias("_k"))
+    return candidates.join(q, "query_id").join(k, "iri").select("query_id", "iri", F.round(dot(F.col("_q"), F.col("_k")), 6).alias("similarity"))
+
+
+def cached_vectors(texts: DataFrame, path: str, model: str, embed: Callable[[list[str]], np.ndarray] = trigram_vectors) -> DataFrame:
+    """``texts`` (with ``text``) and their ``embedding``: vectors stored under ``path`` for this model are read, the distinct others made and appended.
+
+    A null text has none. A vector stored twice by two jobs at once is read once.
+    """
+    spark, shape = texts.sparkSession, "digest string, embedding array<double>, model string"
+    store = lambda df: df.write.mode("append").partitionBy("model").parquet(path)
+    store(spark.createDataFrame([], shape))
+    held = lambda: spark.read.schema(shape).parquet(path).where(F.col("model") == model).groupBy("digest").agg(F.first("embedding").alias("embedding"))
+    keyed = texts.withColumn("digest", F.sha2("text", 256))
+    new = keyed.where("text IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text")).join(held().select("digest"), "digest", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = embed(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(list(made), pa.list_(pa.float64())), pa.array([model] * batch.num_rows)], ["digest", "embedding", "model"])
+
+    store(new.select("digest", "text").mapInArrow(run, shape))
+    return keyed.join(held(), "digest", "left").drop("digest")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
+from functools import reduce
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -57,20 +58,46 @@ def to_jsonl(annotations: DataFrame, concepts: DataFrame) -> DataFrame:
     return row("annotation", annotations, "doc_id", "ann_id", "start", "end", "text", "state").unionByName(row("concept", concepts, "ann_id", "rank", "iri", "label", "confidence"))
 
 
-def to_bulk(annotations: DataFrame, index: str = "annotations") -> DataFrame:
-    """(ann_id, k, value): action and document lines by turns, for bulk loading into a search engine."""
-    action = F.to_json(F.struct(F.struct(F.lit(index).alias("_index"), F.col("ann_id").alias("_id")).alias("index")))
-    doc = F.to_json(F.struct("doc_id", "start", "end", "text", "state"))
-    return annotations.select("ann_id", F.posexplode(F.array(action, doc)).alias("k", "value"))
+def to_bulk(annotations: DataFrame, concepts: DataFrame, individuals: DataFrame | None = None, properties: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
+    """(id, k, value): action and document lines by turns for bulk loading into a search engine, an index for each kind.
 
+    A document for each annotation and concept; for individuals, properties and triples (each with ``id``) one of all their columns.
+    """
+    main = exploded(annotations, concepts).select(F.concat_ws("-", "ann_id", "rank").alias("id"), "doc_id", "start", "end", "text", "iri", "label", "branch", "confidence")
+    parts = [("annotations", main), ("individuals", individuals), ("properties", properties), ("triples", triples)]
+    lines = [
+        df.select("id", F.posexplode(F.array(F.lit(f'{{"index":{{"_index":"{index}"}}}}'), F.to_json(F.struct(*[c for c in df.columns if c != "id" or index != "annotations"])))).alias("k", "value"))
+        for index, df in parts if df is not None
+    ]
+    return reduce(DataFrame.unionByName, lines)
 
-def to_property_graph(annotations: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, relations): each concept once, each annotation once, relations only to nodes that are there."""
+
+def to_property_graph(
+    annotations: DataFrame, concepts: DataFrame, individuals: DataFrame | None = None, classes: DataFrame | None = None, properties: DataFrame | None = None, triples: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, relations): each node once; relations to concepts only where the concept is a node.
+
+    individuals (id, name) with classes (id, iri); properties (id, name, domain_iri, range_iri); triples (subject, predicate, object) of node ids.
+    """
     e = exploded(annotations, concepts)
-    nodes = e.groupBy(F.col("iri").alias("id")).agg(F.min("label").alias("name")).select("id", "name", F.lit("Concept").alias("kind"))
-    nodes = nodes.unionByName(annotations.select(F.col("ann_id").alias("id"), F.col("text").alias("name"), F.lit("Annotation").alias("kind")))
-    relations = e.select(F.col("ann_id").alias("src"), F.col("iri").alias("dst"), F.lit("REFERS_TO").alias("kind")).distinct()
-    return nodes, relations.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "kind")
+    known = e.groupBy(F.col("iri").alias("id")).agg(F.min("label").alias("name"))
+    nodes = known.select("id", "name", F.lit("Concept").alias("kind")).unionByName(annotations.select(F.col("ann_id").alias("id"), F.col("text").alias("name"), F.lit("Annotation").alias("kind")))
+    link = lambda df, src, dst, kind: df.select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind"))
+    loose = []
+    if individuals is not None:
+        nodes = nodes.unionByName(individuals.select("id", "name", F.lit("Individual").alias("kind")))
+    if classes is not None:
+        loose.append(link(classes, "id", "iri", "INSTANCE_OF"))
+    if properties is not None:
+        nodes = nodes.unionByName(properties.select("id", "name", F.lit("Property").alias("kind")).distinct())
+        loose += [link(properties, "id", "domain_iri", "HAS_DOMAIN"), link(properties, "id", "range_iri", "HAS_RANGE")]
+    relations = link(e, "ann_id", "iri", "REFERS_TO").distinct()
+    if loose:
+        relations = relations.unionByName(reduce(DataFrame.unionByName, loose).distinct().join(known.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "kind"))
+    if triples is not None:
+        named = triples.where("subject IS NOT NULL AND object IS NOT NULL")
+        relations = relations.unionByName(named.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.regexp_replace(F.upper("predicate"), " ", "_").alias("kind")).distinct())
+    return nodes, relations
 
 
 def to_rag(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -170,9 +197,36 @@ def confidence_band(c: Column) -> Column:
     return F.when(c >= 0.90, "high").when(c >= 0.60, "medium").when(c >= 0.45, "low").otherwise("weak")
 
 
+def to_tables(annotations: DataFrame, concepts: DataFrame, individuals: DataFrame | None = None, properties: DataFrame | None = None, triples: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Four flat tables, each to be written as a data set of its own."""
+    tables = {"annotations": exploded(annotations, concepts), "individuals": individuals, "properties": properties, "triples": triples}
+    return {name: df for name, df in tables.items() if df is not None}
+
+
+def to_excel(annotations: DataFrame, concepts: DataFrame, individuals: DataFrame | None = None, properties: DataFrame | None = None, triples: DataFrame | None = None) -> DataFrame:
+    """(doc_id, value): a workbook for each document, a sheet for each of the four tables that has rows for it, with the band of each confidence."""
+    books = None
+    for name, df in to_tables(annotations, concepts, individuals, properties, triples).items():
+        cols = [c for c in df.columns if c not in ("doc_id", "band")]
+        banded = df.withColumn("band", confidence_band(F.col("confidence"))) if "confidence" in cols else df
+        shown = [*cols, "band"] if "confidence" in cols else cols
+        row = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in shown])
+        first = [c for c in ("start", "end") if c in cols]
+        rows = F.transform(F.sort_array(F.collect_list(F.struct(*first, row.alias("row")))), lambda x: x["row"])
+        sheet = banded.groupBy("doc_id").agg(F.concat(F.array(F.array(*[F.lit(c) for c in shown])), rows).alias(name))
+        books = sheet if books is None else books.join(sheet, "doc_id", "full_outer")
+    names = [c for c in books.columns if c != "doc_id"]
+
+    @F.pandas_udf("binary")
+    def workbook(sheets: pd.DataFrame) -> pd.Series:
+        return pd.Series([xlsx({n: [list(r) for r in rows] for n, rows in zip(sheets.columns, book, strict=True) if rows is not None}) for book in sheets.itertuples(index=False)])
+
+    return books.select("doc_id", workbook(F.struct(*names)).alias("value"))
+
+
 EXPORTERS: dict[str, Callable] = {
-    "json": to_json_documents, "jsonld": to_jsonld, "csv": to_csv_rows, "jsonl": to_jsonl, "elasticsearch": lambda a, c: to_bulk(a), "neo4j": to_property_graph,
-    "rdf": to_ntriples, "brat": to_brat, "xml": to_xml, "rag": to_rag, "html": to_html, "parquet": lambda a, c: {"annotations": a, "concepts": c}, "excel": xlsx,
+    "json": to_json_documents, "jsonld": to_jsonld, "csv": to_csv_rows, "jsonl": to_jsonl, "elasticsearch": to_bulk, "neo4j": to_property_graph,
+    "rdf": to_ntriples, "brat": to_brat, "xml": to_xml, "rag": to_rag, "html": to_html, "parquet": to_tables, "excel": to_excel,
 }
 
 
