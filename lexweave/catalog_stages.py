@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -447,11 +451,6 @@ def x6(spark, sf_dir):
 @query("x_excel_sheets")
 def x13(spark, sf_dir):
     """Rows of each document's sheet, counted in its workbook's XML."""
-    import io
-    import zipfile
-
-    import pandas as pd
-
     from lexweave.sinks import export
 
     @F.pandas_udf("bigint")
