@@ -22,21 +22,21 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH", "WITH RECURSIVE", 1)
 
 
-def islands_sql(source: str, keys: str, order: str, carry: str) -> str:
-    """isl: rows of ``source`` with their island and their number in it by ``order``."""
-    return f"""mk1 AS (SELECT *, max("end") OVER (PARTITION BY {keys} ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
-    mk2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach <= start THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY start, "end" DESC) AS island FROM mk1),
-    isl AS (SELECT {keys}, island, start, "end", {carry}, row_number() OVER (PARTITION BY {keys}, island ORDER BY {order}) AS k FROM mk2)"""
+def islands_sql(source: str, keys: str, order: str, carry: str, tag: str = "") -> str:
+    """isl: rows of ``source`` with their island and their number in it by ``order``; ``tag`` ends the names of a second copy."""
+    return f"""mk1{tag} AS (SELECT *, max("end") OVER (PARTITION BY {keys} ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
+    mk2{tag} AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach <= start THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY start, "end" DESC) AS island FROM mk1{tag}),
+    isl{tag} AS (SELECT {keys}, island, start, "end", {carry}, row_number() OVER (PARTITION BY {keys}, island ORDER BY {order}) AS k FROM mk2{tag})"""
 
 
-def greedy_sql(keys: str) -> str:
+def greedy_sql(keys: str, tag: str = "") -> str:
     """kept: the numbers of an island's rows that overlap none kept before, row by row."""
     on = " AND ".join(f"i.{c.strip()} = r.{c.strip()}" for c in keys.split(","))
     own = ", ".join(f"r.{c.strip()}" for c in keys.split(","))
-    return f"""fold AS (SELECT {keys}, island, CAST(1 AS BIGINT) AS k, [{{'s': start, 'e': "end", 'k': k}}] AS kept FROM isl WHERE k = 1
+    return f"""fold{tag} AS (SELECT {keys}, island, CAST(1 AS BIGINT) AS k, [{{'s': start, 'e': "end", 'k': k}}] AS kept FROM isl{tag} WHERE k = 1
       UNION ALL SELECT {own}, r.island, i.k, CASE WHEN len(list_filter(r.kept, lambda x: x.s < i."end" AND i.start < x.e)) > 0 THEN r.kept ELSE list_append(r.kept, {{'s': i.start, 'e': i."end", 'k': i.k}}) END
-        FROM fold r JOIN isl i ON {on} AND i.island = r.island AND i.k = r.k + 1),
-    kept AS (SELECT {keys}, island, unnest(list_transform(arg_max(kept, k), lambda x: x.k)) AS k FROM fold GROUP BY {keys}, island)"""
+        FROM fold{tag} r JOIN isl{tag} i ON {on} AND i.island = r.island AND i.k = r.k + 1),
+    kept{tag} AS (SELECT {keys}, island, unnest(list_transform(arg_max(kept, k), lambda x: x.k)) AS k FROM fold{tag} GROUP BY {keys}, island)"""
 
 
 LABEL_ALL = "al AS (SELECT label_key, iri, label_type FROM (SELECT *, row_number() OVER (PARTITION BY label_key, iri ORDER BY type_rank, ord) AS n FROM rows) WHERE n = 1)"
@@ -58,15 +58,19 @@ def m11(spark, sf_dir):
     return match.same_iri_spans(spans).drop("n_absorbed")
 
 
-#: Of crossing spans the longer takes the slot of the first kept one that it crosses; equal ones stay once, nested ones all.
-RESOLVE = islands_sql("hits", "doc_id", 'start, "end" DESC, label_key', "label_key") + """,
-    fold AS (SELECT doc_id, island, CAST(1 AS BIGINT) AS k, [{'s': start, 'e': "end", 'k': k}] AS kept FROM isl WHERE k = 1
-      UNION ALL SELECT r.doc_id, r.island, i.k, CASE WHEN r.at IS NULL THEN list_append(r.kept, {'s': i.start, 'e': i."end", 'k': i.k})
-          WHEN i."end" - i.start > r.kept[r.at].e - r.kept[r.at].s THEN list_concat(list_append(r.kept[1:r.at - 1], {'s': i.start, 'e': i."end", 'k': i.k}), r.kept[r.at + 1:]) ELSE r.kept END
+def resolve_sql(tag: str = "") -> str:
+    """resolved: of crossing spans of ``hits`` the longer takes the slot of the first kept one that it crosses; equal ones stay once, nested ones all."""
+    return islands_sql(f"hits{tag}", "doc_id", 'start, "end" DESC, label_key', "label_key", tag) + f""",
+    fold{tag} AS (SELECT doc_id, island, CAST(1 AS BIGINT) AS k, [{{'s': start, 'e': "end", 'k': k}}] AS kept FROM isl{tag} WHERE k = 1
+      UNION ALL SELECT r.doc_id, r.island, i.k, CASE WHEN r.at IS NULL THEN list_append(r.kept, {{'s': i.start, 'e': i."end", 'k': i.k}})
+          WHEN i."end" - i.start > r.kept[r.at].e - r.kept[r.at].s THEN list_concat(list_append(r.kept[1:r.at - 1], {{'s': i.start, 'e': i."end", 'k': i.k}}), r.kept[r.at + 1:]) ELSE r.kept END
         FROM (SELECT f.*, j.k AS nk, list_position(list_transform(f.kept, lambda x: x.s < j."end" AND j.start < x.e AND ((x.s = j.start AND x.e = j."end") OR NOT ((j.start >= x.s AND j."end" <= x.e) OR (x.s >= j.start AND x.e <= j."end")))), true) AS at
-              FROM fold f JOIN isl j ON j.doc_id = f.doc_id AND j.island = f.island AND j.k = f.k + 1) r
-        JOIN isl i ON i.doc_id = r.doc_id AND i.island = r.island AND i.k = r.nk),
-    resolved AS (SELECT i.doc_id, i.start, i."end", i.label_key FROM (SELECT doc_id, island, unnest(list_transform(arg_max(kept, k), lambda x: x.k)) AS k FROM fold GROUP BY doc_id, island) q JOIN isl i USING (doc_id, island, k))"""
+              FROM fold{tag} f JOIN isl{tag} j ON j.doc_id = f.doc_id AND j.island = f.island AND j.k = f.k + 1) r
+        JOIN isl{tag} i ON i.doc_id = r.doc_id AND i.island = r.island AND i.k = r.nk),
+    resolved{tag} AS (SELECT i.doc_id, i.start, i."end", i.label_key FROM (SELECT doc_id, island, unnest(list_transform(arg_max(kept, k), lambda x: x.k)) AS k FROM fold{tag} GROUP BY doc_id, island) q JOIN isl{tag} i USING (doc_id, island, k))"""
+
+
+RESOLVE = resolve_sql()
 
 C.SQL["m2_overlaps"] = recursive(onto("concepts", "labels_in") + f', {C.LABEL_ROWS}, {C.TOKENS}, {RESOLVE} SELECT doc_id, start, "end", label_key FROM resolved')
 C.SQL["flagship"] = recursive(

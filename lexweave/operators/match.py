@@ -88,31 +88,76 @@ def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return placed.select("doc_id", "i", "start", F.substring_index("piece", "\u0002", 1).alias("token"), F.substring_index("piece", "\u0002", -1).alias("gap"), "ahead")
 
 
-def match_anchor(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The same for labels (label_key) of any length, by an equi-join on the first token; labels without a token go to the automaton."""
-    known = labels.select("label_key").where("label_key <> ''").distinct()
-    words = F.regexp_extract_all("label_key", F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    keyed = known.select("label_key", words.alias("words"), F.regexp_extract("label_key", r"^[^\p{L}\p{N}_]*", 0).alias("head"), F.length("label_key").alias("size"))
-    bare = keyed.where(F.size("words") == 0)
-    keyed = keyed.where(F.size("words") > 0).withColumn("token", F.col("words")[0])
-    most_words = keyed.agg(F.coalesce(F.max(F.size("words")), F.lit(1))).first()[0]
-    t = tokens(docs)
+#: Words of a label that are compared with what follows its first token; those of longer labels are met one by one.
+NEAR = 4
+WORD = r"[\p{L}\p{N}_]"
+
+
+def label_words(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label_key, head, words, gaps, tail, token): distinct labels taken apart; those without a word have no ``token``."""
+    known = labels.select(*keys, "label_key").where("label_key <> ''").distinct()
+    words, gaps = F.regexp_extract_all("label_key", F.lit(f"({WORD}+)"), 1), F.regexp_extract_all("body", F.lit(rf"([^\p{{L}}\p{{N}}_]+)"), 1)
+    cut = known.withColumns({"words": words, "head": F.regexp_extract("label_key", r"^[^\p{L}\p{N}_]*", 0)})
+    cut = cut.withColumn("body", F.substring(F.col("label_key"), F.length("head") + 1, F.length("label_key"))).withColumn("gaps", gaps)
+    tail = F.when(F.size("gaps") == F.size("words"), F.element_at("gaps", -1)).otherwise("")
+    return cut.select(*keys, "label_key", "head", "words", "gaps", F.when(F.size("words") > 0, tail).otherwise("").alias("tail"), F.get("words", F.lit(0)).alias("token"))
+
+
+def anchored(t: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """(doc_id, start, end, label_key): tokens ``t`` met with labels (from ``label_words``) by the first word, and by ``on`` besides.
+
+    Up to NEAR words are compared with the text that follows; what is left of longer labels is joined word by word, for the few that came so far.
+    """
     order = Window.partitionBy("doc_id").orderBy("i")
-    # A token more than the longest label has, so that what follows its last one is seen.
     gap, token = (lambda k: F.coalesce(F.lead("gap", k).over(order), F.lit(""))), (lambda k: F.coalesce(F.lead("token", k).over(order), F.lit("")))
-    follow = F.concat(F.col("token"), *[F.concat(gap(k - 1), token(k)) for k in range(1, most_words + 1)])
-    t = t.select("doc_id", "i", "start", "token", "ahead", F.concat(follow, F.lit("\u0003")).alias("context"))
-    met = t.join(keyed, "token").where(F.concat("head", "context").startswith(F.col("label_key")) & F.col("ahead").endswith(F.col("head")))
+    follow = F.concat(F.col("token"), *[F.concat(gap(k - 1), token(k)) for k in range(1, NEAR + 1)])
+    near = t.select("doc_id", "i", "start", "token", "ahead", F.concat(follow, F.lit("\u0003")).alias("context"))
+    begins = F.concat("head", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(NEAR - 1)), lambda k: F.concat(F.get("words", k), F.get("gaps", k))), ""))
+    asked = known.where("token IS NOT NULL").withColumns({"n_words": F.size("words"), "begins": F.when(F.size("words") > NEAR, begins).otherwise(F.col("label_key"))})
+    met = near.join(asked, on).where(F.concat("head", "context").startswith(F.col("begins")) & F.col("ahead").endswith(F.col("head")))
     # No token may end right before the label, none go on right after it.
     met = met.where((F.col("head") == "") | (F.col("i") == 1) | (F.length("ahead") > F.length("head")))
-    lead = F.length("head")
-    after = F.substring(F.col("context"), F.col("size") - lead + 1, F.lit(1))
-    first = (F.col("start") - lead).cast("int")
-    found = met.where(~after.rlike(r"[\p{L}\p{N}_]")).select("doc_id", first.alias("start"), (first + F.col("size")).cast("int").alias("end"), "label_key")
-    rest = [r[0] for r in bare.select("label_key").collect()]
+    size, first = F.length("label_key"), (F.col("start") - F.length("head")).cast("int")
+    after = F.substring(F.col("context"), size - F.length("head") + 1, F.lit(1))
+    short = met.where((F.col("n_words") <= NEAR) & ~after.rlike(WORD)).select("doc_id", first.alias("start"), (first + size).cast("int").alias("end"), "label_key")
+    long = met.where(F.col("n_words") > NEAR)
+    more = long.select("doc_id", "start", "head", "label_key", "tail", "n_words", F.col("i").alias("_i"), F.col("gaps").alias("_gaps"), F.posexplode(F.slice("words", NEAR + 1, F.size("words"))).alias("_k", "token"))
+    more = more.withColumns({"i": F.col("_i") + F.col("_k") + NEAR, "_gap": F.get("_gaps", F.col("_k") + NEAR), "_last": F.col("_k") + NEAR + 1 == F.col("n_words")})
+    ended = t.select("doc_id", "i", "token", "gap", F.lead("i").over(order).isNull().alias("_end"))
+    fits = F.when(F.col("_last"), F.col("gap").startswith(F.col("tail")) & ((F.col("tail") == "") | (F.col("gap") != F.col("tail")) | F.col("_end"))).otherwise(F.col("gap") == F.col("_gap"))
+    whole = more.join(ended, ["doc_id", "i", "token"]).where(fits).groupBy("doc_id", "_i", "start", "head", "label_key", "n_words").agg(F.count("*").alias("_n")).where(F.col("_n") == F.col("n_words") - NEAR)
+    return short.unionByName(whole.select("doc_id", first.alias("start"), (first + size).cast("int").alias("end"), "label_key"))
+
+
+def match_anchor(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same for labels (label_key) of any length, by an equi-join on the first token; labels without a token go to the automaton."""
+    known = label_words(labels, [])
+    found = anchored(tokens(docs), known, ["token"])
+    rest = [r[0] for r in known.where("token IS NULL").select("label_key").collect()]
     return found.unionByName(match_automaton(docs, rest)) if rest else found
 
 
+def match_by_document(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, start, end, label_key): occurrences in each document of the labels that ``patterns`` (doc_id, label_key) has for it.
+
+    An equi-join on document and first word: its size grows with the documents' own patterns, not with all of them. Labels
+    without a word, few and bounded by a document's patterns, are searched in the text.
+    """
+    known = label_words(patterns, ["doc_id"])
+    found = anchored(tokens(docs), known, ["doc_id", "token"])
+    bare = known.where("token IS NULL").groupBy("doc_id").agg(F.collect_set("label_key").alias("labels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text, labels in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "labels")], strict=True):
+                rows += [(doc, a, b, v) for a, b, v in Finder(sorted(labels)).hits((text or "").lower())]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["doc_id", "start", "end", "label_key"])
+
+    return found.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(bare, "doc_id").mapInArrow(run, MATCHES))
+
+
 def match(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Choose the form by the checked size of the dictionary."""
     size = labels.agg(F.coalesce(F.sum(F.octet_length("label_key")), F.lit(0))).first()[0]

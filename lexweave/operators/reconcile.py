@@ -56,6 +56,21 @@ def next_state(category: Column, state: Column) -> Column:
     return F.when(category.isin("both_agree", "conflict_resolved"), "confirmed").when(category.isNull(), "rejected").otherwise(state)
 
 
+def annotation_states(annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """``annotations`` (doc_id, text, iri, state, ...) with the state that reconciliation (doc_id, text, iri, category) gives the preliminary ones.
+
+    Text and concept decide; an annotation without a concept goes by its text alone, where an agreed or settled category counts before others.
+    """
+    key = categories.select("doc_id", F.lower("text").alias("_t"), F.coalesce("iri", F.lit("")).alias("_i"), "category")
+    strong = F.col("category").isin("both_agree", "conflict_resolved")
+    exact = key.groupBy("doc_id", "_t", "_i").agg(F.min_by("category", F.struct(~strong, "category")).alias("_exact"))
+    loose = key.groupBy("doc_id", "_t").agg(F.min_by("category", F.struct(~strong, "category")).alias("_loose")).withColumn("_i", F.lit(""))
+    own = annotations.withColumns({"_t": F.lower("text"), "_i": F.coalesce("iri", F.lit(""))})
+    met = own.join(exact, ["doc_id", "_t", "_i"], "left").join(loose, ["doc_id", "_t", "_i"], "left")
+    state = F.when(F.col("state") == "preliminary", next_state(F.coalesce("_exact", "_loose"), F.col("state"))).otherwise(F.col("state"))
+    return met.withColumn("state", state).drop("_t", "_i", "_exact", "_loose")
+
+
 def pos_penalty(confidence: Column, text: Column, match_type: Column, majority: Column) -> tuple[Column, Column]:
     """(confidence, rejected) of single alternative labels that are tagged as verbs or adverbs."""
     hit = ~text.contains(" ") & (match_type == "alternative") & majority.isin("VERB", "ADV")
