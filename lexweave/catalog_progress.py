@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave import catalog as C
 from lexweave import catalog_stages as S
-from lexweave.operators import document_patterns, match, ontology, ruler
+from lexweave.operators import document_patterns, match, ontology, ruler, vector_index
 from lexweave.sources.shared import fresh_dir
 from lexweave.streaming import progressive
 
@@ -135,3 +135,48 @@ def k2(spark, sf_dir):
     progressive.start(docs, base, f"{base}/checkpoint", stages(spark)).awaitTermination()
     shown = [progressive.table(spark, base, s).selectExpr(f"'{s}' AS stage", *SHOWN) for s in ("preliminary", "states", "annotations")]
     return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
+# --- vector index -------------------------------------------------------------------------------------
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, DataFrame]:
+    """An index of all vectors, and the queries: every vector whose id is divisible by 100."""
+    path, v = fresh_dir(spark, "index"), read(spark, sf_dir, "embeddings")
+    vector_index.build(v, path)
+    return vector_index.VectorIndex(spark, path), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("v2_index_exact", C.SQL["v2_top_k"])
+def v2_index(spark, sf_dir):
+    index, asked = indexed(spark, sf_dir)
+    return index.search(asked, 5, exact=True)
+
+
+FILTERED = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+    s AS (SELECT query_id, v.vec_id, round(list_dot_product(q.e, v.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings v WHERE v.label = 3)
+    SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+@query("v4_index_filtered", FILTERED)
+def v4_index(spark, sf_dir):
+    """A filter that few of the best pass: it works inside the probe, and twenty rows come for every query."""
+    index, asked = indexed(spark, sf_dir)
+    return index.search(asked, 20, where=F.col("label") == 3, exact=True)
+
+
+@query("v4_filtered", FILTERED)
+def v4_filtered(spark, sf_dir):
+    from lexweave.operators import vectors
+
+    v = read(spark, sf_dir, "embeddings")
+    return vectors.top_k_in_branch(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 20, F.col("label") == 3)
+
+
+@query("v2_index_recall", "SELECT count(*) AS n_queries, 5 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def v2_recall(spark, sf_dir):
+    """Rows of the exact answer that the first pass finds: at least 95 in a hundred."""
+    index, asked = indexed(spark, sf_dir)
+    exact, near = index.search(asked, 5, exact=True), index.search(asked, 5)
+    met = exact.join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return met.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.95 * F.count("*")).alias("enough"))

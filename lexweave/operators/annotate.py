@@ -86,12 +86,12 @@ def semantic_candidates(docs: DataFrame, known: DataFrame, low: int = 2, high: i
 def semantic_matches(candidates: DataFrame, labels: DataFrame, least: float = 0.80, stop: tuple[str, ...] = ()) -> DataFrame:
     """Candidate runs (doc_id, start, end, gram) with the most similar label (label_key, iri) of at least ``least``, by hashed trigram vectors.
 
-    Runs of stop words alone are skipped. Distinct runs are compared once; the labels are carried to executors in blocks.
+    Runs of stop words alone are skipped. Distinct runs are compared once, by an index of the labels.
     """
-    from lexweave.operators import vectors
+    from lexweave.operators import vector_index
 
     some = candidates.where(F.size(F.filter(F.split("gram", " "), lambda w: ~w.isin(*stop))) > 0) if stop else candidates
-    best = vectors.nearest(some.select(F.col("gram").alias("key")).distinct(), labels.select(F.col("label_key").alias("label")).distinct(), least)
+    best = vector_index.nearest(some.select(F.col("gram").alias("key")).distinct(), labels.select(F.col("label_key").alias("label")).distinct(), least)
     return some.join(best.withColumnRenamed("key", "gram"), "gram").join(labels.withColumnRenamed("label_key", "label"), "label").select("doc_id", "start", "end", "gram", "label", "iri", "similarity")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +13,6 @@ from pyspark.sql.window import Window
 
 #: Queries that one pass over the vectors carries.
 QUERY_BLOCK = 4096
-#: Dictionary vectors that one pass carries.
-KNOWN_BLOCK = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -75,37 +72,9 @@ def trigram_vectors(texts: list[str], size: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def nearest(rows: DataFrame, known: DataFrame, least: float, embed: Callable[[list[str]], np.ndarray] = trigram_vectors) -> DataFrame:
-    """(key, label, similarity): for each text (key) the most similar of ``known`` (label), if it reaches ``least``; ties go to the first label.
-
-    ``embed`` gives unit vectors of texts. ``known`` is a dictionary; it is carried to executors in blocks of about KNOWN_BLOCK labels.
-    """
-    spark = rows.sparkSession
-    blocks = max(1, -(-known.count() // KNOWN_BLOCK))
-    parts = []
-    for k in range(blocks):
-        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(sorted(r.label for r in part.collect()))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matrix = embed(held.value).T if held.value else None
-            for batch in batches:
-                if batch.num_rows and matrix is not None:
-                    s = np.round(embed(batch.column("key").to_pylist()) @ matrix, 6)
-                    top = s.argmax(1)
-                    keep = np.flatnonzero(s[np.arange(len(s)), top] >= least)
-                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keep)), pa.array([held.value[i] for i in top[keep]], pa.string()), pa.array(s[keep, top[keep]])], ["key", "label", "similarity"])
-
-        parts.append(rows.select("key").mapInArrow(run, "key string, label string, similarity double"))
-    best = reduce(DataFrame.unionByName, parts)
-    return best if blocks == 1 else best.groupBy("key").agg(F.min_by("label", F.struct((-F.col("similarity")).alias("s"), "label")).alias("label"), F.max("similarity").alias("similarity"))
-
-
-def top_k_in_branch(vectors: DataFrame, queries: DataFrame, k: int, branch: Column, widen: int = 5) -> DataFrame:
-    """Top ``k`` of the ``widen * k`` best that pass the filter ``branch`` over vectors' columns."""
-    wide = top_k(vectors, queries, k * widen).join(vectors.where(branch).select("vec_id"), "vec_id")
-    w = Window.partitionBy("query_id").orderBy("rank")
-    return wide.select("query_id", "vec_id", "similarity", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+def top_k_in_branch(vectors: DataFrame, queries: DataFrame, k: int, branch: Column) -> DataFrame:
+    """Top ``k`` of the vectors that pass the filter ``branch`` over their columns: filtered first, so k rows come wherever k pass."""
+    return top_k(vectors.where(branch), queries, k)
 
 
 def hashed_vector(c: Column, size: int = 64) -> Column:
