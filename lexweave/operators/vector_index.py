@@ -144,6 +144,8 @@ class VectorIndex:
         return asked.mapInArrow(choose, "query_id bigint, _q array<double>, cell int, groups bigint")
 
     def _pass(self, probes: DataFrame, k: int, where: Column | None) -> DataFrame:
+        if not len(self.cells):  # an index of no vectors
+            return self.spark.createDataFrame([], "query_id bigint, vec_id bigint, similarity double")
         stored = self.spark.read.parquet(f"{self.path}/vectors")
         stored = stored.where(where) if where is not None else stored
         sizes = self.spark.createDataFrame([(int(c), int(g)) for c, g in zip(self.cells, self.groups, strict=True)], "cell int, groups long")
