@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexweave import catalog as C
 from lexweave import catalog_stages as S
 from lexweave.operators import document_patterns, match, ontology, ruler, vector_index
+from lexweave.sources import annotation_table
 from lexweave.sources.shared import fresh_dir
 from lexweave.streaming import progressive
 
@@ -180,3 +181,56 @@ def v2_recall(spark, sf_dir):
     exact, near = index.search(asked, 5, exact=True), index.search(asked, 5)
     met = exact.join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
     return met.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.95 * F.count("*")).alias("enough"))
+
+
+# --- versioned annotations ----------------------------------------------------------------------------
+
+GIVEN_SQL = """ini AS (SELECT DISTINCT 'a' || user_id AS ann_id, ['lex:p' || (user_id % 5), 'lex:q' || (user_id % 7), 'lex:r' || (user_id % 3)] AS c, CASE WHEN user_id % 4 = 0 THEN 'preliminary' ELSE 'confirmed' END AS state FROM events),
+    act AS (SELECT CASE WHEN user_id % 11 = 0 THEN 'zz' ELSE 'a' END || user_id AS ann_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'reject' WHEN 'purchase' THEN 'restore' ELSE 'promote' END AS action, CAST(floor(value) AS INTEGER) % 5 AS k FROM events)"""
+
+
+def given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An annotation for each user, and a change for each event; some are of annotations that are not there, some of ranks that are not."""
+    e, u = read(spark, sf_dir, "events"), F.col("user_id")
+    first = e.select(F.concat(F.lit("a"), u).alias("ann_id"), F.array(*[F.concat(F.lit(f"lex:{c}"), u % m) for c, m in (("p", 5), ("q", 7), ("r", 3))]).alias("concepts"), F.when(u % 4 == 0, "preliminary").otherwise("confirmed").alias("state"), F.lit(None).cast("long").alias("dismissed_seq")).distinct()
+    action = F.when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "purchase", "restore").otherwise("promote")
+    return first, e.select(F.col("event_id").alias("seq"), F.concat(F.when(u % 11 == 0, "zz").otherwise("a"), u).alias("ann_id"), action.alias("action"), (F.floor("value").cast("int") % 5).alias("k"))
+
+
+REPLAY_SQL = S.recursive(f"""WITH {GIVEN_SQL}, num AS (SELECT *, row_number() OVER (PARTITION BY ann_id ORDER BY seq) AS n FROM act),
+    fold AS (SELECT ann_id, c, state, CAST(NULL AS BIGINT) AS dismissed, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, '' AS action, '' AS outcome FROM ini
+      UNION ALL SELECT f.ann_id, CASE WHEN a.action = 'promote' AND a.k BETWEEN 1 AND 2 THEN [CASE WHEN i = 1 THEN f.c[a.k + 1] WHEN i = a.k + 1 THEN f.c[1] ELSE f.c[i] END for i in [1, 2, 3]] ELSE f.c END,
+        CASE WHEN a.action = 'reject' THEN 'rejected' WHEN a.action = 'restore' AND f.state = 'rejected' THEN 'confirmed' ELSE f.state END,
+        CASE WHEN a.action = 'reject' AND f.state <> 'rejected' THEN a.seq WHEN a.action = 'restore' AND f.state = 'rejected' THEN NULL ELSE f.dismissed END, a.n, a.seq, a.action,
+        CASE a.action WHEN 'promote' THEN CASE WHEN a.k > 2 THEN 'bad_index' WHEN a.k = 0 THEN 'already_primary' ELSE 'promoted' END
+          WHEN 'reject' THEN CASE WHEN f.state = 'rejected' THEN 'already_rejected' ELSE 'rejected' END ELSE CASE WHEN f.state = 'rejected' THEN 'restored' ELSE 'not_rejected' END END
+      FROM fold f JOIN num a ON a.ann_id = f.ann_id AND a.n = f.n + 1)""")
+
+
+@query("l1_replay", REPLAY_SQL + """ SELECT ann_id, array_to_string(arg_max(c, n), ' ') AS concepts, arg_max(state, n) AS state, coalesce(arg_max(coalesce(dismissed, -1), n), -1) AS dismissed_seq FROM fold GROUP BY ann_id""")
+def l1_replay(spark, sf_dir):
+    """All changes of all events in two commits; the rows after them."""
+    base, (first, changes) = fresh_dir(spark, "annotations"), given(spark, sf_dir)
+    annotation_table.create(spark, base, first)
+    half = changes.agg(F.expr("max(seq) div 2")).first()[0]
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        annotation_table.change(spark, base, lambda rows, part=part: changes.where(part))
+    return annotation_table.read(spark, base).select("ann_id", F.array_join("concepts", " ").alias("concepts"), "state", F.coalesce("dismissed_seq", F.lit(-1)).alias("dismissed_seq"))
+
+
+@query("l3_outcomes", REPLAY_SQL + " SELECT seq, ann_id, action, outcome FROM fold WHERE n > 0 UNION ALL SELECT seq, ann_id, action, 'not_found' FROM act ANTI JOIN ini USING (ann_id)")
+def l3_outcomes(spark, sf_dir):
+    base, (first, changes) = fresh_dir(spark, "annotations"), given(spark, sf_dir)
+    annotation_table.create(spark, base, first)
+    annotation_table.change(spark, base, lambda rows: changes)
+    return annotation_table.outcomes(spark, base).select("seq", "ann_id", "action", "outcome")
+
+
+@query("l2_cascade_then_bulk", f"""WITH {GIVEN_SQL}, pro AS (SELECT ann_id, CASE WHEN c[1] = 'lex:p3' AND list_contains(c[2:], 'lex:q2') THEN [c[2], c[1], c[3]] ELSE c END AS c, state FROM ini)
+    SELECT ann_id, array_to_string(c, ' ') AS concepts, CASE WHEN c[1] = 'lex:q2' THEN 'rejected' ELSE state END AS state FROM pro""")
+def l2_cascade(spark, sf_dir):
+    base, (first, _) = fresh_dir(spark, "annotations"), given(spark, sf_dir)
+    annotation_table.create(spark, base, first)
+    annotation_table.change(spark, base, annotation_table.promote_everywhere("lex:p3", "lex:q2", 1))
+    annotation_table.change(spark, base, annotation_table.reject_everywhere("lex:q2", 2))
+    return annotation_table.read(spark, base).select("ann_id", F.array_join("concepts", " ").alias("concepts"), "state")

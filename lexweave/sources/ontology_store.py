@@ -1,16 +1,20 @@
 """Versions of the ontology's tables in a shared folder, with a log that names the current one.
 
-A version is written before the log names it, so a job that dies leaves the version before it in force.
+A version is written before the log names it, so a job that dies leaves the version before it in force. An entry of the log
+is created only if it is absent: of two publishers one is first, the other looks again and comes after it.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG = "n bigint, version string, action string"
+from lexweave.sources import commit_log
+
+TRIES = 20
 
 
 def content_version(tables: dict[str, DataFrame]) -> str:
@@ -23,9 +27,8 @@ def content_version(tables: dict[str, DataFrame]) -> str:
 
 
 def log(spark: SparkSession, base: str) -> list[tuple[int, str, str]]:
-    """Entries of the log in order: one for each publication or rollback."""
-    spark.createDataFrame([], LOG).write.mode("append").parquet(f"{base}/log")  # the first call makes it
-    return [tuple(r) for r in spark.read.schema(LOG).parquet(f"{base}/log").orderBy("n").collect()]
+    """Entries of the log in order: one for each publication or rollback. Reading writes nothing."""
+    return [(n, e["version"], e["action"]) for n, e in commit_log.entries(spark, base)]
 
 
 def current(spark: SparkSession, base: str) -> str | None:
@@ -33,9 +36,19 @@ def current(spark: SparkSession, base: str) -> str | None:
     return entries[-1][1] if entries else None
 
 
-def _name(spark: SparkSession, base: str, version: str, action: str) -> str:
-    spark.createDataFrame([(len(log(spark, base)), version, action)], LOG).coalesce(1).write.mode("append").parquet(f"{base}/log")
-    return version
+def _append(spark: SparkSession, base: str, action: str, decide: Callable[[list[tuple[int, str, str]]], str]) -> str:
+    """The version that ``decide`` picks from the log, named by the log; decided anew where another writer was first."""
+    for _ in range(TRIES):
+        entries = log(spark, base)
+        version = decide(entries)
+        if action == "publish" and entries and entries[-1][1] == version:
+            return version
+        try:
+            commit_log.append(spark, base, entries[-1][0] + 1 if entries else 0, {"version": version, "action": action})
+            return version
+        except commit_log.Conflict:
+            continue
+    raise commit_log.Conflict(f"{base} has changed {TRIES} times")
 
 
 def publish(spark: SparkSession, base: str, tables: dict[str, DataFrame]) -> str:
@@ -45,18 +58,22 @@ def publish(spark: SparkSession, base: str, tables: dict[str, DataFrame]) -> str
     version = content_version(tables)
     if version == current(spark, base):
         return version
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base}/version={version}/{name}")
-    return _name(spark, base, version, "publish")
+    if version not in {v for _, v, _ in log(spark, base)}:  # what the log names is whole, and may be read right now
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{base}/version={version}/{name}")
+    return _append(spark, base, "publish", lambda entries: version)
 
 
 def rollback(spark: SparkSession, base: str) -> str:
     """The version before the current one, in force again; a second rollback returns to the later one."""
-    entries = log(spark, base)
-    earlier = [v for _, v, _ in entries if v != entries[-1][1]]
-    if not earlier:
-        raise ValueError("no earlier version")
-    return _name(spark, base, earlier[-1], "rollback")
+
+    def earlier(entries: list[tuple[int, str, str]]) -> str:
+        found = [v for _, v, _ in entries if v != entries[-1][1]]
+        if not found:
+            raise ValueError("no earlier version")
+        return found[-1]
+
+    return _append(spark, base, "rollback", earlier)
 
 
 def load(spark: SparkSession, base: str, name: str, version: str | None = None) -> DataFrame:
