@@ -10,7 +10,7 @@ from lexweave import catalog_stages as S
 from lexweave.operators import document_patterns, match, ontology, ruler, vector_index
 from lexweave.sources import annotation_table
 from lexweave.sources.shared import fresh_dir
-from lexweave.streaming import progressive
+from lexweave.streaming import job_state, progressive
 
 query, read, onto, tables, labels = C.query, C.read, C.onto, C.tables, C.labels
 
@@ -234,3 +234,20 @@ def l2_cascade(spark, sf_dir):
     annotation_table.change(spark, base, annotation_table.promote_everywhere("lex:p3", "lex:q2", 1))
     annotation_table.change(spark, base, annotation_table.reject_everywhere("lex:q2", 2))
     return annotation_table.read(spark, base).select("ann_id", F.array_join("concepts", " ").alias("concepts"), "state")
+
+
+# --- job state on a stream ----------------------------------------------------------------------------
+
+
+@query("k4_retention_stream", C.SQL["s13_job_sweep"])
+def k4(spark, sf_dir):
+    """The sweep by timers: a stream of the jobs' changes, and their states when it has come to the last event's time."""
+    base, shape = fresh_dir(spark, "retention"), read(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(shape).parquet(f"{sf_dir}/events.parque[t]")
+    status = F.when(F.col("event_type") == "click", "enriching").when(F.col("event_type") == "view", "completed").otherwise("pending")
+    jobs = e.select(F.concat(F.lit("j"), "user_id", F.lit("-"), "event_type").alias("job_id"), status.alias("status"), F.col("ts").alias("updated_at"))
+    with job_state.rocks_store(spark):
+        out = job_state.retention_stream(jobs, 30, 10).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("job_id string, status string, at_ms bigint").parquet(f"{base}/out")
+    return rows.groupBy("job_id").agg(F.max_by("status", F.struct("at_ms", "status")).alias("status")).where("status <> 'expired'")
