@@ -252,6 +252,7 @@ def test_html_marks():
     assert text('<article><p>Text.</p><div class="related-posts"><p>no</p></div></article><div class="comments"><article><p>reader</p></article></div>') == "Text."
     assert text("<p>a<b>b<p>c</b>d</i></td>e") == "ab\ncde"
     assert text('<p>one <span class="ad">buy</span>two</p><p hidden>no</p><p style="display: none">no</p>') == "one two"
+    assert text('<article><p>We <a class="share-link">quote</a> it</p><span class="share">Share</span></article>') == "We quote it"
     assert text("<ul><li>x<ul><li>y</ul><li>z</ul><table><tr><td>1<td><p>2<tr><td>3</table>") == "x\ny\nz\n1\n2\n3"
 
 
@@ -260,7 +261,8 @@ def test_html_in_linear_time(page):
     import time
 
     began = time.time()
-    html_text.Page(page).text({1})
+    read = html_text.Page(page)
+    read.text(read.cut({1})[0])
     assert time.time() - began < 3
 
 
