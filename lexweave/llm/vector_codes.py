@@ -41,7 +41,8 @@ def _parts(batch: pa.RecordBatch, scale: int, codebooks: np.ndarray) -> np.ndarr
 
 def first_codebooks(rows: DataFrame, id_col: str, scale: int, parts: int, entries: int, size: int) -> np.ndarray:
     """(parts, entries, size): the parts of the vectors of the smallest ids; of a repeated id the smallest vector counts."""
-    heads = rows.groupBy(id_col).agg(F.min("_vector").alias("_vector")).orderBy(id_col).limit(entries).orderBy(id_col).select("_vector").toArrow()
+    first = [r[0] for r in rows.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(id_col).limit(entries).collect()]  # ids are shuffled, not vectors
+    heads = rows.where(F.col(id_col).isin(first)).groupBy(id_col).agg(F.min("_vector").alias("_vector")).orderBy(id_col).select("_vector").toArrow()
     return np.ascontiguousarray(integers(heads.column("_vector"), scale, parts * size).reshape(-1, parts, size).transpose(1, 0, 2))
 
 
@@ -100,7 +101,7 @@ def compress(
 ) -> tuple[DataFrame, np.ndarray]:
     """((id, label, code, error), codebooks): every usable vector coded by codebooks fitted on all of them.
 
-    Null vectors and those with null or non-finite components are dropped; null ids and labels are values like others. The
+    Null vectors and those with null or non-finite components are dropped; null ids start no entry, null labels are values like others. The
     length of the longest vector, rounded up to a multiple of ``parts``, is cut; components missing from shorter ones count as
     zero. Fewer ids than ``entries``: so many entries. Repeated rows count and are coded each. An empty table: no rows.
     Columns that are not named are not read. A component beyond 2**26 after scaling raises ArithmeticError.
