@@ -7,7 +7,6 @@ that only one machine sees: scratch tables go below ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -38,11 +37,10 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 64 << 20) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; where unset the warehouse, or a local one in local mode."""
+    """The folder that driver and executors share, as the session names it; where unset one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        found = tempfile.mkdtemp(prefix="lexweave-checkpoint-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexweave-checkpoint"
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexweave-checkpoint"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
