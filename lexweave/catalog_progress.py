@@ -251,3 +251,17 @@ def k4(spark, sf_dir):
         out.trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema("job_id string, status string, at_ms bigint").parquet(f"{base}/out")
     return rows.groupBy("job_id").agg(F.max_by("status", F.struct("at_ms", "status")).alias("status")).where("status <> 'expired'")
+
+
+# --- labels of the given tables -----------------------------------------------------------------------
+
+
+@query("o7_part_prefixes", """WITH l AS (SELECT DISTINCT lower(concat_ws(' ', p_name, p_name, p_name, p_name, p_name, p_name)) AS label_key, 'part:' || p_partkey AS iri FROM part),
+    q AS (SELECT DISTINCT left(label_key, 5) AS query FROM l UNION SELECT left(label_key, 66) FROM l)
+    SELECT query, count(*) AS n_labels, min(iri) AS first_iri FROM q JOIN l ON starts_with(l.label_key, trim(q.query)) GROUP BY query""")
+def o7_part(spark, sf_dir):
+    """Names of parts as long labels; their first 5 and first 66 characters as queries."""
+    name = F.lower(F.concat_ws(" ", *["p_name"] * 6))
+    rows = read(spark, sf_dir, "part").select(name.alias("label_key"), F.concat(F.lit("part:"), "p_partkey").alias("iri")).distinct()
+    asked = rows.select(F.substring("label_key", 1, 5).alias("query")).union(rows.select(F.substring("label_key", 1, 66).alias("query"))).distinct()
+    return ontology.by_prefix(asked, rows).groupBy("query").agg(F.count("*").alias("n_labels"), F.min("iri").alias("first_iri"))

@@ -97,12 +97,16 @@ def by_label(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return asked.join(rows.select("label_key", "iri").distinct(), "label_key").select("query", "iri").distinct()
 
 
-def by_prefix(queries: DataFrame, rows: DataFrame, longest: int = 64) -> DataFrame:
-    """(query, label_key, iri) of the labels that begin with the query (of up to ``longest`` characters), by an equi-join on prefixes."""
-    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("label_key"), F.lit(longest))), lambda n: F.substring("label_key", F.lit(1), n))
+#: Characters by which a query meets the labels that begin with it.
+PREFIX_KEY = 64
+
+
+def by_prefix(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, label_key, iri) of the labels that begin with the query, of any length: an equi-join on its first characters, then the whole query is compared."""
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("label_key"), F.lit(PREFIX_KEY))), lambda n: F.substring("label_key", F.lit(1), n))
     known = rows.where("label_key <> ''").select("label_key", "iri").distinct().select("label_key", "iri", F.explode(starts).alias("start"))
-    asked = queries.select("query", F.lower(F.trim("query")).alias("start")).distinct()
-    return asked.join(known, "start").select("query", "label_key", "iri")
+    asked = queries.select("query", F.lower(F.trim("query")).alias("whole")).distinct().withColumn("start", F.substring("whole", 1, PREFIX_KEY))
+    return asked.join(known, "start").where(F.col("label_key").startswith(F.col("whole"))).select("query", "label_key", "iri")
 
 
 def batch_detail(detail: DataFrame, iris: DataFrame, most: int = 100) -> DataFrame:

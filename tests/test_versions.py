@@ -117,3 +117,15 @@ def test_empty_table(spark, tmp_path):
     assert state(spark, base) == {}
     A.change(spark, base, lambda rows: spark.createDataFrame([(1, "x", "reject", None)], ACTIONS))
     assert state(spark, base) == {} and [r.outcome for r in A.outcomes(spark, base).collect()] == ["not_found"]
+
+
+def test_prefixes_of_any_length(spark):
+    from lexweave.operators import ontology
+
+    label = "a long label " * 8
+    rows = spark.createDataFrame([(label.strip(), "x"), (label[:64] + "z", "y"), ("a", "z")], "label_key string, iri string")
+    asked = spark.createDataFrame([(label[:n],) for n in (1, 63, 64, 66, 80)] + [("A",), (label + "more",), (None,)], "query string")
+    got = {}
+    for r in ontology.by_prefix(asked, rows).collect():
+        got.setdefault(r.query, set()).add(r.iri)
+    assert got == {"a": {"x", "y", "z"}, "A": {"x", "y", "z"}, label[:63]: {"x", "y"}, label[:64]: {"x", "y"}, label[:66]: {"x"}, label[:80]: {"x"}}
