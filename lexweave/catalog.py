@@ -674,4 +674,4 @@ def a10(spark, sf_dir):
     return annotate.promotions(d, entities.extract(d, entities.ENTITIES[1]))
 
 
-from lexweave import catalog_models, catalog_progress, catalog_stages  # noqa: E402, F401  register their queries
+from lexweave import catalog_given, catalog_models, catalog_progress, catalog_stages  # noqa: E402, F401  register their queries
