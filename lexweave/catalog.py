@@ -301,7 +301,7 @@ PLANTED = [
 
 
 def with_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(PLANTED, "doc_id bigint, text string"))
+    return T.dealt(read(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(spark.createDataFrame(PLANTED, "doc_id bigint, text string"))
 
 
 def spans_sql(pattern: str, source: str = "documents", least: int = 1) -> str:
@@ -552,7 +552,7 @@ def x9(spark, sf_dir):
 
 @query("x_html")
 def x12(spark, sf_dir):
-    return export.to_html(normal(spark, sf_dir), *annotated(spark, sf_dir)).select("doc_id", F.length("value").alias("chars"))
+    return export.to_page(normal(spark, sf_dir), *annotated(spark, sf_dir)).select("doc_id", F.length("value").alias("chars"))
 
 
 # --- triples and streams ------------------------------------------------------------------------------

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave import catalog as C
+from lexweave import catalog_stages as S
 from lexweave.operators import fuzzy, graphs
+from lexweave.sinks import markup
 
 query, read = C.query, C.read
 
@@ -59,3 +61,51 @@ def q5(spark, sf_dir):
     missing = F.concat(F.substring("label_key", 1, 3), F.expr("substr(label_key, 5)"))
     swapped = F.concat(F.substring("label_key", 1, 1), F.substring("label_key", 3, 1), F.substring("label_key", 2, 1), F.expr("substr(label_key, 4)"))
     return fuzzy.fuzzy_labels(t.select(missing.alias("query")).union(t.select(swapped.alias("query"))).distinct(), rows)
+
+
+# --- pages and standoff files -------------------------------------------------------------------------
+
+
+def crossing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Annotations, their concepts, and individuals, properties and triples that cross them or lie in them."""
+    a, c = C.annotated(spark, sf_dir)
+    at = lambda s, e: (F.expr(s).alias("start"), F.expr(e).alias("end"))
+    none = F.lit(None).cast("string")
+    individuals = a.select("doc_id", *at("start + 3", "end + 3"), F.col("text").alias("mention"), F.upper("text").alias("name"), F.lit("phrase").alias("kind"), none.alias("iri"), none.alias("label"))
+    properties = a.select("doc_id", *at("start", "start + 2"), "text", none.alias("iri"), none.alias("label"), none.alias("definition"))
+    triples = a.select("doc_id", F.col("text").alias("subject"), F.lit("is in").alias("predicate"), F.upper("text").alias("object"), F.col("start").alias("s_start"), F.col("end").alias("s_end"),
+        F.expr("start + 3").alias("o_start"), F.expr("end + 3").alias("o_end"), F.lit("active").alias("voice"), F.lit(0.5).alias("confidence"), (F.col("start") % 2 == 0).alias("linked"))
+    return a, c, individuals, properties, triples
+
+
+@query("x12_pages", f"""WITH {S.ANNOTATED},
+    sp AS (SELECT doc_id, start AS s, "end" AS e, 0 AS ord, '<span class="annotation" style="border-bottom-color: #228B22;" data-iri="' || iri || '" data-branch="Rules" data-confidence="0.90"><a href="' || iri || '/html" title="' || label || ' (Rules) - No definition">' AS op, '</a></span>' AS cl FROM ex
+      UNION ALL SELECT doc_id, start + 3, "end" + 3, 1, '<span class="individual" style="border-top: 2px solid #FF9800;" data-individual-type="phrase" title="' || upper(text) || ' (phrase)">', '</span>' FROM a
+      UNION ALL SELECT doc_id, start, start + 2, 2, '<span class="property" style="text-decoration: underline wavy;" data-iri="#" title="' || text || ' - Object property">', '</span>' FROM a),
+    sl AS (SELECT doc_id, s, least(e, length(text)) AS e, ord, op, cl FROM sp JOIN d USING (doc_id) WHERE s < length(text)),
+    cut AS (SELECT doc_id, s AS p FROM sl UNION SELECT doc_id, e FROM sl UNION SELECT doc_id, 0 FROM d UNION SELECT doc_id, length(text) FROM d),
+    seg AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nx FROM cut),
+    cov AS (SELECT g.doc_id, p, nx, coalesce(list({{'s': s, 'e': -e, 'o': ord, 'op': op, 'cl': cl}} ORDER BY s, -e, ord, op) FILTER (op IS NOT NULL), []) AS st FROM seg g LEFT JOIN sl ON sl.doc_id = g.doc_id AND s <= p AND e >= nx GROUP BY g.doc_id, p, nx),
+    pv AS (SELECT *, coalesce(lag(st) OVER (PARTITION BY doc_id ORDER BY p), []) AS was FROM cov),
+    cm AS (SELECT *, len(list_filter(range(1, least(len(st), len(was)) + 1), lambda i: st[1:i] = was[1:i])) AS same FROM pv),
+    pg AS (SELECT doc_id, string_agg(array_to_string(list_reverse(list_transform(was[same + 1:], lambda x: x.cl)), '') || array_to_string(list_transform(st[same + 1:], lambda x: x.op), '')
+      || coalesce(replace(replace(replace(replace(replace(substring(text, p + 1, nx - p), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), ''), '' ORDER BY p) AS body FROM cm JOIN d USING (doc_id) GROUP BY doc_id),
+    tr AS (SELECT doc_id, '<h2>Extracted triples (' || count(*) || ')</h2><table><tr><th>Subject</th><th>Predicate</th><th>Object</th><th>Voice</th><th>Confidence</th><th>Linked</th></tr>'
+      || string_agg('<tr><td>' || text || '</td><td>is in</td><td>' || upper(text) || '</td><td>active</td><td>0.50</td><td>' || CASE WHEN start % 2 = 0 THEN '✓' ELSE '' END || '</td></tr>', '' ORDER BY start) || '</table>' AS rows FROM a GROUP BY doc_id)
+    SELECT doc_id, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>Annotated document</title></head><body><pre style="white-space: pre-wrap;">' || body || '</pre>' || coalesce(tr.rows, '') || '</body></html>' AS value FROM pg LEFT JOIN tr USING (doc_id)""")
+def x12(spark, sf_dir):
+    """Whole pages of all documents; individuals cross the annotations, properties lie in them."""
+    return markup.to_page(C.normal(spark, sf_dir), *crossing(spark, sf_dir))
+
+
+@query("x11_standoff", f"""WITH {S.ANNOTATED},
+    it AS (SELECT doc_id, 0 AS sec, start, 1 AS nt, 2 AS na, 0 AS nr, ['Rules ' || start || ' ' || "end" || chr(9) || text] AS ts, ['IRI', 'Label'] AS an, [iri, label] AS av FROM ex
+      UNION ALL SELECT doc_id, 1, start, 1, 1, 0, ['PHRASE ' || (start + 3) || ' ' || ("end" + 3) || chr(9) || text], ['CanonicalName'], [upper(text)] FROM a
+      UNION ALL SELECT doc_id, 2, start, 1, 0, 0, ['PROPERTY ' || start || ' ' || (start + 2) || chr(9) || text], [], [] FROM a
+      UNION ALL SELECT doc_id, 3, start, 2, 0, 1, ['TRIPLE_SUBJECT ' || start || ' ' || "end" || chr(9) || text, 'TRIPLE_OBJECT ' || (start + 3) || ' ' || ("end" + 3) || chr(9) || upper(text)], [], [] FROM a),
+    nb AS (SELECT *, sum(nt) OVER w - nt AS t, sum(na) OVER w - na AS k, sum(nr) OVER w - nr AS r FROM it WINDOW w AS (PARTITION BY doc_id ORDER BY sec, start)),
+    ln AS (SELECT doc_id, t + k + r AS base, list_concat(list_transform(ts, lambda x, i: 'T' || (t + i) || chr(9) || x), list_transform(av, lambda x, i: 'A' || (k + i) || chr(9) || an[i] || ' T' || (t + 1) || ' ' || x),
+      CASE WHEN nr = 1 THEN ['R' || (r + 1) || chr(9) || 'is_in Arg1:T' || (t + 1) || ' Arg2:T' || (t + 2)] ELSE [] END) AS v FROM nb)
+    SELECT doc_id, CAST(base + i AS INTEGER) AS n, value FROM (SELECT doc_id, base, unnest(v) AS value, generate_subscripts(v, 1) AS i FROM ln)""")
+def x11(spark, sf_dir):
+    return markup.to_standoff(*crossing(spark, sf_dir))

@@ -20,6 +20,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP, "")
 
 
+def dealt(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Whole texts dealt by document where the scan has fewer splits than there are cores (one row group in one file); others stay where they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, key)
+
+
 def normalize_whitespace(c: Column) -> Column:
     """Collapse blanks, then runs of line feeds, then blanks around line feeds, then strip: in this order."""
     c = F.regexp_replace(c, f"[{WS}]+", " ")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -85,6 +86,20 @@ ENTITIES = (
     Entity("copyright", "Copyright", 0.93, r"(?:©|Copyright\s*(?:\(c\)|©)?)\s*\d{4}(?:\s*[-–]\s*\d{4})?(?:\s+[A-Z][\w\s,&.]+)?"),
 )
 BY_KIND = {e.kind: e for e in ENTITIES}
+#: Of these one is in every text that a pattern matches, whatever its case; ``DIGIT`` stands for any digit.
+DIGIT = "0-9"
+NEEDS = {
+    "monetary_amount": ("$", "€", "£", "¥", "₹", "dollar", "cent", "usd", "eur", "gbp", "jpy", "pound"),
+    "date": (DIGIT,),
+    "duration": ("second", "minute", "hour", "day", "week", "month", "year", "decade"),
+    "percentage": ("%", "percent", "basis"),
+    "court": ("court", "circuit", ".d."),
+    "definition": ('"', "“", "”"),
+    "condition": ("if", "unless", "provided", "subject", "condition", "event", "notwithstanding", "except", "contingent"),
+    "constraint": ("than", "least", "most", "exceed", "up", "maximum", "minimum"),
+    "address": (DIGIT,),
+    "copyright": ("©", "copyright"),
+}
 #: Order of trust of the sources of individuals.
 PRIORITY = {"eyecite": 100, "citeurl": 95, "regex": 80, "spacy": 70, "llm": 50}
 
@@ -94,10 +109,18 @@ def spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
     Each text is marked and cut once by pattern; starts are running sums of the pieces' lengths. Null texts and texts
     without a match give no rows; repeated rows give their own. The marks are control characters, which no pattern matches.
+    A pattern runs over texts that hold one of its ``NEEDS``, which is a plain search; the characters that fold to other
+    letters than their small ones are set right first, as patterns that ignore case take them.
     """
     text = F.translate("text", "\u0001\u0002", "\u0003\u0003")
-    cut = [F.struct(F.lit(kind).alias("kind"), F.split(F.regexp_replace(text, p, "\u0001$1\u0002"), "\u0001").alias("pieces")) for kind, p in patterns.items()]
-    some = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.filter(F.array(*cut), lambda c: F.size(c["pieces"]) > 1)).alias("c"))
+    held = docs.where(F.col("text").isNotNull()).select("doc_id", text.alias("text"), F.lower(F.translate("text", "ſıİ\u212a", "siik")).alias("_low"))
+
+    def needed(kind: str) -> Column:
+        tests = [F.col("text").rlike(r"(?U)\d") if n == DIGIT else F.col("_low").contains(n) for n in NEEDS.get(kind, ("",))]
+        return reduce(Column.__or__, tests)
+
+    cut = [F.when(needed(kind), F.struct(F.lit(kind).alias("kind"), F.split(F.regexp_replace("text", p, "\u0001$1\u0002"), "\u0001").alias("pieces"))) for kind, p in patterns.items()]
+    some = held.select("doc_id", F.explode(F.filter(F.array(*cut), lambda c: c.isNotNull() & (F.size(c["pieces"]) > 1))).alias("c"))
     none = F.struct(F.lit(1).alias("at"), F.expr("CAST(array() AS array<struct<start: int, whole: string>>)").alias("out"))
 
     def step(t, piece):

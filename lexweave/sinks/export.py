@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions.spans import inside
+from lexweave.sinks.markup import to_page
 
 BASE = "urn:lexweave:"
 
@@ -141,43 +142,6 @@ def to_xml(annotations: DataFrame, concepts: DataFrame) -> DataFrame:
     return exploded(annotations, concepts).select("doc_id", F.concat(F.lit("<annotation"), *attrs, F.lit(">"), x("text"), F.lit("</annotation>")).alias("value"))
 
 
-def mark_up(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """HTML with a mark for each span; crossing spans are closed and opened again, so that elements nest."""
-    opens: dict[int, list] = {}
-    for k, (a, b, _) in enumerate(sorted(spans, key=lambda s: (s[0], -s[1]))):
-        opens.setdefault(a, []).append((b, k))
-    spans, stack, out, at = sorted(spans, key=lambda s: (s[0], -s[1])), [], [], 0
-    tag = lambda k: f'<mark data-concept="{escape(spans[k][2], {chr(34): "&quot;"})}">'
-    for i in sorted({p for a, b, _ in spans for p in (a, b)} | {len(text)}):
-        out.append(escape(text[at:i]))
-        at = i
-        ending = {k for b, k in stack if b <= i}
-        again = []
-        while ending:
-            b, k = stack.pop()
-            out.append("</mark>")
-            if k in ending:
-                ending.discard(k)
-            else:
-                again.insert(0, (b, k))
-        for b, k in [*again, *opens.get(i, [])]:
-            if b > i:
-                out.append(tag(k))
-                stack.append((b, k))
-    return "".join(out)
-
-
-def to_html(docs: DataFrame, annotations: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(doc_id, value): each document's text with marks."""
-    first = exploded(annotations, concepts).where("rank = 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "iri"))).alias("spans"))
-
-    @F.pandas_udf("string")
-    def marked(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([mark_up(t or "", [(s["start"], s["end"], s["iri"]) for s in (sp if sp is not None else [])]) for t, sp in zip(text, spans, strict=True)])
-
-    return docs.select("doc_id", "text").join(first, "doc_id", "left").select("doc_id", marked("text", "spans").alias("value"))
-
-
 def xlsx(sheets: dict[str, list[list]]) -> bytes:
     """A minimal workbook with inline strings, by the standard library."""
     out, names = io.BytesIO(), list(sheets)
@@ -226,7 +190,7 @@ def to_excel(annotations: DataFrame, concepts: DataFrame, individuals: DataFrame
 
 EXPORTERS: dict[str, Callable] = {
     "json": to_json_documents, "jsonld": to_jsonld, "csv": to_csv_rows, "jsonl": to_jsonl, "elasticsearch": to_bulk, "neo4j": to_property_graph,
-    "rdf": to_ntriples, "brat": to_brat, "xml": to_xml, "rag": to_rag, "html": to_html, "parquet": to_tables, "excel": to_excel,
+    "rdf": to_ntriples, "brat": to_brat, "xml": to_xml, "rag": to_rag, "html": to_page, "parquet": to_tables, "excel": to_excel,
 }
 
 

@@ -1,8 +1,10 @@
 """Graphs of many roots, labels with misprints, marked text and standoff lines against plain versions."""
 
+import html
 import random
 
 from lexweave.operators import fuzzy, graphs, ontology
+from lexweave.sinks import markup
 
 
 def test_graphs_of_many_roots_equal_one_root_at_a_time(spark):
@@ -62,3 +64,41 @@ def test_fuzzy_labels_equal_all_pairs(spark):
     assert {(r.query, r.label_key): r.distance for r in got} == want and len(got) == len(want) > 100
     best = fuzzy.fuzzy_labels(q, rows, top=1).collect()
     assert all(r.distance == min(d for (x, _), d in want.items() if x == r.query) for r in best) and len(best) == len({x for x, _ in want})
+
+
+def test_marks_nest_as_a_sweep_in_python_has_them(spark):
+    rnd = random.Random(8)
+    wide = "".join(rnd.choice("ab&<\"'é😀 ") for _ in range(3 * markup.BLOCK + 5))
+    texts = {1: "a & b c d", 2: "", 3: wide, 4: None, 5: "x" * markup.BLOCK, 6: "no spans"}
+    spans = [(1, 0, 5, "x"), (1, 4, 7, "y"), (1, 4, 7, "y"), (1, 5, 5, "none"), (1, 8, 99, "past"), (1, 40, 50, "beyond"), (1, -3, 2, "before"), (2, 0, 4, "z"), (4, 0, 1, "z"), (5, 0, markup.BLOCK, "all"), (1, None, 3, "null")]
+    spans += [(3, s, s + rnd.choice([1, 7, 60, markup.BLOCK]), f"t{k}") for k in range(80) for s in [rnd.randrange(len(wide))]]
+    s = spark.createDataFrame([(d, a, b, 0, f"<{t}>", f"</{t}>") for d, a, b, t in spans], "doc_id long, start int, end int, ord int, open string, close string")
+    got = {r.doc_id: r.body for r in markup.marked_text(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), s).collect()}
+    for d, text in texts.items():
+        text = text or ""
+        own = sorted((max(a, 0), -min(b, len(text)), f"<{t}>") for e, a, b, t in spans if e == d and a is not None and min(b, len(text)) > max(a, 0))
+        out, was = [], []
+        for i in range(len(text) + 1):
+            now = [x for x in own if x[0] <= i < -x[1]]
+            same = next((k for k in range(min(len(now), len(was))) if now[k] != was[k]), min(len(now), len(was)))
+            out += [x[2].replace("<", "</") for x in reversed(was[same:])] + [x[2] for x in now[same:]] + [html.escape(text[i : i + 1])]
+            was = now
+        assert got[d] == "".join(out), d
+    assert markup.marked_text(spark.createDataFrame([], "doc_id long, text string"), s).count() == 0
+
+
+def test_a_page_and_standoff_lines(spark):
+    docs = spark.createDataFrame([(1, "The court's seller pays"), (2, None)], "doc_id long, text string")
+    a = spark.createDataFrame([(1, "a1", 4, 9, "court", "confirmed"), (1, "a2", 12, 18, "seller", "confirmed")], "doc_id long, ann_id string, start int, end int, text string, state string")
+    c = spark.createDataFrame([("a1", 0, "urn:c", "Court", "Legal Entity", 0.5, "confirmed"), ("a1", 1, "urn:d", "", "Forum", 0.4, "backup")], "ann_id string, rank int, iri string, label string, branch string, confidence double, state string")
+    i = spark.createDataFrame([(1, 0, 9, "The court", "the <Court>", "legal_citation", "urn:i", "Legal Court")], "doc_id long, start int, end int, mention string, name string, kind string, iri string, label string")
+    p = spark.createDataFrame([(1, 19, 23, "pays", None, None, None)], "doc_id long, start int, end int, text string, iri string, label string, definition string")
+    t = spark.createDataFrame([(1, "seller", "pays for", "x", 12, 18, 4, 9, "active", 0.7, True), (1, "y", "z", "w", None, None, 1, 2, "active", 0.7, False)], "doc_id long, subject string, predicate string, object string, s_start int, s_end int, o_start int, o_end int, voice string, confidence double, linked boolean")
+    lines = [r.value for r in markup.to_standoff(a, c, i, p, t).orderBy("n").collect()]
+    assert lines == [
+        "T1\tLegal_Entity 4 9\tcourt", "A1\tIRI T1 urn:c", "A2\tLabel T1 Court", "A3\tIRI T1 urn:d", "T2\tCONCEPT 12 18\tseller", "T3\tLegal_Court 0 9\tThe court", "A4\tCanonicalName T3 the <Court>", "A5\tIRI T3 urn:i",
+        "T4\tPROPERTY 19 23\tpays", "T5\tTRIPLE_SUBJECT 12 18\tseller", "T6\tTRIPLE_OBJECT 4 9\tx", "R1\tpays_for Arg1:T5 Arg2:T6",
+    ]
+    page = {r.doc_id: r.value for r in markup.to_page(docs, a, c, i, p, t).collect()}
+    assert "Extracted triples (2)" in page[1] and 'title="the &lt;Court&gt; (Legal Court)">The <span class="annotation" style="border-bottom-color: #FF8C00;" data-iri="urn:c"' in page[1]
+    assert "court</a></span></span>&#x27;s seller <span" in page[1] and "<pre style=\"white-space: pre-wrap;\"></pre></body>" in page[2]

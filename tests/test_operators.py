@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
 from lexweave.operators import entities, lifecycle, match, ontology, reconcile, ruler, search, triples, vectors
-from lexweave.sinks import export
+from lexweave.sinks import export, markup
 from lexweave.sources import ingest
 from lexweave.streaming import events as streams
 
@@ -129,8 +129,9 @@ def test_lifecycle(spark):
     assert got == {("a", "x"): (1, "backup"), ("a", "y"): (0, "confirmed"), ("a", "z"): (2, "backup"), ("b", "x"): (0, "confirmed")}
 
 
-def test_mark_up_nests_crossing_spans():
-    out = export.mark_up("a & b c d", [(0, 5, "x"), (4, 7, "y")])
+def test_mark_up_nests_crossing_spans(spark):
+    spans = spark.createDataFrame([(1, a, b, 0, f'<mark data-concept="{x}">', "</mark>") for a, b, x in [(0, 5, "x"), (4, 7, "y")]], "doc_id long, start int, end int, ord int, open string, close string")
+    out = markup.marked_text(spark.createDataFrame([(1, "a & b c d")], "doc_id long, text string"), spans).first().body
     assert out == '<mark data-concept="x">a &amp; <mark data-concept="y">b</mark></mark><mark data-concept="y"> c</mark> d'
 
 
