@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexweave import catalog as C
 from lexweave import catalog_stages as S
-from lexweave.operators import fuzzy, graphs
+from lexweave.operators import fuzzy, graphs, ontology, search
 from lexweave.sinks import markup
+from lexweave.sources import ontology_data
 
 query, read = C.query, C.read
 
@@ -109,3 +110,139 @@ def x12(spark, sf_dir):
     SELECT doc_id, CAST(base + i AS INTEGER) AS n, value FROM (SELECT doc_id, base, unnest(v) AS value, generate_subscripts(v, 1) AS i FROM ln)""")
 def x11(spark, sf_dir):
     return markup.to_standoff(*crossing(spark, sf_dir))
+
+
+# --- an ontology made of the given tables -------------------------------------------------------------
+
+#: Parts below kinds (brand and type), kinds below brands, brands below the root; suppliers are related to the parts that they deliver.
+GIVEN = {
+    "concepts": """SELECT 'part:' || p_partkey AS iri, p_name AS label, CASE WHEN p_size % 3 = 0 THEN upper(p_name) WHEN p_size % 3 = 1 THEN p_type || ' ' || p_name END AS pref_label,
+          'A ' || p_name || ' of ' || p_brand || '.' AS definition, p_type AS branch, p_size = 1 AS deprecated, CAST(p_partkey AS INT) AS ord FROM {part}
+        UNION ALL SELECT 'supplier:' || s_suppkey, s_name, NULL, NULL, 'SUPPLIER', false, CAST(s_suppkey AS INT) FROM {supplier}
+        UNION ALL SELECT DISTINCT 'kind:' || p_brand || ':' || p_type, p_brand || ' ' || p_type, NULL, 'Parts of one brand and type.', p_type, false, -1 FROM {part}
+        UNION ALL SELECT DISTINCT 'brand:' || p_brand, p_brand, NULL, NULL, 'BRAND', false, -2 FROM {part} UNION ALL SELECT 'lex:root', 'thing', NULL, NULL, NULL, false, -3""",
+    "labels_in": """SELECT 'part:' || p_partkey AS iri, p_brand || ' ' || p_name AS label, 'alternative' AS label_type FROM {part}
+        UNION ALL SELECT 'part:' || p_partkey, p_type || ' ' || p_name, 'hidden' FROM {part} UNION ALL SELECT 'supplier:' || s_suppkey, lower(s_name), 'translation' FROM {supplier}""",
+    "edges": """SELECT 'part:' || p_partkey AS child, 'kind:' || p_brand || ':' || p_type AS parent, 0 AS ord FROM {part} UNION ALL SELECT 'part:' || p_partkey, 'brand:' || p_brand, 1 FROM {part} WHERE p_size % 5 = 0
+        UNION ALL SELECT DISTINCT 'kind:' || p_brand || ':' || p_type, 'brand:' || p_brand, 0 FROM {part} UNION ALL SELECT DISTINCT 'brand:' || p_brand, 'lex:root', 0 FROM {part}""",
+    "see_also": "SELECT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst, CAST(min(l_linenumber) AS INT) AS ord FROM {lineitem} GROUP BY l_partkey, l_suppkey",
+    "properties_in": """SELECT 'p:' || n_nationkey AS iri, CASE WHEN n_regionkey = 0 THEN 'DEPRECATED ' ELSE 'geo:' END || 'tradesWith' || n_name AS label,
+        CASE WHEN n_regionkey <> 1 THEN 'trade ' || n_regionkey END AS alt_label, CAST(NULL AS STRING) AS domain_iri, CAST(NULL AS STRING) AS range_iri, CAST(NULL AS STRING) AS inverse_of FROM {nation}""",
+}
+SOURCES = ("part", "supplier", "lineitem", "nation")
+
+
+def given(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [spark.sql(GIVEN[n], **{s: read(spark, sf_dir, s) for s in SOURCES if "{" + s + "}" in GIVEN[n]}) for n in names]
+
+
+def over_given(sql: str, **more: str) -> str:
+    """A twin over the own small ontology, with its tables taken from the given ones instead."""
+    for name, text in GIVEN.items():
+        sql = sql.replace(ontology_data.sql_table(name), f"{name} AS ({text.format(**{s: s for s in SOURCES}).replace('AS STRING', 'AS VARCHAR')})")
+    for name, text in more.items():
+        head, tail = sql.split(f"{name} AS (SELECT CAST", 1)
+        depth, end = 1, 0
+        for end, ch in enumerate(tail):  # the end of the literal table
+            depth += (ch == "(") - (ch == ")")
+            if not depth:
+                break
+        sql = f"{head}{name} AS ({text}{tail[end:]}"
+    return sql
+
+
+@query("o1_given_concepts", over_given(C.SQL["o1_concepts"]))
+def o1(spark, sf_dir):
+    return ontology.concept_projection(*given(spark, sf_dir, "concepts"))
+
+
+@query("o2_given_label_winner", over_given(C.SQL["o2_label_winner"]))
+def o2(spark, sf_dir):
+    return ontology.label_winner(ontology.label_rows(*given(spark, sf_dir, "concepts", "labels_in")))
+
+
+@query("o3_given_label_all", over_given(C.SQL["o3_label_all"]))
+def o3(spark, sf_dir):
+    return ontology.label_all(ontology.label_rows(*given(spark, sf_dir, "concepts", "labels_in")))
+
+
+@query("o4_given_property_labels", over_given(C.SQL["o4_property_labels"]))
+def o4(spark, sf_dir):
+    return ontology.property_labels(*given(spark, sf_dir, "properties_in"))
+
+
+@query("o5_given_branch_root", over_given(C.SQL["o5_branch_root"]))
+def o5(spark, sf_dir):
+    return ontology.hierarchy(spark, "branch", *given(spark, sf_dir, "concepts", "edges"))
+
+
+@query("o6_given_branch_counts", over_given(C.SQL["o6_branch_counts"]))
+def o6(spark, sf_dir):
+    return ontology.branch_counts(*given(spark, sf_dir, "concepts"))
+
+
+@query("g3_given_path", over_given(C.SQL["g3_path"]))
+def g3(spark, sf_dir):
+    return ontology.hierarchy(spark, "path", *given(spark, sf_dir, "concepts", "edges"))
+
+
+@query("g4_given_paths", over_given(C.SQL["g4_paths"]))
+def g4(spark, sf_dir):
+    return ontology.hierarchy(spark, "paths", *given(spark, sf_dir, "concepts", "edges"))
+
+
+@query("g6_given_detail", over_given(C.SQL["g6_detail"]))
+def g6(spark, sf_dir):
+    return ontology.concept_detail(*given(spark, sf_dir, "concepts", "edges", "see_also"))
+
+
+@query("g8_given_batch", over_given(C.SQL["g6_detail"]) + " WHERE c.iri IN (SELECT DISTINCT 'part:' || l_partkey FROM lineitem ORDER BY 1 LIMIT 100)")
+def g8(spark, sf_dir):
+    """Details of the first hundred delivered parts by name; a hundred is the most that a batch takes."""
+    asked = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("iri"))
+    return ontology.batch_detail(g6(spark, sf_dir), asked)
+
+
+@query("o7_given_labels", over_given(C.SQL["o7_by_label"], asked="SELECT upper(p_name) || ' ' AS query FROM part"))
+def o7(spark, sf_dir):
+    asked = read(spark, sf_dir, "part").select(F.concat(F.upper("p_name"), F.lit(" ")).alias("query"))
+    return ontology.by_label(asked, ontology.label_rows(*given(spark, sf_dir, "concepts", "labels_in")))
+
+
+# --- search and resolution over it --------------------------------------------------------------------
+
+NAMES = "SELECT DISTINCT lower(p_name) AS query FROM part"
+MENTIONED = """SELECT CAST(p_partkey AS INT) AS ord, p_name AS text, CASE WHEN p_size % 4 > 0 THEN p_type END AS branch, CAST((p_size % 7) / 10.0 AS DOUBLE) AS confidence,
+    CASE WHEN p_size % 3 = 0 THEN 'part:' || p_partkey WHEN p_size % 3 = 1 THEN 'gone:' || p_partkey END AS iri FROM {part}"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.lower("p_name").alias("query")).distinct()
+
+
+def given_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(asked(spark, sf_dir), *given(spark, sf_dir, "concepts", "labels_in", "edges"), excluded=("Acts",))
+
+
+@query("q3_given_relevance", over_given(C.SQL["q3_relevance"], asked=NAMES))
+def q3(spark, sf_dir):
+    return search.scores(asked(spark, sf_dir), *given(spark, sf_dir, "concepts", "labels_in"))
+
+
+@query("q8_given_search", over_given(C.SQL["q8_search"], asked=NAMES))
+def q8(spark, sf_dir):
+    """The five best concepts for the name of each part, with ancestors."""
+    return given_hits(spark, sf_dir)
+
+
+@query("q9_given_resolve", over_given(C.SQL["q9_resolve"], asked=NAMES, mentions=MENTIONED.format(part="part")))
+def q9(spark, sf_dir):
+    """Each part's name as a mention, with and without a branch and a concept of its own."""
+    mentions = spark.sql(MENTIONED, part=read(spark, sf_dir, "part"))
+    return search.resolve(mentions, given_hits(spark, sf_dir), *given(spark, sf_dir, "concepts"), ("Acts",))
+
+
+@query("q10_given_resolve_multi", over_given(C.SQL["q10_resolve_multi"], asked=NAMES, mentions=MENTIONED.format(part="part")))
+def q10(spark, sf_dir):
+    mentions = spark.sql(MENTIONED, part=read(spark, sf_dir, "part")).select(F.lower("text").alias("text"), F.lower(F.coalesce("branch", F.lit(""))).alias("branch"))
+    return search.ranked_by_branch(mentions, given_hits(spark, sf_dir), *given(spark, sf_dir, "concepts"), 3)
