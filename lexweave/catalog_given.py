@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexweave import catalog as C
 from lexweave import catalog_stages as S
-from lexweave.operators import fuzzy, graphs, ontology, search
+from lexweave.functions import text as T
+from lexweave.operators import fuzzy, graphs, models, ontology, properties, ruler, search
 from lexweave.sinks import markup
 from lexweave.sources import ontology_data
 
@@ -246,3 +247,52 @@ def q9(spark, sf_dir):
 def q10(spark, sf_dir):
     mentions = spark.sql(MENTIONED, part=read(spark, sf_dir, "part")).select(F.lower("text").alias("text"), F.lower(F.coalesce("branch", F.lit(""))).alias("branch"))
     return search.ranked_by_branch(mentions, given_hits(spark, sf_dir), *given(spark, sf_dir, "concepts"), 3)
+
+
+# --- properties with base forms -----------------------------------------------------------------------
+
+ENDS = ", ".join(f"({k}, '{e}', '{t}')" for k, (e, t) in enumerate(properties.ENDINGS))
+
+
+@query("m12_lemmas", f"""WITH {C.TOKENS.split('hits AS')[0]} wc AS (SELECT token AS word, count(*) AS n FROM tl GROUP BY token),
+    lab AS (SELECT word AS label_key, 'p:' || word AS iri, CASE WHEN length(word) % 2 = 0 THEN 'preferred' ELSE 'alternative' END AS label_type FROM wc WHERE regexp_matches(word, '^[a-z]+(ing|ed|s)$') AND length(word) > 3),
+    en AS (SELECT * FROM (VALUES {ENDS}) AS t(k, e, r)), st AS (SELECT label_key AS word, iri, k, r, left(label_key, length(label_key) - length(e)) AS stem FROM lab JOIN en ON ends_with(label_key, e)),
+    tr AS (SELECT word, iri, 2 * k AS k, stem || r AS lemma FROM st UNION ALL SELECT word, iri, 2 * k + 1, stem[:-2] FROM st WHERE r = '' AND stem[-1] = stem[-2:-2] AND regexp_matches(stem, '[b-df-hj-np-tv-z]$')),
+    bs AS (SELECT tr.word, iri, arg_min(lemma, n * -100 + k) AS lemma FROM tr JOIN wc ON wc.word = tr.lemma WHERE length(lemma) > 2 GROUP BY tr.word, iri),
+    rows AS (SELECT label_key, iri, label_type FROM lab UNION ALL SELECT lemma, arg_min(iri, word), 'lemma' FROM bs WHERE lemma NOT IN ({", ".join(f"'{w}'" for w in properties.COMMON)}) AND lemma NOT IN (SELECT label_key FROM lab) GROUP BY lemma)
+    SELECT label_key, iri, label_type, CAST(CASE label_type WHEN 'preferred' THEN 0.85 WHEN 'lemma' THEN 0.72 ELSE 0.75 END AS DOUBLE) AS confidence, wc.n, d.n_docs FROM rows JOIN wc ON wc.word = label_key
+      JOIN (SELECT token, count(DISTINCT doc_id) AS n_docs FROM tl GROUP BY token) d ON d.token = label_key""")
+def m12(spark, sf_dir):
+    """Words of the documents that end in -ing, -ed or -s as labels of properties, and their base forms as the documents show them."""
+    d = read(spark, sf_dir, "documents")
+    words = properties.word_counts(d).where(r"word RLIKE '^[a-z]+(ing|ed|s)$' AND length(word) > 3")
+    labels = words.select(F.col("word").alias("label_key"), F.concat(F.lit("p:"), "word").alias("iri"), F.when(F.length("word") % 2 == 0, "preferred").otherwise("alternative").alias("label_type"))
+    return properties.match_properties(d, labels).groupBy("label_key", "iri", "label_type", "confidence").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+# --- markdown, ruler patterns and prompts -------------------------------------------------------------
+
+MARKED = "concat('## ', lang, chr(10), chr(10), '- **', source, '** [a](b) ![c](d)', chr(10), '1. `', doc_id, '` __x__', chr(10), '---', chr(10), coalesce(text, ''))"
+
+
+def markdown_sql() -> str:
+    out = "t"
+    for pattern, to in T.MARKDOWN_RULES:
+        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return f"regexp_replace({out}, '{T.STRIP}', '', 'g')"
+
+
+@query("s3_documents", f"SELECT doc_id, {markdown_sql()} AS text FROM (SELECT doc_id, {MARKED} AS t FROM documents)")
+def s3(spark, sf_dir):
+    """Every text below a head of markdown that is made of its own columns."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.strip_markdown(F.expr(MARKED)).alias("text"))
+
+
+@query("m3_given_patterns", over_given(C.SQL["m3_ruler_patterns"]))
+def m3(spark, sf_dir):
+    return ruler.patterns(ontology.label_winner(ontology.label_rows(*given(spark, sf_dir, "concepts", "labels_in"))))
+
+
+@query("u7_given_branch_detail", over_given(C.SQL["u7_branch_detail"]))
+def u7(spark, sf_dir):
+    return models.branch_detail(*given(spark, sf_dir, "concepts"))

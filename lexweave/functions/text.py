@@ -115,13 +115,17 @@ def chunks(docs: DataFrame, size: int = 3000, overlap: int = 200) -> DataFrame:
     return split.mapInArrow(run, "doc_id bigint, chunk_index int, start_offset int, end_offset int, text string")
 
 
+#: The rules of markdown and what stays of their matches, in the order in which they run.
+MARKDOWN_RULES = (
+    (r"(?m)^#{1,6}[ \t]+", ""), (r"\*{1,3}([^*\n]+)\*{1,3}", "$1"), (r"_{1,3}([^_\n]+)_{1,3}", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"`{1,3}([^`]*)`{1,3}", "$1"), (r"(?m)^[-*_]{3,}[ \t]*$", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""),
+    (r"(?m)^[ \t]*\d+\.[ \t]+", ""),
+)
+
+
 def strip_markdown(c: Column) -> Column:
     """Plain text of markdown: headers, emphasis, links, images, code, rules, bullets, numbers, in this order."""
-    for pattern, to in (
-        (r"(?m)^#{1,6}[ \t]+", ""), (r"\*{1,3}([^*\n]+)\*{1,3}", "$1"), (r"_{1,3}([^_\n]+)_{1,3}", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"`{1,3}([^`]*)`{1,3}", "$1"), (r"(?m)^[-*_]{3,}[ \t]*$", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""),
-        (r"(?m)^[ \t]*\d+\.[ \t]+", ""),
-    ):
+    for pattern, to in MARKDOWN_RULES:
         c = F.regexp_replace(c, pattern, to)
     return strip(c)
 

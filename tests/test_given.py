@@ -3,7 +3,7 @@
 import html
 import random
 
-from lexweave.operators import fuzzy, graphs, ontology
+from lexweave.operators import entities, fuzzy, graphs, ontology, properties
 from lexweave.sinks import markup
 
 
@@ -102,3 +102,27 @@ def test_a_page_and_standoff_lines(spark):
     page = {r.doc_id: r.value for r in markup.to_page(docs, a, c, i, p, t).collect()}
     assert "Extracted triples (2)" in page[1] and 'title="the &lt;Court&gt; (Legal Court)">The <span class="annotation" style="border-bottom-color: #FF8C00;" data-iri="urn:c"' in page[1]
     assert "court</a></span></span>&#x27;s seller <span" in page[1] and "<pre style=\"white-space: pre-wrap;\"></pre></body>" in page[2]
+
+
+def test_base_forms_are_those_that_the_texts_show(spark):
+    docs = spark.createDataFrame([(1, "Stop stop stopped. Remand remands remanded; make making mak"), (2, "use used us carry carried carries seen sting REMAND"), (3, None), (4, "")], "doc_id long, text string")
+    counts = properties.word_counts(docs)
+    words = ["stopped", "remanded", "making", "used", "carried", "carries", "seen", "sting", "unknowned", None]
+    got = {r.word: r.lemma for r in properties.lemmas(spark.createDataFrame([(w,) for w in [*words, "used"]], "word string"), counts).collect()}
+    assert got == {"stopped": "stop", "remanded": "remand", "making": "make", "used": "use", "carried": "carry", "carries": "carry"}  # make and mak are as frequent: the first ending
+    labels = spark.createDataFrame([("remanded", "p:1", "preferred"), ("remands", "p:2", "alternative"), ("has", "p:3", "preferred"), ("us", "p:4", "preferred"), ("stop stop", "p:5", "preferred"), ("used", "p:6", "preferred"), ("use", "p:7", "preferred")], "label_key string, iri string, label_type string")
+    rows = {tuple(r) for r in properties.match_properties(docs, labels).select("doc_id", "label_key", "iri", "label_type", "confidence").collect()}
+    assert rows == {
+        (1, "remanded", "p:1", "preferred", 0.85), (1, "remands", "p:2", "alternative", 0.75), (1, "remand", "p:1", "lemma", 0.72), (2, "remand", "p:1", "lemma", 0.72), (1, "stop stop", "p:5", "preferred", 0.9),
+        (2, "used", "p:6", "preferred", 0.85), (2, "use", "p:7", "preferred", 0.85),
+    }
+    assert properties.match_properties(docs.where("false"), labels).count() == 0 and properties.match_properties(docs, labels.where("false")).count() == 0
+
+
+def test_literals_that_a_pattern_needs_lose_no_match(spark, monkeypatch):
+    parts = ["5 % off", "five percent", "9 Baſis pointſ", "12 K", "$5", "9 poundſ", "two dayſ", "three MİNUTES", "Jan. 2, 2020", "٣/٤/٢٠٢٠", "Supreme Court of Ohio", "S.D. Ohio", '"Term" meanſ', "“Term” shall mean", "ıf so", "except that", "at least", "a maxımum of",
+             "12 Main Street", "© 2020 Acme", "copyrıght 2020", "Copyright (c) 2020", "eleven euros", "5 USD", "no more than", "twelve hundred cents", "10 basis points", "nothing", ""]
+    docs = spark.createDataFrame([(k, f"x {p} y") for k, p in enumerate(parts)] + [(99, None)], "doc_id long, text string")
+    got = sorted(map(tuple, entities.extract_all(docs).collect()))
+    monkeypatch.setattr(entities, "NEEDS", {})
+    assert got == sorted(map(tuple, entities.extract_all(docs).collect())) and len(got) > 22
