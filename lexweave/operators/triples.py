@@ -11,11 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.spans import overlapping
+
 
 def majority_pos(spans: DataFrame, token_pos: DataFrame, column: str = "pos") -> DataFrame:
     """Spans (doc_id, start, end) with the most frequent tag of their tokens in the first sentence that has one; the first seen wins ties."""
-    t = token_pos.select("doc_id", "sent_idx", "tok_idx", F.col("start").alias("_s"), F.col("end").alias("_e"), F.col(column).alias("tag"))
-    met = spans.join(t, "doc_id").where("_s < end AND start < _e")
+    t = token_pos.select("doc_id", "sent_idx", "tok_idx", "start", "end", F.col(column).alias("tag"))
+    met = overlapping(spans.select("doc_id", F.col("start").alias("lo"), F.col("end").alias("hi")).distinct(), t)
+    met = met.select("doc_id", F.col("lo").alias("start"), F.col("hi").alias("end"), "sent_idx", "tok_idx", "tag")
     first = met.groupBy("doc_id", "start", "end").agg(F.min("sent_idx").alias("sent_idx"))
     counts = met.join(first, ["doc_id", "start", "end", "sent_idx"]).groupBy("doc_id", "start", "end", "tag").agg(F.count("*").alias("n"), F.min("tok_idx").alias("at"))
     return counts.groupBy("doc_id", "start", "end").agg(F.min_by("tag", F.struct((-F.col("n")).alias("k"), "at")).alias("majority"))
@@ -42,8 +45,8 @@ def link_triples(triples: DataFrame, annotations: DataFrame) -> DataFrame:
     """(triple_id, role, iri): live annotations whose span meets the subject's or object's, touching ends included."""
     out = None
     for role in ("s", "o"):
-        t = triples.where(F.col(f"{role}_start").isNotNull()).select("doc_id", "triple_id", F.col(f"{role}_start").alias("_s"), F.col(f"{role}_end").alias("_e"))
-        met = t.join(annotations.where("state <> 'rejected'"), "doc_id").where("start <= _e AND end >= _s").select("triple_id", F.lit("subject" if role == "s" else "object").alias("role"), "iri")
+        t = triples.where(F.col(f"{role}_start").isNotNull()).select("doc_id", "triple_id", F.col(f"{role}_start").alias("lo"), (F.col(f"{role}_end") + 1).alias("hi"))
+        met = overlapping(t, annotations.where("state <> 'rejected'").select("doc_id", "start", (F.col("end") + 1).alias("end"), "iri")).select("triple_id", F.lit("subject" if role == "s" else "object").alias("role"), "iri")
         out = met if out is None else out.unionByName(met)
     return out.distinct()
 
