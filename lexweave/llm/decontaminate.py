@@ -1,14 +1,14 @@
 """Operator 5, benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed terms over all passages of all documents, in counters of fixed size.
-2. Distributed randomised SVD of TF-IDF passages: executors hold the rows and multiply, the driver only orthonormalises
-   a (terms x rank) block of fixed size. It is fitted on at most FIT_PASSAGES passages; every passage of every document is searched.
+2. Distributed randomised SVD of the TF-IDF rows of all distinct passages: executors multiply, the driver only orthonormalises
+   a (terms x rank) block of fixed size. Nothing is sampled.
 3. Every window of every document, of about an item's length, is compared with the item by cosine in latent space; those that
    reach COSINE are candidates, and nothing else is.
 4. Candidates are checked by an answer check, the item's answer, or else its rarest words, must mostly be in the window, and by
    longest common subsequence of words.
 
-Nothing is shuffled but counters, the fit sample and blocks of fixed size.
+Shuffled are counters, the passages' terms once (two bytes a word, to find equal ones) and blocks of fixed size.
 """
 
 from __future__ import annotations
@@ -22,22 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import Scratch, arrow_bytes, ascii_lower, byte_slices, small_batches, table, word_hashes, word_spans
+from lexweave.llm.common import POLY, Scratch, arrow_bytes, ascii_lower, byte_slices, mix64, small_batches, table, word_hashes, word_spans
 
 #: Hashed terms, rank of the latent space, spare directions, rounds of subspace iteration. The first SHARED directions, which
 #: all passages of a language have in common, are left out of comparisons.
 TERMS, RANK, SPARE, ROUNDS, SHARED = 1 << 15, 72, 8, 3, 8
 #: In a corpus of fewer passages than LANGUAGE times the rank the first directions are single texts, not a language; all are kept there.
 LANGUAGE = 10
-#: Words in a block; windows start at blocks. Words in a fitted passage. Most passages to fit on.
-STEP, PASSAGE, FIT_PASSAGES = 8, 48, 20_000
+#: Words in a block; windows start at blocks. Words in a fitted passage.
+STEP, PASSAGE = 8, 48
 #: Least cosine of a candidate, least share of the item's words in the common subsequence, least share of answer words.
 COSINE, COMMON, ANSWER = 0.25, 0.6, 0.5
 RARE = 6
 #: Items up to so many bytes and so many rows are broadcast; more are searched in turns of that size.
 ITEM_BYTES, ITEM_ROWS = 32_000_000, 50_000
-#: Bits of an item's word signature, and row slices in which blocks of the SVD are added up.
-SIGNATURE, SLICES = 4096, 32
+#: Bits of an item's word signature, row slices in which blocks of the SVD are added up, and least passages for a task that makes one.
+SIGNATURE, SLICES, TASK_PASSAGES = 4096, 32, 250_000
+#: Passages that are multiplied at a time.
+GROUP = 8
 
 
 def terms_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -51,28 +53,51 @@ def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(TERMS)).astype(np.int64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers in order; ``np.unique`` goes through a hash table, which takes ten times as long here."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _within(row: np.ndarray) -> np.ndarray:
     """Number of each word within its row."""
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
     return np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
 
 
-def passage_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(passages that hold each hashed term, passages) over whole texts of all documents."""
+def passages_of(docs: DataFrame) -> DataFrame:
+    """(h, terms) of each passage of all documents, and from each task a row (df, passages) with the counts of its passages.
+
+    ``terms``: a passage's terms in order, repeated ones too, as unsigned 16-bit numbers; ``h``: the sum of its words' hashes.
+    """
     small_batches(docs.sparkSession)
+    names = ["h", "terms", "df", "passages"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, passages = np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for a, b in byte_slices(batch.column("text"), 4_000_000):
                 h, row = terms_of(batch.column("text").slice(a, b - a))
-                if len(h):
-                    k = _within(row) // PASSAGE
-                    new = np.append(True, (row[1:] != row[:-1]) | (k[1:] != k[:-1]))
-                    p = np.cumsum(new) - 1
-                    passages += int(p[-1]) + 1
-                    df += np.bincount(np.unique(p * TERMS + slot(h)) % TERMS, minlength=TERMS)
-        yield pa.RecordBatch.from_arrays([pa.array([df.astype("<i8").tobytes()]), pa.array([passages], pa.int64())], ["df", "passages"])
+                if not len(h):
+                    continue
+                k = _within(row) // PASSAGE
+                new = np.append(True, (row[1:] != row[:-1]) | (k[1:] != k[:-1]))
+                first = np.flatnonzero(new)
+                held = np.sort((np.cumsum(new) - 1) * TERMS + slot(h))
+                terms = held % TERMS
+                df += np.bincount(terms[np.append(True, held[1:] != held[:-1])], minlength=TERMS)
+                passages += len(first)
+                bounds = (2 * np.append(first, len(h))).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(terms.astype("<u2"))])
+                none = [pa.nulls(len(first), pa.binary()), pa.nulls(len(first), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.add.reduceat(h, first).view(np.int64)), packed, *none], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([df.astype("<i8").tobytes()]), pa.array([passages], pa.int64())], names)
+
+    return docs.select("text").mapInArrow(run, "h bigint, terms binary, df binary, passages bigint")
+
+
+def counts_of(passages: DataFrame) -> tuple[np.ndarray, int]:
+    """(passages that hold each hashed term, passages) from the rows of ``passages_of``."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, passages = np.zeros(TERMS, np.int64), 0
@@ -82,55 +107,84 @@ def passage_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array([df.astype("<i8").tobytes()]), pa.array([passages], pa.int64())], ["df", "passages"])
 
     shape = "df binary, passages bigint"
-    some = docs.select("text").mapInArrow(run, shape).repartition(8).mapInArrow(add, shape).collect()  # eight rows of 256 KB
+    some = passages.where("df IS NOT NULL").select("df", "passages").repartition(8).mapInArrow(add, shape).collect()  # eight rows of 256 KB
     return sum((np.frombuffer(r["df"], "<i8") for r in some), np.zeros(TERMS, np.int64)), sum(r["passages"] for r in some)
 
 
+def passage_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """(passages that hold each hashed term, passages) over whole texts of all documents."""
+    return counts_of(passages_of(docs))
+
+
 def idf_of(df: np.ndarray, passages: int) -> np.ndarray:
     return np.log((1 + passages) / (1 + df)).astype(np.float32)
 
 
-def fit_rows(docs: DataFrame, passages: int, most: int) -> DataFrame:
-    """(h, terms) of passages chosen by the hash of their words: about ``most`` of them, all if there are no more."""
-    share = min(1.0, most / max(passages, 1))
+def fit_rows(passages: DataFrame) -> DataFrame:
+    """(h, terms) of all distinct passages: those with the same words, in whatever order, as far as the sum of the words' hashes tells, are one."""
+    return passages.where("h IS NOT NULL").select("h", "terms").dropDuplicates(["h"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in byte_slices(batch.column("text"), 4_000_000):
-                h, row = terms_of(batch.column("text").slice(a, b - a))
-                if not len(h):
-                    continue
-                k = _within(row) // PASSAGE
-                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (k[1:] != k[:-1])))
-                key = np.add.reduceat(h, first)
-                take = np.flatnonzero((key >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share)
-                ends = np.append(first[1:], len(h))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[take].view(np.int64)), pa.array([slot(h[first[i] : ends[i]]).astype(np.int32) for i in take], pa.list_(pa.int32()))], ["h", "terms"]
-                )
 
-    return docs.select("text").mapInArrow(run, "h bigint, terms array<int>").dropDuplicates(["h"]).orderBy("h").limit(most)
+def weighted_rows(column, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, passage, weight) of the unit TF-IDF rows of a column of packed terms, by passage and term."""
+    raw, off = arrow_bytes(column)
+    terms = np.frombuffer(raw.tobytes(), "<u2").astype(np.int64)
+    passage = np.repeat(np.arange(len(off) - 1), np.diff(off) // 2)
+    first = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (passage[1:] != passage[:-1])))
+    ids, own = terms[first], passage[first]
+    w = np.diff(np.append(first, len(terms))) * idf[ids]
+    return ids, own, (w / (np.sqrt(np.bincount(own, w * w, len(off) - 1)) + 1e-9)[own]).astype(np.float32)
+
 
+def signs_of(h: np.ndarray, many: int) -> np.ndarray:
+    """(passages x many) of random signs that depend on a passage's hash alone."""
+    parts = [mix64(h * POLY + np.uint64(k)) for k in range(1, -(-many // 64) + 1)]
+    return np.unpackbits(np.stack(parts, 1).view(np.uint8), axis=1)[:, :many].astype(np.float32) * 2 - 1
 
-def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, shared: int = SHARED, seed: int = 5) -> np.ndarray:
+
+def add_products(out: np.ndarray, column, idf: np.ndarray, right: np.ndarray, basis: bool) -> None:
+    """Add X'X right to ``out`` if ``right`` is a basis, else X'right, which has a row for each passage; X: the rows of the column.
+
+    X is multiplied GROUP passages at a time, as a dense block over the terms that they hold.
+    """
+    ids, own, w = weighted_rows(column, idf)
+    group = own // GROUP
+    order = np.argsort(group * TERMS + ids)
+    key = (group * TERMS + ids)[order]
+    new = np.append(True, key[1:] != key[:-1])
+    terms, groups = key[new] % TERMS, np.arange(-(-len(column) // GROUP) + 1)
+    first = np.searchsorted(key[new] // TERMS, groups)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    at = (own - group * GROUP) * np.diff(first)[group] + place - first[group]
+    first, cuts = first.tolist(), np.searchsorted(group, groups).tolist()
+    for g in range(len(first) - 1):
+        some = terms[first[g] : first[g + 1]]
+        block = np.zeros(GROUP * len(some), np.float32)
+        block[at[cuts[g] : cuts[g + 1]]] = w[cuts[g] : cuts[g + 1]]
+        block = block.reshape(GROUP, len(some))
+        mine = right[g * GROUP : (g + 1) * GROUP]
+        out[some] += block.T @ (block @ right.take(some, 0)) if basis else block[: len(mine)].T @ mine
+
+
+def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, shared: int = SHARED) -> np.ndarray:
     """(TERMS x (rank - shared)) right singular vectors of the TF-IDF rows by randomised subspace iteration.
 
-    Products and their sums are made on executors, slice by slice; the driver gets one block of TERMS x (rank + SPARE) numbers for each round.
+    The first of ``rounds`` passes adds up the rows with random signs, the others multiply. Products and their sums are made on
+    executors, slice by slice; the driver gets one block of TERMS x (rank + SPARE) numbers for each round.
     """
-    spark, each = rows.sparkSession, TERMS // SLICES
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((TERMS, rank + SPARE)).astype(np.float32))[0]
+    spark, each, wide = rows.sparkSession, TERMS // SLICES, rank + SPARE
+    q = None
     for _ in range(rounds):
         held = spark.sparkContext.broadcast((q, idf))  # of fixed size, whatever the input
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             basis, weights = held.value
-            out = np.zeros_like(basis)
+            out = np.zeros((TERMS, wide), np.float32)
             for batch in batches:
-                for terms in batch.column("terms").to_pylist():
-                    ids, counts = np.unique(np.array(terms, np.int64), return_counts=True)
-                    w = counts * weights[ids]
-                    w /= np.linalg.norm(w) + 1e-9
-                    out[ids] += np.outer(w, w @ basis[ids])
+                right = signs_of(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64), wide) if basis is None else basis
+                if len(right):
+                    add_products(out, batch.column("terms"), weights, right, basis is not None)
             for k in range(SLICES):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([out[k * each : (k + 1) * each].tobytes()], pa.binary())], ["slice", "block"])
 
@@ -142,8 +196,8 @@ def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int
             for k, v in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["slice", "block"])
 
-        z = np.zeros_like(q)
-        del q
+        z = np.zeros((TERMS, wide), np.float32)
+        q = None
         shape = "slice int, block binary"
         for k, block in rows.mapInArrow(run, shape).repartition(8, "slice").mapInArrow(add, shape).collect():  # SLICES rows, 10 MB in all
             z[k * each : (k + 1) * each] = np.frombuffer(block, np.float32).reshape(each, -1)
@@ -208,20 +262,21 @@ def answered(h: np.ndarray, block: np.ndarray, row: np.ndarray, row_start: np.nd
     """(window, item), by window: windows, named by their first block, that hold at least ``answer`` of the item's distinct answer words."""
     asked, owner = np.concatenate(items.answers), np.repeat(np.arange(len(items.ids)), [len(a) for a in items.answers])
     order, least, n = np.argsort(asked, kind="stable"), answer * np.bincount(owner), len(asked)
-    low, high = np.searchsorted(asked[order], h, "left"), np.searchsorted(asked[order], h, "right")
-    at = np.flatnonzero(high > low)
-    count = (high - low)[at]
-    word = order[np.repeat(low[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+    low = np.searchsorted(asked[order], h, "left")
+    at = np.flatnonzero(asked[order][np.minimum(low, n - 1)] == h)
+    low = low[at]
+    count = np.searchsorted(asked[order], h[at], "right") - low
+    word = order[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
 
     def enough(place: np.ndarray, word: np.ndarray) -> np.ndarray:
         """place * items + item of places that hold enough different answer words."""
-        one = np.unique(place * n + word)
+        one = distinct(place * n + word)
         pair, hits = np.unique(one // n * len(items.ids) + owner[one % n], return_counts=True)
         return pair[hits >= least[pair % len(items.ids)]]
 
     at = np.repeat(at, count)
     some = np.isin(row[at] * len(items.ids) + owner[word], enough(row[at], word))  # the whole text has them
-    held = np.unique(block[at[some]] * n + word[some])
+    held = distinct(block[at[some]] * n + word[some])
     b, word = held // n, held % n
     size = items.sizes[owner[word]]
     window = np.repeat(b, size) - (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
@@ -261,17 +316,17 @@ def search(column, items: Items, weighted: np.ndarray, cosine: float, common: fl
         for k in range(0, len(at), 16384):
             chosen = at[k : k + 16384]
             v = (sums[stop[chosen]] - sums[chosen]).astype(np.float32)
-            v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
             score = v @ items.vectors[mine].T
-            take = score >= cosine
+            norm = np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-9)
             own = (items.sizes[theirs] == size) & (windows >= chosen[0]) & (windows <= chosen[-1])
             at_window = np.minimum(np.searchsorted(chosen, windows[own]), len(chosen) - 1)
             exists = chosen[at_window] == windows[own]
             if answer > 0:  # of the candidates, those that pass the answer check
-                enough = np.zeros_like(take)
-                enough[at_window[exists], np.searchsorted(mine, theirs[own][exists])] = True
-                take &= enough
-            near, which = np.nonzero(take)
+                near, which = at_window[exists], np.searchsorted(mine, theirs[own][exists])
+                take = score[near, which] / norm[near] >= cosine
+                near, which = near[take], which[take]
+            else:
+                near, which = np.nonzero(score / norm[:, None] >= cosine)
             # Window words that the item has bound the common subsequence from above.
             words = starts[chosen[near]][:, None] + np.arange(STEP * size)
             inside = words < starts[stop[chosen[near]]][:, None]
@@ -286,7 +341,7 @@ def search(column, items: Items, weighted: np.ndarray, cosine: float, common: fl
                 share = common_words(asked, window) / len(asked)
                 key = (int(block_row[block]), int(item))
                 if share >= common and share > best.get(key, (0.0, 0.0))[1]:
-                    best[key] = (float(score[i, j]), share)
+                    best[key] = (float(score[i, j] / norm[i]), share)
     for (r, item), (score, share) in best.items():
         yield r, items.ids[item], score, share
 
@@ -300,9 +355,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, cosine
     """
     spark = docs.sparkSession
     small_batches(spark)
-    df, passages = passage_counts(docs)
+    every = scratch.save(passages_of(docs), "passages")
+    df, passages = counts_of(every)
     idf = idf_of(df, passages)
-    rows = scratch.save(fit_rows(docs, passages, FIT_PASSAGES).repartition(8), "fit")
+    rows = scratch.save(fit_rows(every), "fit").coalesce(max(8, passages // TASK_PASSAGES))
+    scratch.drop("passages")
     basis = latent_basis(rows, idf, shared=SHARED if passages >= LANGUAGE * RANK else 0)
     asked = benchmark.select("item_id", "text", (F.col("answer") if "answer" in benchmark.columns else F.lit(None)).cast("string").alias("answer"))
     size, many = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()

@@ -414,3 +414,13 @@ def test_pipeline(spark, data, tmp_path):
     for name in ("benchmark", "labels"):
         spark.read.parquet(f"{data}/{name}.parquet").write.parquet(str(tmp_path / f"none/{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_decontamination_is_fitted_on_all_passages(spark):
+    # More distinct passages than the 20,000 that an earlier form took; copies, in other orders too, are one.
+    texts = [f"a{i} b{i % 7} c" for i in range(21_000)] + [f"c a{i} b{i % 7}" for i in range(500)] + [None, ""]
+    every = decontaminate.passages_of(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOC))
+    rows = decontaminate.fit_rows(every)
+    assert rows.count() == 21_000
+    df, passages = decontaminate.counts_of(every)
+    assert passages == 21_500 and df.sum() <= 3 * 21_500 and df.max() >= 21_500

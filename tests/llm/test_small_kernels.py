@@ -285,3 +285,20 @@ def test_statistics_have_names_of_their_own():
 
 def test_digest_helper():
     assert token_counts.version_of(P.path(token_counts.TOKENIZER)) == hashlib.sha256(open(P.path(token_counts.TOKENIZER), "rb").read()).hexdigest()
+
+
+def test_products_with_passages():
+    rng = np.random.default_rng(3)
+    slots = [np.sort(rng.integers(0, 50, n)).astype("<u2") for n in rng.integers(1, 48, 21)]
+    idf = rng.random(decontaminate.TERMS).astype(np.float32)
+    x = np.zeros((len(slots), decontaminate.TERMS), np.float32)
+    for k, own in enumerate(slots):
+        np.add.at(x[k], own, idf[own])
+        x[k] /= np.linalg.norm(x[k])
+    column = pa.array([s.tobytes() for s in slots], pa.binary())
+    basis, signs = rng.random((decontaminate.TERMS, 5)).astype(np.float32), decontaminate.signs_of(np.arange(21, dtype=np.uint64), 80)
+    assert set(np.unique(signs)) == {-1, 1} and np.linalg.matrix_rank(signs) == 21
+    for right, whole in ((basis, True), (signs, False)):
+        out = np.zeros((decontaminate.TERMS, right.shape[1]), np.float32)
+        decontaminate.add_products(out, column, idf, right, whole)
+        assert np.allclose(out, x.T @ (x @ right if whole else right), atol=1e-4)
