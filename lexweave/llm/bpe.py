@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lexweave.llm.chunks import chunk_array, piece_cuts, ragged_take, row_of, row_sums
+from lexweave.llm.chunks import chunk_array, piece_cuts, row_of, row_sums
 from lexweave.llm.common import arrow_bytes, byte_slices, small_batches, table, word_hashes
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -126,7 +126,10 @@ class Memo:
         return self.ends[k].data[slots + 1] - self.ends[k].data[slots]
 
     def take(self, k: int, slots: np.ndarray) -> np.ndarray:
-        return ragged_take(self.flat[k].data, self.ends[k].data[slots], self.sizes(k, slots))
+        flat, ends = self.flat[k].data, self.ends[k]
+        bounds = ends.data[: ends.n] * flat.itemsize
+        every = pa.Array.from_buffers(pa.large_binary(), ends.n - 1, [None, pa.py_buffer(bounds), pa.py_buffer(flat)])
+        return arrow_bytes(every.take(pa.array(slots)))[0].view(flat.dtype)
 
 
 class Codec:
@@ -219,7 +222,7 @@ class Codec:
         same = slots >= 0
         same[same] = self.memo.sizes(1, slots[same]) == size[same]
         hit = np.flatnonzero(same)
-        apart = self.memo.take(1, slots[hit]) != ragged_take(raw, off[hit], size[hit])
+        apart = self.memo.take(1, slots[hit]) != arrow_bytes(chunks.take(pa.array(hit)))[0]
         same[hit[np.unique(np.repeat(np.arange(len(hit)), size[hit])[apart])]] = False
         new = np.flatnonzero(~same)
         if len(self.memo) + len(new) > MEMO:

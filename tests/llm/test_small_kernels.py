@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 
 from lexweave.llm import bpe, chat_format, decontaminate, html_text, jaccard_join, line_dedup, quality_classifier, suffix_dedup, token_counts
+from lexweave.llm import chunks as bpe_chunks
 from lexweave.llm.common import arrow_bytes, byte_slices, span_hashes, word_hashes, word_spans
 
 TEXTS = [
@@ -302,3 +303,21 @@ def test_products_with_passages():
         out = np.zeros((decontaminate.TERMS, right.shape[1]), np.float32)
         decontaminate.add_products(out, column, idf, right, whole)
         assert np.allclose(out, x.T @ (x @ right if whole else right), atol=1e-4)
+
+
+def test_bpe_cuts_before_marks():
+    """Marks after letters begin a chunk, so that a word is encoded once whatever follows it; the pieces stay those of the pattern."""
+    import tiktoken
+
+    rng = random.Random(9)
+    texts = ["don't, won't. caf\u00e9's na\u00efve; gro\u00df'll a\u00d7b\u00f7c a\u00d7. b\u00f7, (x) 'tis x's-y", "\u00e9", "\u00df.", "", None, "a.", ".a", "\u00c3.", "e\u0301. \u0160."]
+    texts += ["".join(rng.choice("ab\u00e9\u00df\u00e0\u00c5\u00d7\u00f7\u00a0\u0160\u20ac\u2003\u3000 \n\t.,'s!1") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    raw, off = arrow_bytes(pa.array(["gro\u00df gro\u00df, gro\u00df. word word, word. word's"]))
+    chunks, _ = bpe_chunks.distinct_chunks(raw, bpe_chunks.piece_cuts(raw, off))
+    assert chunks == [t.encode() for t in ("gro\u00df", " gro\u00df", ",", ".", " word", "'s")]
+    own = bpe.codec(P.path(bpe.RANKS), P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(bpe.RANKS)), special_tokens={})
+    ids, id_off, decoded, off = bpe.encode_column(pa.array(texts), own)
+    for k, t in enumerate(texts):
+        assert ids[id_off[k] : id_off[k + 1]].tolist() == library.encode_ordinary(t or ""), t
+        assert decoded[off[k] : off[k + 1]].tobytes() == (t or "").encode()
