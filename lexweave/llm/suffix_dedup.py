@@ -26,17 +26,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import POLY, Scratch, arrow_bytes, byte_slices, mix64, small_batches, table, text_or_empty
+from lexweave.llm.common import POLY, Scratch, arrow_bytes, byte_slices, distinct, mix64, small_batches, table, text_or_empty
 
 LENGTH, GRAM = 200, 64
 #: Bytes of contexts in one suffix array, and about so many strings in one bucket of the merge.
 SHARD, RANGE = 1_000_000, 2_000_000
+#: Positions that are hashed at a time, so that the numbers stay in the cache.
+STRETCH = 1 << 15
 #: Occurrences of an anchor, by the way that they are dealt.
 BY_ANCHOR, BY_CONTEXT, WITNESS, SETTLED = 0, 1, 2, 3
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the ``gram`` (a power of two) bytes from each position on, by doubling; the last gram - 1 entries are void."""
+    out = np.empty(len(raw), np.uint64)
+    for a in range(0, len(raw), STRETCH):
+        out[a : a + STRETCH] = _gram_hashes(raw[a : a + STRETCH + gram - 1], gram)[:STRETCH]
+    return out
+
+
+def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     g = mix64((raw.astype(np.uint64) + np.uint64(1)) * POLY)
     step = 1
     while step < gram:
@@ -48,6 +57,20 @@ def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return mix64(g)
 
 
+def window_minima(values: np.ndarray, span: int) -> np.ndarray:
+    """Minimum of the ``span`` values from each position on; the last span - 1 entries are void."""
+    out = np.empty_like(values)
+    for a in range(0, len(values), STRETCH):
+        low, width = values[a : a + STRETCH + span - 1].copy(), 1
+        n = len(low)
+        while width * 2 <= span:
+            low[:-width] = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low[: max(n - (span - width), 0)] = np.minimum(low[: max(n - (span - width), 0)], low[span - width :])
+        out[a : a + STRETCH] = low[:STRETCH]
+    return out
+
+
 def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, position in raw, gram hash, hashes of all grams) of all anchors: minima of every string of ``length`` bytes that lies in one row."""
     n, span = len(raw), length - gram + 1
@@ -62,13 +85,8 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     g = gram_hashes(raw, gram)
     bits = np.uint64(max(1, int(n).bit_length()))
     low = (g >> bits << bits) | np.arange(n, dtype=np.uint64)
-    width = 1
-    while width * 2 <= span:
-        low[:-width] = np.minimum(low[:-width], low[width:])
-        width *= 2
-    low[: n - (span - width)] = np.minimum(low[: n - (span - width)], low[span - width :])
-    at = (low[valid] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    at = np.unique(at)
+    at = (window_minima(low, span)[valid] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = distinct(at)
     return np.searchsorted(off, at, "right") - 1, at, g[at], g
 
 
@@ -206,6 +224,11 @@ def packed(body: np.ndarray) -> np.ndarray:
     return key
 
 
+def leading_zero_bytes(x: np.ndarray) -> np.ndarray:
+    """Zero bytes on the left of each 64-bit number, by its exponent as a float; set bits after set bits go, lest it be rounded up."""
+    return (64 - np.frexp(x & ~(x >> np.uint64(1)))[1]) >> 3
+
+
 def common_prefixes(body: np.ndarray, order: np.ndarray, begins: np.ndarray, most: int) -> np.ndarray:
     """Length, up to ``most``, of the prefix that each suffix shares with the one before it in the array (Kasai).
 
@@ -228,7 +251,7 @@ def common_prefixes(body: np.ndarray, order: np.ndarray, begins: np.ndarray, mos
             x, y = at[go] + have[go], other[go] + have[go]
             apart = key[x] ^ key[y]
             # Equal bytes from the left among eight, and no further than the text.
-            same = sum((apart < np.uint64(1 << k)).astype(np.int64) for k in range(56, 0, -8)) + (apart == 0)
+            same = leading_zero_bytes(apart)
             have[go] += np.minimum(same, n - np.maximum(x, y))
             go = go[(same == 8) & (have[go] < most)]
         have = np.minimum(have, most)

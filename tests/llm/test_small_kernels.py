@@ -321,3 +321,16 @@ def test_bpe_cuts_before_marks():
     for k, t in enumerate(texts):
         assert ids[id_off[k] : id_off[k + 1]].tolist() == library.encode_ordinary(t or ""), t
         assert decoded[off[k] : off[k + 1]].tobytes() == (t or "").encode()
+
+
+def test_suffix_kernels_in_stretches(monkeypatch):
+    """Hashes and minima do not depend on the stretches that they are made in; leading zero bytes are exact next to powers of two."""
+    rng = np.random.default_rng(8)
+    raw, values = rng.integers(97, 100, 2000).astype(np.uint8), rng.integers(0, 1 << 62, 2000).astype(np.uint64)
+    seen = []
+    for stretch in (1 << 15, 7, 64, 1999):
+        monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+        seen.append((suffix_dedup.gram_hashes(raw, 16)[:1985].tolist(), suffix_dedup.window_minima(values, 45)[:1956].tolist()))
+    assert all(s == seen[0] for s in seen) and seen[0][1] == [int(values[i : i + 45].min()) for i in range(1956)]
+    x = [0, *sorted({min(max((1 << k) + d, 0), (1 << 64) - 1) for k in range(65) for d in (-2, -1, 0, 1, 2)})]
+    assert suffix_dedup.leading_zero_bytes(np.array(x, np.uint64)).tolist() == [(64 - v.bit_length()) // 8 for v in x]
