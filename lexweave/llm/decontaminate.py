@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import POLY, Scratch, arrow_bytes, ascii_lower, byte_slices, mix64, small_batches, table, word_hashes, word_spans
+from lexweave.llm.common import POLY, Scratch, arrow_bytes, ascii_lower, byte_slices, distinct, mix64, small_batches, table, word_hashes, word_spans
 
 #: Hashed terms, rank of the latent space, spare directions, rounds of subspace iteration. The first SHARED directions, which
 #: all passages of a language have in common, are left out of comparisons.
@@ -53,12 +53,6 @@ def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes % np.uint64(TERMS)).astype(np.int64)
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    """Distinct numbers in order; ``np.unique`` goes through a hash table, which takes ten times as long here."""
-    x = np.sort(x)
-    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
-
-
 def _within(row: np.ndarray) -> np.ndarray:
     """Number of each word within its row."""
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
@@ -299,8 +293,11 @@ def search(column, items: Items, weighted: np.ndarray, cosine: float, common: fl
     sums = np.zeros((len(firsts) + 1, weighted.shape[1]))
     padded = np.full((len(firsts), STEP), TERMS)  # blocks of STEP words; short ones end with a term of no weight
     padded[np.cumsum(inner % STEP == 0) - 1, inner % STEP] = ids
-    for a in range(0, len(firsts), 4096):
-        sums[a + 1 : a + 1 + 4096] = weighted[padded[a : a + 4096]].sum(1)
+    for a in range(0, len(firsts), 1024):
+        total = weighted.take(padded[a : a + 1024, 0], 0)
+        for k in range(1, STEP):
+            total += weighted.take(padded[a : a + 1024, k], 0)
+        sums[a + 1 : a + 1 + 1024] = total
     np.cumsum(sums, axis=0, out=sums)
     row_end = np.searchsorted(block_row, block_row, "right")
     starts = np.append(firsts, len(h))
@@ -313,16 +310,18 @@ def search(column, items: Items, weighted: np.ndarray, cosine: float, common: fl
         stop = np.minimum(np.arange(len(firsts)) + size, row_end)
         whole = (stop - np.arange(len(firsts)) == size) | (inner[firsts] == 0)
         at = np.flatnonzero(whole)
-        for k in range(0, len(at), 16384):
-            chosen = at[k : k + 16384]
+        asking = items.sizes[theirs] == size
+        own_windows, own_items = windows[asking], np.searchsorted(mine, theirs[asking])  # by window, then item
+        for k in range(0, len(at), 2048):
+            chosen = at[k : k + 2048]
             v = (sums[stop[chosen]] - sums[chosen]).astype(np.float32)
             score = v @ items.vectors[mine].T
             norm = np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-9)
-            own = (items.sizes[theirs] == size) & (windows >= chosen[0]) & (windows <= chosen[-1])
-            at_window = np.minimum(np.searchsorted(chosen, windows[own]), len(chosen) - 1)
-            exists = chosen[at_window] == windows[own]
             if answer > 0:  # of the candidates, those that pass the answer check
-                near, which = at_window[exists], np.searchsorted(mine, theirs[own][exists])
+                own = slice(np.searchsorted(own_windows, chosen[0], "left"), np.searchsorted(own_windows, chosen[-1], "right"))
+                near, which = np.searchsorted(chosen, own_windows[own]), own_items[own]
+                take = chosen[near] == own_windows[own]
+                near, which = near[take], which[take]
                 take = score[near, which] / norm[near] >= cosine
                 near, which = near[take], which[take]
             else:
