@@ -40,6 +40,8 @@ ITEM_BYTES, ITEM_ROWS = 32_000_000, 50_000
 SIGNATURE, SLICES, TASK_PASSAGES = 4096, 32, 250_000
 #: Passages that are multiplied at a time.
 GROUP = 8
+#: Windows that are compared at a time.
+WINDOWS = 2048
 
 
 def terms_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -278,6 +280,37 @@ def answered(h: np.ndarray, block: np.ndarray, row: np.ndarray, row_start: np.nd
     return np.divmod(enough(window[inside], np.repeat(word, size)[inside]), len(items.ids))
 
 
+def running_sums(x: np.ndarray, stretch: int = 32) -> None:
+    """Running sums down the rows, in place: within stretches of rows, all of them side by side, then over stretches."""
+    n = len(x) // stretch * stretch
+    parts = x[:n].reshape(-1, stretch, x.shape[1])
+    for k in range(1, stretch):
+        parts[:, k] += parts[:, k - 1]
+    parts[1:] += np.cumsum(parts[:, -1], axis=0)[:-1, None]
+    if n:
+        x[n : n + 1] += x[n - 1]
+    np.cumsum(x[n:], axis=0, out=x[n:])
+
+
+def window_sums(sums: np.ndarray, at: np.ndarray, size: int, row_end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stop, sums of the blocks from each of ``at`` to its stop): ``size`` blocks, or those up to the row's end where ``first`` says that the row begins there.
+
+    ``at``: consecutive blocks; ``sums``: running sums by block, with ``size`` rows of the last one after it. Other windows over a
+    row's end are no windows: their sums mean nothing, and are made because neighbours are read in one stretch.
+    """
+    a, n = at[0], len(at)
+    stop = np.minimum(at + size, row_end[at])
+    out = np.empty((n, sums.shape[1]), np.float32)
+    np.subtract(sums[a + size : a + size + n], sums[a : a + n], out=out, casting="same_kind")
+    short = np.flatnonzero(first & (stop - at < size))
+    out[short] = sums[stop[short]] - sums[at[short]]
+    return stop, out
+
+
+def lengths_of(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-9)
+
+
 def search(column, items: Items, weighted: np.ndarray, cosine: float, common: float, answer: float) -> Iterator[tuple[int, int, float, float]]:
     """(row, item, cosine, common share) of verified matches, the best window of each pair of row and item.
 
@@ -290,57 +323,60 @@ def search(column, items: Items, weighted: np.ndarray, cosine: float, common: fl
     inner = _within(row)
     firsts = np.flatnonzero(inner % STEP == 0)
     block_row = row[firsts]
-    sums = np.zeros((len(firsts) + 1, weighted.shape[1]))
+    row_end = np.searchsorted(block_row, block_row, "right")
+    largest = int(items.sizes.max())
+    sums = np.zeros((len(firsts) + 1 + largest, weighted.shape[1]))
     padded = np.full((len(firsts), STEP), TERMS)  # blocks of STEP words; short ones end with a term of no weight
     padded[np.cumsum(inner % STEP == 0) - 1, inner % STEP] = ids
     for a in range(0, len(firsts), 1024):
         total = weighted.take(padded[a : a + 1024, 0], 0)
         for k in range(1, STEP):
             total += weighted.take(padded[a : a + 1024, k], 0)
-        sums[a + 1 : a + 1 + 1024] = total
-    np.cumsum(sums, axis=0, out=sums)
-    row_end = np.searchsorted(block_row, block_row, "right")
+        sums[a + 1 : a + 1 + len(total)] = total
+    running_sums(sums)
     starts = np.append(firsts, len(h))
     windows, theirs = answered(h, np.cumsum(inner % STEP == 0) - 1, row, np.searchsorted(block_row, block_row, "left"), items, answer)
-    known = np.append(bits_of(h), np.zeros(STEP * int(items.sizes.max()), np.int64))
+    known = np.append(bits_of(h), np.zeros(STEP * largest, np.int64))
     lengths = np.array([len(w) for w in items.words])
     best: dict[tuple[int, int], tuple[float, float]] = {}
-    for size in np.unique(items.sizes):
-        mine = np.flatnonzero(items.sizes == size)
-        stop = np.minimum(np.arange(len(firsts)) + size, row_end)
-        whole = (stop - np.arange(len(firsts)) == size) | (inner[firsts] == 0)
-        at = np.flatnonzero(whole)
-        asking = items.sizes[theirs] == size
-        own_windows, own_items = windows[asking], np.searchsorted(mine, theirs[asking])  # by window, then item
-        for k in range(0, len(at), 2048):
-            chosen = at[k : k + 2048]
-            v = (sums[stop[chosen]] - sums[chosen]).astype(np.float32)
-            score = v @ items.vectors[mine].T
-            norm = np.sqrt(np.einsum("ij,ij->i", v, v)) + np.float32(1e-9)
+    groups = []
+    for size in np.unique(items.sizes).tolist():
+        mine, asking = np.flatnonzero(items.sizes == size), items.sizes[theirs] == size
+        own = windows[asking]  # by window, then item
+        groups.append((size, mine, items.vectors[mine].T, own, np.searchsorted(mine, theirs[asking]), np.searchsorted(own, np.arange(0, len(firsts) + WINDOWS, WINDOWS))))
+    for turn, a in enumerate(range(0, len(firsts), WINDOWS)):  # all sizes of the same windows in turn, while their sums are in the cache
+        chosen = np.arange(a, min(a + WINDOWS, len(firsts)))
+        for size, mine, vectors, own_windows, own_items, cuts in groups:
+            stop, v = window_sums(sums, chosen, size, row_end, inner[firsts[chosen]] == 0)
+            score = v @ vectors
+            whole = (stop - chosen == size) | (inner[firsts[chosen]] == 0)
             if answer > 0:  # of the candidates, those that pass the answer check
-                own = slice(np.searchsorted(own_windows, chosen[0], "left"), np.searchsorted(own_windows, chosen[-1], "right"))
-                near, which = np.searchsorted(chosen, own_windows[own]), own_items[own]
-                take = chosen[near] == own_windows[own]
-                near, which = near[take], which[take]
-                take = score[near, which] / norm[near] >= cosine
-                near, which = near[take], which[take]
+                own = slice(cuts[turn], cuts[turn + 1])
+                near, which = own_windows[own] - a, own_items[own]
+                near, which = near[whole[near]], which[whole[near]]
+                cosines = score[near, which] / lengths_of(v[near])
+                near, which, cosines = (x[cosines >= cosine] for x in (near, which, cosines))
             else:
-                near, which = np.nonzero(score / norm[:, None] >= cosine)
+                score /= lengths_of(v)[:, None]
+                near, which = np.nonzero((score >= cosine) & whole[:, None])
+                cosines = score[near, which]
+            if not len(near):
+                continue
             # Window words that the item has bound the common subsequence from above.
             words = starts[chosen[near]][:, None] + np.arange(STEP * size)
-            inside = words < starts[stop[chosen[near]]][:, None]
+            inside = words < starts[stop[near]][:, None]
             bit = known[words]
             bound = ((items.signs[mine[which][:, None], bit >> 3] >> (bit & 7).astype(np.uint8)) & inside).sum(1)
             some = bound >= common * lengths[mine[which]]
-            for i, j in zip(near[some], which[some], strict=True):
+            for i, j, near_by in zip(near[some], which[some], cosines[some], strict=True):
                 block, item = chosen[i], mine[j]
-                window, asked = h[starts[block] : starts[stop[block]]], items.words[item]
+                window, asked = h[starts[block] : starts[stop[i]]], items.words[item]
                 if np.isin(items.answers[item], window).sum() < answer * len(items.answers[item]):
                     continue
                 share = common_words(asked, window) / len(asked)
                 key = (int(block_row[block]), int(item))
                 if share >= common and share > best.get(key, (0.0, 0.0))[1]:
-                    best[key] = (float(score[i, j] / norm[i]), share)
+                    best[key] = (float(near_by), share)
     for (r, item), (score, share) in best.items():
         yield r, items.ids[item], score, share
 

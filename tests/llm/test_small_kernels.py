@@ -334,3 +334,25 @@ def test_suffix_kernels_in_stretches(monkeypatch):
     assert all(s == seen[0] for s in seen) and seen[0][1] == [int(values[i : i + 45].min()) for i in range(1956)]
     x = [0, *sorted({min(max((1 << k) + d, 0), (1 << 64) - 1) for k in range(65) for d in (-2, -1, 0, 1, 2)})]
     assert suffix_dedup.leading_zero_bytes(np.array(x, np.uint64)).tolist() == [(64 - v.bit_length()) // 8 for v in x]
+
+
+def test_decontamination_windows_are_sums_of_blocks():
+    rng = np.random.default_rng(3)
+    rows = np.array([1, 5, 2, 9, 1, 30])
+    row = np.repeat(np.arange(len(rows)), rows)
+    end = np.searchsorted(row, row, "right")
+    first = np.append(True, row[1:] != row[:-1])
+    blocks = rng.standard_normal((len(row), 4))
+    sums = np.vstack([np.zeros((1, 4)), np.cumsum(blocks, 0), np.repeat(blocks.sum(0)[None], 9, 0)])
+    for n in (0, 1, 31, 32, 33, 100):
+        x = rng.standard_normal((n, 4))
+        held = x.copy()
+        decontaminate.running_sums(held)
+        np.testing.assert_allclose(held, np.cumsum(x, 0), atol=1e-12)
+    for size in (1, 2, 7, 9):
+        for a in range(0, len(row), 11):
+            at = np.arange(a, min(a + 11, len(row)))
+            stop, v = decontaminate.window_sums(sums, at, size, end, first[at])
+            assert (stop == np.minimum(at + size, end[at])).all()
+            for k in np.flatnonzero((stop - at == size) | first[at]):
+                np.testing.assert_allclose(v[k], blocks[at[k] : stop[k]].sum(0), rtol=1e-5, atol=1e-5)
