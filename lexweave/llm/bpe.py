@@ -27,8 +27,8 @@ from lexweave.llm.common import arrow_bytes, byte_slices, small_batches, table,
 RANKS = "byte_bpe_50k.tiktoken"
 #: Unicode white space as the pattern's ``\s`` means it (fixed values).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Distinct pieces in one query, and chunks that a worker remembers.
-BLOCK, MEMO = 40_000, 1_500_000
+#: Distinct pieces in one query, chunks that a worker remembers, and bytes of text that are encoded at a time.
+BLOCK, MEMO, SLICE = 40_000, 1_500_000, 2_000_000
 
 #: Rows know their right neighbour (token and position). ``merges.safe``: no pair with the merged token has a lower rank; ``lower``: pairs that have.
 ENCODE = """
@@ -133,10 +133,13 @@ class Memo:
 
 
 class Codec:
-    """Encoder and decoder of one worker. Tables come from the rank file; nothing grows with the corpus but the bounded memo."""
+    """Encoder and decoder of one worker. Tables come from the rank file; nothing grows with the corpus but the bounded memo.
+
+    The database is open from the first new chunk to ``close``, which each task calls at its end: what DuckDB keeps for further
+    queries is not held by a worker that waits, or that runs another operator's tasks.
+    """
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
         import regex
 
         self.ranks = load_ranks(path)
@@ -145,7 +148,7 @@ class Codec:
         plain = plain.replace(f"|{WHITE}+", f"|[{WHITE}]+")
         self.pattern = regex.compile(plain)
         self.memo = Memo()
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # nothing is written beside the worker
+        self.open = None
         left, right, rank = [], [], []
         self.beside = np.zeros((256, 256), bool)  # bytes that some token has side by side
         for token, r in self.ranks.items():
@@ -159,12 +162,28 @@ class Codec:
         lower = (l > m) | (r > m)
         merges = pa.table({"l": l, "r": r, "rank": m, "safe": ~np.isin(m, unsafe)})
         tokens = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
-        for name, data in (("merges", merges), ("lower", pa.table({"l": l[lower], "r": r[lower], "rank": m[lower]})), ("tokens", tokens)):
-            self.db.register("incoming", data)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
-            self.db.unregister("incoming")
+        self.tables = {"merges": merges, "lower": pa.table({"l": l[lower], "r": r[lower], "rank": m[lower]}), "tokens": tokens}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
+    @property
+    def db(self):
+        import duckdb
+
+        if self.open is None:
+            self.open = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # nothing is written beside the worker
+            for name, data in self.tables.items():
+                self.open.register("incoming", data)
+                self.open.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
+                self.open.unregister("incoming")
+        return self.open
+
+    def close(self) -> None:
+        """Give back what only a running task needs; the remembered chunks stay."""
+        if self.open is not None:
+            self.open.close()
+            self.open = None
+        pa.default_memory_pool().release_unused()
+
     def pieces(self, chunk: bytes) -> list[bytes]:
         return [p.encode() for p in self.pattern.findall(chunk.decode("utf-8"))]
 
@@ -264,6 +283,18 @@ def encode_column(column, own: Codec) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(out)
 
 
+def coded_slices(batches: Iterator[pa.RecordBatch], text: str, ranks_path: str, pattern: str) -> Iterator[tuple]:
+    """(rows, ids, id offsets, decoded bytes, byte offsets) of each run of rows of about SLICE bytes, with this worker's codec."""
+    own = codec(ranks_path, pattern)
+    try:
+        for batch in batches:
+            for a, b in byte_slices(batch.column(text), SLICE):
+                part = batch.slice(a, b - a)
+                yield part, *encode_column(part.column(text), own)
+    finally:
+        own.close()
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``decoded`` (binary); null texts as empty ones, which have no ids.
 
@@ -274,14 +305,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     schema = docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
-        for batch in batches:
-            for a, b in byte_slices(batch.column(text), 8_000_000):
-                part = batch.slice(a, b - a)
-                ids, id_off, decoded, off = encode_column(part.column(text), own)
-                lists = pa.ListArray.from_arrays(pa.array(id_off.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                blobs = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(decoded)])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, blobs], [*kept, "ids", "decoded"])
+        for part, ids, id_off, decoded, off in coded_slices(batches, text, ranks_path, pattern):
+            lists = pa.ListArray.from_arrays(pa.array(id_off.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            blobs = pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(decoded)])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, blobs], [*kept, "ids", "decoded"])
 
     return docs.mapInArrow(run, schema)
 
@@ -295,21 +322,17 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
-        for batch in batches:
-            for a, b in byte_slices(batch.column("text"), 8_000_000):
-                part = batch.slice(a, b - a)
-                ids, id_off, decoded, off = encode_column(part.column("text"), own)
-                view, chars = memoryview(np.ascontiguousarray(ids)).cast("B"), memoryview(np.ascontiguousarray(decoded))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(np.diff(id_off)),
-                        pa.array([hashlib.sha256(view[4 * x : 4 * y]).hexdigest() for x, y in zip(id_off[:-1], id_off[1:], strict=True)], pa.string()),
-                        pa.array([hashlib.sha256(chars[x:y]).hexdigest() for x, y in zip(off[:-1], off[1:], strict=True)], pa.string()),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for part, ids, id_off, decoded, off in coded_slices(batches, "text", ranks_path, pattern):
+            view, chars = memoryview(np.ascontiguousarray(ids)).cast("B"), memoryview(np.ascontiguousarray(decoded))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array(np.diff(id_off)),
+                    pa.array([hashlib.sha256(view[4 * x : 4 * y]).hexdigest() for x, y in zip(id_off[:-1], id_off[1:], strict=True)], pa.string()),
+                    pa.array([hashlib.sha256(chars[x:y]).hexdigest() for x, y in zip(off[:-1], off[1:], strict=True)], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -336,6 +336,21 @@ def test_suffix_kernels_in_stretches(monkeypatch):
     assert suffix_dedup.leading_zero_bytes(np.array(x, np.uint64)).tolist() == [(64 - v.bit_length()) // 8 for v in x]
 
 
+def test_bpe_gives_back_what_a_task_needed(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    made, texts = [], [f"zqxv{k:03d} wörter {k}" * 40 for k in range(50)]
+    encode = bpe.encode_column
+    monkeypatch.setattr(bpe, "SLICE", 2000)
+    monkeypatch.setattr(bpe, "encode_column", lambda column, own: made.append(column.nbytes) or encode(column, own))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    run = lambda: b"".join(decoded.tobytes() for _, _, _, decoded, _ in bpe.coded_slices(iter([batch]), "text", P.path(bpe.RANKS), P.PATTERN))
+    own = bpe.codec(P.path(bpe.RANKS), P.PATTERN)
+    assert run() == "".join(texts).encode() and len(made) > 10
+    assert own.open is None and len(own.memo)
+    own.memo = bpe.Memo()  # a later task opens the database again
+    assert run() == "".join(texts).encode() and own.open is None
+
+
 def test_decontamination_windows_are_sums_of_blocks():
     rng = np.random.default_rng(3)
     rows = np.array([1, 5, 2, 9, 1, 30])
