@@ -46,6 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles nothing refers to any more; their files go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables written once below the shared folder, so that lineage ends there and lost executors cost no more than a reread."""
 
@@ -64,9 +70,7 @@ class Scratch:
         return self.load(name, schema)
 
     def release(self) -> None:
-        """Let Spark's cleaner see which shuffles nothing refers to any more; their files go."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        release(self.spark)
 
     def load(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import POLY, Scratch, arrow_bytes, ascii_lower, byte_slices, distinct, mix64, small_batches, table, word_hashes, word_spans
+from lexweave.llm.common import POLY, Scratch, arrow_bytes, ascii_lower, byte_slices, distinct, mix64, release, small_batches, table, word_hashes, word_spans
 
 #: Hashed terms, rank of the latent space, spare directions, rounds of subspace iteration. The first SHARED directions, which
 #: all passages of a language have in common, are left out of comparisons.
@@ -163,11 +163,21 @@ def add_products(out: np.ndarray, column, idf: np.ndarray, right: np.ndarray, ba
         out[some] += block.T @ (block @ right.take(some, 0)) if basis else block[: len(mine)].T @ mine
 
 
+def orthonormal(z: np.ndarray) -> None:
+    """Put an orthonormal basis of z's columns in their place: slices of rows are factored one by one, then their triangles together, so that no whole copy is made."""
+    wide = z.shape[1]
+    parts = np.array_split(z, max(1, min(SLICES, len(z) // wide)))
+    turn = np.linalg.qr(np.vstack([np.linalg.qr(x.astype(np.float64), mode="r") for x in parts]))[0]
+    for k, x in enumerate(parts):
+        x[:] = np.linalg.qr(x.astype(np.float64))[0] @ turn[k * wide : (k + 1) * wide]
+
+
 def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, shared: int = SHARED) -> np.ndarray:
     """(TERMS x (rank - shared)) right singular vectors of the TF-IDF rows by randomised subspace iteration.
 
     The first of ``rounds`` passes adds up the rows with random signs, the others multiply. Products and their sums are made on
-    executors, slice by slice; the driver gets one block of TERMS x (rank + SPARE) numbers for each round.
+    executors, slice by slice; the driver gets one block of TERMS x (rank + SPARE) numbers for each round, as Arrow batches, and
+    holds it once; what the round before has left in the JVM goes first.
     """
     spark, each, wide = rows.sparkSession, TERMS // SLICES, rank + SPARE
     q = None
@@ -192,16 +202,20 @@ def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int
             for k, v in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["slice", "block"])
 
-        z = np.zeros((TERMS, wide), np.float32)
         q = None
         shape = "slice int, block binary"
-        for k, block in rows.mapInArrow(run, shape).repartition(8, "slice").mapInArrow(add, shape).collect():  # SLICES rows, 10 MB in all
-            z[k * each : (k + 1) * each] = np.frombuffer(block, np.float32).reshape(each, -1)
-        if not z.any():  # nothing to fit on: any basis will do
-            z = np.eye(*z.shape, dtype=np.float32)
-        q = np.linalg.qr(z)[0]
-        del z
+        found = rows.mapInArrow(run, shape).repartition(8, "slice").mapInArrow(add, shape).toArrow()  # SLICES rows, 10 MB in all
         held.destroy()
+        q = np.zeros((TERMS, wide), np.float32)
+        for batch in found.to_batches():
+            slices, raw = batch.column("slice").to_pylist(), arrow_bytes(batch.column("block"))[0].view(np.float32)
+            for k, block in zip(slices, raw.reshape(len(slices), each, wide), strict=True):
+                q[k * each : (k + 1) * each] = block
+        del found
+        release(spark)
+        if not q.any():  # nothing to fit on: any basis will do
+            q = np.eye(*q.shape, dtype=np.float32)
+        orthonormal(q)
     return np.ascontiguousarray(q[:, shared:rank], np.float32)
 
 

@@ -371,3 +371,19 @@ def test_decontamination_windows_are_sums_of_blocks():
             assert (stop == np.minimum(at + size, end[at])).all()
             for k in np.flatnonzero((stop - at == size) | first[at]):
                 np.testing.assert_allclose(v[k], blocks[at[k] : stop[k]].sum(0), rtol=1e-5, atol=1e-5)
+
+
+def test_orthonormal_in_place():
+    r = np.random.default_rng(4)
+    full = r.normal(size=(500, 7)).astype(np.float32)
+    flat = full.copy()
+    flat[:, 4] = flat[:, 0]
+    top = np.zeros((500, 7), np.float32)
+    top[3, 2] = 5
+    for z, rank in ((full, 7), (flat, 6), (top, 1), (np.eye(500, 7, dtype=np.float32), 7), (full[:9], 7), (full[:7], 7)):
+        q = z.copy()
+        decontaminate.orthonormal(q)
+        assert q.dtype == np.float32 and np.abs(q.T @ q - np.eye(7)).max() < 1e-5
+        assert np.abs(q @ (q.T @ z) - z).max() < 1e-4 and np.linalg.matrix_rank(z) == rank  # z is in its span
+        if rank == 7:  # but for signs, columns are those of a QR of the whole
+            assert np.abs(np.abs((q * np.linalg.qr(z)[0]).sum(0)) - 1).max() < 1e-4
