@@ -220,8 +220,7 @@ def g6(spark, sf_dir):
 def g2(spark, sf_dir):
     c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
     e = c.select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent")).unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent")))
-    return spark.sql("""WITH RECURSIVE up(iri, node, depth) MAX RECURSION LEVEL 100 AS (SELECT child, parent, 1 FROM {e} UNION ALL SELECT u.iri, e.parent, u.depth + 1 FROM up u JOIN {e} e ON e.child = u.node)
-        SELECT node, count(*) AS n_below, max(depth) AS deepest FROM up GROUP BY node""", e=e)
+    return ontology.below_counts(spark, e)
 
 
 # --- dictionary matching ------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexweave.sources.shared import fresh_dir
+
 TYPE_RANK = {"preferred": 0, "alternative": 1, "hidden": 2, "translation": 3}
 
 
@@ -50,31 +52,98 @@ def branch_counts(concepts: DataFrame) -> DataFrame:
     return concepts.where("branch IS NOT NULL AND NOT deprecated").groupBy("branch").agg(F.count("*").alias("n_concepts"))
 
 
-RECURSIVE = {
-    "branch": """
-        WITH RECURSIVE up(iri, node, depth) MAX RECURSION LEVEL 100 AS (
-            SELECT iri, iri, 0 FROM concepts UNION ALL
-            SELECT u.iri, e.parent, u.depth + 1 FROM up u JOIN edges e ON e.child = u.node WHERE u.depth < 20)
-        SELECT u.iri, min_by(u.node, struct(u.depth, u.node)) AS branch_root, min(u.depth) AS depth
-        FROM up u JOIN edges r ON r.child = u.node AND r.parent = 'lex:root' GROUP BY u.iri""",
-    "path": """
-        WITH RECURSIVE up(iri, node, depth, path) MAX RECURSION LEVEL 100 AS (
-            SELECT iri, iri, 0, iri FROM concepts UNION ALL
-            SELECT u.iri, e.parent, u.depth + 1, concat(e.parent, ' > ', u.path)
-            FROM up u JOIN edges e ON e.child = u.node AND e.ord = 0 WHERE u.depth < 9 AND u.node <> 'lex:root')
-        SELECT iri, depth, path FROM (SELECT *, row_number() OVER (PARTITION BY iri ORDER BY depth DESC) AS k FROM up) WHERE k = 1""",
-    "paths": """
-        WITH RECURSIVE up(iri, via, node, depth, path) MAX RECURSION LEVEL 100 AS (
-            SELECT e.child, e.parent, e.parent, 1, concat(e.parent, ' > ', e.child) FROM edges e UNION ALL
-            SELECT u.iri, u.via, e.parent, u.depth + 1, concat(e.parent, ' > ', u.path)
-            FROM up u JOIN edges e ON e.child = u.node AND e.ord = 0 WHERE u.depth < 9)
-        SELECT DISTINCT iri, via, path FROM (SELECT *, row_number() OVER (PARTITION BY iri, via ORDER BY depth DESC) AS k FROM up) WHERE k = 1""",
-}
+ROOT = "lex:root"
+#: Most levels of a hierarchy that is walked to its end, and most rows of a level that are sent to all tasks.
+MOST_LEVELS, SMALL = 100, 100_000
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """Counted rows for a join: sent to all tasks where they are few. The size of a file says little of what its rows take in memory."""
+    return F.broadcast(df) if rows <= SMALL else df.hint("merge")
+
+
+def _kept(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """Rows as written, and how many there are."""
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept, kept.count()
+
+
+def below_counts(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node, n_below, deepest): ways down from each node, and the longest of them; levels carry a count for each node, not its ways."""
+    base, levels, d = fresh_dir(spark, "below"), [], 1
+    at, n = _kept(edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n")), f"{base}/1")
+    while n:
+        if d > MOST_LEVELS:
+            raise ValueError(f"more than {MOST_LEVELS} levels: the edges have a cycle")
+        levels.append(at.select("node", "n", F.lit(d).alias("depth")))
+        d += 1
+        up = edges.join(_sized(at.select(F.col("node").alias("child"), "n"), n), "child").groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("n"))
+        at, n = _kept(up, f"{base}/{d}")
+    out = levels[0] if levels else at.select("node", "n", F.lit(0).alias("depth"))
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("node").agg(F.sum("n").alias("n_below"), F.max("depth").alias("deepest"))
+
+
+def _nearest_top(spark: SparkSession, concepts: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """(iri, branch_root, depth): breadth first from the children of the root down; a node first met at a level has its nearest one there, the first by name."""
+    base = fresh_dir(spark, "branches")
+    inner, _ = _kept(edges.select(F.col("parent").alias("iri")).where("iri IS NOT NULL").distinct(), f"{base}/inner")
+    tops = edges.where((F.col("parent") == ROOT) & F.col("child").isNotNull()).select(F.col("child").alias("iri")).distinct()
+    at, n = _kept(tops.select("iri", F.col("iri").alias("branch_root"), F.lit(0).alias("depth")), f"{base}/0")
+    found = at
+    for d in range(1, most + 1):
+        if not n:
+            break
+        going, n = _kept(at.join(inner.hint("merge"), "iri", "left_semi").select(F.col("iri").alias("parent"), "branch_root"), f"{base}/going-{d}")
+        new = edges.where("child IS NOT NULL").join(_sized(going, n), "parent").groupBy(F.col("child").alias("iri")).agg(F.min("branch_root").alias("branch_root"))
+        at, n = _kept(new.join(found.select("iri").hint("merge"), "iri", "left_anti").select("iri", "branch_root", F.lit(d).alias("depth")), f"{base}/{d}")
+        found = found.unionByName(at)
+    return concepts.select("iri").distinct().join(found.hint("merge"), "iri").select("iri", "branch_root", "depth")
+
+
+def _one_up(edges: DataFrame, best: DataFrame, rows: int) -> DataFrame:
+    """(child, parent, depth, path): the longest way of the parent, and a step more."""
+    own = best.select(F.col("iri").alias("parent"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
+    met = edges.select("child", "parent").join(_sized(own, rows), "parent", "left")
+    return met.select("child", "parent", (F.coalesce("_d", F.lit(0)) + 1).alias("depth"), F.concat("_p", F.lit(" > "), "child").alias("path"))
+
+
+def _longest(rows: DataFrame, up: DataFrame) -> DataFrame:
+    """(iri, depth, path) of ``rows`` (iri): the longest of their ways up, the last by name; those without a way are their own."""
+    most = up.groupBy(F.col("child").alias("iri")).agg(F.max(F.struct("depth", "path")).alias("m"))
+    met = rows.join(most.hint("merge"), "iri", "left")
+    return met.select("iri", F.coalesce("m.depth", F.lit(0)).alias("depth"), F.when(F.col("m").isNull(), F.col("iri")).otherwise(F.col("m.path")).alias("path"))
+
+
+def _inner_paths(spark: SparkSession, edges: DataFrame, first: DataFrame, steps: int) -> tuple[DataFrame, int]:
+    """(iri, depth, path) of all nodes that have children, and how many: the longest way up by ``first`` of at most ``steps`` steps."""
+    base = fresh_dir(spark, "paths")
+    inner, n = _kept(edges.select(F.col("parent").alias("iri")).where("iri IS NOT NULL").distinct(), f"{base}/inner")
+    up, _ = _kept(first.select("child", "parent").join(_sized(inner.select(F.col("iri").alias("child")), n), "child", "left_semi"), f"{base}/up")
+    best = inner.select("iri", F.lit(0).alias("depth"), F.col("iri").alias("path"))
+    for k in range(1, steps + 1):
+        best, _ = _kept(_longest(inner, _one_up(up, best, n)), f"{base}/{k}")
+        if (best.agg(F.max("depth")).first()[0] or 0) < k:
+            break
+    return best, n
 
 
 def hierarchy(spark: SparkSession, kind: str, concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """branch: nearest child of the root above; path: first-parent path from the root; paths: one path for each parent."""
-    return spark.sql(RECURSIVE[kind].replace("FROM concepts", "FROM {concepts}").replace("JOIN edges", "JOIN {edges}").replace("FROM edges", "FROM {edges}"), concepts=concepts, edges=edges)
+    """branch: nearest child of the root above, up to 20 steps; path: first-parent path from the root; paths: one path for each parent; both up to 9 steps.
+
+    Nodes with children are walked first, level by level, and written; the others, most of an ontology, are one step more.
+    """
+    if kind == "branch":
+        return _nearest_top(spark, concepts, edges)
+    first = edges.where("ord = 0")
+    if kind == "path":
+        first = first.where(F.col("child") != ROOT)
+        best, n = _inner_paths(spark, edges, first, 8)
+        return _longest(concepts.select("iri").distinct(), _one_up(first, best, n))
+    best, n = _inner_paths(spark, edges, first, 8)
+    return _one_up(edges, best, n).select(F.col("child").alias("iri"), F.col("parent").alias("via"), "path").distinct()
 
 
 def concept_detail(concepts: DataFrame, edges: DataFrame, see_also: DataFrame) -> DataFrame:
