@@ -43,3 +43,42 @@ def test_counts_below_each_node(spark, few_recursive_rows):
     got = ontology.below_counts(spark, frames(spark, names, edges)[1])
     assert {r.node: (r.n_below, r.deepest) for r in got.collect()} == want
     assert ontology.below_counts(spark, frames(spark, names, [])[1]).count() == 0
+
+
+def ways_up(edges, start, most, stop=None):
+    """All ways of first parents from a node, as lists of nodes."""
+    out, at = [[start]], [[start]]
+    for _ in range(most):
+        at = [[p, *way] for way in at if way[0] != stop for c, p, o in edges if c == way[0] and o == 0]
+        out += at
+    return out
+
+
+def test_first_parent_paths(spark, few_recursive_rows):
+    names, edges = dag()
+    got = {r.iri: (r.depth, r.path) for r in ontology.hierarchy(spark, "path", *frames(spark, names, edges)).collect()}
+    longest = {n: max(ways_up(edges, n, 9, "lex:root"), key=len) for n in names}
+    assert got == {n: (len(w) - 1, " > ".join(w)) for n, w in longest.items()} and max(len(w) for w in longest.values()) == 10
+
+
+def test_paths_by_each_parent(spark, few_recursive_rows):
+    names, edges = dag(4)
+    edges += [("lex:root", "n39", 0)]  # these paths go on above the root
+    got = ontology.hierarchy(spark, "paths", *frames(spark, names, edges)).collect()
+    want = {(c, p, " > ".join([*max(ways_up(edges, p, 8), key=len), c])) for c, p, _ in edges}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_branch_root(spark, few_recursive_rows):
+    names, edges = dag(5)
+    edges += [("n01", "n30", 1)]  # a cycle
+    got = {r.iri: (r.depth, r.branch_root) for r in ontology.hierarchy(spark, "branch", *frames(spark, names, edges)).collect()}
+    tops, want = {c for c, p, _ in edges if p == "lex:root"}, {}
+    for n in names:
+        at = {n}
+        for d in range(21):
+            if at & tops:
+                want[n] = (d, min(at & tops))
+                break
+            at = {p for c, p, _ in edges if c in at}
+    assert got == want and len(tops) > 1 and len(want) > 30
