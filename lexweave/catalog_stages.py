@@ -226,7 +226,8 @@ def o7b(spark, sf_dir):
 
 @query("g8_batch", C.SQL["g6_detail"] + " WHERE c.iri IN ('lex:rule', 'lex:is_the', 'lex:root')")
 def g8(spark, sf_dir):
-    return ontology.batch_detail(C.g6(spark, sf_dir), spark.createDataFrame([("lex:rule",), ("lex:is_the",), ("lex:root",), ("lex:unknown",), ("lex:rule",)], "iri string"))
+    t = tables(spark)
+    return ontology.batch_detail(t["concepts"], t["edges"], t["see_also"], spark.createDataFrame([("lex:rule",), ("lex:is_the",), ("lex:root",), ("lex:unknown",), ("lex:rule",)], "iri string"))
 
 
 @query("g7_graph", recursive(onto("edges", "see_also") + """, anc AS (SELECT 'lex:is_the' AS iri, 0 AS d UNION ALL SELECT e.parent, a.d - 1 FROM anc a JOIN edges e ON e.child = a.iri),

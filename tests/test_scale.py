@@ -82,3 +82,55 @@ def test_nearest_branch_root(spark, few_recursive_rows):
                 break
             at = {p for c, p, _ in edges if c in at}
     assert got == want and len(tops) > 1 and len(want) > 30
+
+
+def plain_detail(names, edges, beside):
+    def row(n):
+        children, parents = sorted({c for c, p, _ in edges if p == n}), sorted({p for c, p, _ in edges if c == n})
+        first = {p for c, p, o in edges if c == n and o == 0}
+        siblings = sorted({c for c, p, _ in edges if p in first and c != n})
+        return n, ",".join(children), ",".join(parents), ",".join(siblings), ",".join(sorted({d for s, d, _ in beside if s == n}))
+
+    return {row(n) for n in names}
+
+
+COLUMNS = ("iri", "children", "parents", "siblings", "related")
+
+
+def detail_tables(spark):
+    names, edges = dag(6)
+    names += ["é", "éa", "e", "only", "😀"]
+    edges += [(c, "n39", 0) for c in ("é", "éa", "e", "😀", "n03", "é")] + [("only", "n38", 0), ("n03", "n20", 0)]  # n03 has several first parents
+    beside = [("n02", "n09", 0), ("n02", "n01", 1), ("é", "e", 0)]
+    concepts, e = frames(spark, names, edges)
+    return names, edges, beside, (concepts.distinct(), e, spark.createDataFrame(beside, "src string, dst string, ord int"))
+
+
+def test_details_and_no_child_meets_its_siblings_one_by_one(spark):
+    names, edges, beside, tables = detail_tables(spark)
+    got = ontology.concept_detail(*tables).select(*COLUMNS)
+    assert {tuple(r) for r in got.collect()} == plain_detail(names, edges, beside) and got.count() == len(names)
+    wide = spark.range(30_000).selectExpr("concat('c', lpad(id, 5, '0')) AS child", "'top' AS parent", "0 AS ord")  # 900 million pairs
+    few = spark.createDataFrame([("c00000",), ("c29999",), ("top",)], "iri string")
+    rows = {r.iri: r for r in ontology.concept_detail(few, wide, tables[2]).collect()}
+    every = [f"c{k:05d}" for k in range(30_000)]
+    assert rows["c00000"].siblings == ",".join(every[1:]) and rows["c29999"].siblings == ",".join(every[:-1]) and rows["top"].children == ",".join(every)
+
+
+def test_a_batch_puts_together_its_own_details_only(spark, monkeypatch):
+    names, edges, beside, tables = detail_tables(spark)
+    seen, whole = [], ontology.concept_detail
+    monkeypatch.setattr(ontology, "concept_detail", lambda c, e, s: seen.append((c.count(), e.count(), s.count())) or whole(c, e, s))
+    asked = spark.createDataFrame([("n03",), ("n02",), ("é",), ("n02",), ("n025",), ("zz",)], "iri string")
+    got = ontology.batch_detail(*tables, asked, most=3).select(*COLUMNS)
+    assert {tuple(r) for r in got.collect()} == {r for r in plain_detail(names, edges, beside) if r[0] in ("n02", "n03")}  # the first three by name, of which one is unknown
+    assert len(seen) == 1 and seen[0][0] == 2 and seen[0][1] < len(edges) / 2 and seen[0][2] == 2
+
+
+def test_labels_are_not_sent_through_the_driver(spark):
+    rows = spark.range(2000).selectExpr("concat('label ', id % 50) AS label_key", "concat('i:', id) AS iri")
+    asked = spark.createDataFrame([("label 1",), ("LABEL 49 ",), ("none",)], "query string")
+    found = ontology.by_prefix(asked, rows)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(r) for r in found.collect()}
+    assert got == {(q, f"label {k % 50}", f"i:{k}") for q in ("label 1", "LABEL 49 ") for k in range(2000) if f"label {k % 50}".startswith(q.strip().lower())}
