@@ -429,7 +429,7 @@ def v2(spark, sf_dir):
     SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM w WHERE k <= 25 AND label % 2 = 0) WHERE rank <= 5""")
 def v4(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
-    return vectors.top_k_in_branch(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, F.col("label") % 2 == 0)
+    return vectors.top_k_then_filter(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, F.col("label") % 2 == 0)
 
 
 @query("v7_normalize", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm, 1.0::DOUBLE AS after FROM embeddings")
