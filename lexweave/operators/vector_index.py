@@ -8,6 +8,7 @@ over the cells that could still hold a better vector makes a search exact, and f
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ GROUP_ROWS, QUERY_ROWS = 16_384, 4096
 ROUNDS = 5
 #: Part of the cells that a first pass probes, and by how much a cell is taken to reach out in the second, in deviations of a
 #: residual of any direction: its radius over the root of the number of components. The whole radius would be a proof.
+#: This is the least; see ``reach_of``.
 PROBED, REACH = 0.05, 3.5
 _SLACK = 2e-6  # similarities are rounded to six digits
 
@@ -42,6 +44,11 @@ def _cell_of(m: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return cell, np.linalg.norm(m - centres[cell], axis=1)
 
 
+def reach_of(rows: int) -> float:
+    """Deviations beyond which one residual of so many lies, if they are normal: the more vectors, the further out the best of them are."""
+    return max(REACH, NormalDist().inv_cdf(1 - 1 / max(rows, 2)))
+
+
 def fit_cells(vectors: DataFrame, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centres by Lloyd's rounds over all rows: sums by cell are added within batches, then by a shuffle; the driver gets the centres."""
     heads = vectors.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(cells).select("embedding").toArrow()
@@ -119,6 +126,7 @@ class VectorIndex:
         self.cells, self.radius = cells.column("cell").to_numpy(), cells.column("radius").to_numpy()
         self.centres = _matrix(cells.column("centre"))
         self.groups = np.maximum(1, -(-cells.column("n").to_numpy() // GROUP_ROWS))
+        self.reach = reach_of(int(cells.column("n").to_numpy().sum()))
 
     def _probes(self, asked: DataFrame, first: int, second: bool, reach: float = 1.0) -> DataFrame:
         """(query_id, _q, cell, groups): the ``first`` cells of highest bound; ``second``: the others whose bound reaches ``kth``."""
@@ -158,11 +166,11 @@ class VectorIndex:
         asked = probes.join(F.broadcast(many), "cell").withColumn("h", deal("query_id", "asks")).withColumn("g", each("groups")).select("cell", "g", "h", "query_id", "_q")
         return rows.groupBy("cell", "g", "h").cogroup(asked.groupBy("cell", "g", "h")).applyInArrow(_compare(k), "query_id bigint, vec_id bigint, similarity double")
 
-    def search(self, queries: DataFrame, k: int, where: Column | None = None, exact: bool = False, reach: float = REACH, least: float | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, where: Column | None = None, exact: bool = False, reach: float | None = None, least: float | None = None) -> DataFrame:
         """(query_id, vec_id, similarity, rank): the k best stored vectors of each query (query_id, embedding) that pass ``where``.
 
         Ties to the smaller id; similarities are rounded to six digits. A first pass over a few cells gives each query its k-th similarity,
-        a second takes the other cells that could hold a better one: surely (``exact``), or by ``reach``. Queries that find fewer than k are
+        a second takes the other cells that could hold a better one: surely (``exact``), or by ``reach``, which grows with the index where it is not given. Queries that find fewer than k are
         led to all cells. ``least``: only rows of that similarity, found exactly. Queries without a vector find nothing.
         """
         asked = queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("_q"))
@@ -176,7 +184,7 @@ class VectorIndex:
         ranked(self._pass(self._probes(asked, first, False), k, where)).write.parquet(kept)
         near = self.spark.read.parquet(kept)
         edge = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("similarity").alias("kth"))
-        share = 1.0 if exact else min(1.0, reach / max(1, self.centres.shape[1]) ** 0.5)
+        share = 1.0 if exact else min(1.0, (self.reach if reach is None else reach) / max(1, self.centres.shape[1]) ** 0.5)
         again = asked.join(edge, "query_id", "left").select("query_id", "_q", F.when(F.coalesce("n", F.lit(0)) < k, float("-inf")).otherwise(F.col("kth")).alias("kth"))
         more = self._pass(self._probes(again, first, True, share), k, where)
         return ranked(near.drop("rank").unionByName(more))

@@ -1,10 +1,13 @@
 """Operators that failed on larger tables: with limits set low, and against plain versions."""
 
 import random
+from statistics import NormalDist
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexweave.operators import ontology
+from lexweave.operators import ontology, vector_index, vectors
 
 LIMIT = "spark.sql.cteRecursionRowLimit"
 
@@ -134,3 +137,29 @@ def test_labels_are_not_sent_through_the_driver(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     got = {tuple(r) for r in found.collect()}
     assert got == {(q, f"label {k % 50}", f"i:{k}") for q in ("label 1", "LABEL 49 ") for k in range(2000) if f"label {k % 50}".startswith(q.strip().lower())}
+
+
+def test_the_filter_comes_after_five_times_as_many(spark):
+    near = [(k, [1.0 - 0.01 * k, 0.0], 1) for k in range(9)] + [(20, [0.5, 0.5], 2), (21, [0.4, 0.6], 2), (22, [0.0, 1.0], 2)]
+    v = spark.createDataFrame(near, "vec_id bigint, embedding array<float>, label int")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, embedding array<float>")
+    got = [(r.vec_id, r.rank) for r in vectors.top_k_then_filter(v, q, 2, F.col("label") == 2).orderBy("rank").collect()]
+    assert got == [(20, 1)]  # the tenth; 21 passes as well, but is not among the ten
+    assert vectors.top_k_then_filter(v, q, 1, F.col("label") == 2).count() == 0
+
+
+def test_an_index_reaches_further_the_more_it_holds(spark, tmp_path):
+    sizes = [100, 10_000, 100_000, 10_000_000]
+    reach = [vector_index.reach_of(n) for n in sizes]
+    assert reach == sorted(set(reach)) or reach[0] == reach[1] == vector_index.REACH
+    assert all(n * (1 - NormalDist().cdf(x)) <= 1.001 for n, x in zip(sizes, reach, strict=True)) and reach[-1] > 5
+    r = np.random.default_rng(2)
+    m = r.normal(size=(3000, 16))
+    m = (m / np.linalg.norm(m, axis=1)[:, None]).astype(np.float32)
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id bigint, embedding array<float>")
+    vector_index.build(v, str(tmp_path / "i"))
+    index = vector_index.VectorIndex(spark, str(tmp_path / "i"))
+    assert index.reach == vector_index.reach_of(3000)
+    index.reach = 4.0  # the root of 16: the whole radius, as ``exact``
+    rows = lambda exact: {tuple(x) for x in index.search(v.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), 5, exact=exact).select("query_id", "vec_id").collect()}
+    assert rows(False) == rows(True)
