@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.sources.shared import fresh_dir
+from lexweave.sources.shared import fresh_dir, kept, sized
 
 TYPE_RANK = {"preferred": 0, "alternative": 1, "hidden": 2, "translation": 3}
 
@@ -53,33 +53,21 @@ def branch_counts(concepts: DataFrame) -> DataFrame:
 
 
 ROOT = "lex:root"
-#: Most levels of a hierarchy that is walked to its end, and most rows of a level that are sent to all tasks.
-MOST_LEVELS, SMALL = 100, 100_000
-
-
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """Counted rows for a join: sent to all tasks where they are few. The size of a file says little of what its rows take in memory."""
-    return F.broadcast(df) if rows <= SMALL else df.hint("merge")
-
-
-def _kept(df: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """Rows as written, and how many there are."""
-    df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    return kept, kept.count()
+#: Most levels of a hierarchy that is walked to its end.
+MOST_LEVELS = 100
 
 
 def below_counts(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, n_below, deepest): ways down from each node, and the longest of them; levels carry a count for each node, not its ways."""
     base, levels, d = fresh_dir(spark, "below"), [], 1
-    at, n = _kept(edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n")), f"{base}/1")
+    at, n = kept(edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n")), f"{base}/1")
     while n:
         if d > MOST_LEVELS:
             raise ValueError(f"more than {MOST_LEVELS} levels: the edges have a cycle")
         levels.append(at.select("node", "n", F.lit(d).alias("depth")))
         d += 1
-        up = edges.join(_sized(at.select(F.col("node").alias("child"), "n"), n), "child").groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("n"))
-        at, n = _kept(up, f"{base}/{d}")
+        up = edges.join(sized(at.select(F.col("node").alias("child"), "n"), n), "child").groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("n"))
+        at, n = kept(up, f"{base}/{d}")
     out = levels[0] if levels else at.select("node", "n", F.lit(0).alias("depth"))
     for x in levels[1:]:
         out = out.unionByName(x)
@@ -89,16 +77,16 @@ def below_counts(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def _nearest_top(spark: SparkSession, concepts: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
     """(iri, branch_root, depth): breadth first from the children of the root down; a node first met at a level has its nearest one there, the first by name."""
     base = fresh_dir(spark, "branches")
-    inner, _ = _kept(edges.select(F.col("parent").alias("iri")).where("iri IS NOT NULL").distinct(), f"{base}/inner")
+    inner, _ = kept(edges.select(F.col("parent").alias("iri")).where("iri IS NOT NULL").distinct(), f"{base}/inner")
     tops = edges.where((F.col("parent") == ROOT) & F.col("child").isNotNull()).select(F.col("child").alias("iri")).distinct()
-    at, n = _kept(tops.select("iri", F.col("iri").alias("branch_root"), F.lit(0).alias("depth")), f"{base}/0")
+    at, n = kept(tops.select("iri", F.col("iri").alias("branch_root"), F.lit(0).alias("depth")), f"{base}/0")
     found = at
     for d in range(1, most + 1):
         if not n:
             break
-        going, n = _kept(at.join(inner.hint("merge"), "iri", "left_semi").select(F.col("iri").alias("parent"), "branch_root"), f"{base}/going-{d}")
-        new = edges.where("child IS NOT NULL").join(_sized(going, n), "parent").groupBy(F.col("child").alias("iri")).agg(F.min("branch_root").alias("branch_root"))
-        at, n = _kept(new.join(found.select("iri").hint("merge"), "iri", "left_anti").select("iri", "branch_root", F.lit(d).alias("depth")), f"{base}/{d}")
+        going, n = kept(at.join(inner.hint("merge"), "iri", "left_semi").select(F.col("iri").alias("parent"), "branch_root"), f"{base}/going-{d}")
+        new = edges.where("child IS NOT NULL").join(sized(going, n), "parent").groupBy(F.col("child").alias("iri")).agg(F.min("branch_root").alias("branch_root"))
+        at, n = kept(new.join(found.select("iri").hint("merge"), "iri", "left_anti").select("iri", "branch_root", F.lit(d).alias("depth")), f"{base}/{d}")
         found = found.unionByName(at)
     return concepts.select("iri").distinct().join(found.hint("merge"), "iri").select("iri", "branch_root", "depth")
 
@@ -106,7 +94,7 @@ def _nearest_top(spark: SparkSession, concepts: DataFrame, edges: DataFrame, mos
 def _one_up(edges: DataFrame, best: DataFrame, rows: int) -> DataFrame:
     """(child, parent, depth, path): the longest way of the parent, and a step more."""
     own = best.select(F.col("iri").alias("parent"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
-    met = edges.select("child", "parent").join(_sized(own, rows), "parent", "left")
+    met = edges.select("child", "parent").join(sized(own, rows), "parent", "left")
     return met.select("child", "parent", (F.coalesce("_d", F.lit(0)) + 1).alias("depth"), F.concat("_p", F.lit(" > "), "child").alias("path"))
 
 
@@ -120,11 +108,11 @@ def _longest(rows: DataFrame, up: DataFrame) -> DataFrame:
 def _inner_paths(spark: SparkSession, edges: DataFrame, first: DataFrame, steps: int) -> tuple[DataFrame, int]:
     """(iri, depth, path) of all nodes that have children, and how many: the longest way up by ``first`` of at most ``steps`` steps."""
     base = fresh_dir(spark, "paths")
-    inner, n = _kept(edges.select(F.col("parent").alias("iri")).where("iri IS NOT NULL").distinct(), f"{base}/inner")
-    up, _ = _kept(first.select("child", "parent").join(_sized(inner.select(F.col("iri").alias("child")), n), "child", "left_semi"), f"{base}/up")
+    inner, n = kept(edges.select(F.col("parent").alias("iri")).where("iri IS NOT NULL").distinct(), f"{base}/inner")
+    up, _ = kept(first.select("child", "parent").join(sized(inner.select(F.col("iri").alias("child")), n), "child", "left_semi"), f"{base}/up")
     best = inner.select("iri", F.lit(0).alias("depth"), F.col("iri").alias("path"))
     for k in range(1, steps + 1):
-        best, _ = _kept(_longest(inner, _one_up(up, best, n)), f"{base}/{k}")
+        best, _ = kept(_longest(inner, _one_up(up, best, n)), f"{base}/{k}")
         if (best.agg(F.max("depth")).first()[0] or 0) < k:
             break
     return best, n
@@ -206,11 +194,11 @@ def batch_detail(concepts: DataFrame, edges: DataFrame, see_also: DataFrame, iri
     Only the edges that these details need are put together: those at the concepts, and those below their first parents.
     """
     base = fresh_dir(iris.sparkSession, "batch")
-    asked, _ = _kept(iris.select("iri").distinct().orderBy("iri").limit(most), f"{base}/asked")
+    asked, _ = kept(iris.select("iri").distinct().orderBy("iri").limit(most), f"{base}/asked")
     own = lambda df, c: df.join(F.broadcast(asked.withColumnRenamed("iri", c)), c, "left_semi")
     firsts = own(edges.where("ord = 0"), "child").select("parent")
-    above, n = _kept(firsts.unionByName(asked.select(F.col("iri").alias("parent"))).where("parent IS NOT NULL").distinct(), f"{base}/above")
-    at = own(edges, "child").unionByName(edges.join(_sized(above, n), "parent", "left_semi").select(*edges.columns)).select("child", "parent", "ord").distinct()
+    above, n = kept(firsts.unionByName(asked.select(F.col("iri").alias("parent"))).where("parent IS NOT NULL").distinct(), f"{base}/above")
+    at = own(edges, "child").unionByName(edges.join(sized(above, n), "parent", "left_semi").select(*edges.columns)).select("child", "parent", "ord").distinct()
     return concept_detail(own(concepts, "iri"), at, own(see_also, "src"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexweave.sources.shared import fresh_dir, kept, sized
+
 #: Words that carry no content in a query.
 STOP = (
     "a an the of and or in for to with by on at is are was were be been being not no has have had do does did this that it its their other such than"
@@ -112,8 +114,8 @@ def candidates(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     held = [F.lower(F.coalesce(c, F.lit(""))) for c in ("label", "pref_label", "definition")]
     words = F.concat_ws(" ", *held, F.array_join(F.coalesce("synonyms", none), " "))
     known = F.concat(key("w", stem(words)), *[key("g", _grams(c, (1, 2, 3))) for c in held], key("l", F.array(F.substring(label, 1, 3))))
-    left = terms.select("term").distinct().select("term", F.explode(F.array_distinct(asked)).alias("key"))
-    return left.join(concepts.select("iri", F.explode(F.array_distinct(known)).alias("key")), "key").select("term", "iri").distinct()
+    left, n = kept(terms.select("term").distinct().select("term", F.explode(F.array_distinct(asked)).alias("key")), fresh_dir(terms.sparkSession, "terms"))
+    return concepts.select("iri", F.explode(F.array_distinct(known)).alias("key")).join(sized(left, n), "key").select("term", "iri").distinct()
 
 
 def with_synonyms(concepts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -121,45 +123,73 @@ def with_synonyms(concepts: DataFrame, labels: DataFrame) -> DataFrame:
     return concepts.where("NOT deprecated").join(syn, "iri", "left").select("iri", "label", "pref_label", "definition", "synonyms", "branch")
 
 
-def scores(queries: DataFrame, concepts: DataFrame, labels: DataFrame, threshold: float = 30.0, expansions: dict[str, list[str]] | None = None) -> DataFrame:
-    """(query, iri, score) from ``threshold`` on; a query also scores by its expansions (a word of it and what is said of it), and the best counts."""
-    known = with_synonyms(concepts, labels)
+def wordings(concepts: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(iri, wording) and (wording, label, pref_label, definition, synonyms), both written: concepts that read the same have one wording, so that it is scored once.
+
+    A wording is a digest of all that is said of a concept; one that stands in several rows has several texts.
+    """
+    said = ["label", "pref_label", "definition", "synonyms"]
+    spark, base = concepts.sparkSession, fresh_dir(concepts.sparkSession, "wordings")
+    texts = with_synonyms(concepts, labels).where("iri IS NOT NULL").groupBy("iri").agg(F.sort_array(F.collect_set(F.struct(*said))).alias("texts"))
+    texts.select("iri", F.sha2(F.to_json("texts"), 256).alias("wording"), "texts").write.parquet(base)
+    every = spark.read.parquet(base)
+    once = every.groupBy("wording").agg(F.first("texts").alias("texts")).select("wording", F.explode("texts").alias("t")).select("wording", *[f"t.{c}" for c in said])
+    return every.select("iri", "wording"), kept(once, f"{base}-texts")[0]
+
+
+def wording_scores(queries: DataFrame, texts: DataFrame, threshold: float = 30.0, expansions: dict[str, list[str]] | None = None) -> DataFrame:
+    """(query, wording, score), written, from ``threshold`` on; a query also scores by its expansions (a word of it and what is said of it), and the best counts."""
+    known = texts.withColumnRenamed("wording", "iri")
     more = F.array().cast("array<string>")
     for word, extra in (expansions or {}).items():
         more = F.when(F.array_contains(content_words(F.col("query")), word), F.concat(more, F.array(*[F.lit(f"{word} {e}") for e in extra]))).otherwise(more)
     terms = queries.select("query").distinct().select("query", F.explode(F.array_distinct(F.concat(F.array("query"), more))).alias("term"))
     met = candidates(terms, known).join(known, "iri").withColumnRenamed("term", "query")
-    scored = relevance(met).where(F.col("score") >= threshold).select(F.col("query").alias("term"), "iri", "score")
-    return terms.join(scored, "term").groupBy("query", "iri").agg(F.max("score").alias("score"))
+    scored = relevance(met).where(F.col("score") >= threshold).select(F.col("query").alias("term"), F.col("iri").alias("wording"), "score")
+    return kept(terms.join(scored, "term").groupBy("query", "wording").agg(F.max("score").alias("score")), fresh_dir(queries.sparkSession, "scores"))[0]
+
+
+def scores(queries: DataFrame, concepts: DataFrame, labels: DataFrame, threshold: float = 30.0, expansions: dict[str, list[str]] | None = None) -> DataFrame:
+    """(query, iri, score) from ``threshold`` on, as ``wording_scores`` has them for what is said of the concept."""
+    members, texts = wordings(concepts, labels)
+    return members.join(wording_scores(queries, texts, threshold, expansions), "wording").select("query", "iri", "score")
 
 
-def with_ancestors(hits: DataFrame, edges: DataFrame, threshold: float = 30.0, least: float = 50.0, depth: int = 3, keep: float = 0.85) -> DataFrame:
-    """``hits`` (query, iri, score) and the first-parent ancestors of good ones that are no hits themselves, for ``keep`` of the score a level."""
-    first = edges.where("ord = 0").select("child", "parent")
-    chain = first.select(F.col("child").alias("iri"), F.col("parent").alias("up"), F.lit(1).alias("d"))
-    ups = chain
+def above(found: DataFrame, members: DataFrame, edges: DataFrame, threshold: float = 30.0, least: float = 50.0, depth: int = 3, keep: float = 0.85) -> DataFrame:
+    """(query, iri, score): first-parent ancestors of good hits (query, wording, score) that are no hits themselves, for ``keep`` of the score a level.
+
+    Of all hits below an ancestor the best counts, so that each level carries one score for it and not its hits.
+    """
+    base, first = fresh_dir(found.sparkSession, "above"), edges.where("ord = 0").select(F.col("child").alias("iri"), "parent")
+    ways = members.join(first.hint("merge"), "iri").select("wording", "parent").distinct()
+    at, n = kept(found.where(F.col("score") >= least).join(ways, "wording").groupBy("query", F.col("parent").alias("iri")).agg(F.max("score").alias("s")), f"{base}/1")
+    levels = [at.select("query", "iri", (F.col("s") * keep).alias("score"))]
     for d in range(2, depth + 1):
-        chain = chain.join(first, chain["up"] == first["child"]).select("iri", F.col("parent").alias("up"), F.lit(d).alias("d"))
-        ups = ups.unionByName(chain)
-    ups = ups.groupBy("iri").agg(F.collect_list(F.struct("up", "d")).alias("ups"))  # at most ``depth``
-    shares = F.array(*[F.lit(keep**d) for d in range(1, depth + 1)])
-    kind = "array<struct<iri: string, score: double, own: int>>"
-    above = F.transform("ups", lambda u: F.struct(u["up"].alias("iri"), (F.col("score") * F.element_at(shares, u["d"])).alias("score"), F.lit(0).alias("own")))
-    above = F.when(F.col("score") >= least, F.filter(above, lambda u: u["score"] >= threshold)).cast(kind)
-    rows = F.concat(F.array(F.struct("iri", F.col("score").cast("double").alias("score"), F.lit(1).alias("own"))).cast(kind), F.coalesce(above, F.array().cast(kind)))
-    every = hits.select("query", "iri", "score").join(ups, "iri", "left").select("query", F.explode(rows).alias("r"))
-    best = every.groupBy("query", "r.iri").agg(F.max(F.when(F.col("r.own") == 1, F.col("r.score"))).alias("a"), F.max(F.when(F.col("r.own") == 0, F.col("r.score"))).alias("b"))
-    return best.select("query", "iri", F.coalesce("a", F.round("b", 1)).alias("score"))
+        at, n = kept(first.join(sized(at, n), "iri").groupBy("query", F.col("parent").alias("iri")).agg(F.max("s").alias("s")), f"{base}/{d}")
+        levels.append(at.select("query", "iri", (F.col("s") * keep**d).alias("score")))
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    ups, n = kept(every.where(F.col("score") >= threshold).groupBy("query", "iri").agg(F.round(F.max("score"), 1).alias("score")), f"{base}/best")
+    own = members.join(sized(ups.select("query", "iri"), n), "iri").join(found.select("query", "wording"), ["query", "wording"], "left_semi").select("query", "iri")
+    return ups.join(own, ["query", "iri"], "left_anti")
 
 
 def search(queries: DataFrame, concepts: DataFrame, labels: DataFrame, edges: DataFrame | None = None, threshold: float = 30.0, top: int = 5, expansions: dict[str, list[str]] | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """(query, iri, score, rank): best ``top`` concepts of each query; concepts of excluded branches are left out."""
-    found = scores(queries, concepts, labels, threshold, expansions)
-    if edges is not None:
-        found = with_ancestors(found, edges, threshold)
+    """(query, iri, score, rank): best ``top`` concepts of each query; concepts of excluded branches are left out.
+
+    Concepts of one wording score alike, so only the first ``top`` of them by name can be among the best.
+    """
+    members, texts = wordings(concepts, labels)
+    found = wording_scores(queries, texts, threshold, expansions)
     barred = concepts.where(F.col("deprecated") | F.coalesce(F.col("branch").isin(*excluded), F.lit(False)) if excluded else F.col("deprecated")).select("iri")
+    each = Window.partitionBy("wording").orderBy("iri")
+    firsts = members.join(barred.hint("merge"), "iri", "left_anti").withColumn("_k", F.row_number().over(each)).where(F.col("_k") <= top).drop("_k")
+    rows = found.join(firsts, "wording").select("query", "iri", "score")
+    if edges is not None:
+        rows = rows.unionByName(above(found, members, edges, threshold).join(barred.hint("merge"), "iri", "left_anti").select("query", "iri", "score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "iri")
-    return found.join(barred, "iri", "left_anti").select("query", "iri", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def ranked_by_branch(asked: DataFrame, hits: DataFrame, concepts: DataFrame, most: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import ontology, vector_index, vectors
+from lexweave.operators import ontology, search, vector_index, vectors
 
 LIMIT = "spark.sql.cteRecursionRowLimit"
 
@@ -163,3 +163,22 @@ def test_an_index_reaches_further_the_more_it_holds(spark, tmp_path):
     index.reach = 4.0  # the root of 16: the whole radius, as ``exact``
     rows = lambda exact: {tuple(x) for x in index.search(v.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), 5, exact=exact).select("query_id", "vec_id").collect()}
     assert rows(False) == rows(True)
+
+
+def test_concepts_that_read_the_same_are_scored_once(spark, monkeypatch):
+    shape = "iri string, label string, pref_label string, definition string, branch string, deprecated boolean, ord int"
+    rows = [(f"i{k:03d}", "red bolt", None, "A bolt.", "Acts" if k == 0 else "B", k == 1, k) for k in range(200)]
+    rows += [("x", "blue bolt", "Bolt", None, "B", False, 300), ("up", "thing", None, None, "B", False, 301), ("x", "red", None, None, "B", False, 302)]  # x stands in two rows
+    concepts = spark.createDataFrame(rows, shape)
+    labels = spark.createDataFrame([("i005", "crimson bolt", "alternative")], "iri string, label string, label_type string")
+    edges = spark.createDataFrame([(r[0], "up", 0) for r in rows if r[0].startswith("i")] + [("up", "top", 0), ("x", "i010", 0)], "child string, parent string, ord int")
+    asked = spark.createDataFrame([("red bolt",), ("crimson bolt",)], "query string")
+    scored, plain = [], search.relevance
+    monkeypatch.setattr(search, "relevance", lambda pairs: scored.append(pairs.count()) or plain(pairs))
+    got = {(r.query, r.iri): r.score for r in search.scores(asked, concepts, labels).collect()}
+    assert scored == [scored[0]] and scored[0] <= 2 * 5 and len({i for q, i in got if q == "red bolt"}) == 200
+    assert got["red bolt", "i000"] == got["red bolt", "i199"] == 92.0 and got["crimson bolt", "i005"] > got["crimson bolt", "i006"] and ("red bolt", "i001") not in got
+    best = [(r.rank, r.iri, r.score) for r in search.search(asked.where("query = 'red bolt'"), concepts, labels, edges, top=4, excluded=("Acts",)).orderBy("rank").collect()]
+    assert best == [(1, "i002", 92.0), (2, "i003", 92.0), (3, "i004", 92.0), (4, "i005", 92.0)]
+    far = {r.iri: r.score for r in search.search(asked.where("query = 'red bolt'"), concepts, labels, edges, top=500, excluded=("Acts",)).collect()}
+    assert far["up"] == 78.2 and far["top"] == 66.5 and "i000" not in far and "i001" not in far and len(far) == 198 + 3
