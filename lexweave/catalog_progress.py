@@ -9,7 +9,7 @@ from lexweave import catalog as C
 from lexweave import catalog_stages as S
 from lexweave.operators import document_patterns, match, ontology, ruler, vector_index
 from lexweave.sources import annotation_table
-from lexweave.sources.shared import fresh_dir
+from lexweave.sources.shared import fresh_dir, kept
 from lexweave.streaming import job_state, progressive
 
 query, read, onto, tables, labels = C.query, C.read, C.onto, C.tables, C.labels
@@ -49,7 +49,7 @@ PICKED_SQL = f"""tw AS (SELECT *, lag(gap) OVER (PARTITION BY doc_id ORDER BY i)
 
 
 def picked(docs: DataFrame) -> DataFrame:
-    t = match.tokens(docs)
+    t = match.tokens(docs, columns=("i", "token", "ahead"))
     return t.where((F.length("token") >= LONG) | (F.col("i") == 1) | F.col("ahead").rlike(r"[.!?\n]")).groupBy("doc_id", "token").agg(F.min("i").cast("int").alias("ord"))
 
 
@@ -69,17 +69,17 @@ OTHER_LABELS = "oth AS (SELECT 'w:' || left(label_key, 1) AS iri, label_key AS l
 def m10(spark, sf_dir):
     """Thousands of patterns, made of each document's own words; annotations of some of them are there already."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    t = match.tokens(docs)
+    t = match.tokens(docs, columns=("i", "start", "token", "gap", "nxt"))
     first = F.concat(F.lit("w:"), F.substring("token", 1, 1))
     words = picked(docs).select("doc_id", F.col("token").alias("concept_text"), first.alias("iri"), _sure("token").alias("confidence"), "ord")
-    following = F.lead("token").over(match.Window.partitionBy("doc_id").orderBy("i"))
-    pairs = t.withColumn("nxt", following).where((F.col("gap") == " ") & F.col("nxt").isNotNull() & (F.length("token") >= LONG)).groupBy("doc_id", "token", "nxt").agg(F.min("i").cast("int").alias("ord"))
+    pairs = t.where((F.col("gap") == " ") & F.col("nxt").isNotNull() & (F.length("token") >= LONG)).groupBy("doc_id", "token", "nxt").agg(F.min("i").cast("int").alias("ord"))
     pairs = pairs.select("doc_id", F.concat_ws(" ", "token", "nxt").alias("concept_text"), F.concat(F.lit("b:"), F.substring("nxt", 1, 1)).alias("iri"), F.lit(0.8).alias("confidence"), "ord")
     n = F.length("token")
     there = t.where(n >= LONG - 1).select(
         "doc_id", F.concat(F.lit("e"), "start").alias("ann_id"), "start", (F.col("start") + n).cast("int").alias("end"), F.col("token").alias("text"), F.when(n % 3 == 0, first).alias("iri"),
         F.lit(0.5).alias("confidence"), F.when(n % 3 == 1, "rejected").otherwise("preliminary").alias("state"),
     )
+    there, _ = kept(there, fresh_dir(spark, "there"))
     return document_patterns.annotate(docs, words.unionByName(pairs), other_labels(spark), there)
 
 

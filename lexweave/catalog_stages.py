@@ -114,8 +114,7 @@ def m13(spark, sf_dir):
 @query("m7_semantic_candidates")
 def m7(spark, sf_dir):
     d, rows = read(spark, sf_dir, "documents"), labels(spark)
-    some = annotate.semantic_candidates(d, match.match(d, rows))
-    return annotate.semantic_matches(some, ontology.label_winner(rows).select("label_key", "iri"), 0.8, tuple(search.STOP))
+    return annotate.semantic_spans(d, match.match(d, rows), ontology.label_winner(rows).select("label_key", "iri"), 0.8, tuple(search.STOP))
 
 
 # --- search and resolution ----------------------------------------------------------------------------

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexweave.config import LOW_CONFIDENCE
+from lexweave.functions.text import dealt
+from lexweave.operators import match
 from lexweave.operators.entities import spans
 
 #: Suffixes of names of organisations.
@@ -66,21 +72,67 @@ def names(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "start", "end", "mention", label.alias("label"), F.when(label == "Person", 0.80).otherwise(0.78).alias("confidence"))
 
 
+#: Labels that every run of words is compared with in place; more of them go by an index.
+FEW_LABELS = 2048
+RUN = "doc_id bigint, start int, end int, gram string"
+
+
+def _runs(docs: DataFrame, low: int, high: int, labels: list[str] | None = None, least: float = 0.0, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, start, end, gram): runs of ``low`` to ``high`` tokens; with ``labels``, those with a similar one, its name and the similarity."""
+    from lexweave.operators.vectors import TEXT_BLOCK, trigram_vectors
+
+    known = None if labels is None else (labels, trigram_vectors(labels))
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, (start, token) = match.cut(batch.column("_marked").cast(pa.string()), ["start", "token"], None)
+        start, end = start.to_numpy(), start.to_numpy() + pc.utf8_length(token).to_numpy()
+        idle = pc.is_in(token, value_set=pa.array(list(stop), pa.string())).to_numpy(zero_copy_only=False)
+        for n in range(low, high + 1):
+            at = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :]) if len(row) >= n else np.zeros(0, np.int64)
+            at = at[~np.logical_and.reduce([idle[at + k] for k in range(n)])] if stop else at
+            for a in range(0, len(at), TEXT_BLOCK):
+                own = at[a : a + TEXT_BLOCK]
+                gram, more = pc.binary_join_element_wise(*[token.take(pa.array(own + k)) for k in range(n)], " "), []
+                if known is not None:
+                    once = gram.dictionary_encode()
+                    s = np.round(trigram_vectors(once.dictionary.to_pylist()) @ known[1].T, 6)
+                    best, which = s.argmax(1), once.indices.to_numpy()
+                    near = s[np.arange(len(s)), best]
+                    keep = np.flatnonzero(near[which] >= least)
+                    own, gram, which = own[keep], gram.take(pa.array(keep)), which[keep]
+                    more = [pa.array([known[0][k] for k in best[which]], pa.string()), pa.array(near[which])]
+                names = ["doc_id", "start", "end", "gram", "label", "similarity"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[own])), pa.array(start[own], pa.int32()), pa.array(end[own + n - 1], pa.int32()), gram, *more], names[: 4 + len(more)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in match.slices(batch, "_marked"):
+                yield from rows(part)
+
+    texts = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", match.marked(F.col("text")).alias("_marked")).where("_marked IS NOT NULL")
+    return texts.mapInArrow(run, RUN + (", label string, similarity double" if labels is not None else ""))
+
+
+def _outside(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """Runs (start, end) that neither begin nor end in a known span (doc_id, start, end)."""
+    inside = known.where("start < end").select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("_at")).distinct()  # labels are short
+    for at in (F.col("start"), F.col("end") - 1):
+        runs = runs.withColumn("_at", at).join(inside.hint("merge"), ["doc_id", "_at"], "left_anti").drop("_at")
+    return runs
+
+
 def semantic_candidates(docs: DataFrame, known: DataFrame, low: int = 2, high: int = 4) -> DataFrame:
     """(doc_id, start, end, gram): runs of ``low`` to ``high`` tokens that do not begin or end in a known span (doc_id, start, end)."""
-    from lexweave.operators.match import tokens
-
-    order = Window.partitionBy("doc_id").orderBy("i")
-    ahead = [F.struct(F.lead("start", k).over(order).alias("start"), F.lead("token", k).over(order).alias("token")) for k in range(1, high)]
-    t = tokens(docs).select("doc_id", "start", "token", F.array(*ahead).alias("next"))
-    runs = [
-        F.struct((F.col("next")[n - 2]["start"] + F.length(F.col("next")[n - 2]["token"])).cast("int").alias("end"), F.concat_ws(" ", "token", *[F.col("next")[k]["token"] for k in range(n - 1)]).alias("gram"))
-        for n in range(low, high + 1)
-    ]
-    out = t.select("doc_id", "start", F.explode(F.array(*runs)).alias("r")).select("doc_id", "start", "r.end", "r.gram").where("end IS NOT NULL")
-    inside = known.where("start < end").select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct()  # labels are short
-    out = out.join(inside.withColumnRenamed("at", "start"), ["doc_id", "start"], "left_anti").withColumn("at", F.col("end") - 1)
-    return out.join(inside, ["doc_id", "at"], "left_anti").select("doc_id", "start", "end", "gram")
+    return _outside(_runs(docs, low, high), known)
+
+
+def semantic_spans(docs: DataFrame, known: DataFrame, labels: DataFrame, least: float = 0.80, stop: tuple[str, ...] = (), low: int = 2, high: int = 4) -> DataFrame:
+    """``semantic_matches`` of ``semantic_candidates``: few labels are compared with every run where its text is, and only what is similar meets the known spans."""
+    names = [r[0] for r in labels.select("label_key").where("label_key IS NOT NULL").distinct().orderBy("label_key").limit(FEW_LABELS + 1).collect()]
+    if not 0 < len(names) <= FEW_LABELS:
+        return semantic_matches(semantic_candidates(docs, known, low, high), labels, least, stop)
+    some = _outside(_runs(docs, low, high, names, least, stop), known)
+    return some.join(labels.withColumnRenamed("label_key", "label"), "label").select("doc_id", "start", "end", "gram", "label", "iri", "similarity")
 
 
 def semantic_matches(candidates: DataFrame, labels: DataFrame, least: float = 0.80, stop: tuple[str, ...] = ()) -> DataFrame:

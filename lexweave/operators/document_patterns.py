@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lexweave.operators import match
 from lexweave.operators.models import best_concepts
+from lexweave.sources.shared import fresh_dir, kept
 
 #: Single words that are no pattern when they are only another label of a concept.
 COMMON_LABELS = """
@@ -33,13 +34,14 @@ def concept_patterns(resolved: DataFrame, alternatives: DataFrame) -> DataFrame:
     with one text and iri the first holds the place, and a surer one whose own text it is takes it. Null iris are one of their own.
     """
     own = resolved.select("doc_id", F.lower("concept_text").alias("label_key"), F.coalesce("iri", F.lit("")).alias("iri"), "concept_text", "confidence", "ord", F.lit(-1).alias("seq"))
+    own, _ = kept(own, fresh_dir(resolved.sparkSession, "resolved"))  # read twice
     others = alternatives.where(safe_label(F.col("label"))).select("iri", F.lower("label").alias("_label"), F.col("seq").cast("int").alias("seq"))
     more = own.drop("label_key", "seq").join(others, "iri").withColumnRenamed("_label", "label_key").select(*own.columns)
     first = F.row_number().over(Window.partitionBy("doc_id", "label_key", "iri").orderBy("ord", "seq", "concept_text"))
     rows = own.unionByName(more).where("label_key <> ''").withColumn("_first", first).where("seq = -1 OR _first = 1")
     best = F.struct("confidence", (-F.col("ord")).alias("o"), (-F.col("seq")).alias("s"), "concept_text")
-    kept = rows.groupBy("doc_id", "label_key", "iri").agg(F.max(best).alias("b"))
-    return kept.select("doc_id", "label_key", "iri", F.col("b.concept_text").alias("concept_text"), F.col("b.confidence").alias("confidence"))
+    best_of = rows.groupBy("doc_id", "label_key", "iri").agg(F.max(best).alias("b"))
+    return best_of.select("doc_id", "label_key", "iri", F.col("b.concept_text").alias("concept_text"), F.col("b.confidence").alias("confidence"))
 
 
 def concept_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def concept_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     some = found if "iri" in found.columns else found.withColumn("iri", F.lit(""))
     iri = some.groupBy("doc_id", F.lower("concept_text").alias("label_key")).agg(F.max_by("iri", F.struct("confidence", "iri")).alias("iri"))
     best = best_concepts(some).join(iri, ["doc_id", "label_key"])
-    spans = match.resolve_overlaps(match.match_by_document(docs, best))
+    spans = match.match_by_document(docs, best, resolve=True)
     return spans.join(best, ["doc_id", "label_key"]).select("doc_id", "start", "end", F.col("label_key").alias("text"), "iri", "confidence")
 
 
@@ -79,10 +81,12 @@ def annotate(docs: DataFrame, resolved: DataFrame, alternatives: DataFrame, exis
     Patterns are each document's own; every match goes to all concepts of its text, is attached to the annotations there are,
     and of overlapping spans of one concept the longest, then surest stays.
     """
-    patterns = concept_patterns(resolved, alternatives)
-    spans = match.resolve_overlaps(match.match_by_document(docs, patterns))
+    base = fresh_dir(docs.sparkSession, "annotate")  # what is read more than once is made once
+    patterns, _ = kept(concept_patterns(resolved, alternatives), f"{base}/patterns")
+    spans = match.match_by_document(docs, patterns, resolve=True)
     every = spans.join(patterns, ["doc_id", "label_key"]).select("doc_id", "start", "end", F.col("concept_text").alias("text"), "iri", "confidence")
-    rows = attach(every.dropDuplicates(["doc_id", "start", "end", "iri"]), existing)
+    every, _ = kept(every.dropDuplicates(["doc_id", "start", "end", "iri"]), f"{base}/matches")
+    rows, _ = kept(attach(every, existing), f"{base}/rows")
     aside = (F.col("iri") == "") | (F.col("state") == "rejected")
-    kept = match.longest_first(rows.where(~aside), ["doc_id", "iri"], [F.col("start") - F.col("end"), -F.col("confidence")], ["ann_id", "text", "confidence", "state"])
-    return rows.where(aside).unionByName(kept.select(*rows.columns))
+    first = match.longest_first(rows.where(~aside), ["doc_id", "iri"], [F.col("start") - F.col("end"), -F.col("confidence")], ["ann_id", "text", "confidence", "state"])
+    return rows.where(aside).unionByName(first.select(*rows.columns))

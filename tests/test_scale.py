@@ -1,13 +1,15 @@
 """Operators that failed on larger tables: with limits set low, and against plain versions."""
 
 import random
+import re
+import zlib
 from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import ontology, search, vector_index, vectors
+from lexweave.operators import annotate, match, ontology, search, vector_index, vectors
 
 LIMIT = "spark.sql.cteRecursionRowLimit"
 
@@ -182,3 +184,70 @@ def test_concepts_that_read_the_same_are_scored_once(spark, monkeypatch):
     assert best == [(1, "i002", 92.0), (2, "i003", 92.0), (3, "i004", 92.0), (4, "i005", 92.0)]
     far = {r.iri: r.score for r in search.search(asked.where("query = 'red bolt'"), concepts, labels, edges, top=500, excluded=("Acts",)).collect()}
     assert far["up"] == 78.2 and far["top"] == 66.5 and "i000" not in far and "i001" not in far and len(far) == 198 + 3
+
+
+WORDS = ["Éa", "_x1", "b", "of", "the", "straße", "1st", "İ", "ABC", "日本", "of the"]
+GAPS = [" ", "  ", "-", ". ", "\n", ", 'n ", "…"]
+
+
+def some_texts(n=40):
+    rnd = random.Random(9)
+    return [(k, rnd.choice(["", *GAPS]) + "".join(rnd.choice(WORDS) + rnd.choice(GAPS) for _ in range(rnd.randrange(30))) + rnd.choice(["", "end"])) for k in range(n)] + [(90, None), (91, ""), (92, "--"), (93, "b")]
+
+
+def plain_tokens(text):
+    return [(m.start(), m.group()) for m in re.finditer(r"\w+", text)]
+
+
+def test_tokens_are_cut_where_the_texts_are(spark, monkeypatch):
+    monkeypatch.setattr(match, "CUT_BYTES", 100)
+    docs = spark.createDataFrame([(k, t and t.replace("İ", "i")) for k, t in some_texts()], "doc_id bigint, text string").repartition(6)
+    t = match.tokens(docs, columns=tuple(match.TOKEN_COLUMNS))
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and plan.count("Exchange") == 1  # that of ``docs``
+    got = {(r.doc_id, r.i): r for r in t.collect()}
+    want = {}
+    for d, text in some_texts():
+        text = (text or "").replace("İ", "i").lower()
+        own = plain_tokens(text)
+        for i, (a, w) in enumerate(own):
+            b, end = a + len(w), own[i + 1][0] if i + 1 < len(own) else len(text)
+            far = own[i + match.NEAR][0] + len(own[i + match.NEAR][1]) if i + match.NEAR < len(own) else len(text)
+            ahead = text[(own[i - 1][0] + len(own[i - 1][1])) if i else 0 : a]
+            want[d, i + 1] = (a, w, text[b:end], ahead, own[i + 1][1] if i + 1 < len(own) else None, i + 1 == len(own), text[a:far])
+    assert {k: (r.start, r.token, r.gap, r.ahead, r.nxt, r.last, r.context) for k, r in got.items()} == want and len(want) > 300
+
+
+def test_anchored_and_automaton_agree_with_and_without_few_labels(spark, monkeypatch):
+    labels = ["of the", "of", "the", "b", "éa", "-b", "b-", "of the of the", "the abc b of the 1st", "the. b", "…", "'n", "", "ab"]
+    docs = spark.createDataFrame([(k, t and t.replace("İ", "i")) for k, t in some_texts(80)] + [(200, "xx The ABC B of the 1st-b")], "doc_id bigint, text string")
+    known = spark.createDataFrame([(v,) for v in labels], "label_key string")
+    want = sorted(map(tuple, match.match_automaton(docs, labels).collect()))
+    assert sorted(map(tuple, match.match_anchor(docs, known).collect())) == want and len({r[3] for r in want}) > 8
+    monkeypatch.setattr(match, "SMALL", 3)
+    assert sorted(map(tuple, match.match_anchor(docs, known).collect())) == want
+    each = docs.select("doc_id").crossJoin(known)
+    assert sorted(map(tuple, match.match_by_document(docs, each).collect())) == want
+    settled = match.match_by_document(docs, each, resolve=True)
+    assert "Window" not in settled._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, settled.collect())) == sorted(map(tuple, match.resolve_overlaps(match.match_automaton(docs, labels)).collect()))
+
+
+def test_runs_of_words_meet_few_labels_in_place(spark, monkeypatch):
+    texts = ["", "a", "ab", "abc", "éab", "日本語x", "of the", "x" * 50, "a\x7fb", "😀ab"]
+    want = np.zeros((len(texts), 64))
+    for k, t in enumerate(texts):
+        for i in range(max(len(t) - 2, 1)):
+            want[k, zlib.crc32(t[i : i + 3].encode()) % 64] += 1
+    assert np.array_equal(vectors.trigram_vectors(texts), want / np.linalg.norm(want, axis=1, keepdims=True))
+    docs = spark.createDataFrame([(1, "Breach of Contract and the rule-of law, of the"), (2, "rule of, law; the of"), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([("breach of contracts", "i:1"), ("rule of law", "i:2"), ("rule of law", "i:3"), (None, "i:4")], "label_key string, iri string")
+    known = spark.createDataFrame([(2, 0, 4)], "doc_id bigint, start int, end int")
+    made = []
+    monkeypatch.setattr(vector_index, "nearest", lambda *a, **k: made.append(1))
+    got = sorted(map(tuple, annotate.semantic_spans(docs, known, labels, 0.7, ("of", "the")).select("doc_id", "start", "end", "gram", "label", "iri").collect()))
+    assert got and not made and {(1, 0, 18, "breach of contract", "breach of contracts", "i:1"), (1, 27, 38, "rule of law", "rule of law", "i:2"), (1, 27, 38, "rule of law", "rule of law", "i:3")} <= set(got)
+    assert not [r for r in got if r[0] == 2 and r[1] < 4] and not {r[3] for r in got} & {"of the", "the of"}  # begin in a known span, or are of stop words
+    monkeypatch.undo()
+    monkeypatch.setattr(annotate, "FEW_LABELS", 1)
+    assert sorted(map(tuple, annotate.semantic_spans(docs, known, labels, 0.7, ("of", "the")).select("doc_id", "start", "end", "gram", "label", "iri").collect())) == got
