@@ -36,7 +36,8 @@ def entity_graphs(
     Each level is a join of the frontier with the edges, an anti-join with the nodes found, and a rank by root; it is written
     to the shared folder, so that there is a job for each level and not for each root, and nothing but counts reaches the
     driver. A node's neighbours are cut to ``2 * max_nodes + 1`` first: at most ``max_nodes`` of them can be known already, so
-    later ones are never among those kept and more than those kept are left to tell that some are missing. Null ids are
+    later ones are never among those kept and more than those kept are left to tell that some are missing. Joins are sorted:
+    by the size of its file, in which names repeat, a level would be sent to all tasks through the driver. Null ids are
     left out, repeated roots and edges count once, cycles end at nodes found before, and no roots give no rows.
     """
     base, room = fresh_dir(spark, "graphs"), 2 * max_nodes + 1
@@ -61,10 +62,10 @@ def entity_graphs(
     def level(at: DataFrame, step: DataFrame, d: int, phase: str) -> int:
         known = found()
         size = known.groupBy("root").agg(F.count("*").alias("n"))
-        new = at.select("root", "pos", F.col("iri").alias("src")).join(step, "src").groupBy("root", F.col("dst").alias("iri")).agg(F.min(F.struct("pos", "ord")).alias("o"))
-        new = new.join(known.select("root", "iri"), ["root", "iri"], "left_anti")
+        new = at.select("root", "pos", F.col("iri").alias("src")).join(step.hint("merge"), "src").groupBy("root", F.col("dst").alias("iri")).agg(F.min(F.struct("pos", "ord")).alias("o"))
+        new = new.join(known.select("root", "iri").hint("merge"), ["root", "iri"], "left_anti")
         first = Window.partitionBy("root").orderBy("o", "iri")
-        ranked = new.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_nodes + 1).join(size, "root")
+        ranked = new.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_nodes + 1).join(size.hint("merge"), "root")
         # the row after the last one kept says that there were more; it is a row without a node
         over = F.col("k") + F.col("n") > max_nodes
         rows = ranked.where(F.col("k") + F.col("n") <= max_nodes + 1)
@@ -85,9 +86,9 @@ def entity_graphs(
     walk(start, down, depth, 1, "descendant")
     if level(found().where("iri IS NOT NULL"), beside, 0, "related"):
         walk(spark.read.schema(NODE).parquet(paths[-1]).where("iri IS NOT NULL"), up, 50, -1, "related_ancestor")
-    tops = branch_roots if branch_roots is not None else edges.select(F.col("parent").alias("iri")).distinct().join(edges.select(F.col("child").alias("iri")), "iri", "left_anti")
+    tops = branch_roots if branch_roots is not None else edges.select(F.col("parent").alias("iri")).distinct().join(edges.select(F.col("child").alias("iri")).hint("merge"), "iri", "left_anti")
     cut = found().where("more").select("root").distinct().withColumn("truncated", F.lit(True))
-    nodes = found().where("iri IS NOT NULL").join(tops.select("iri").where("iri IS NOT NULL").distinct().withColumn("top", F.lit(True)), "iri", "left").join(cut, "root", "left")
+    nodes = found().where("iri IS NOT NULL").join(tops.select("iri").where("iri IS NOT NULL").distinct().withColumn("top", F.lit(True)).hint("merge"), "iri", "left").join(cut.hint("merge"), "root", "left")
     kind = F.when(F.col("top"), F.when(F.col("phase").isin("focus", "ancestor"), "ultimate").otherwise("ancillary"))
     return nodes.select("root", "iri", "depth", "phase", kind.alias("root_type"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
 

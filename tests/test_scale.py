@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import annotate, match, ontology, search, vector_index, vectors
+from lexweave.operators import annotate, graphs, match, ontology, search, vector_index, vectors
 
 LIMIT = "spark.sql.cteRecursionRowLimit"
 
@@ -251,3 +251,11 @@ def test_runs_of_words_meet_few_labels_in_place(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(annotate, "FEW_LABELS", 1)
     assert sorted(map(tuple, annotate.semantic_spans(docs, known, labels, 0.7, ("of", "the")).select("doc_id", "start", "end", "gram", "label", "iri").collect())) == got
+
+
+def test_levels_of_graphs_are_not_sent_through_the_driver(spark):
+    names, edges = dag(8)
+    concepts, e = frames(spark, names, edges)
+    got = graphs.entity_graphs(spark, e, spark.createDataFrame([("n03", "n20", 0)], "src string, dst string, ord int"), concepts)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("root = 'n03' AND phase = 'related'").select("iri").collect()[0][0] == "n20"
